@@ -6,11 +6,12 @@ earliest arrival. A shingle stops as soon as its next arrival is later than the
 Two documents agree in a component with a chance equal to their probability Jaccard similarity.
 
 Exact copies (equal word sequences) are first reduced to one text, so a group of copies costs one row. Texts that share
-a band of components are candidates; similarity is verified on the exact shingle sets (Jaccard >= threshold). Within a
-band every text is first compared with the band's first text only. Components of the links found so far then settle most
-bands; in a band that still spans several components, each text outside the first text's component is compared with
-the texts of other components, so no link between candidates is lost, while a large group of near copies, once linked,
-emits no pairs.
+a band of components are candidates; similarity is verified on the exact shingle sets (Jaccard >= threshold), for pairs
+whose set sizes allow it. In each round every text of a band is compared with one of its texts only (first the oldest, then
+others by hash), and bands that lie within one component of the links found so far are settled. Rounds go on while they find
+many links. Then, in bands that still span several components, all texts are compared in blocks of bounded size, and only
+the links across components come out. So no link that could join two components is lost, while a large group of near
+copies, or of texts that are nearly similar, emits no pairs.
 
 With 25 bands of 5 components, two texts at 0.8 become candidates with probability 0.99995.
 
@@ -31,6 +32,10 @@ from .bytesplit import Words, mixed, powers, rolling, steps, whole
 from .scratch import staged
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 25, 5, 0.8
+#: Rounds go on while they find a link for one in so many members of bands.
+ENOUGH = 100
+#: Bounds of a block of texts in the last step.
+BLOCK_TEXTS, BLOCK_GRAMS = 1024, 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,7 +98,7 @@ def _text_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """(row, id, text_hash, k1, k2, bands, grams): the two keys of the word sequence, band hashes, and the shingle set."""
+    """(row, id, text_hash, k1, k2, bands, n_grams, grams): two keys of the word sequence, band hashes, the shingle set and its size."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,11 +117,11 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), part.column(2), pa.array(k1), pa.array(k2),
                     pa.ListArray.from_arrays(pa.array(band_off, pa.int32()), pa.array(band[~none].ravel().view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((key >> np.uint64(16)).astype(np.uint32).view(np.int32))),
-                ], names=["row", "id", "text_hash", "k1", "k2", "bands", "grams"])
+                    pa.array(np.diff(cut), pa.int32()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((key >> np.uint64(16)).astype(np.uint32).view(np.int32))),
+                ], names=["row", "id", "text_hash", "k1", "k2", "bands", "n_grams", "grams"])
 
     asked = docs.select(F.monotonically_increasing_id(), F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col).cast("string"))
-    return asked.mapInArrow(sign, "row long, id long, text_hash long, k1 long, k2 long, bands array<long>, grams array<int>")
+    return asked.mapInArrow(sign, "row long, id long, text_hash long, k1 long, k2 long, bands array<long>, n_grams int, grams array<int>")
 
 
 def verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
@@ -146,28 +151,84 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _alike(n, m, threshold: float):
+    """Sets of these sizes can have the similarity."""
+    return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """Members of the bands that span several components."""
+    bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
+    return staged(named.join(bands, "band"), "open")
+
+
+def _star(named: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs of each text with the centre of its band, the oldest in round 0, one by hash in later rounds."""
+    order = F.col("a") if k == 0 else F.xxhash64("a", F.lit(k))
+    centre = named.groupBy("band").agg(F.min_by(F.struct("a", "n", "component"), order).alias("c"))
+    pairs = named.join(centre, "band").filter((F.col("component") != F.col("c.component")) & _alike(F.col("n"), F.col("c.n"), threshold))
+    return staged(pairs.select(F.greatest("a", "c.a").alias("a"), F.least("a", "c.a").alias("b")).distinct(), "star")
+
+
+def _rest(named: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """Links between texts of a band that lie in different components, checked in blocks of bounded size.
+
+    A band's texts are dealt into blocks; each pair of blocks is one group, in which the sizes of all intersections come
+    from one sparse product. Only links leave the group, never pairs.
+    """
+    bands = named.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    dealt = named.join(bands, "band").withColumn("i", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "a", "component", "i", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
+    full = dealt.join(grams.withColumnRenamed("row", "a"), "a").select("band", "low", "high", "a", "component", "i", "grams")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, component, block = (table[c].to_numpy() for c in ("a", "component", "i"))
+        cross = table["low"][0].as_py() != table["high"][0].as_py()
+        lists = table["grams"].combine_chunks()
+        lens = np.diff(lists.offsets.to_numpy())
+        values, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), lens)
+        kinds, at, often = np.unique(values, return_inverse=True, return_counts=True)
+        shared = often[at] > 1
+        of, at = of[shared], (np.cumsum(often > 1) - 1)[at[shared]]
+        order = np.argsort(at, kind="stable")
+        of, at = of[order], at[order]
+        both = np.zeros((len(node), len(node)), np.float32)
+        for c in range(0, int((often > 1).sum()), 4096):
+            x, y = np.searchsorted(at, [c, c + 4096])
+            part = np.zeros((len(node), 4096), np.float32)
+            part[of[x:y], at[x:y] - c] = 1
+            both += part @ part.T
+        ok = both >= threshold * (lens[:, None] + lens[None, :] - both) - 1e-6
+        ok &= (component[:, None] != component[None, :]) & (node[:, None] > node[None, :])
+        if cross:
+            ok &= block[:, None] != block[None, :]
+        a, b = np.nonzero(ok)
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+
+    return full.groupBy("band", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(row, id, text_hash, class_row, class_id), one row per input row; class_row names the class, class_id is its smallest id."""
     own = staged(signed(docs, id_col, text_col, bands, rows), "signed")
-    texts = own.filter(F.size("bands") > 0).groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.min("id").alias("least_id"), F.first("bands").alias("bands"))
+    texts = own.filter(F.size("bands") > 0).groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.min("id").alias("least_id"), F.first("bands").alias("bands"), F.first("n_grams").alias("n"))
     texts = staged(texts, "texts")
-    member = texts.select(F.col("rep").alias("a"), F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")
-    member = staged(member.join(shared, "band").select("band", "a", F.col("b").alias("first")), "members")
-    star = member.filter("a <> first").select("a", F.col("first").alias("b")).distinct()
-    star = staged(star, "star")
-    some = star.select("a").unionByName(star.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "row")
-    grams = staged(own.select("row", "grams").join(some, "row", "left_semi"), "grams")
-    links = staged(verified(star, grams, threshold), "links")
-    found = components(links)
-    named = member.join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    open_bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
-    named = staged(named.join(open_bands, "band"), "open")
-    lead = named.filter("a = first").select("band", F.col("component").alias("lead"))
-    stray = named.join(lead, "band").filter("component <> lead").select("band", F.col("a").alias("x"), F.col("component").alias("cx"))
-    other = named.filter("a <> first").select("band", F.col("a").alias("y"), F.col("component").alias("cy"), "first")
-    more = stray.join(other, "band").filter("cx <> cy").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    late = staged(verified(more, grams, threshold), "late-links")
+    member = texts.select(F.explode("bands").alias("band"), F.col("rep").alias("a"), "n")
+    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("band")
+    member = staged(member.join(shared, "band"), "members")
+    # always by sort-merge: the sets are large, and the texts with candidates grow with the corpus
+    grams = staged(own.select("row", "grams").hint("merge").join(member.select(F.col("a").alias("row")).distinct(), "row", "left_semi"), "grams")
+    links, found, named, k = None, None, member.withColumn("component", F.col("a")), 0
+    while True:
+        named = _open(named)
+        new = staged(verified(_star(named, k, threshold), grams, threshold), "links")
+        links = new if links is None else links.unionByName(new)
+        found = components(links)
+        named = named.drop("component").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+        named, k = staged(named, "named"), k + 1
+        if new.count() * ENOUGH <= member.count():
+            break
+    late = staged(_rest(_open(named), grams, threshold), "late-links")
     if late.limit(1).count():
         found = components(links.unionByName(late))
     placed = texts.select("k1", "k2", "rep", "least_id").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
