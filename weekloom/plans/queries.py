@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with the SQL that says the same.
 
-Panel: per nation and week of shipping, the mean price a unit; weeks start on Monday. Doubles are rounded to six digits.
+Panel: per nation and week of shipping, the mean price a unit; weeks start on Monday. Doubles are rounded to six digits (the panel itself to nine, so that no tie is rounded twice).
 """
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def table(spark, d: str, name: str) -> DataFrame:
 def panel(spark, d: str) -> DataFrame:
     """(k, date, price, stations). Suppliers are a dimension that Spark broadcasts while it is small."""
     x = table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity").join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return x.groupBy(F.col("s_nationkey").alias("k"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), ROUND).alias("price"), F.count_distinct("l_suppkey").alias("stations"))
+    return x.groupBy(F.col("s_nationkey").alias("k"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 9).alias("price"), F.count_distinct("l_suppkey").alias("stations"))
 
 
 def cost(spark, d: str) -> DataFrame:
@@ -49,7 +49,7 @@ def rounded(df: DataFrame, digits: int = ROUND) -> DataFrame:
     return df.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
 
 
-PANEL = """p AS (SELECT s_nationkey AS k, date_trunc('week', l_shipdate)::DATE AS date, round(sum(l_extendedprice) / sum(l_quantity), 6) AS price, count(DISTINCT l_suppkey) AS stations FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
+PANEL = """p AS (SELECT s_nationkey AS k, date_trunc('week', l_shipdate)::DATE AS date, round(sum(l_extendedprice) / sum(l_quantity), 9) AS price, count(DISTINCT l_suppkey) AS stations FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
 COST = PANEL + """, c AS (SELECT o_orderdate::DATE AS date, round(avg(o_totalprice), 6) AS cost FROM orders WHERE dayofyear(o_orderdate) % 3 = 0 GROUP BY 1), x AS (SELECT p.*, c.cost FROM p ASOF LEFT JOIN c ON p.date >= c.date)"""
 PRED = PANEL + """, f AS (SELECT k, date, price, avg(price) OVER (PARTITION BY k ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS prediction FROM p), r AS (SELECT f.k, f.date, t.date AS target_date, t.price AS actual, f.price AS origin, f.prediction FROM f JOIN p t ON t.k = f.k AND t.date = f.date + INTERVAL 7 DAY)"""
 
@@ -189,10 +189,10 @@ def jn7_articles_in_lookback(spark, d):
     return align.articles_in_lookback(a, o, 14, record="doc_id").select("origin", "doc_id")
 
 
-@query(f"WITH {PANEL}, c AS (SELECT k, date, ln(price) - ln(lag(price) OVER (PARTITION BY k ORDER BY date)) AS c, price FROM p) SELECT k, date, round(lag(price, 4) OVER w, 6) AS l4, CASE WHEN count(price) OVER f8 >= 8 THEN round(avg(price) OVER f8, 6) END AS ma8, CASE WHEN count(c) OVER f8 >= 4 THEN round(stddev_samp(c) OVER f8, 6) END AS vol8 FROM c WINDOW w AS (PARTITION BY k ORDER BY date), f8 AS (PARTITION BY k ORDER BY date ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)")
+@query(f"WITH {PANEL}, c AS (SELECT k, date, ln(price) - ln(lag(price) OVER (PARTITION BY k ORDER BY date)) AS c, price FROM p) SELECT k, date, lag(price, 4) OVER w AS l4, CASE WHEN count(price) OVER f8 >= 8 THEN round(avg(price) OVER f8, 6) END AS ma8, CASE WHEN count(c) OVER f8 >= 4 THEN round(stddev_samp(c) OVER f8, 6) END AS vol8 FROM c WINDOW w AS (PARTITION BY k ORDER BY date), f8 AS (PARTITION BY k ORDER BY date ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)")
 def wf1_weekly_features(spark, d):
     f = features.weekly_features(panel(spark, d), K, ["price"])
-    return rounded(f.select("k", "date", F.col("price_l4").alias("l4"), F.col("price_ma8").alias("ma8"), F.col("price_vol8").alias("vol8")))
+    return f.select("k", "date", F.col("price_l4").alias("l4"), F.round("price_ma8", 6).alias("ma8"), F.round("price_vol8", 6).alias("vol8"))
 
 
 @query(f"WITH {PANEL}, c AS (SELECT k, date, price, ln(price) - ln(lag(price) OVER (PARTITION BY k ORDER BY date)) AS c FROM p), s AS (SELECT *, CASE WHEN count(c) OVER w >= 4 THEN stddev_samp(c) OVER w END AS sd FROM c WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT k, date, coalesce(abs(c) > 2.5 * greatest(sd, 1e-4), false) AS jump FROM s")
@@ -206,10 +206,10 @@ def wf3_feature_set(spark, d):
     return rounded(features.feature_set(g, K, "price").select("k", "date", "change_4", "gap_ma8", "vol_12"))
 
 
-@query(f"WITH {COST}, l AS (SELECT k, date, ln(price) AS y, ln(cost) AS x FROM x WHERE cost IS NOT NULL), s AS (SELECT *, count(*) OVER w AS n, regr_slope(y, x) OVER w AS b, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM l WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), r AS (SELECT k, date, CASE WHEN n >= 52 THEN y - my - b * (x - mx) END AS r FROM s), v AS (SELECT k, date, r, count(r) OVER w AS n, stddev_samp(r) OVER w AS sd FROM r WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT k, date, CASE WHEN n >= 2 THEN round(r / sd, 3) END AS coint FROM v")
+@query(f"WITH {COST}, l AS (SELECT k, date, ln(price) AS y, ln(cost) AS x FROM x WHERE cost IS NOT NULL), s AS (SELECT *, count(*) OVER w AS n, regr_slope(y, x) OVER w AS b, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM l WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), r AS (SELECT k, date, CASE WHEN n >= 52 THEN y - my - b * (x - mx) END AS r FROM s), v AS (SELECT k, date, r, count(r) OVER w AS n, stddev_samp(r) OVER w AS sd FROM r WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT k, date, CASE WHEN n >= 2 THEN round(r / sd, 3) + 0.0 END AS coint FROM v")
 def wf6_coint_residual(spark, d):
     x = with_cost(spark, d).filter("cost is not null")
-    return features.expanding_coint_residual(x, K, "price", "cost", 52).select("k", "date", F.round("coint", 3).alias("coint"))
+    return features.expanding_coint_residual(x, K, "price", "cost", 52).select("k", "date", (F.round("coint", 3) + 0.0).alias("coint"))
 
 
 @query(f"WITH {PRED}, e AS (SELECT k, date, (actual - prediction) AS e FROM r) SELECT k, date, CASE WHEN row_number() OVER (PARTITION BY k ORDER BY date) >= 12 THEN round(sqrt(avg(e * e) OVER (PARTITION BY k ORDER BY date ROWS 11 PRECEDING)), 6) END AS rmse FROM e")
