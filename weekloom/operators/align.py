@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Folds are sent to every task; this bounds their table.
+MOST_FOLDS = 10_000
+
+
 def by_date(keys: Sequence[str], date: str = "date"):
     return W.partitionBy(*keys).orderBy(date)
 
@@ -121,8 +125,10 @@ def exact_week_pairs(df: DataFrame, horizon: int, origin: str, target: str) -> D
 
 
 def remap_fold(df: DataFrame, folds: DataFrame, date: str = "target_date") -> DataFrame:
-    """Relabels rows by the fold (fold_id, start_date, end_date) their target falls in; folds are a handful of rows."""
-    f = folds.select("fold_id", "start_date", "end_date").limit(1000)
+    """Relabels rows by the fold (fold_id, start_date, end_date) their target falls in; more than ``MOST_FOLDS`` folds are an error."""
+    f = folds.select("fold_id", "start_date", "end_date")
+    if f.limit(MOST_FOLDS + 1).count() > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds")
     return df.drop("fold_id").join(F.broadcast(f), F.col(date).between(F.col("start_date"), F.col("end_date"))).drop("start_date", "end_date")
 
 

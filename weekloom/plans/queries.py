@@ -261,3 +261,55 @@ def st5_stream_weekly(spark, d):
     from weekloom.streaming.weekly import stream_weekly
 
     return stream_weekly(spark, d)
+
+
+@query(f"WITH {PANEL} SELECT k, date, price AS naive, round(avg(price) OVER (PARTITION BY k ORDER BY date ROWS 3 PRECEDING), 6) AS ma4 FROM p")
+def ml1_naive_and_mean(spark, d):
+    return panel(spark, d).select("k", "date", F.col("price").alias("naive"), F.round(features.over(F.avg, "price", K, -3, 0, 1), 6).alias("ma4"))
+
+
+@query(f"WITH {PRED}, q AS (SELECT k, date, prediction, count(actual - prediction) OVER w AS n, quantile_cont(actual - prediction, 0.1) OVER w AS lo, quantile_cont(actual - prediction, 0.9) OVER w AS hi FROM r WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)) SELECT k, date, CASE WHEN n >= 20 THEN round(prediction + lo, 5) END AS lower, CASE WHEN n >= 20 THEN round(prediction + hi, 5) END AS upper FROM q")
+def wf11_moving_band(spark, d):
+    p = predictions(spark, d).withColumn("resid", F.col("actual") - F.col("prediction"))
+    return rounded(features.moving_band(p, K, "resid", "prediction", 52).select("k", "date", "lower", "upper"), 5)
+
+
+@query(f"WITH {PRED}, m AS (SELECT k, date, origin, prediction, abs(origin - lag(origin) OVER (PARTITION BY k ORDER BY date)) AS m FROM r), q AS (SELECT *, greatest(0.1, 2 * quantile_cont(m, 0.995) OVER (PARTITION BY k ORDER BY date ROWS 51 PRECEDING)) AS l FROM m) SELECT k, date, coalesce(abs(prediction - origin) > l, false) AS guarded FROM q")
+def wf12_change_guard(spark, d):
+    return features.change_guard(predictions(spark, d), K, "origin", "prediction", 52).select("k", "date", "guarded")
+
+
+@query(f"WITH {PANEL}, n AS (SELECT date, avg(price) AS nat FROM p GROUP BY 1), s AS (SELECT p.k, p.date, p.price - n.nat AS s FROM p JOIN n ON n.date = p.date), z AS (SELECT *, count(s) OVER w AS n, avg(s) OVER w AS m, stddev_samp(s) OVER w AS sd, lag(s) OVER (PARTITION BY k ORDER BY date) AS l FROM s WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT k, date, round(s, 5) AS spread, round(s - l, 5) AS spread_d, CASE WHEN n >= 52 THEN round((s - m) / sd, 5) + 0.0 END AS spread_z FROM z")
+def wf8_regional_features(spark, d):
+    p = panel(spark, d)
+    nat = p.groupBy("date").agg(F.avg("price").alias("nat"))
+    f = features.regional_features(p.join(nat, "date").withColumn("ps", F.lit(0.0)), K, "price", "nat", "ps", 52)
+    return f.select("k", "date", F.round("spread", 5).alias("spread"), F.round("spread_d", 5).alias("spread_d"), (F.round("spread_z", 5) + 0.0).alias("spread_z"))
+
+
+@query(f"WITH {PANEL}, e AS (SELECT k, date, coalesce((datediff('day', lag(date) OVER (PARTITION BY k ORDER BY date), date) > 56)::INT, 1) AS n FROM p WHERE price > 2500) SELECT k, date, sum(n) OVER (PARTITION BY k ORDER BY date ROWS UNBOUNDED PRECEDING)::BIGINT AS episode FROM e")
+def wf14_episodes(spark, d):
+    return features.episodes(panel(spark, d), K, F.col("price") > 2500).select("k", "date", "episode")
+
+
+@query(f"WITH {PRED}, e AS (SELECT k, sqrt(avg((prediction - actual) ** 2) OVER w / avg((origin - actual) ** 2) OVER w) AS r, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY k ORDER BY date ROWS 12 PRECEDING)) SELECT k, round(max(r) FILTER (n >= 13), 6) AS worst_ratio FROM e GROUP BY k")
+def wf18_worst_rolling_ratio(spark, d):
+    p = predictions(spark, d).withColumns({"a": F.col("prediction") - F.col("actual"), "b": F.col("origin") - F.col("actual")})
+    return rounded(features.worst_rolling_ratio(p, K, "a", "b"))
+
+
+@query(f"WITH {PANEL} SELECT p.k, p.date, p.price FROM p ANTI JOIN (SELECT DISTINCT o_orderdate::DATE AS date FROM orders) o ON o.date = p.date")
+def jn8_require_coverage(spark, d):
+    o = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    return align.require_coverage(panel(spark, d).select("k", "date", "price"), o, ["date"])
+
+
+@query(f"WITH {PANEL}, f AS (SELECT k, date, lead(date, 4) OVER (PARTITION BY k ORDER BY date) AS t FROM p) SELECT k, date FROM f WHERE t IS NOT NULL AND NOT t BETWEEN DATE '1997-01-06' AND DATE '1997-03-31'")
+def prj7_drop_targets_in_gap(spark, d):
+    return prep.drop_targets_in_gap(panel(spark, d), K, "date", 4, "1997-01-06", "1997-03-31").select("k", "date")
+
+
+@query("WITH e AS (SELECT event_type AS k, value AS v, event_id % 2 AS h FROM events), q AS (SELECT k, quantile_cont(v, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS e FROM e WHERE h = 0 GROUP BY k), b AS (SELECT e.k, h, CASE WHEN v = q.e[6] THEN 5 ELSE len(list_filter(q.e, lambda x: x <= v)) END AS bin FROM e JOIN q ON q.k = e.k WHERE v BETWEEN q.e[1] AND q.e[6]), c AS (SELECT k, h, bin, count(*) AS c FROM b GROUP BY 1, 2, 3), s AS (SELECT *, c / sum(c) OVER (PARTITION BY k, h) AS s FROM c), g AS (SELECT k, unnest(range(1, 6)) AS bin FROM q), j AS (SELECT g.k, greatest(coalesce(a.s, 0), 1e-6) AS p, greatest(coalesce(z.s, 0), 1e-6) AS q FROM g LEFT JOIN s a ON a.k = g.k AND a.bin = g.bin AND a.h = 0 LEFT JOIN s z ON z.k = g.k AND z.bin = g.bin AND z.h = 1) SELECT k, round(sum((q - p) * ln(q / p)), 6) AS psi FROM j GROUP BY k")
+def ag12_psi(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("k"), F.col("value").alias("v"), (F.col("event_id") % 2).alias("h"))
+    return rounded(score.psi(e.filter("h = 0"), e.filter("h = 1"), "v", K, 5))
