@@ -145,9 +145,9 @@ def dc1_prebuy_profitability(spark, d):
     return p.select("k", "triggers", F.round("total", 1).alias("total"), F.round("win_rate", 6).alias("win_rate"), F.round("profit_factor", 6).alias("profit_factor"), F.round("expectancy", 2).alias("expectancy"), F.round("largest_share", 6).alias("largest_share"))
 
 
-@query(f"WITH {PANEL}, e AS (SELECT k, min(date) AS a, max(date) AS b FROM p GROUP BY k), g AS (SELECT k, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 7 DAY))::DATE AS date FROM e) SELECT g.k, g.date, p.price, p.stations FROM g LEFT JOIN p ON p.k = g.k AND p.date = g.date")
+@query(f"WITH {PANEL}, e AS (SELECT k, min(date) AS a, max(date) AS b FROM p GROUP BY k), g AS (SELECT k, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 7 DAY))::DATE AS date FROM e) SELECT g.k, g.date, p.price, p.stations::DOUBLE AS stations FROM g LEFT JOIN p ON p.k = g.k AND p.date = g.date")
 def jn1_weekly_grid(spark, d):
-    return align.weekly_grid(panel(spark, d), K).select("k", "date", "price", "stations")
+    return align.weekly_grid(panel(spark, d), K).select("k", "date", "price", F.col("stations").cast("double").alias("stations"))
 
 
 @query(f"WITH {COST} SELECT k, date, price, cost FROM x")
