@@ -148,6 +148,15 @@ def dm_statistic(pred: DataFrame, by: Sequence[str], loss_a: str, loss_b: str, o
     return out.withColumns({"dm": stat, "dm_hln": stat * fix})
 
 
+def spread_estimates(df: DataFrame, by: Sequence[str], spread: str, before: str, date: str = "date") -> DataFrame:
+    """(n, kappa, se) per unit: how fast the spread returns, from its change on its last value, on rows before the date."""
+    w = W.partitionBy(*by).orderBy(date)
+    x = df.withColumns({"_x": F.lag(spread, 1).over(w), "_y": F.col(spread) - F.lag(spread, 1).over(w)}).filter(F.col(date) < F.lit(before).cast("date"))
+    slope, sxx = F.regr_slope("_y", "_x"), F.regr_sxx("_y", "_x")
+    rest = F.greatest(F.regr_syy("_y", "_x") - slope * slope * sxx, F.lit(0.0))
+    return x.groupBy(*by).agg(F.count("_y").alias("n"), (-slope).alias("kappa"), F.sqrt(rest / F.nullif(F.count("_y") - 2, F.lit(0)) / F.nullif(sxx, F.lit(0.0))).alias("se"))
+
+
 def pool_reversion(estimates: DataFrame, group: Sequence[str], unit: str, value: str = "kappa", se: str = "se") -> DataFrame:
     """Random-effects pooling (DerSimonian-Laird) and each unit's shrunk value; with fewer than three units its own."""
     ok = estimates.filter((F.col(se) > 0) & F.col(value).isNotNull())
@@ -193,4 +202,162 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], ident: str, n: int,
     q = q.select(*strata, (F.col("base") + (F.col("_r") <= n - F.col("given")).cast("int")).alias("quota"))
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")), 256)
     ranked = df.join(q, list(strata)).withColumn("_k", F.row_number().over(W.partitionBy(*strata).orderBy(key)))
-    return ranked.filter("_k <= quota").drop("_k", "quota")
+    return ranked.filter((F.col("_k") <= n) & (F.col("_k") <= F.col("quota"))).drop("_k", "quota")
+
+
+def weekly_reduce(df: DataFrame, keys: Sequence[str], date: str, value: str, how: str = "mean") -> DataFrame:
+    """Values by the Sunday that ends their week: 'mean', 'median', or 'preserve' (then two rows in a week are an error)."""
+    end = F.date_add(F.to_date(F.date_trunc("week", date)), 6)
+    x = df.select(*keys, end.alias("week_end"), value).dropna().groupBy(*keys, "week_end")
+    if how == "preserve":
+        one = F.when(F.count(value) == 1, F.max(value)).otherwise(F.raise_error(F.lit("several rows in a week")).cast("double"))
+        return x.agg(one.alias(value))
+    return x.agg((F.avg(value) if how == "mean" else F.median(value)).alias(value))
+
+
+def summary_gate(df: DataFrame, by: Sequence[str], value: str, expected: DataFrame, tolerance: float) -> DataFrame:
+    """(measure, found, expected, ok) for n, mean, std, min, q1, median, q3, max; ``expected`` has (by, measure, expected)."""
+    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
+    one = df.groupBy(*by).agg(F.count(value).cast("double").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"), q.alias("_q"))
+    one = one.withColumns({"q1": F.col("_q")[0], "median": F.col("_q")[1], "q3": F.col("_q")[2]}).drop("_q")
+    long = one.unpivot(list(by), ["n", "mean", "std", "min", "q1", "median", "q3", "max"], "measure", "found")
+    x = long.join(expected, [*by, "measure"], "left")
+    return x.withColumn("ok", F.coalesce(F.abs(F.col("found") - F.col("expected")) <= tolerance, F.lit(False)))
+
+
+def classification_report(df: DataFrame, by: Sequence[str], truth: str, probs: dict[int, str]) -> DataFrame:
+    """Accuracy, balanced accuracy, macro F1, Brier, log loss and calibration error (bins (lo, lo + 0.1]) of class probabilities.
+
+    The class of the largest probability is predicted; at equal ones the first named. Classes that never occur count as NULL
+    in the means over classes. Two aggregations, then one row per group and class.
+    """
+    d = df.dropna(subset=[truth, *probs.values()])
+    top = F.greatest(*probs.values())
+    guess = F.coalesce(*[F.when(F.col(p) == top, F.lit(c)) for c, p in probs.items()])
+    own = F.coalesce(*[F.when(F.col(truth) == c, F.col(p)) for c, p in probs.items()])
+    brier = sum(((F.col(p) - (F.col(truth) == c).cast("double")) * (F.col(p) - (F.col(truth) == c).cast("double")) for c, p in probs.items()), F.lit(0.0))
+    d = d.withColumns({"_g": guess, "_hit": (guess == F.col(truth)).cast("double"), "_top": top, "_ll": -F.log(F.greatest(own, F.lit(1e-15))), "_br": brier})
+    whole = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("accuracy"), F.avg("_br").alias("brier"), F.avg("_ll").alias("log_loss"),
+        *[x for c in probs for x in (F.count(F.when(F.col(truth) == c, 1)).alias(f"_t{c}"), F.count(F.when(F.col("_g") == c, 1)).alias(f"_p{c}"), F.count(F.when((F.col(truth) == c) & (F.col("_g") == c), 1)).alias(f"_b{c}"))])
+    mean = lambda cs: F.aggregate(F.filter(F.array(*cs), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(F.filter(F.array(*cs), lambda x: x.isNotNull())), F.lit(0))
+    recall = [F.col(f"_b{c}") / F.nullif(F.col(f"_t{c}"), F.lit(0)) for c in probs]
+    f1 = [2 * F.col(f"_b{c}") / F.nullif(F.col(f"_t{c}") + F.col(f"_p{c}"), F.lit(0)) for c in probs]
+    whole = whole.select(*by, "n", "accuracy", mean(recall).alias("balanced_accuracy"), mean(f1).alias("macro_f1"), "brier", "log_loss")
+    bins = d.groupBy(*by, F.ceil(F.col("_top") * 10).alias("_bin")).agg(F.count(F.lit(1)).alias("m"), F.abs(F.avg("_hit") - F.avg("_top")).alias("gap"))
+    ece = bins.groupBy(*by).agg((F.sum(F.col("m") * F.col("gap")) / F.sum("m")).alias("ece"))
+    return whole.join(ece, list(by)) if by else whole.join(ece, how="cross")  # one row each
+
+
+def quintile_study(df: DataFrame, by: Sequence[str], x: str, y: str, threshold: float) -> DataFrame:
+    """Correlation, and the mean and event rate (|y| > threshold) of y in the lowest and the highest fifth of x."""
+    d = df.dropna(subset=[x, y])
+    cut = d.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.2), F.lit(0.8))).alias("_q"))
+    d = d.join(cut, list(by))
+    low, high, event = F.col(x) <= F.col("_q")[0], F.col(x) >= F.col("_q")[1], (F.abs(y) > threshold).cast("double")
+    return d.groupBy(*by).agg(F.corr(x, y).alias("corr"), F.avg(F.when(low, F.col(y))).alias("low_mean"), F.avg(F.when(high, F.col(y))).alias("high_mean"), F.avg(F.when(low, event)).alias("low_events"), F.avg(F.when(high, event)).alias("high_events"))
+
+
+def residual_redundancy(df: DataFrame, by: Sequence[str], a: str, b: str, without: Sequence[int] = (1, 3, 5), tail: float = 0.9) -> DataFrame:
+    """How alike two residual series are: Pearson, Spearman (mean ranks), Pearson without the largest |a|, share of tail rows shared."""
+    d = df.dropna(subset=[a, b])
+
+    def rank(c: str) -> Column:
+        w = W.partitionBy(*by)
+        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*by, c)) - 1) / 2
+
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(F.abs(a)), a, b))
+    d = d.withColumns({"_ra": rank(a), "_rb": rank(b), "_i": place})
+    cut = d.groupBy(*by).agg(F.percentile(F.abs(a), F.lit(tail)).alias("_ca"), F.percentile(F.abs(b), F.lit(tail)).alias("_cb"))
+    d = d.join(cut, list(by))
+    in_a, in_b = F.abs(a) >= F.col("_ca"), F.abs(b) >= F.col("_cb")
+    return d.groupBy(*by).agg(F.corr(a, b).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"), *[F.corr(F.when(F.col("_i") > k, F.col(a)), F.when(F.col("_i") > k, F.col(b))).alias(f"pearson_without_{k}") for k in without],
+        (F.count(F.when(in_a & in_b, 1)) / F.nullif(F.count(F.when(in_a, 1)), F.lit(0))).alias("tail_dependence"))
+
+
+def best_per_group(df: DataFrame, group: Sequence[str], metric: str, name: str) -> DataFrame:
+    """The row of the least metric per group; ties by name."""
+    return df.groupBy(*group).agg(F.min(F.struct(F.col(metric), F.col(name))).alias("_x")).select(*group, "_x.*")
+
+
+def direction_probs(df: DataFrame, by: Sequence[str], resid: str, yhat: str, now: str, order: str, band: float, window: int = 104, at_least: int = 20) -> DataFrame:
+    """P(up), P(flat), P(down) at each key's last row, from its last residuals moved to the forecast; NULL with too few.
+
+    Each key's residuals are aggregated against its own last forecast: no pairs of rows.
+    """
+    w = W.partitionBy(*by).orderBy(F.desc(order))
+    x = df.withColumns({"_i": F.row_number().over(w), "_h": F.first(yhat).over(w), "_n": F.first(now).over(w)}).filter((F.col("_i") <= window) & F.col(resid).isNotNull())
+    move = F.col("_h") + F.col(resid) - F.col("_n")
+    share = lambda c: F.when(F.count(F.lit(1)) >= at_least, F.avg(c.cast("double")))
+    return x.groupBy(*by).agg(share(move > band).alias("up"), share(F.abs(move) <= band).alias("flat"), share(move < -band).alias("down"))
+
+
+def convex_weights(df: DataFrame, by: Sequence[str], models: Sequence[str], actual: str, resolution: int = 10) -> DataFrame:
+    """Weights on the simplex grid that minimise the mean absolute error of the blend; the first minimum in grid order wins.
+
+    The grid is an array in each row (its size depends on resolution and models alone), so sums are combined before the shuffle.
+    """
+    grid = [[]]
+    for m in range(len(models) - 1):
+        grid = [[*g, k] for g in grid for k in range(resolution + 1 - sum(g))]
+    grid = [[*g, resolution - sum(g)] for g in grid]
+    d = df.dropna(subset=[actual, *models])
+    blend = lambda g: sum((k / resolution * F.col(m) for k, m in zip(g, models)), F.lit(0.0))
+    one = d.groupBy(*by).agg(F.array(*[F.struct(F.round(F.avg(F.abs(blend(g) - F.col(actual))), 9).alias("mae"), F.lit(i).alias("place"), F.array(*[F.lit(k / resolution) for k in g]).alias("w")) for i, g in enumerate(grid)]).alias("_g"))
+    best = F.array_min("_g")
+    return one.select(*by, best["mae"].alias("mae"), *[best["w"][i].alias(f"w_{m}") for i, m in enumerate(models)])
+
+
+def permutation_importance(df: DataFrame, by: Sequence[str], weights: dict[str, float], target: str, ident: str, repeats: int = 3, seed: int = 1) -> DataFrame:
+    """Rise of a linear scorer's squared error when one column is shuffled within its group, mean over repeats.
+
+    Shuffling pairs the rows in order of ``ident`` with those in order of md5('seed|repeat|ident').
+    """
+    score = lambda c: sum((w * F.col(c.get(k, k)) for k, w in weights.items()), F.lit(0.0))
+    sq = lambda c: (score(c) - F.col(target)) * (score(c) - F.col(target))
+    base = df.groupBy(*by).agg(F.avg(sq({})).alias("_base"))
+    x = df.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    group = W.partitionBy(*by, "repeat")
+    key = F.md5(F.concat_ws("|", F.lit(seed), "repeat", ident))
+    plain = x.withColumn("_i", F.row_number().over(group.orderBy(ident)))
+    mixed = x.select(*by, "repeat", *[F.col(k).alias(f"_m_{k}") for k in weights], F.row_number().over(group.orderBy(key)).alias("_i"))
+    both = plain.join(mixed, [*by, "repeat", "_i"])
+    one = both.groupBy(*by).agg(*[F.avg(sq({k: f"_m_{k}"})).alias(k) for k in weights]).join(base, list(by))
+    return one.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), (F.col(k) - F.col("_base")).alias("importance")) for k in weights])).alias("x")).select(*by, "x.*")
+
+
+def stacked_ensemble(pred: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Weighted combination of long predictions (keys, model, prediction) with (model, weight); only models with a weight count."""
+    x = pred.join(weights, "model").filter(F.col("prediction").isNotNull())
+    return x.groupBy(*keys).agg((F.sum(F.col("weight") * F.col("prediction")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("prediction"))
+
+
+def evaluate_gates(pred: DataFrame, by: Sequence[str], means: DataFrame, threshold: float, alpha: float = 0.2, most_share: float = 0.5, slack: float = 1.02) -> DataFrame:
+    """(by, gate, passed) of a challenger (prediction) against an incumbent, and of all gates together.
+
+    ``means`` are the resampled means of the difference of absolute errors (see ``block_bootstrap``); the gate needs its 95 %
+    quantile below 0. Further gates: lower mean error, no regression in events or quiet weeks (within ``slack``), errors not
+    concentrated in one row, coverage within ten points of 1 - alpha. NULL measures fail.
+    """
+    e, i, event = F.abs(F.col("prediction") - F.col("actual")), F.abs(F.col("incumbent") - F.col("actual")), F.abs(F.col("actual") - F.col("origin")) > threshold
+    a = pred.groupBy(*by).agg(F.avg(e).alias("_e"), F.avg(i).alias("_i"), *[F.avg(F.when(m, v)).alias(n) for n, m, v in (("_ee", event, e), ("_ie", event, i), ("_eq", ~event, e), ("_iq", ~event, i))], (F.max(e * e) / F.nullif(F.sum(e * e), F.lit(0.0))).alias("_share"), coverage().alias("_cov"))
+    ci = means.groupBy(*by).agg(F.percentile("mean", F.lit(0.95)).alias("_hi"))
+    x = a.join(ci, list(by), "left")
+    gates = {"beats_incumbent": F.col("_e") < F.col("_i"), "difference_below_zero": F.col("_hi") < 0, "events": F.col("_ee") <= slack * F.col("_ie"), "quiet": F.col("_eq") <= slack * F.col("_iq"), "not_concentrated": F.col("_share") <= most_share, "calibrated": F.abs(F.col("_cov") - (1 - alpha)) <= 0.1}
+    gates = {k: F.coalesce(v, F.lit(False)) for k, v in gates.items()}
+    both = F.lit(True)
+    for v in gates.values():
+        both = both & v
+    return x.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("gate"), v.alias("passed")) for k, v in {**gates, "all": both}.items()])).alias("g")).select(*by, "g.*")
+
+
+def promotion_report(pred: DataFrame, by: Sequence[str], order: str, at_least: int = 26) -> DataFrame:
+    """(n, ratio, worst_ratio, dm, status): 'promote' if n, the error ratio (<= 0.98), the worst 13-week ratio (<= 1.05) and the
+    one-sided 5 % test all agree; 'collect' with too few rows; else 'hold'."""
+    from .features import worst_rolling_ratio
+
+    p = pred.withColumns({"_a": F.col("prediction") - F.col("actual"), "_b": F.col("incumbent") - F.col("actual")}).withColumns({"_la": F.col("_a") * F.col("_a"), "_lb": F.col("_b") * F.col("_b")})
+    ratio = p.groupBy(*by).agg(F.sqrt(F.avg("_la") / F.nullif(F.avg("_lb"), F.lit(0.0))).alias("ratio"))
+    dm = dm_statistic(p, by, "_la", "_lb", order).select(*by, "n", "dm")
+    x = ratio.join(worst_rolling_ratio(p, by, "_a", "_b", date=order), list(by)).join(dm, list(by))
+    good = (F.col("ratio") <= 0.98) & (F.col("worst_ratio") <= 1.05) & (F.col("dm") < -1.6448536269514722)
+    return x.withColumn("status", F.when(F.col("n") < at_least, "collect").when(good, "promote").otherwise("hold"))

@@ -1,6 +1,7 @@
 """Registered queries over the given tables, each with the SQL that says the same.
 
-Panel: per nation and week of shipping, the mean price a unit; weeks start on Monday. Doubles are rounded to six digits (the panel itself to nine, so that no tie is rounded twice).
+Panel: per nation and week of shipping, the mean price a unit; weeks start on Monday. Money is summed in whole cents, so the panel
+is the same to the last bit in any order of rows; results whose sums depend on the order are rounded to six digits.
 """
 from __future__ import annotations
 
@@ -19,16 +20,21 @@ def table(spark, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def cents(column: str):
+    """The exact sum in cents."""
+    return F.sum(F.round(F.col(column) * 100).cast("long")).cast("double")
+
+
 def panel(spark, d: str) -> DataFrame:
     """(k, date, price, stations). Suppliers are a dimension that Spark broadcasts while it is small."""
     x = table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity").join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return x.groupBy(F.col("s_nationkey").alias("k"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 9).alias("price"), F.count_distinct("l_suppkey").alias("stations"))
+    return x.groupBy(F.col("s_nationkey").alias("k"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg((cents("l_extendedprice") / (100 * F.sum("l_quantity"))).alias("price"), F.count_distinct("l_suppkey").alias("stations"))
 
 
 def cost(spark, d: str) -> DataFrame:
-    """(date, cost): daily mean order value, thinned to order days divisible by three, so that it has gaps."""
+    """(date, cost): mean order value of the days that have orders."""
     o = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"), "o_totalprice")
-    return o.filter(F.dayofyear("date") % 3 == 0).groupBy("date").agg(F.round(F.avg("o_totalprice"), ROUND).alias("cost"))
+    return o.groupBy("date").agg((cents("o_totalprice") / (100 * F.count("o_totalprice"))).alias("cost"))
 
 
 def with_cost(spark, d: str) -> DataFrame:
@@ -49,8 +55,8 @@ def rounded(df: DataFrame, digits: int = ROUND) -> DataFrame:
     return df.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
 
 
-PANEL = """p AS (SELECT s_nationkey AS k, date_trunc('week', l_shipdate)::DATE AS date, round(sum(l_extendedprice) / sum(l_quantity), 9) AS price, count(DISTINCT l_suppkey) AS stations FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
-COST = PANEL + """, c AS (SELECT o_orderdate::DATE AS date, round(avg(o_totalprice), 6) AS cost FROM orders WHERE dayofyear(o_orderdate) % 3 = 0 GROUP BY 1), x AS (SELECT p.*, c.cost FROM p ASOF LEFT JOIN c ON p.date >= c.date)"""
+PANEL = """p AS (SELECT s_nationkey AS k, date_trunc('week', l_shipdate)::DATE AS date, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / (100 * sum(l_quantity)) AS price, count(DISTINCT l_suppkey) AS stations FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
+COST = PANEL + """, c AS (SELECT o_orderdate::DATE AS date, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / (100 * count(o_totalprice)) AS cost FROM orders GROUP BY 1), x AS (SELECT p.*, c.cost FROM p ASOF LEFT JOIN c ON p.date >= c.date)"""
 PRED = PANEL + """, f AS (SELECT k, date, price, avg(price) OVER (PARTITION BY k ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS prediction FROM p), r AS (SELECT f.k, f.date, t.date AS target_date, t.price AS actual, f.price AS origin, f.prediction FROM f JOIN p t ON t.k = f.k AND t.date = f.date + INTERVAL 7 DAY)"""
 
 QUERIES: dict = {}
