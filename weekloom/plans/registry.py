@@ -1,5 +1,5 @@
 """All registered queries: importing the modules below adds theirs."""
-from weekloom.plans import alignment, scoring
+from weekloom.plans import alignment, decisions, records, scoring, texts
 from weekloom.plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "alignment", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "alignment", "decisions", "records", "scoring", "texts"]
