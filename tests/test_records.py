@@ -104,3 +104,16 @@ def test_settling_stream(spark, tmp_path):
     rows = [(1, dt.datetime(2024, 1, 1), 7, "purchase"), (2, dt.datetime(2024, 1, 1, 20), 7, "error"), (3, dt.datetime(2024, 1, 3), 7, "error"), (4, dt.datetime(2024, 1, 1, 5), 8, "error")]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     assert [tuple(r) for r in stream_settle(spark, str(tmp_path)).collect()] == [(7, 1, 2)]
+
+
+def test_streamed_detector_equals_the_batch(spark, tmp_path):
+    from weekloom.operators.learn import page_hinkley
+    from weekloom.streaming.online import stream_page_hinkley
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i % 3, None if i == 7 else float((i * 37) % 11 + (30 if i > 60 else 0))) for i in range(120)]
+    e = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: (round(r["path"], 9), r["changed"], r["rejected"]) for r in stream_page_hinkley(spark, str(tmp_path), 0.5, 60.0).collect()}
+    batch = page_hinkley(e.withColumnRenamed("ts", "date"), ["user_id"], "value", 0.5, 60.0).join(e.withColumnRenamed("ts", "date"), ["user_id", "date"])
+    assert got == {r["event_id"]: (round(r["path"], 9), r["changed"] == 1.0, False) for r in batch.collect()}
+    assert any(v[1] for v in got.values())

@@ -131,3 +131,10 @@ def st6_stream_settle(spark, d):
     from weekloom.streaming.settle import stream_settle
 
     return stream_settle(spark, d)
+
+
+@query()
+def st7_stream_page_hinkley(spark, d):
+    from weekloom.streaming.online import stream_page_hinkley
+
+    return rounded(stream_page_hinkley(spark, d))
