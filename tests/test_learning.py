@@ -135,3 +135,52 @@ def test_empty_series(spark):
     missing = frame(spark, [(None, None, None)] * 60, "abc")
     assert column(learn.arima_walk_forward(missing, ["k"], "c"), "prediction") == [None] * 60
     assert column(learn.online_learner(missing, ["k"], ["a"], "c"), "prediction") == [None] * 60
+
+
+def test_spread_returns_to_its_own_level(spark):
+    r, s = np.random.default_rng(8), [3.0]
+    for _ in range(149):
+        s.append(s[-1] - 0.3 * (s[-1] - 5.0) + 0.1 * r.normal())
+    s = np.array(s)
+    got = learn.spread_walk_forward(frame(spark, [(v, 100.0) for v in s], "ab"), ["k"], "a", "b", 52)
+    kappa, prediction = np.array(column(got, "kappa")[60:], float), column(got, "prediction")
+    a = np.column_stack([np.ones(100), s[:100]])
+    b = np.linalg.lstsq(a, np.diff(s)[:100], rcond=None)[0]
+    assert kappa[40] == pytest.approx(-b[1]) and prediction[100] == pytest.approx(100 + s[100] + b[0] + b[1] * s[100])
+    assert column(got, "kappa")[:52] == [None] * 52 and prediction[10] == pytest.approx(100 + s[10])
+
+
+def test_anchored_spread_against_numpy(spark):
+    r = np.random.default_rng(9)
+    z, size, s = r.normal(size=120), r.integers(5, 60, 120).astype(float), [0.0]
+    for i in range(119):
+        s.append(s[-1] - 0.3 * (s[-1] - (1.0 + 0.5 * z[i])) + 0.02 * r.normal())
+    s = np.array(s)
+    rows = [[v, 10.0, u, w, 0.1] for v, u, w in zip(s, z, size)]
+    rows[90][2] = None  # no anchor: falls back to the level
+    df = frame(spark, rows, "abcde")
+    got = learn.anchored_spread_walk_forward(df, ["k"], "a", "b", "c", "d", "e", 0.75, 52, most_sigmas=100.0)
+    use = np.arange(1, 81)
+    w = np.sqrt(np.clip(size[use] / np.median(size[use]), 0.25, 4.0))
+    m = np.column_stack([np.ones(80), s[use - 1], z[use - 1]])
+    b = np.linalg.lstsq(m * w[:, None], (s[use] - s[use - 1]) * w, rcond=None)[0]
+    kappa = 0.75 * -b[1] + 0.25 * 0.1
+    assert column(got, "kappa")[80] == pytest.approx(kappa)
+    assert column(got, "prediction")[80] == pytest.approx(10 + s[80] + kappa * (b[0] / kappa + b[2] / kappa * z[80] - s[80]))
+    at = {r["date"]: r for r in got.collect()}[DAY + dt.timedelta(days=7 * 90)]
+    assert at["prediction"] == pytest.approx(10 + s[90] + at["kappa"] * (at["level"] - s[90]))
+    assert column(got, "prediction")[20] is None
+    cut = learn.anchored_spread_walk_forward(df, ["k"], "a", "b", "c", "d", "e", 0.75, 52)
+    top = 4 * np.std((s[use] - s[use - 1]) - m @ b, ddof=1)
+    assert column(cut, "prediction")[80] == pytest.approx(10 + s[80] - top)  # the change above is beyond four deviations
+    assert learn.anchored_spread_walk_forward(df.limit(0), ["k"], "a", "b", "c").count() == 0
+
+
+def test_p_values(spark):
+    from weekloom.operators import score
+
+    # fixed values: quantiles of the normal and of t with 1, 2, 9 and 10 degrees that leave 5 % outside
+    rows = [(1.959963984540054, 12.706204736432095, 1), (1.959963984540054, 4.302652729911275, 2), (-1.959963984540054, 2.2621571628540993, 9), (0.0, -2.2281388519649385, 10), (12.0, 0.0, 10), (None, None, 0)]
+    got = spark.createDataFrame(rows, "z double, t double, f int").select(score.normal_p(F.col("z")), score.t_p(F.col("t"), F.col("f"))).collect()
+    assert [g[0] for g in got[:5]] == pytest.approx([0.05, 0.05, 0.05, 1.0, 0.0]) and [g[1] for g in got[:5]] == pytest.approx([0.05] * 4 + [1.0])
+    assert tuple(got[5]) == (None, None)

@@ -338,15 +338,68 @@ def evaluate_candidates(df: DataFrame, keys: Sequence[str], features: Sequence[s
     return one.groupBy("candidate", "fold_id").agg((F.sum("sae") / F.sum("n")).alias("mae"), F.sum("n").alias("n"))
 
 
-def spread_walk_forward(df: DataFrame, keys: Sequence[str], spread: str, national: str, min_train: int = 52, date: str = "date") -> DataFrame:
-    """kappa of all earlier changes by running sums, kept within [0, 1]; prediction = national + spread * (1 - kappa). No Python."""
+def spread_walk_forward(df: DataFrame, keys: Sequence[str], spread: str, national: str, min_train: int = 52, max_reversion: float = 1.0, most_sigmas: float = 4.0, date: str = "date") -> DataFrame:
+    """The spread returns to its own level: kappa and the level come from a regression of all earlier changes on the spread before
+    them, by running sums. No Python.
+
+    kappa is kept within [0, max_reversion]; at 0 the spread is carried on. A change beyond ``most_sigmas`` residual deviations
+    is cut to them. prediction = national + spread + change; before ``min_train`` changes the spread is carried on.
+    """
     w = by_date(keys, date)
     x = df.withColumns({"_x": F.lag(spread, 1).over(w)}).withColumn("_y", F.col(spread) - F.col("_x"))
     f = w.rowsBetween(W.unboundedPreceding, 0)
-    n, sx, sy, sxx, sxy = F.count("_y").over(f), F.sum(F.when(F.col("_y").isNotNull(), F.col("_x"))).over(f), F.sum("_y").over(f), F.sum(F.when(F.col("_y").isNotNull(), F.col("_x") * F.col("_x"))).over(f), F.sum(F.col("_x") * F.col("_y")).over(f)
-    slope = (n * sxy - sx * sy) / F.nullif(n * sxx - sx * sx, F.lit(0.0))
-    x = x.withColumn("kappa", F.when(n >= min_train, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -slope))))
-    return x.withColumn("prediction", F.col(national) + F.col(spread) * (1 - F.coalesce("kappa", F.lit(0.0)))).drop("_x", "_y")
+    n, y = F.count("_y").over(f), F.col("_y")
+    sums = {c: F.sum(e).over(f) for c, e in {"_sx": F.when(y.isNotNull(), F.col("_x")), "_sy": y, "_sxx": F.when(y.isNotNull(), F.col("_x") * F.col("_x")), "_sxy": F.col("_x") * y, "_syy": y * y}.items()}
+    x = x.withColumns({"_n": n, **sums})
+    n, sx, sy = F.col("_n"), F.col("_sx"), F.col("_sy")
+    cxx, cxy, cyy = F.col("_sxx") - sx * sx / n, F.col("_sxy") - sx * sy / n, F.col("_syy") - sy * sy / n
+    slope = cxy / F.when(cxx > 0, cxx)
+    x = x.withColumn("_b", F.when(n >= min_train, slope))
+    x = x.withColumns({"kappa": F.when(F.col("_b").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(max_reversion), -F.col("_b")))), "_a": (sy - F.col("_b") * sx) / n, "_s": F.sqrt(F.greatest(F.lit(0.0), cyy - F.col("_b") * cxy) / F.nullif(n - 1, F.lit(0)))})
+    change = F.when(F.col("kappa") > 0, F.col("_a") - F.col("kappa") * F.col(spread)).otherwise(0.0)
+    top = F.when(F.col("_s") > 0, most_sigmas * F.col("_s")).otherwise(float("inf"))
+    x = x.withColumn("prediction", F.col(national) + F.col(spread) + F.greatest(-top, F.least(top, F.coalesce(change, F.lit(0.0)))))
+    return x.drop("_x", "_y", "_n", *sums, "_b", "_a", "_s")
+
+
+def anchored_spread_walk_forward(df: DataFrame, keys: Sequence[str], spread: str, national: str, anchor: str, stations: str | None = None, pooled: str | None = None, own_weight: float = 1.0, min_train: int = 52, max_reversion: float = 0.5, most_anchor: float = 1.0, station_bounds=(0.25, 4.0), most_sigmas: float = 4.0, refit_every: int = 1, date: str = "date") -> DataFrame:
+    """(keys, date, kappa, level, anchor_weight, prediction): the level slides with an anchor, level + weight * anchor.
+
+    ``stations``: weeks are weighted by the number of stations over their median, within bounds; the median is that of the rows
+    known at the origin. ``pooled``: a column with the reversion of all series, mixed in by 1 - own_weight. A row learns from changes up to
+    its own; one without an anchor falls back to the level; one without a spread is NULL.
+    """
+    own = min(max(own_weight, 0.0), 1.0)
+
+    def step(pdf):
+        s, z = pdf[spread].to_numpy(float), pdf[anchor].to_numpy(float)
+        before, z1 = np.r_[np.nan, s[:-1]], np.r_[np.nan, z[:-1]]
+        y, size = s - before, pdf[stations].to_numpy(float) if stations else np.ones(len(s))
+        all_series = pdf[pooled].to_numpy(float) if pooled else np.full(len(s), np.nan)
+        ok = np.isfinite(y) & np.isfinite(z1) & np.isfinite(size)
+        out, model, since = np.full((4, len(s)), np.nan), None, refit_every
+        for i in range(len(s)):
+            rows = np.flatnonzero(ok[: i + 1])
+            if len(rows) >= min_train and since >= refit_every:
+                a = np.column_stack([np.ones(len(rows)), before[rows], z1[rows]])
+                root = np.sqrt(np.clip(size[rows] / max(np.median(size[rows]), 1.0), *station_bounds)) if stations else np.ones(len(rows))
+                b = np.linalg.lstsq(a * root[:, None], y[rows] * root, rcond=None)[0]
+                kappa = float(np.clip(-b[1], 0.0, max_reversion))
+                if np.isfinite(all_series[i]):
+                    kappa = float(np.clip(own * kappa + (1 - own) * all_series[i], 0.0, max_reversion))
+                level, slide = (b[0] / kappa, float(np.clip(b[2] / kappa, -most_anchor, most_anchor))) if kappa > 0 else (before[rows].mean(), 0.0)
+                model, since = (kappa, level, slide, most_sigmas * np.std(y[rows] - a @ b, ddof=1)), 0
+            since += 1
+            if model and np.isfinite(s[i]):
+                kappa, level, slide, top = model
+                change = kappa * (level + (slide * z[i] if np.isfinite(z[i]) else 0.0) - s[i])
+                out[:, i] = kappa, level, slide, s[i] + (float(np.clip(change, -top, top)) if top > 0 else change)
+        return pd.DataFrame({"kappa": out[0], "level": out[1], "anchor_weight": out[2], "_spread": out[3]})
+
+    columns = [spread, anchor, *([stations] if stations else []), *([pooled] if pooled else [])]
+    got = per_series(df.select(*keys, date, *columns), keys, ["kappa", "level", "anchor_weight", "_spread"], step, date)
+    got = nulls(got, ["kappa", "level", "anchor_weight", "_spread"])
+    return df.select(*keys, date, national).join(got, [*keys, date]).withColumn("prediction", F.col(national) + F.col("_spread")).drop(national, "_spread")
 
 
 def minmax_scale(df: DataFrame, keys: Sequence[str], col: str, train: Column) -> DataFrame:

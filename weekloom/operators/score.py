@@ -148,6 +148,38 @@ def dm_statistic(pred: DataFrame, by: Sequence[str], loss_a: str, loss_b: str, o
     return out.withColumns({"dm": stat, "dm_hln": stat * fix})
 
 
+def _series_sum(first: int, last: Column, ratio) -> Column:
+    """1 + r(first) + r(first) r(first+1) + ... up to the last index; 1 if there is none."""
+    idx = F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    step = lambda a, i: F.struct((a["term"] * ratio(i)).alias("term"), (a["sum"] + a["term"] * ratio(i)).alias("sum"))
+    return F.aggregate(idx, start, step, lambda a: a["sum"])
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p-value of a standard normal statistic, from the series of the error function (all of one sign); NULL stays NULL."""
+    x = F.abs(z) / (2**0.5)
+    erf = 2 / (F.pi() ** 0.5) * x * F.exp(-x * x) * _series_sum(1, F.lit(200), lambda i: 2 * x * x / (2 * i + 1))
+    return F.when(F.abs(z) > 9, 0.0).when(z.isNotNull(), F.greatest(F.lit(0.0), 1 - erf))
+
+
+def t_p(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t with a whole number of degrees of freedom, from its finite sum; NULL below one degree."""
+    df, t = df.cast("int"), F.abs(t)
+    cos2, sine = df / (df + t * t), t / F.sqrt(df + t * t)
+    even = sine * _series_sum(1, F.floor((df - 2) / 2).cast("int"), lambda i: (2 * i - 1) / (2 * i) * cos2)
+    odd = 2 / F.pi() * (F.atan(t / F.sqrt(df)) + F.when(df >= 3, sine * F.sqrt(cos2) * _series_sum(1, F.floor((df - 3) / 2).cast("int"), lambda i: 2 * i / (2 * i + 1) * cos2)).otherwise(0.0))
+    return F.when((df >= 1) & t.isNotNull(), F.greatest(F.lit(0.0), 1 - F.when(df % 2 == 0, even).otherwise(odd)))
+
+
+def dm_test(pred: DataFrame, by: Sequence[str], loss_a: str, loss_b: str, order: str, horizon: int = 1) -> DataFrame:
+    """The statistics with ``p_normal`` and, for the corrected one, ``p_t`` with n - 1 degrees of freedom. A long-run variance that
+    isn't positive tells nothing: both are 1."""
+    x = dm_statistic(pred, by, loss_a, loss_b, order, horizon)
+    none = F.col("lrv").isNotNull() & (F.col("lrv") <= 0)
+    return x.withColumns({"p_normal": F.when(none, 1.0).otherwise(normal_p(F.col("dm"))), "p_t": F.when(none, 1.0).otherwise(t_p(F.col("dm_hln"), F.col("n") - 1))})
+
+
 def spread_estimates(df: DataFrame, by: Sequence[str], spread: str, before: str, date: str = "date") -> DataFrame:
     """(n, kappa, se) per unit: how fast the spread returns, from its change on its last value, on rows before the date."""
     w = W.partitionBy(*by).orderBy(date)

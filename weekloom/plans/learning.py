@@ -49,12 +49,25 @@ def ml8_conditional_interval(spark, d):
     return rounded(learn.conditional_interval(p, K, "actual", "prediction", ["gap"]), 4)
 
 
-@query(f"WITH {SPREAD}, l AS (SELECT *, lag(spread) OVER (PARTITION BY k ORDER BY date) AS x FROM sp), s AS (SELECT k, date, nat, spread, CASE WHEN count(x) OVER w >= 52 THEN greatest(0, least(1, -regr_slope(spread - x, x) OVER w)) END AS kappa FROM l WINDOW w AS (PARTITION BY k ORDER BY date ROWS UNBOUNDED PRECEDING)) SELECT k, date, round(kappa, 5) AS kappa, round(nat + spread * (1 - coalesce(kappa, 0)), 3) AS prediction FROM s")
+@query(f"""WITH {SPREAD}, l AS (SELECT *, lag(spread) OVER (PARTITION BY k ORDER BY date) AS x FROM sp), s AS (SELECT k, date, nat, spread, count(x) OVER w AS n, regr_slope(spread - x, x) OVER w AS b, regr_intercept(spread - x, x) OVER w AS a, regr_syy(spread - x, x) OVER w AS yy, regr_sxy(spread - x, x) OVER w AS xy FROM l WINDOW w AS (PARTITION BY k ORDER BY date ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT k, date, nat, spread, a, CASE WHEN n >= 52 THEN greatest(0, least(1, -b)) END AS kappa, 4 * sqrt(greatest(0, yy - b * xy) / (n - 1)) AS top FROM s)
+SELECT k, date, round(kappa, 5) AS kappa, round(nat + spread + CASE WHEN kappa > 0 THEN greatest(-top, least(top, a - kappa * spread)) ELSE 0 END, 3) AS prediction FROM f""")
 def ml9_spread_walk_forward(spark, d):
     x = learn.spread_walk_forward(spread(spark, d), K, "spread", "nat")
     return x.select("k", "date", F.round("kappa", 5).alias("kappa"), F.round("prediction", 3).alias("prediction"))
 
 
+@query()
+def ml9_anchored_spread(spark, d):
+    """The anchor: how far the series' region lies from the mean of all, against its own past. Weeks weigh by stations, reversion is pooled."""
+    x = spread(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("region")), "k")
+    r = x.groupBy("region", "date").agg(F.avg("spread").alias("r"))
+    r = r.withColumn("anchor", (F.col("r") - features.past(F.avg, "r", ["region"], 12)) / F.nullif(features.past(F.stddev_samp, "r", ["region"], 12), F.lit(0.0))).drop("r")
+    one = learn.spread_walk_forward(x, K, "spread", "nat").groupBy("date").agg(F.avg("kappa").alias("pooled"))
+    x = x.withColumn("stations", F.col("stations").cast("double")).join(r, ["region", "date"]).join(one, "date")
+    return rounded(learn.anchored_spread_walk_forward(x, K, "spread", "nat", "anchor", "stations", "pooled", 0.5), 3)
+
+
 @query()
 def ml11_adaptive_conformal(spark, d):
     return rounded(learn.adaptive_conformal(predictions(spark, d), K, "actual", "prediction"), 4)

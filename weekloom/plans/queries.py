@@ -121,6 +121,17 @@ def ag13_dm_statistic(spark, d):
     p = predictions(spark, d).withColumns({"a": sq("prediction"), "b": sq("origin")})
     return rounded(score.dm_statistic(p, K, "a", "b", "date", 2).drop("lrv"), 4)
 
+@query(f"""WITH {PRED}, l AS (SELECT k, date, (prediction - actual) ** 2 - (origin - actual) ** 2 AS d, lag((prediction - actual) ** 2 - (origin - actual) ** 2) OVER (PARTITION BY k ORDER BY date) AS d1 FROM r),
+g AS (SELECT k, count(d) AS n, avg(d) AS m, var_samp(d) + 2 * 0.5 * covar_samp(d, d1) AS v FROM l GROUP BY k), s AS (SELECT k, n, n - 1 AS f, v, m / sqrt(CASE WHEN v > 0 THEN v END / n) AS z FROM g),
+t AS (SELECT *, abs(z * sqrt((n + 1 - 4 + 2.0 / n) / n)) AS t, abs(z) / sqrt(2) AS x FROM s), c AS (SELECT *, f / (f + t * t) AS c2, t / sqrt(f + t * t) AS sn FROM t)
+SELECT k, n, round(CASE WHEN v <= 0 THEN 1 WHEN x = 0 THEN 1 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 200), lambda i: exp((2 * i + 1) * ln(x) - x * x - lgamma(i + 1.5))))) END, 6) + 0.0 AS p_normal,
+round(CASE WHEN v <= 0 THEN 1 WHEN f >= 1 THEN greatest(0, 1 - CASE WHEN f % 2 = 0 THEN sn * list_sum(list_transform(range(0, f // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1) - lgamma(0.5) + j * ln(c2))))
+ELSE 2 / pi() * (atan(t / sqrt(f)) + coalesce(sn * sqrt(c2) * list_sum(list_transform(range(0, (f - 1) // 2), lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5) + lgamma(1.5) + j * ln(c2)))), 0)) END) END, 6) + 0.0 AS p_t FROM c""")
+def ag13_dm_test(spark, d):
+    sq = lambda c: (F.col(c) - F.col("actual")) * (F.col(c) - F.col("actual"))
+    p = predictions(spark, d).withColumns({"a": sq("prediction"), "b": sq("origin")})
+    return rounded(score.dm_test(p, K, "a", "b", "date", 2).select("k", "n", "p_normal", "p_t"))
+
 
 @query(f"""WITH {PRED}, q AS (SELECT k, row_number() OVER w AS i, sum(abs(prediction - actual)) OVER (PARTITION BY k ORDER BY date ROWS UNBOUNDED PRECEDING) AS s FROM r WINDOW w AS (PARTITION BY k ORDER BY date)),
 n AS (SELECT k, max(i) AS n, least(8, max(i)) AS b FROM q GROUP BY k), dr AS (SELECT k, n, b, resample, unnest(range(ceil(n / b)::BIGINT)) AS j FROM (SELECT *, unnest(range(1, 101)) AS resample FROM n)),
