@@ -172,7 +172,7 @@ def test_anchored_spread_against_numpy(spark):
     assert column(got, "prediction")[20] is None
     cut = learn.anchored_spread_walk_forward(df, ["k"], "a", "b", "c", "d", "e", 0.75, 52)
     top = 4 * np.std((s[use] - s[use - 1]) - m @ b, ddof=1)
-    assert column(cut, "prediction")[80] == pytest.approx(10 + s[80] - top)  # the change above is beyond four deviations
+    assert column(cut, "prediction")[80] == pytest.approx(10 + s[80] + top)  # the rise above is beyond four deviations
     assert learn.anchored_spread_walk_forward(df.limit(0), ["k"], "a", "b", "c").count() == 0
 
 
@@ -184,3 +184,94 @@ def test_p_values(spark):
     got = spark.createDataFrame(rows, "z double, t double, f int").select(score.normal_p(F.col("z")), score.t_p(F.col("t"), F.col("f"))).collect()
     assert [g[0] for g in got[:5]] == pytest.approx([0.05, 0.05, 0.05, 1.0, 0.0]) and [g[1] for g in got[:5]] == pytest.approx([0.05] * 4 + [1.0])
     assert tuple(got[5]) == (None, None)
+
+
+def test_candidate_grid_equals_hashlib(spark):
+    import hashlib
+
+    got = learn.candidate_grid(spark, 20, 2, 7).orderBy("candidate").collect()
+    assert len(got) == 23 and [r["candidate"] for r in got[-3:]] == ["seed_dynamics", "seed_lags", "seed_price"]
+    for i, r in enumerate(got[:20]):
+        want = {c: v[int(hashlib.md5(f"7|2|{i}|{c}".encode()).hexdigest()[:8], 16) % len(v)] for c, v in learn.CHOICES.items()}
+        assert {c: r[c] for c in want} == pytest.approx(want)
+        assert (r["feature_set"], r["target_mode"]) == (learn.FEATURE_SETS[i % 6 // 2], learn.TARGET_MODES[i % 2])
+    assert learn.candidate_grid(spark, 0).count() == 3
+    with pytest.raises(ValueError):
+        learn.candidate_grid(spark, -1)
+
+
+def test_candidate_search_equals_single_runs(spark):
+    x, y = regression(n=80)
+    df = frame(spark, [(*p, q, q + 10, 10.0) for p, q in zip(x, y)], "abcde")
+    grid = learn.candidate_grid(spark, 2)
+    sets = {"price": ["a"], "lags": ["b"], "dynamics": ["a", "b"]}
+    start = F.col("date") >= DAY + dt.timedelta(days=7 * 40)
+    got = {r["candidate"]: r for r in learn.search_learner(df, ["k"], sets, {"level": "d", "delta": "c"}, "e", grid, start).collect()}
+    assert len(got) == 5
+    for c in grid.collect():
+        delta = c["target_mode"] == "delta"
+        one = learn.online_learner(df, ["k"], sets[c["feature_set"]], "c" if delta else "d", c["width"], c["novelty"], c["most"], c["ridge"], c["radius"])
+        e = np.abs(np.array(column(one, "prediction")[40:], float) + (10 if delta else 0) - (y[40:] + 10))
+        assert got[c["candidate"]]["mae"] == pytest.approx(e.mean()) and got[c["candidate"]]["n"] == 40
+
+
+def test_text_pressure(spark):
+    import collections
+
+    from weekloom.operators import text
+
+    day = lambda i: DAY + dt.timedelta(days=7 * i)
+    r = np.random.default_rng(4)
+    labels = [int(v) for v in r.integers(-1, 2, 120)]
+    say = {-1: "Preço CAI, cai forte", 0: "sem mudança aqui", 1: "preco sobe sobe"}
+    docs = [(1, day(i), say[v]) for i, v in enumerate(labels) if i != 100] + [(1, day(3), None), (1, day(4), ""), (1, day(5), "a 1"), (1, day(119), "longo " * 50_000)]
+    d = spark.createDataFrame(docs, "k int, date date, text string")
+    grams = text.gram_counts(d, ["k", "date"], "text")
+    weeks = {x["date"]: sorted(n for _, n in x["grams"]) for x in grams.collect()}
+    words = ["preco", "cai", "cai", "forte"]
+    assert weeks[day(labels.index(-1))] == sorted(collections.Counter([*words, *map(" ".join, zip(words, words[1:]))]).values())
+    assert day(100) not in weeks and max(weeks[day(119)]) == 50_000
+    rows = spark.createDataFrame([(1, day(i), day(i + 1), None if i == 60 else v) for i, v in enumerate(labels)], "k int, date date, target_date date, label int")
+    run = lambda x, g: text.text_pressure(x, ["k"], g, "label").orderBy("date").collect()
+    got = run(rows, grams)
+    assert [g["trained"] for g in got[:3]] == [0, 1, 2] and got[119]["trained"] == 118
+    assert got[0]["p_up"] == pytest.approx(1 / 3) and got[0]["entropy"] == pytest.approx(1)
+    late = [i for i in range(60, 119) if i != 100]
+    assert np.mean([got[i]["predicted"] == labels[i] for i in late]) > 0.95
+    assert all(g["p_down"] + g["p_neutral"] + g["p_up"] == pytest.approx(1) for g in got)
+    turned = run(rows.withColumn("label", F.when(F.col("date") > day(80), -F.col("label")).otherwise(F.col("label"))), grams)
+    assert [tuple(g) for g in turned[:82]] == [tuple(g) for g in got[:82]]
+    assert run(rows.limit(0), grams) == [] and len(run(rows, grams.limit(0))) == 120
+
+
+def streamed(spark, tmp_path, batches, make):
+    """The rows that a stream gives when its batches arrive one after the other."""
+    schema = batches[0].schema
+    for i, b in enumerate(batches):
+        b.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        x = make(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        x.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(x.schema).parquet(str(tmp_path / "out")).orderBy("key", "day").collect()
+
+
+def test_streamed_band_and_learner_equal_the_batch(spark, tmp_path):
+    from weekloom.streaming import online
+
+    x, y = regression(n=90)
+    x[7, 0] = np.nan
+    df = frame(spark, [(None if np.isnan(p[0]) else p[0], p[1], q) for p, q in zip(x, y)], "abc")
+    rows = df.select(F.col("k").cast("long").alias("key"), F.col("date").alias("day"), F.col("c").alias("actual"), F.col("b").alias("point"), "a", "b")
+    cut = F.col("day") < DAY + dt.timedelta(days=7 * 50)
+    again = rows.filter(F.col("day") == DAY + dt.timedelta(days=7 * 20))
+    skip = rows.filter(F.col("day") == DAY + dt.timedelta(days=7 * 89)).withColumn("day", F.date_add("day", 21))
+    batches = [rows.filter(cut), rows.filter(~cut).unionByName(again).unionByName(skip)]
+    got = streamed(spark, tmp_path / "band", batches, online.conformal_stream)
+    assert sum(g["rejected"] for g in got) == 2 and len(got) == 92
+    want = learn.adaptive_conformal(df, ["k"], "c", "b").orderBy("date").collect()
+    good = [g for g in got if not g["rejected"]]
+    assert [(g["lower"], g["upper"], g["level"]) for g in good] == [(w["lower"], w["upper"], w["level"]) for w in want]
+    assert good[80]["lower"] is not None
+    got = streamed(spark, tmp_path / "rules", batches, lambda s: online.learner_stream(s, ["a", "b"], "actual"))
+    # a label of the row's own day is known a week later at the latest: the batch learner sees the same labels before each row
+    want = column(learn.online_learner(df, ["k"], ["a", "b"], "c"), "prediction")
+    assert [g["prediction"] for g in got if not g["rejected"]] == pytest.approx(want, nan_ok=True) and want[60] is not None

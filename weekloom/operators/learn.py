@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -177,29 +177,40 @@ def arimax_walk_forward(df: DataFrame, keys: Sequence[str], value: str, exog: Se
     return x.join(e, [*keys, date]).select(*keys, date, F.coalesce(F.col("_r") + F.col("_f"), F.col(value)).alias("prediction"))
 
 
-def adaptive_conformal(df: DataFrame, keys: Sequence[str], actual: str, yhat: str, alpha: float = 0.2, gamma: float = 0.02, window: int = 104, at_least: int = 20, bounds=(0.01, 0.5), date: str = "date") -> DataFrame:
-    """(keys, date, lower, upper, level, clipped): the band's level follows its misses; NULL band until enough residuals.
+class Conformal:
+    """A band whose level follows its misses: after each row, level += gamma * (alpha - missed), kept within the bounds."""
 
-    After each row: level += gamma * (alpha - missed), kept within the bounds (``clipped`` counts how often). Rows must be one step ahead.
-    """
+    def __init__(self, alpha: float = 0.2, gamma: float = 0.02, window: int = 104, at_least: int = 20, bounds=(0.01, 0.5)):
+        self.alpha, self.gamma, self.window, self.at_least, self.bounds = alpha, gamma, window, at_least, bounds
+        self.level, self.clips, self.errors = alpha, 0, []
+
+    def band(self, point: float) -> tuple[float, float]:
+        if len(self.errors) < self.at_least or not np.isfinite(point):
+            return np.nan, np.nan
+        w = np.quantile(self.errors, 1 - self.level)
+        return point - w, point + w
+
+    def learn(self, actual: float, point: float) -> None:
+        if not (np.isfinite(actual) and np.isfinite(point)):
+            return
+        lower, upper = self.band(point)
+        if np.isfinite(lower):
+            raw = self.level + self.gamma * (self.alpha - float(not lower <= actual <= upper))
+            self.level = min(max(raw, self.bounds[0]), self.bounds[1])
+            self.clips += raw != self.level
+        self.errors = [*self.errors, abs(actual - point)][-max(self.window, self.at_least) :]
+
+
+def adaptive_conformal(df: DataFrame, keys: Sequence[str], actual: str, yhat: str, alpha: float = 0.2, gamma: float = 0.02, window: int = 104, at_least: int = 20, bounds=(0.01, 0.5), date: str = "date") -> DataFrame:
+    """(keys, date, lower, upper, level, clipped) of ``Conformal``; NULL band until enough residuals; ``clipped`` counts how often the
+    level was kept within its bounds. Rows must be one step ahead."""
 
     def step(pdf):
-        y, h = pdf[actual].to_numpy(float), pdf[yhat].to_numpy(float)
-        lo, hi, lev, cl = (np.full(len(y), np.nan) for _ in range(4))
-        level, clips, past_e = alpha, 0, []
-        for i in range(len(y)):
-            lev[i], cl[i] = level, clips
-            ready = len(past_e) >= at_least and np.isfinite(h[i])
-            if ready:
-                w = np.quantile(past_e[-window:], 1 - level)
-                lo[i], hi[i] = h[i] - w, h[i] + w
-            if np.isfinite(y[i]) and np.isfinite(h[i]):
-                if ready:
-                    raw = level + gamma * (alpha - float(not lo[i] <= y[i] <= hi[i]))
-                    level = min(max(raw, bounds[0]), bounds[1])
-                    clips += raw != level
-                past_e.append(abs(y[i] - h[i]))
-        return pd.DataFrame({"lower": lo, "upper": hi, "level": lev, "clipped": cl})
+        c, out = Conformal(alpha, gamma, window, at_least, bounds), []
+        for y, h in zip(pdf[actual].to_numpy(float), pdf[yhat].to_numpy(float)):
+            out.append((*c.band(h), c.level, float(c.clips)))
+            c.learn(y, h)
+        return pd.DataFrame(out, columns=["lower", "upper", "level", "clipped"])
 
     return nulls(per_series(df, keys, ["lower", "upper", "level", "clipped"], step, date), ["lower", "upper"])
 
@@ -250,63 +261,139 @@ def conditional_interval(df: DataFrame, keys: Sequence[str], actual: str, yhat:
     return nulls(per_series(df, keys, ["sigma", "lower", "upper"], step, date), ["sigma", "lower", "upper"])
 
 
-def online_learner(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, width: float = 1.0, novelty: float = 0.1, most: int = 50, ridge_: float = 0.1, radius: float = 2.5, date: str = "date", target_date: str = "target_date") -> DataFrame:
-    """(keys, date, prediction, rules, dictionary): evolving rules, each with a sparse kernel regression, weighted by closeness.
+class RuleLearner:
+    """Evolving rules, each with a sparse kernel regression, weighted by closeness; one row at a time.
 
     A row farther than ``radius`` from all centres opens a rule; the nearest rule learns. A rule keeps a sample in its dictionary when its
     kernel's residual on the dictionary exceeds ``novelty`` (approximate linear dependence), up to ``most``, a parameter of the model; its
-    weights are the recursive least-squares solution on it. Features are standardised by running moments. Labels arrive delayed.
+    weights are the recursive least-squares solution on it. Features are standardised by running moments.
     """
 
-    def kernel(a, b):
-        return np.exp(-((a[:, None, :] - b[None, :, :]) ** 2).sum(2) / (2 * width**2))
+    def __init__(self, size: int, width: float = 1.0, novelty: float = 0.1, most: int = 50, ridge_: float = 0.1, radius: float = 2.5):
+        self.width, self.novelty, self.most, self.ridge, self.radius = width, novelty, most, ridge_, radius
+        self.n, self.mean, self.var, self.rules = 0, np.zeros(size), np.zeros(size), []
+
+    def _scaled(self, q: np.ndarray) -> np.ndarray:
+        return (q - self.mean) / np.sqrt(np.maximum(self.var / max(self.n, 1), 1e-12))
+
+    def _kernel(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = self._scaled(a), self._scaled(b)
+        return np.exp(-((a[:, None, :] - b[None, :, :]) ** 2).sum(2) / (2 * self.width**2))
+
+    def learn(self, q: np.ndarray, y: float) -> None:
+        self.n += 1
+        gap = q - self.mean
+        self.mean = self.mean + gap / self.n
+        self.var = self.var + gap * (q - self.mean)
+        far = lambda r: np.linalg.norm(self._scaled(r["c"]) - self._scaled(q))
+        near = min(self.rules, key=far, default=None)
+        if near is None or (self.n > 10 and far(near) > self.radius):
+            near = {"c": q.copy(), "n": 0, "d": np.empty((0, len(q))), "A": None, "b": None, "mean": 0.0}
+            self.rules.append(near)
+        near["n"] += 1
+        near["c"] = near["c"] + (q - near["c"]) / near["n"]
+        near["mean"] += (y - near["mean"]) / near["n"]
+        d = near["d"]
+        k = self._kernel(d, q[None])[:, 0] if len(d) else np.empty(0)
+        rest = 1 - k @ np.linalg.solve(self._kernel(d, d) + 1e-6 * np.eye(len(d)), k) if len(d) else 1.0
+        if rest > self.novelty and len(d) < self.most:
+            near["d"] = np.vstack([d, q])
+            size = len(near["d"])
+            a, b = self.ridge * np.eye(size), np.zeros(size)
+            if size > 1:
+                a[:-1, :-1], b[:-1] = near["A"], near["b"]
+            near["A"], near["b"], k = a, b, np.append(k, 1.0)
+        near["A"] = near["A"] + np.outer(k, k)
+        near["b"] = near["b"] + k * (y - near["mean"])
+
+    def predict(self, x: np.ndarray) -> float:
+        if not self.rules:
+            return np.nan
+        q = self._scaled(x)
+        w = np.array([np.exp(-((self._scaled(r["c"]) - q) ** 2).sum() / (2 * self.radius**2)) for r in self.rules]) + 1e-12
+        f = np.array([r["mean"] + self._kernel(r["d"], x[None])[:, 0] @ np.linalg.solve(r["A"], r["b"]) for r in self.rules])
+        return float(w @ f / w.sum())
+
+
+def learned(x: np.ndarray, y: np.ndarray, known: np.ndarray, model: RuleLearner) -> pd.DataFrame:
+    """Predictions of all rows in order; before each, the model learns the labels that have become known."""
+    whole, done = np.isfinite(x).all(1), 0
+    out, nr, nd = (np.full(len(x), np.nan) for _ in range(3))
+    for i in range(len(x)):
+        while done < known[i]:
+            if whole[done] and np.isfinite(y[done]):
+                model.learn(x[done], y[done])
+            done += 1
+        nr[i], nd[i] = len(model.rules), sum(len(r["d"]) for r in model.rules)
+        if whole[i]:
+            out[i] = model.predict(x[i])
+    return pd.DataFrame({"prediction": out, "rules": nr, "dictionary": nd})
+
+
+def online_learner(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, width: float = 1.0, novelty: float = 0.1, most: int = 50, ridge_: float = 0.1, radius: float = 2.5, date: str = "date", target_date: str = "target_date") -> DataFrame:
+    """(keys, date, prediction, rules, dictionary) of a ``RuleLearner`` along each series. Labels arrive delayed."""
 
     def step(pdf):
         x, y = pdf[list(features)].to_numpy(float), pdf[target].to_numpy(float)
-        whole, known = np.isfinite(x).all(1), known_before(pdf[date], pdf[target_date])
-        out, nr, nd = (np.full(len(x), np.nan) for _ in range(3))
-        n, m, v, rules, done = 0, np.zeros(x.shape[1]), np.zeros(x.shape[1]), [], 0
-        scaled = lambda q: (q - m) / np.sqrt(np.maximum(v / max(n, 1), 1e-12))
-        for i in range(len(x)):
-            while done < known[i]:
-                j, done = done, done + 1
-                if not (whole[j] and np.isfinite(y[j])):
-                    continue
-                n += 1
-                gap = x[j] - m
-                m = m + gap / n
-                v = v + gap * (x[j] - m)
-                q = x[j]
-                near = min(rules, key=lambda r: np.linalg.norm(scaled(r["c"]) - scaled(q)), default=None)
-                if near is None or (n > 10 and np.linalg.norm(scaled(near["c"]) - scaled(q)) > radius):
-                    near = {"c": q.copy(), "n": 0, "d": np.empty((0, len(q))), "A": None, "b": None, "mean": 0.0}
-                    rules.append(near)
-                near["n"] += 1
-                near["c"] = near["c"] + (q - near["c"]) / near["n"]
-                near["mean"] += (y[j] - near["mean"]) / near["n"]
-                d = near["d"]
-                k = kernel(scaled(d), scaled(q)[None])[:, 0] if len(d) else np.empty(0)
-                rest = 1 - k @ np.linalg.solve(kernel(scaled(d), scaled(d)) + 1e-6 * np.eye(len(d)), k) if len(d) else 1.0
-                if rest > novelty and len(d) < most:
-                    near["d"] = np.vstack([d, q])
-                    size = len(near["d"])
-                    a, b = ridge_ * np.eye(size), np.zeros(size)
-                    if size > 1:
-                        a[:-1, :-1], b[:-1] = near["A"], near["b"]
-                    near["A"], near["b"], k = a, b, np.append(k, 1.0)
-                near["A"] = near["A"] + np.outer(k, k)
-                near["b"] = near["b"] + k * (y[j] - near["mean"])
-            nr[i], nd[i] = len(rules), sum(len(r["d"]) for r in rules)
-            if rules and whole[i]:
-                q = scaled(x[i])
-                w = np.array([np.exp(-((scaled(r["c"]) - q) ** 2).sum() / (2 * radius**2)) for r in rules]) + 1e-12
-                f = np.array([r["mean"] + kernel(scaled(r["d"]), q[None])[:, 0] @ np.linalg.solve(r["A"], r["b"]) for r in rules])
-                out[i] = w @ f / w.sum()
-        return pd.DataFrame({"prediction": out, "rules": nr, "dictionary": nd})
+        return learned(x, y, known_before(pdf[date], pdf[target_date]), RuleLearner(x.shape[1], width, novelty, most, ridge_, radius))
 
     return nulls(per_series(df, keys, ["prediction", "rules", "dictionary"], step, date), ["prediction"])
 
 
+#: What a random candidate chooses from.
+CHOICES = {"width": (0.08, 0.15, 0.25, 0.5, 0.8), "ridge": (1e-4, 1e-3, 1e-2), "novelty": (0.05, 0.1, 0.2), "most": (12, 20, 30), "radius": (1.5, 2.5, 4.0)}
+FEATURE_SETS, TARGET_MODES = ("price", "lags", "dynamics"), ("level", "delta")
+
+
+def candidate_grid(spark: SparkSession, n: int = 36, horizon: int = 1, seed: int = 42) -> DataFrame:
+    """(candidate, feature_set, target_mode, width, ridge, novelty, most, radius): one seed per feature set, then n candidates whose
+    feature sets and targets take turns and whose values are chosen by md5 of 'seed|horizon|index|name'."""
+    if horizon < 1 or n < 0:
+        raise ValueError("a horizon of at least 1 and no negative number of candidates")
+    kinds = {"width": "double", "ridge": "double", "novelty": "double", "most": "int", "radius": "double"}
+    typed = lambda v, c: F.lit(v).cast(kinds[c])
+    first = spark.range(len(FEATURE_SETS)).select(
+        F.concat(F.lit("seed_"), F.element_at(F.array(*map(F.lit, FEATURE_SETS)), F.col("id").cast("int") + 1)).alias("candidate"),
+        F.element_at(F.array(*map(F.lit, FEATURE_SETS)), F.col("id").cast("int") + 1).alias("feature_set"), F.lit("level").alias("target_mode"),
+        typed(0.5, "width").alias("width"), typed(1e-4, "ridge").alias("ridge"), typed(0.1, "novelty").alias("novelty"), typed(20, "most").alias("most"), typed(2.5, "radius").alias("radius"),
+    )
+    pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(t).alias("t")) for f in FEATURE_SETS for t in TARGET_MODES])
+    pick = lambda name, values: F.element_at(F.array(*[typed(v, name) for v in values]), (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(horizon), "id", F.lit(name)).cast("binary")), 1, 8), 16, 10).cast("long") % len(values)).cast("int") + 1).alias(name)
+    pair = F.element_at(pairs, (F.col("id") % (len(FEATURE_SETS) * len(TARGET_MODES))).cast("int") + 1)
+    drawn = spark.range(n).select(F.format_string("random_%03d", "id").alias("candidate"), pair["f"].alias("feature_set"), pair["t"].alias("target_mode"), *[pick(c, v) for c, v in CHOICES.items()])
+    return first.unionByName(drawn)
+
+
+#: Candidates are sent to every task; this bounds their table.
+MOST_CANDIDATES = 10_000
+
+
+def search_learner(df: DataFrame, keys: Sequence[str], feature_sets: dict[str, Sequence[str]], targets: dict[str, str], origin: str, candidates: DataFrame, start: Column, date: str = "date", target_date: str = "target_date") -> DataFrame:
+    """(candidate, n, mae, worst): each candidate runs along each series, one group for both, and is scored from ``start`` on.
+
+    ``feature_sets`` and ``targets`` name columns: targets has level and delta; a delta is added to the origin before it is
+    scored. ``worst`` is the largest mean error of a series. Too many candidates are an error.
+    """
+    if candidates.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
+    columns = sorted({c for names in feature_sets.values() for c in names} | set(targets.values()) | {origin})
+    x = df.select(*keys, date, target_date, *columns, start.alias("_scored")).join(F.broadcast(candidates))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(date, kind="stable").reset_index(drop=True)
+        c = pdf.iloc[0]
+        q, y = pdf[list(feature_sets[c["feature_set"]])].to_numpy(float), pdf[targets[c["target_mode"]]].to_numpy(float)
+        got = learned(q, y, known_before(pdf[date], pdf[target_date]), RuleLearner(q.shape[1], c["width"], c["novelty"], int(c["most"]), c["ridge"], c["radius"]))["prediction"].to_numpy()
+        if c["target_mode"] == "delta":
+            got = got + pdf[origin].to_numpy(float)
+        e = np.abs(got - pdf[targets["level"]].to_numpy(float))[pdf["_scored"].fillna(False).to_numpy(bool)]
+        e = e[np.isfinite(e)]
+        return pd.DataFrame({"candidate": [c["candidate"]], "sae": [float(e.sum())], "n": [len(e)]})
+
+    one = x.groupBy(*keys, "candidate").applyInPandas(run, "candidate string, sae double, n long")
+    return one.groupBy("candidate").agg(F.sum("n").alias("n"), (F.sum("sae") / F.nullif(F.sum("n"), F.lit(0))).alias("mae"), F.max(F.col("sae") / F.nullif(F.col("n"), F.lit(0))).alias("worst"))
+
+
 def residual_hybrid(df: DataFrame, keys: Sequence[str], features: Sequence[str], actual: str, base: str, weight: float = 0.5, limit: float = 0.05, date: str = "date") -> DataFrame:
     """Base forecast plus a weighted correction learned online from actual - base, limited to a share of the base."""
     x = df.withColumn("_r", F.col(actual) - F.col(base))

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from weekloom.functions.prep import unaccented
 
 from .align import articles_in_lookback
+from .learn import known_before, per_series
 from .score import cohen_kappa, stratified_sample
 
 # The mark of a week without articles, and the longest part of an article in a document.
@@ -124,3 +127,71 @@ def lexicon_label(df: DataFrame, text: str, up: Sequence[str], down: Sequence[st
     ev = F.slice(F.array_distinct(F.concat("_r", "_u", "_d")), 1, most_terms)
     out = {"relevance": F.when(F.size("_r") > 0, "relevant").otherwise("other"), "direction": F.when(u > dn, "up").when(dn > u, "down").otherwise("neutral"), "intensity": F.when(u + dn >= 4, "high").when(u + dn >= 2, "medium").otherwise("low"), "evidence": F.concat_ws(",", ev)}
     return x.withColumns(out).drop("_u", "_d", "_r")
+
+
+def gram_counts(docs: DataFrame, keys: Sequence[str], text: str, n_features: int = 2**14) -> DataFrame:
+    """(keys, grams): how often each hashed word and pair of neighbouring words occurs in all texts of a key.
+
+    Words have two characters or more, in lower case without accents. Counts are added up before anything is gathered, so a key
+    has ``n_features`` entries at most, however many texts it has. A NULL text has no words.
+    """
+    flat = F.regexp_replace(F.lower(unaccented(F.col(text))), "_", " ")
+    words = F.regexp_extract_all(flat, F.lit("(?U)\\w{2,}"), F.lit(0))
+    pairs = F.when(F.size("_w") > 1, F.zip_with(F.slice("_w", 1, F.size("_w") - 1), F.slice("_w", 2, F.size("_w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    x = docs.select(*keys, words.alias("_w")).filter(F.size("_w") > 0)
+    x = x.select(*keys, F.explode(F.concat("_w", F.coalesce(pairs, F.array().cast("array<string>")))).alias("_g"))
+    x = x.groupBy(*keys, F.pmod(F.xxhash64("_g"), F.lit(n_features)).cast("int").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    return x.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("grams"))
+
+
+CLASSES = (-1, 0, 1)
+
+
+def text_pressure(rows: DataFrame, keys: Sequence[str], grams: DataFrame, label: str, n_features: int = 2**14, alpha: float = 1e-4, min_train: int = 52, shrink: float = 0.2, date: str = "date", target_date: str = "target_date") -> DataFrame:
+    """(keys, date, p_down, p_neutral, p_up, score, confidence, entropy, predicted, trained): the direction that the week's texts
+    point to, by one logistic model a class, learned online along each series.
+
+    ``grams`` is ``gram_counts`` by (keys, date). Before an origin the model learns the labels (-1, 0, 1; NULL is skipped) whose
+    target date has come, one step of gradient descent each, on grams of unit length. Probabilities are shrunk to the smoothed
+    class shares, which stand alone before ``min_train`` labels. A week without texts has only the intercepts.
+    """
+    if not 0 < alpha < 0.5:
+        raise ValueError("alpha lies between 0 and 0.5")
+    x = rows.select(*keys, date, target_date, F.col(label).cast("double").alias("_label")).join(grams, [*keys, date], "left")
+    x = x.withColumns({"_i": F.col("grams.gram"), "_n": F.col("grams.n")}).drop("grams")
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        known, labels = known_before(pdf[date], pdf[target_date]), pdf["_label"].to_numpy(float)
+        at, size = [], []
+        for i, n in zip(pdf["_i"], pdf["_n"]):
+            some = i is not None and not np.isscalar(i)
+            at.append(np.asarray(i, int) if some else np.zeros(0, int))
+            size.append(np.asarray(n, float) / np.linalg.norm(np.asarray(n, float)) if some else np.zeros(0))
+        w, b, share, t, done, out = np.zeros((3, n_features)), np.zeros(3), np.ones(3), 0, 0, []
+        scale, late = 1.0, alpha**-0.75
+        for i in range(len(pdf)):
+            while done < known[i]:
+                j, done = done, done + 1
+                if not np.isfinite(labels[j]):
+                    continue
+                eta, t = 1 / (alpha * (late + t)), t + 1
+                y = np.where(np.array(CLASSES) == labels[j], 1.0, -1.0)
+                z = y * (scale * (w[:, at[j]] @ size[j]) + b)
+                pull = eta * y / (1 + np.exp(np.clip(z, -700, 700)))
+                scale *= 1 - eta * alpha  # the decay of all weights, kept as one factor
+                w[:, at[j]] += pull[:, None] / scale * size[j]
+                b += pull
+                share[CLASSES.index(int(labels[j]))] += 1
+            prior = share / share.sum()
+            p = prior
+            if t >= min_train:
+                raw = 1 / (1 + np.exp(np.clip(-(scale * (w[:, at[i]] @ size[i]) + b), -700, 700)))
+                p = (1 - shrink) * (raw / raw.sum() if raw.sum() > 0 else np.full(3, 1 / 3)) + shrink * prior
+                p = np.maximum(p, 1e-12) / np.maximum(p, 1e-12).sum()
+            out.append((*p, p[2] - p[0], p.max(), -(p * np.log(p)).sum() / np.log(3), float(CLASSES[int(p.argmax())]), float(t)))
+        return pd.DataFrame(out, columns=PRESSURE)
+
+    return per_series(x, keys, PRESSURE, step, date)
+
+
+PRESSURE = ["p_down", "p_neutral", "p_up", "score", "confidence", "entropy", "predicted", "trained"]

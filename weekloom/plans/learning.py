@@ -90,6 +90,13 @@ def ml14_evaluate_candidates(spark, d):
     return rounded(learn.evaluate_candidates(x, K, XS, "change", [0.1, 1.0, 10.0], folds), 3)
 
 
+@query()
+def ml15_candidate_search(spark, d):
+    x = supervised(spark, d).withColumn("gap2", F.col("origin") - F.avg("origin").over(features.by_date(K).rowsBetween(-7, 0)))
+    sets = {"price": ["origin"], "lags": ["move", "moved2"], "dynamics": ["gap", "gap2", "move"]}
+    return rounded(learn.search_learner(x, K, sets, {"level": "actual", "delta": "change"}, "origin", learn.candidate_grid(spark, 6), F.col("date") >= "1998-01-05"), 1)
+
+
 @query()
 def ml16_residual_hybrid(spark, d):
     x = supervised(spark, d)

@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weekloom.operators import ledger
+from weekloom.operators import align, ledger
 from weekloom.plans.queries import COST, PANEL, PRED, cost, panel, predictions, query, rounded, table
 from weekloom.sources import files
 from weekloom.sources.scratch import new_folder
@@ -138,3 +138,20 @@ def st7_stream_page_hinkley(spark, d):
     from weekloom.streaming.online import stream_page_hinkley
 
     return rounded(stream_page_hinkley(spark, d))
+
+
+@query()
+def st7_stream_conformal(spark, d):
+    from weekloom.streaming import online
+
+    p = align.weekly_grid(predictions(spark, d).drop("target_date"), ["k"]).select(F.col("k").cast("long").alias("key"), F.col("date").alias("day"), "actual", F.col("prediction").alias("point"))
+    return rounded(online.settle(online.conformal_stream(online.staged_stream(spark, p)), spark), 4)
+
+
+@query()
+def st7_stream_learner(spark, d):
+    from weekloom.streaming import online
+
+    p = align.weekly_grid(predictions(spark, d).drop("target_date"), ["k"])
+    p = p.select(F.col("k").cast("long").alias("key"), F.col("date").alias("day"), (F.col("origin") - F.col("prediction")).alias("gap"), "origin", "actual")
+    return rounded(online.settle(online.learner_stream(online.staged_stream(spark, p), ["gap", "origin"], "actual"), spark), 2)

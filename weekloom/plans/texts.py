@@ -80,3 +80,14 @@ def tx9_lexicon_label(spark, d):
 def tx5_annotation_batch(spark, d):
     x = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
     return text.annotation_batch(x, ["source", "lang"], "doc_id", F.col("n_chars") > 1000, 60, 2 / 3, 2, 7)
+
+
+@query()
+def ml19_text_pressure(spark, d):
+    """Whole documents by language and week, against the direction of the mean price."""
+    first = F.lit("1995-01-02").cast("date")
+    x = table(spark, d, "documents").select("lang", F.date_add(first, F.pmod("doc_id", F.lit(150)).cast("int") * 7).alias("date"), "text").filter("lang is not null and date is not null")
+    p = predictions(spark, d).groupBy("date", "target_date").agg(F.avg("origin").alias("a"), F.avg("actual").alias("b"))
+    rows = x.select("lang").distinct().join(F.broadcast(p.filter(F.col("date").between(first, F.date_add(first, 149 * 7)))))
+    rows = rows.withColumn("label", text.market_label("a", "b", 50.0))
+    return rounded(text.text_pressure(rows, ["lang"], text.gram_counts(x, ["lang", "date"], "text"), "label"))

@@ -1,13 +1,21 @@
-"""Online change detection in a stream: each key's state is five numbers, carried from batch to batch."""
+"""Online learning in streams: each key's state is carried from batch to batch.
+
+The change detector keeps five numbers; the conformal band its level and a window of errors; the rule learner its rules,
+bounded by their dictionaries, as bytes. The last two take a weekly calendar: a key's row is rejected, and changes nothing, if it
+repeats a date, comes before the last one, or skips weeks.
+"""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weekloom.operators.learn import Conformal, RuleLearner
 from weekloom.sources.scratch import new_folder
 
 OUT = "key long, event_id long, path double, changed boolean, rejected boolean"
@@ -53,3 +61,74 @@ def stream_page_hinkley(spark: SparkSession, sf_dir: str, delta: float = 0.5, th
     out = new_folder(spark, "online")
     page_hinkley_stream(e, delta, threshold).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(OUT).parquet(f"{out}/rows")
+
+
+WEEK = 7
+
+
+def weekly_stream(rows: DataFrame, columns: Sequence[str], start: Callable[[], object], step: Callable[[object, tuple], tuple], out: Sequence[str]) -> DataFrame:
+    """rows (key long, day date, columns) -> (key, day, ``out`` as doubles, rejected), by ``step(model, values)`` on each key's model.
+
+    The model is kept as bytes. Within a batch a key's rows are taken in order of the day; after a row without a gap the next
+    must be seven days later. Rejected rows give NULLs.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        blob, last = state.get if state.exists else (pickle.dumps(start()), -1)
+        model, got = pickle.loads(blob), []  # noqa: S301  our own bytes
+        pdf = pd.concat(list(batches)).sort_values(["day", *columns], kind="stable")
+        days = pd.to_datetime(pdf["day"]).to_numpy().astype("datetime64[D]").astype(int)
+        for day, at, values in zip(pdf["day"], days, pdf[list(columns)].to_numpy(float)):
+            bad = last >= 0 and at != last + WEEK
+            if not bad:
+                last = int(at)
+            got.append((key[0], day, *((np.nan,) * len(out) if bad else step(model, tuple(values))), bool(bad)))
+        state.update((pickle.dumps(model), last))
+        yield pd.DataFrame(got, columns=["key", "day", *out, "rejected"])
+
+    schema = ", ".join(["key long, day date", *(f"`{c}` double" for c in out), "rejected boolean"])
+    x = rows.filter("key is not null and day is not null").select("key", "day", *[F.col(c).cast("double").alias(c) for c in columns])
+    got = x.groupBy("key").applyInPandasWithState(run, schema, "model binary, last long", "append", GroupStateTimeout.NoTimeout)
+    return got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in out})
+
+
+def conformal_stream(rows: DataFrame, **options) -> DataFrame:
+    """rows (key, day, actual, point) -> (key, day, lower, upper, level, rejected): the band as it was before the row's actual."""
+
+    def step(model: Conformal, values: tuple) -> tuple:
+        actual, point = values
+        lower, upper = model.band(point)
+        level = model.level
+        model.learn(actual, point)
+        return lower, upper, level
+
+    return weekly_stream(rows, ["actual", "point"], lambda: Conformal(**options), step, ["lower", "upper", "level"])
+
+
+def learner_stream(rows: DataFrame, features: Sequence[str], target: str, **options) -> DataFrame:
+    """rows (key, day, features, target) -> (key, day, prediction, rejected): predict, then learn. The target belongs to the row's own day."""
+    features = list(features)
+
+    def step(model: RuleLearner, values: tuple) -> tuple:
+        x, y = np.array(values[:-1]), values[-1]
+        whole = np.isfinite(x).all()
+        guess = model.predict(x) if whole else np.nan
+        if whole and np.isfinite(y):
+            model.learn(x, y)
+        return (guess,)
+
+    return weekly_stream(rows, [*features, target], lambda: RuleLearner(len(features), **options), step, ["prediction"])
+
+
+def settle(stream: DataFrame, spark: SparkSession) -> DataFrame:
+    """Runs a stream over what is there into a new folder and reads it back."""
+    out = new_folder(spark, "online")
+    stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def staged_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows as a file stream. All files make up one micro-batch, as the order of files written side by side is not that of days."""
+    out = new_folder(spark, "arrivals")
+    rows.write.parquet(f"{out}/rows")
+    return spark.readStream.schema(rows.schema).parquet(f"{out}/rows")
