@@ -29,7 +29,13 @@ def per_series(df: DataFrame, keys: Sequence[str], out: Sequence[str], step: Cal
         got = step(pdf)
         return pd.concat([pdf[[*keys, date]], got[list(out)]], axis=1)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return spread_out(df, keys).groupBy(*keys).applyInPandas(run, schema)
+
+
+def spread_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Deals series to all shuffle partitions: they are small in bytes but long to compute, so adaptive merging by size would put
+    them into a few tasks. The grouping that follows needs no other shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if keys else df
 
 
 def known_before(dates: pd.Series, targets: pd.Series) -> np.ndarray:
@@ -288,7 +294,7 @@ class RuleLearner:
         far = lambda r: np.linalg.norm(self._scaled(r["c"]) - self._scaled(q))
         near = min(self.rules, key=far, default=None)
         if near is None or (self.n > 10 and far(near) > self.radius):
-            near = {"c": q.copy(), "n": 0, "d": np.empty((0, len(q))), "A": None, "b": None, "mean": 0.0}
+            near = {"c": q.copy(), "n": 0, "d": np.empty((0, len(q))), "A": None, "b": None, "w": None, "mean": 0.0}
             self.rules.append(near)
         near["n"] += 1
         near["c"] = near["c"] + (q - near["c"]) / near["n"]
@@ -305,13 +311,14 @@ class RuleLearner:
             near["A"], near["b"], k = a, b, np.append(k, 1.0)
         near["A"] = near["A"] + np.outer(k, k)
         near["b"] = near["b"] + k * (y - near["mean"])
+        near["w"] = np.linalg.solve(near["A"], near["b"])
 
     def predict(self, x: np.ndarray) -> float:
         if not self.rules:
             return np.nan
         q = self._scaled(x)
         w = np.array([np.exp(-((self._scaled(r["c"]) - q) ** 2).sum() / (2 * self.radius**2)) for r in self.rules]) + 1e-12
-        f = np.array([r["mean"] + self._kernel(r["d"], x[None])[:, 0] @ np.linalg.solve(r["A"], r["b"]) for r in self.rules])
+        f = np.array([r["mean"] + self._kernel(r["d"], x[None])[:, 0] @ r["w"] for r in self.rules])
         return float(w @ f / w.sum())
 
 
@@ -390,7 +397,7 @@ def search_learner(df: DataFrame, keys: Sequence[str], feature_sets: dict[str, S
         e = e[np.isfinite(e)]
         return pd.DataFrame({"candidate": [c["candidate"]], "sae": [float(e.sum())], "n": [len(e)]})
 
-    one = x.groupBy(*keys, "candidate").applyInPandas(run, "candidate string, sae double, n long")
+    one = spread_out(x, [*keys, "candidate"]).groupBy(*keys, "candidate").applyInPandas(run, "candidate string, sae double, n long")
     return one.groupBy("candidate").agg(F.sum("n").alias("n"), (F.sum("sae") / F.nullif(F.sum("n"), F.lit(0))).alias("mae"), F.max(F.col("sae") / F.nullif(F.col("n"), F.lit(0))).alias("worst"))
 
 
@@ -421,7 +428,7 @@ def evaluate_candidates(df: DataFrame, keys: Sequence[str], features: Sequence[s
         sae = [np.abs(ridge(g)(a[train], b[train])(a[test]) - b[test]).sum() for g in grid]
         return pd.DataFrame({"candidate": range(len(grid)), "fold_id": pdf["fold_id"].iloc[0], "sae": sae, "n": int(test.sum())})
 
-    one = x.groupBy(*keys, "fold_id").applyInPandas(run, "candidate int, fold_id int, sae double, n long")
+    one = spread_out(x, [*keys, "fold_id"]).groupBy(*keys, "fold_id").applyInPandas(run, "candidate int, fold_id int, sae double, n long")
     return one.groupBy("candidate", "fold_id").agg((F.sum("sae") / F.sum("n")).alias("mae"), F.sum("n").alias("n"))
 
 
