@@ -260,6 +260,63 @@ def test_ppm(docs, monkeypatch):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-5)
 
 
+def brute_ppm_order(rows, order):
+    """Scores of a trie of any depth, each probability by the definition."""
+    low = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+    held = lambda k: zlib.crc32(b"" if k is None else str(k).encode()) % 5 == 1
+    coded = lambda t: bytes([255] * order) + low(t).encode() + b"\xff"
+    trie = defaultdict(Counter)
+    for k, t in rows:
+        s = coded(t)
+        for i in range(order, 0 if held(k) else len(s)):
+            for j in range(order + 1):
+                trie[s[i - j : i]][s[i]] += 1
+    known = {}
+
+    def log_p(context, x):
+        p, out = 1.0, set()
+        for j in range(order, -1, -1):
+            c = trie.get(context[order - j :], {})
+            left = {y: n for y, n in c.items() if y not in out}
+            if left:
+                total, kinds = sum(left.values()), len(left)
+                if x in left:
+                    return math.log10(p * left[x] / (total + kinds))
+                p *= kinds / (total + kinds)
+            out |= set(c)
+        return math.log10(p / (256 - len(out)))
+
+    for k, t in rows:
+        s, score = coded(t), 0.0
+        for i in range(order, len(s)):
+            gram = s[i - order : i + 1]
+            if gram not in known:
+                known[gram] = log_p(gram[:-1], gram[-1])
+            score += known[gram]
+        yield k, held(k), score
+
+
+@pytest.mark.parametrize("order", [2, 3, 4, 5, 6])
+def test_ppm_orders(docs, order):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    key = lambda r: (str(r[0]), round(r[2], 2))
+    got = sorted(((r["doc_id"], r["held_out"], r["score"]) for r in ppm.lm_scores(docs, order=order).collect()), key=key)
+    want = sorted(brute_ppm_order(rows, order), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-5)
+
+
+def test_ppm_query_tells_seen_text_from_plausible_text(spark, tmp_path):
+    """Words of the same three-byte windows, of which only one was trained on."""
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    train, seen, swapped = [k for k in range(99) if not held(k)][:40], *[k for k in range(99) if held(k)][:2]
+    rows = [(k, "abcdx " * 20 if n % 2 else "ebcdy " * 20) for n, k in enumerate(train)] + [(seen, "abcdx " * 20), (swapped, "abcdy " * 20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(ppm.lm_query(spark, str(tmp_path)))
+    assert got[seen]["held_out"] and got[swapped]["held_out"] and got[seen]["score"] > got[swapped]["score"] + 10
+
+
 def test_ppm_sums_to_one_at_most():
     code, n = np.unique(np.random.default_rng(0).integers(0, 1 << 24, 5000), return_counts=True)
     total = (10.0 ** ppm.log_table(code, n).reshape(1 << 16, 256).astype(np.float64)).sum(axis=1)
