@@ -404,6 +404,19 @@ def test_near_classes(docs, spark):
     assert neardup.near_classes(df.limit(0)).count() == 0
 
 
+def test_near_classes_repeated_sentence(spark):
+    """One of two copies says a sentence many times more: the sets stay close, the counts don't."""
+    rows = []
+    for k, (n, size, times) in enumerate([(200, 10, 20), (200, 10, 15), (300, 12, 20)] * 20):
+        words = [f"p{k}w{i}" for i in range(n)]
+        at = 20 + k
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:at] + words[at : at + size] * times + words[at:]))]
+    want = brute_classes(rows)
+    assert want == Counter((k, k // 2 * 2) for k, _ in rows)
+    got = neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r["id"], r["class_id"]) for r in got) == want
+
+
 def test_prob_min_hash_estimates():
     key = bytesplit.mixed(np.arange(1, 401, dtype=np.uint64))
     wa, wb = np.where(np.arange(400) < 300, 1.0, 0), np.where(np.arange(400) >= 100, 1.0 + (np.arange(400) % 3), 0)

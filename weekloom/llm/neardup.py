@@ -1,9 +1,10 @@
-"""Near-duplicate documents: ProbMinHash over weighted word shingles, banding, verification, classes.
+"""Near-duplicate documents: ProbMinHash over word shingles, banding, verification, classes.
 
-A document is its five-word shingles, weighted by how often they occur. Every shingle is a Poisson process whose rate is
-its weight; its arrivals, drawn from a hash of the shingle, fall on random components, and each component keeps its
-earliest arrival. A shingle stops as soon as its next arrival is later than the latest component (early termination).
-Two documents agree in a component with a chance equal to their probability Jaccard similarity.
+A document is its set of five-word shingles. Every shingle is a Poisson process whose rate is its weight; its arrivals,
+drawn from a hash of the shingle, fall on random components, and each component keeps its earliest arrival. A shingle
+stops as soon as its next arrival is later than the latest component (early termination). Two documents agree in a
+component with a chance equal to their probability Jaccard similarity. Links are judged by the sets, so each distinct shingle
+weighs 1, however often it occurs: the probability Jaccard is then the sets' Jaccard, in texts with repeated sentences too.
 
 Exact copies (equal word sequences) are first reduced to one text, so a group of copies costs one row. Texts that share
 a band of components are candidates; similarity is verified on the exact shingle sets (Jaccard >= threshold), for pairs
@@ -39,8 +40,8 @@ BLOCK_TEXTS, BLOCK_GRAMS = 1024, 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(w: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (doc, shingle hash, weight), sorted by doc; shorter texts are one shingle."""
+def shingles(w: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (doc, shingle hash), sorted by doc; shorter texts are one shingle."""
     h, counts = w.hashes(), w.counts
     doc = w.doc()
     ok = whole(w.off, width, len(h))
@@ -55,8 +56,7 @@ def shingles(w: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np
     docs, keys = docs[order], keys[order]
     first = np.ones(len(keys), bool)
     first[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    at = np.flatnonzero(first)
-    return docs[at], keys[at], np.diff(np.append(at, len(keys)))
+    return docs[first], keys[first]
 
 
 def prob_min_hash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -104,8 +104,8 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -
         for batch in batches:
             for a, b, data, off in steps(batch.column(3)):
                 w, n = Words(data, off), b - a
-                doc, key, weight = shingles(w)
-                sig = prob_min_hash(doc, key, weight.astype(np.float64), n, bands * rows).reshape(n, bands, rows)
+                doc, key = shingles(w)
+                sig = prob_min_hash(doc, key, np.ones(len(key)), n, bands * rows).reshape(n, bands, rows)
                 band = np.full((n, bands), _GOLD) * np.arange(1, bands + 1, dtype=np.uint64)
                 for k in range(rows):
                     band = mixed(band ^ sig[:, :, k])
