@@ -3,12 +3,14 @@ import hashlib
 import math
 import random
 import re
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weekloom.llm import bytesplit, decontaminate, linedup, neardup, packing, ppm, quality, repeats, secrets, segments, tokencounts, warc
 
@@ -84,6 +86,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("split", ["1k", "64k"])
+def test_warc_odd_urls(spark, tmp_path, split):
+    """Characters that some call line ends can't break into a header, nor can they end the chain."""
+    urls = ["http://a/", "http://b/\u2028Content-Length:3", "http://c/\u0085Content-Length: 1", "http://d/\r\nContent-Length: 0\r\n\r\n", "\u2029WARC-Type: revisit", "é 😀\x00", "http://e/?q=%20+", None, ""]
+    rows = [(k, u, f"payload {k} " * 20) for k, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        warc.write_warc(pages, str(tmp_path / "w"))
+        got = {int(r["record_id"]): r for r in warc.resolved(warc.read_warc(spark, str(tmp_path / "w"))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got.keys() == set(range(len(urls)))
+    for k, _, html in rows:
+        assert (got[k]["payload_bytes"], got[k]["payload_digest"], got[k]["record_type"]) == (len(html), hashlib.sha256(html.encode()).hexdigest(), "response")
+    assert got[1]["url"] == "http://b/%E2%80%A8Content-Length:3" and got[5]["url"] == "%C3%A9%20%F0%9F%98%80%00" and got[6]["url"] == "http://e/?q=%20+" and got[7]["url"] is None
+
+
 def test_warc_broken_and_empty(spark, tmp_path):
     (tmp_path / "b").mkdir()
     good = b"WARC/1.1\r\nContent-Length: 2\r\nWARC-Type: response\r\n\r\nhi\r\n\r\n"
@@ -110,14 +130,36 @@ def test_secrets(docs, texts, spark):
     rng = random.Random(3)
     bits = ["password", "PassWd", "tok", "en", "token", "=", ":", " ", '"', "'", "abcdef1", "AKIA", "ABCDEFGHIJKLMNOP", "deadbeef", "0" * 24, "api_key", "apikey", "ſecret", "K", "ghp_", "x" * 40, "eyJ", "."]
     many = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
-    assert [[(secrets.RULES[n].kind, s, e) for s, n, e in x] for x in secrets.spans_of(many)] == [brute_spans(t) for t in many]
+    df = spark.createDataFrame(list(enumerate(many)), "spans long, text string")
+    index = secrets.trigram_index(df)
+    got = {r["_row"]["spans"]: [tuple(x) for x in r["spans"]] for r in secrets.search(index).collect()}
+    assert [got[k] for k in range(len(many))] == [brute_spans(t) for t in many]
+    own = secrets.Rule("own", "deadbeef|ſecret")
+    again = {r["_row"]["spans"]: len(r["spans"]) for r in secrets.search(index, (own,)).collect()}  # the same index, another rule
+    assert [again[k] for k in range(len(many))] == [len(re.findall(own.pattern, t)) for t in many]
+
+
+def test_trigram_postings():
+    texts = ["abcd", "xABC", "", "é bcd", "ab", "c"]
+    trigrams, offsets, rows = secrets.inverted(pa.array(texts))
+    got = {int(t).to_bytes(3, "big"): rows[a:b].tolist() for t, a, b in zip(trigrams, offsets[:-1], offsets[1:])}
+    want = defaultdict(set)
+    for k, t in enumerate(texts):
+        raw = t.lower().encode()
+        for i in range(len(raw) - 2):
+            want[raw[i : i + 3]].add(k)
+    assert got == {t: sorted(r) for t, r in want.items()}
+    index = secrets.Postings(len(texts), trigrams.tobytes(), offsets.tobytes(), rows.tobytes())
+    assert index.candidates(("and", b"abc", b"bcd")).tolist() == [True, False, False, False, False, False]
+    assert index.candidates(("or", b"zzz", b"bcd")).tolist() == [True, False, False, True, False, False]
+    assert secrets.inverted(pa.array(["", "ab"]))[0].size == 0
 
 
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") is None
-    assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", "aki", "kia")
-    assert "api" in secrets.leaves(secrets.trigram_query(secrets.BASE_RULES[0].pattern))
-    assert secrets.trigram_query("(abc|de)x") == ("or", "abc", "dex") or secrets.trigram_query("(abc|de)x")[0] == "or"
+    assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", b"aki", b"kia")
+    assert b"api" in secrets.leaves(secrets.trigram_query(secrets.BASE_RULES[0].pattern))
+    assert secrets.trigram_query("(abc|de)x")[0] == "or"
     assert secrets.trigram_query("(abc)?") is None
 
 
@@ -177,6 +219,11 @@ def test_token_trees(docs, texts, spark):
     long = "some words and more " * 5000
     tree = tokencounts.TokenTree.build(long, coder)
     assert tree.edit(long, 50000, 50003, "zzz", coder)[1] < 400
+    tree = tokencounts.TokenTree.build("", coder)
+    text, _ = tree.edit("", 0, 0, "some words and more " * 20000, coder)
+    for place in (1, 200_000, 399_990):
+        text, again = tree.edit(text, place, place + 1, "z q", coder)
+        assert again < 500 and tree.n_tokens == len(coder.encoding.encode_ordinary(text))
     n = by_id(tokencounts.token_trees(docs).select("doc_id", "n_tokens"))
     assert all(n[k]["n_tokens"] == len(coder.encoding.encode_ordinary(t or "")) for k, t in texts.items())
     e = docs.selectExpr("*", "array(struct(3L as start, 9L as end, 'xy' as text), null, struct(null as start, 0L as end, null as text)) as edits")
@@ -193,24 +240,26 @@ def brute_contamination(text, items):
     for k, t in items:
         b = low(t)
         n = min(13, len(b))
-        for p in range(len(b) - n + 1 if b and k is not None else 0):
+        for p in range(len(b) - n + 1 if b else 0):
             for q in range(len(w) - n + 1):
                 if w[q : q + n] == b[p : p + n]:
                     hit.update(range(q, q + n))
-                    found.add(str(k))
+                    found |= set() if k is None else {str(k)}
     return len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block_words", [500_000, 60])
-def test_decontaminate(docs, texts, spark, block_words):
+@pytest.mark.parametrize("bits", [1 << 22, 1 << 8, 1 << 4])
+def test_decontaminate(docs, texts, spark, bits):
+    """Also with filters that are far too small, so that most candidates are only told apart by the join."""
     w = texts[14].split()
     items = [(1, " ".join(w[3:30])), (10, "; ".join(w[5:18]).upper()), (2, "one TWO three"), (2, texts[5]), (None, texts[15]), (3, None), (4, "..."), (5, "w1"), (6, " ".join(texts[20].split()[-13:]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(docs, bench, keep=["doc_id", "source"], block_words=block_words).collect()
+    got = decontaminate.contamination(docs, bench, keep=["doc_id", "source"], filter_bits=bits).collect()
     assert len(got) == docs.count()
     for r in got:
         text = texts[12] if r["doc_id"] is None else texts[r["doc_id"]]
         assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == brute_contamination(text, items)
+        assert len({p for h in r["hits"] for p in range(h["start"], h["end"])}) == r["n_hit"]
     none = decontaminate.contamination(docs, bench.limit(0), keep=["doc_id"]).agg({"n_hit": "sum"}).first()[0]
     assert none == 0
 
@@ -342,6 +391,26 @@ def test_quality_hosts(spark):
     assert got[1]["host_rate"] > 0.5 > 0.05 > got[100]["host_rate"]
 
 
+def brute_rates(hosts):
+    """Shrunk rates of {host: [failed, ...]} by the moments of a beta-binomial."""
+    n, f = {h: len(x) for h, x in hosts.items()}, {h: sum(x) for h, x in hosts.items()}
+    total, m = sum(n.values()), sum(f.values()) / sum(n.values())
+    spread = sum(n[h] * (f[h] / n[h] - m) ** 2 for h in n)
+    reach = total - sum(x * x for x in n.values()) / total - (len(n) - 1)
+    share = min(1, (spread / (m * (1 - m)) - (len(n) - 1)) / reach) if 0 < m < 1 and reach > 0 else 0
+    return {h: (f[h] + m * (1 / share - 1)) / (n[h] + 1 / share - 1) if share > 1e-12 else m for h in n}
+
+
+@pytest.mark.parametrize("rates", [[0.1, 0.5, 0.9], [0.3, 0.3, 0.3, 0.3], [0, 1], [0.4]])
+def test_host_prior(spark, rates):
+    rng = random.Random(6)
+    hosts = {f"h{k}" if k else None: [rng.random() < r for _ in range(rng.randrange(5, 200))] for k, r in enumerate(rates)}
+    rows = [(h, x) for h, xs in hosts.items() for x in xs]
+    got = {r["h"]: r["host_rate"] for r in quality.host_verdicts(spark.createDataFrame(rows, "h string, bad boolean"), "h", "bad", 0.3).collect()}
+    want = brute_rates(hosts)
+    assert got.keys() == want.keys() and all(math.isclose(got[h], want[h], rel_tol=1e-9, abs_tol=1e-12) for h in want)
+
+
 def test_packing(docs, texts, spark):
     out = packing.packing_stage(spark, docs).collect()
     bins = defaultdict(list)
@@ -357,9 +426,67 @@ def test_packing(docs, texts, spark):
     for r in out:
         total[r["doc_id"]] += r["n_tokens"]
     assert total[37] == 30001 and total[0] == 1 and total[7] == 2 * (len(texts[7].split()) + 1) and total[None] == len(texts[12].split()) + 1
-    bins, offsets, final = packing.best_fit([60, 50, 40, 30, 20, 10], (64, 100))
+    bins, offsets, final = packing.best_fit([60, 50, 40, 30, 20, 10], (64, 100), float)
     assert bins == [0, 1, 0, 1, 1, 2] and final == [100, 100, 64]
     assert packing.packing_stage(spark, docs.limit(0)).count() == 0
+    opened = Counter(r["bin_length"] for r in out)
+    assert len(opened) >= 3  # several lengths are in use, not the largest alone
+
+
+def naive_fit(sizes, lengths, cost, floor):
+    """Best fit by looking at every open bin."""
+    room, used, bins = [], [], []
+    for size in sizes:
+        fits = [(r, -b) for b, r in enumerate(room) if r >= size]
+        if fits:
+            b = -min(fits)[1]
+        else:
+            b = len(room)
+            room.append(min((c for c in lengths if c >= max(floor, min(x for x in lengths if x >= size))), key=lambda c: (cost(c) / c, -c)))
+            used.append(0)
+        room[b] -= size
+        used[b] += size
+        bins.append(b)
+    return bins, [min((c for c in lengths if c >= u), key=lambda c: (cost(c), c)) for u in used]
+
+
+def least_cost(sizes, lengths, cost):
+    """Over all partitions of a few sizes into bins."""
+    best = math.inf
+
+    def go(k, bins):
+        nonlocal best
+        if k == len(sizes):
+            best = min(best, sum(min(cost(c) for c in lengths if c >= b) for b in bins))
+            return
+        for b in range(len(bins)):
+            if bins[b] + sizes[k] <= max(lengths):
+                go(k + 1, [*bins[:b], bins[b] + sizes[k], *bins[b + 1 :]])
+        go(k + 1, [*bins, sizes[k]])
+
+    go(0, [])
+    return best
+
+
+def test_packing_costs():
+    rng = random.Random(12)
+    total = lambda final: sum(map(packing.sequence_cost, final))
+    mine = least = 0
+    for _ in range(60):
+        sizes = sorted((rng.choice([rng.randrange(1, 300), rng.randrange(1, 4097)]) for _ in range(7)), reverse=True)
+        _, _, final = packing.cheapest_fit(sizes)
+        for floor in packing.LENGTHS:
+            bins, _, one = packing.best_fit(sizes, floor=floor)
+            naive_bins, naive_final = naive_fit(sizes, packing.LENGTHS, packing.sequence_cost, floor)
+            assert sorted(one) == sorted(naive_final) and total(final) <= total(one) + 1e-9
+        best = least_cost(sizes, packing.LENGTHS, packing.sequence_cost)
+        assert total(final) >= best - 1e-9
+        mine, least = mine + total(final), least + best
+    assert mine <= 1.1 * least
+    many = sorted((rng.randrange(1, 700) for _ in range(3000)), reverse=True)
+    _, _, joint = packing.cheapest_fit(many)
+    _, _, single = packing.best_fit(many, (4096,))
+    assert total(joint) < 0.75 * total(single) and 1024 in joint  # an intermediate length is opened
 
 
 def brute_classes(rows, threshold=0.8):
@@ -427,40 +554,120 @@ def test_prob_min_hash_estimates():
     assert abs((pick(wa) == pick(wb)).mean() - want) < 0.03
 
 
-def brute_lines(rows, width=3):
-    first, out = {}, {}
-    docs = {(math.inf if k is None else k, t): t for k, t in rows if t is not None}
-    where = []
-    for (k, t) in sorted(docs):
-        w = [(i, x) for i, x in enumerate(t.split("\n")) if SPACE.search(x)]
+def brute_lines(rows, key, width=3):
+    first, windows = {}, []
+    order = sorted(range(len(rows)), key=lambda r: (2**63 - 1 if rows[r][0] is None else rows[r][0], key[rows[r][1]], r))
+    for place, r in enumerate(order):
+        w = [(i, x) for i, x in enumerate((rows[r][1] or "").split("\n")) if SPACE.search(x)]
         for j in range(len(w) - width + 1):
-            where.append((tuple(x for _, x in w[j : j + width]), (k, w[j][0]), (k, t), [i for i, _ in w[j : j + width]]))
-    for key, place, _, _ in where:
-        first[key] = min(first.get(key, place), place)
+            k, at = tuple(x for _, x in w[j : j + width]), (place, j)
+            first.setdefault(k, at)
+            windows.append((k, at, r, [i for i, _ in w[j : j + width]]))
     gone = defaultdict(set)
-    for key, place, doc, lines in where:
-        if place > first[key]:
-            gone[doc].update(lines)
-    for doc, t in docs.items():
-        out[doc] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[doc])
-    return Counter((k, None if t is None else out[(math.inf if k is None else k, t)]) for k, t in rows)
+    for k, at, r, lines in windows:
+        if at > first[k]:
+            gone[r].update(lines)
+    return Counter((k, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[r])) for r, (k, t) in enumerate(rows))
 
 
 def test_line_dedup(docs, spark):
     rng = random.Random(4)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    rows += [(200 + k, "\n".join(rng.choice(["a b", "c", "d e f", "", " ", "g"]) for _ in range(rng.randrange(0, 12)))) for k in range(40)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, drop string").repartition(4)
+    some = lambda: "\n".join(rng.choice(["a b", "c", "d e f", "", " ", "g"]) for _ in range(rng.randrange(0, 12)))
+    rows += [(200 + k, some()) for k in range(40)]
+    rows += [(None, "u\nv\nw\nx"), (None, "u\nv\nw\ny"), (300, "u\nv\nw\nz"), (300, "z\nu\nv\nw"), (300, "z\nu\nv\nw")]  # ties of ids, and a repeated row
+    rows += [(rng.choice([None, 400, 401]), some()) for _ in range(40)]
+    rows += rows[-15:]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, drop string, n_removed long").repartition(4)
     out = linedup.without_repeated_lines(df)
     assert out.columns == ["doc_id", "text", "drop", "n_lines", "n_removed"]
-    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == brute_lines(rows)
+    key = {r["text"]: r["k"] for r in df.selectExpr("text", "xxhash64(text) AS k").collect()}
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == brute_lines(rows, key)
+    staged = linedup.line_dedup_stage(spark, df)
+    assert staged.columns == df.columns and staged.filter("n_removed <> 1").count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert linedup.without_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_long_text(spark):
+    """Time grows with the lines of one text, not with their square."""
+    text = "\n".join(f"line {k}" for k in range(60000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nend"), (3, "x")], "doc_id long, text string")
+    got = by_id(linedup.without_repeated_lines(df))
+    assert got[1]["text"] == text and got[2]["text"] == "end" and got[2]["n_removed"] == 60000 and got[3]["text"] == "x"
+
+
+def thue_morse(n, a, b):
+    return [(a, b)[bin(k).count("1") % 2] for k in range(n)]
+
+
+def test_self_similar_sequences_do_not_collide():
+    for n in (256, 1024, 4096):
+        one, two = "".join(thue_morse(n, "a", "b")).encode(), "".join(thue_morse(n, "b", "a")).encode()
+        w = bytesplit.Words(np.frombuffer(one + b" " + two, np.uint8), np.array([0, 2 * n + 1]))
+        assert len(set(w.hashes().tolist())) == 2
+        raw = (" ".join(thue_morse(n, "x", "y")) + " ").encode(), (" ".join(thue_morse(n, "y", "x"))).encode()
+        off = np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])])
+        w = bytesplit.Words(np.frombuffer(b"".join(raw), np.uint8), off)
+        assert len(set(zip(*(k.tolist() for k in neardup._text_keys(w))))) == 2
+        assert bytesplit.rolling(w.hashes()[:n], n) != bytesplit.rolling(w.hashes()[n:], n)
+
+
+def test_long_words_and_lines_are_told_apart(spark, tmp_path):
+    """Where hashes of polynomials modulo 2**64 fall together: long lines, long words, and windows that differ in one long word."""
+    one, two = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    fill = [f"f{k}" for k in range(49)]
+    docs = spark.createDataFrame([(1, f"{one}\n{two}"), (2, " ".join([*fill, one])), (3, " ".join([*fill, two])), (4, " ".join(thue_morse(1024, "x", "y"))), (5, " ".join(thue_morse(1024, "y", "x")))], "doc_id long, text string")
+    assert by_id(quality.with_counts(docs))[1]["n_dup_lines"] == 0
+    assert all(r["n_removed"] == 0 for r in repeats.without_repeats(docs.filter("doc_id < 4")).collect())
+    bench = spark.createDataFrame([(1, two)], "item_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.contamination(docs, bench).collect()} == {1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
+    assert len({r["class_id"] for r in neardup.near_classes(docs, threshold=1.0).collect()}) == 4  # 4 and 5 have the same shingles
+    train = [k for k in range(50) if zlib.crc32(str(k).encode()) % 5 != 1][0]
+    held = [k for k in range(50) if zlib.crc32(str(k).encode()) % 5 == 1][0]
+    known = by_id(ppm.lm_scores(spark.createDataFrame([(train, one), (held, two)], "doc_id long, text string")))
+    assert known[held]["n_known"] == 1  # the end token alone
+
+
+def test_text_keys():
+    texts = ["a b", " a \n b ", "ab", "", " ", "a", "b", "a b c", "é b"]
+    for _, _, data, off in bytesplit.steps(pa.array(texts)):
+        keys = list(zip(*(k.tolist() for k in neardup._text_keys(bytesplit.Words(data, off)))))
+    assert keys[0] == keys[1] and keys[3] == keys[4] and len(set(keys)) == 7
+
+
+CLASHING = [
+    "n_words", "n_removed", "n_lines", "kept", "spans", "n_hit", "hits", "items", "contaminated", "host_rate", "base_failed", "n_tokens", "leaf_chars",
+    "_row", "_text", "_id", "_key", "_host", "_uid", "_found", "drop", "band", "row", "class_row", "rows", "texts", "id", "seg", "_h", "_i", "with`tick", "with.dot", "with space",
+]
+
+
+def test_clashing_columns(spark, docs):
+    """Columns with the names of measures and of columns used on the way, and a struct whose field name holds a space."""
+    extra = [F.lit(f"mine {c}").alias(c) for c in CLASHING if c != "n_words"]
+    wide = docs.select("*", *extra, F.struct(F.lit(1).alias("a b")).alias("s"), F.lit("en").alias("lang"), F.length("text").cast("long").alias("n_chars"))
+    bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    wide.sparkSession.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    path = tempfile.mkdtemp(prefix="spark-")
+    bench.write.parquet(f"{path}/benchmark.parquet")
+    for stage in (quality.quality_stage, linedup.line_dedup_stage, neardup.near_dup_stage, decontaminate.decontaminate_stage):
+        out = stage(spark, wide, path)
+        assert out.columns == wide.columns
+        for r in out.collect():
+            assert all(r[c] == f"mine {c}" for c in CLASHING if c != "n_words") and r["n_words"] == "extra" or r["n_words"] in ("e", None)
+            assert r["s"]["a b"] == 1
+    for out in (quality.judged(wide), linedup.without_repeated_lines(wide), secrets.secret_spans(wide), decontaminate.contamination(wide, bench), tokencounts.token_trees(wide)):
+        assert len(set(out.columns)) == len(out.columns) and out.count() == wide.count()
+    for out in (repeats.without_repeats(wide), ppm.lm_scores(wide), neardup.near_classes(wide)):
+        assert out.count() == wide.count()
+    assert packing.packing_stage(spark, wide).count() >= wide.count()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert decontaminate.contamination(none, none.selectExpr("doc_id AS item_id", "text")).count() == 0
+    assert linedup.line_dedup_stage(spark, none).count() == neardup.near_dup_stage(spark, none).count() == 0
     for out in (repeats.without_repeats(none), ppm.lm_scores(none), quality.judged(none), secrets.secret_spans(none), tokencounts.token_trees(none)):
         assert out.count() == 0
 

@@ -1,11 +1,14 @@
-"""Vectorised splitting and hashing of many texts at once: one numpy pass over the UTF-8 bytes of a batch.
+"""Vectorised splitting and hashing of many texts at once: numpy passes over the UTF-8 bytes of a batch.
 
-All hashes are 64-bit: a polynomial over mixed byte (or word) values modulo 2**64, finished by a bit mixer.
-Equal sequences always have equal hashes; different ones collide with a chance of about 2**-58 a pair.
+All hashes are 64 bits wide. A span is hashed eight bytes at a time, each step finished by a bit mixer, and sequences of
+words are hashed as a tree of mixed pairs; a span of many bytes is hashed by BLAKE2b. None is a polynomial modulo a power of
+two, so self-similar texts (Thue-Morse words, say) do not collide. Equal sequences have equal hashes; different ones collide
+with a chance of about 2**-64 a pair. Where that is not enough, two hashes of different ``salt`` make 128 bits.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +16,12 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is handled alone.
 STEP_BYTES = 4 << 20
+#: Longer spans are hashed by BLAKE2b, one call each.
+LONG_SPAN = 256
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_K = np.uint64(0x9E3779B97F4A7C15)
+_SIZES = np.uint64(0x632BE59BD9B4E019)
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,19 +33,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and base**-k modulo 2**64 for k < n at least; kept between calls."""
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the sequences a b, from the hashes of a and of b."""
+    return mixed(a * _K + b)
 
 
 def table_of(keep) -> np.ndarray:
@@ -91,7 +87,7 @@ class Words:
         self.start = np.flatnonzero(m & ~before)
         self.end = np.flatnonzero(m & ~after) + 1
         self.off = np.searchsorted(self.start, off)
-        self._prefix: np.ndarray | None = None
+        self._eights: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -101,29 +97,48 @@ class Words:
         """The text that each word is in."""
         return np.repeat(np.arange(len(self.off) - 1), self.counts)
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def span_hash(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         """Hashes of byte spans; the length is mixed in."""
-        n = len(self.data)
-        power, inverse = powers(n + 1)
-        if self._prefix is None:
-            self._prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * power[:n], out=self._prefix[1:])
-        raw = (self._prefix[end] - self._prefix[start]) * inverse[start]
-        return mixed(raw + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-
-    def hashes(self) -> np.ndarray:
-        return self.span_hash(self.start, self.end)
+        if self._eights is None:
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._eights = np.ndarray((len(self.data) + 1,), np.dtype("<u8"), padded, strides=(1,))  # the eight bytes from each place on
+        size = end - start
+        out = mixed(size.astype(np.uint64) * _SIZES + np.uint64(salt))
+        at = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+        place, left, h = start[at], size[at], out[at]
+        while len(at):
+            h = paired(h, self._eights[place] & _LOW_BYTES[np.minimum(left, 8)])
+            more = left > 8
+            done = ~more
+            out[at[done]] = h[done]
+            at, place, left, h = at[more], place[more] + 8, left[more] - 8, h[more]
+        for k in np.flatnonzero(size > LONG_SPAN).tolist():
+            digest = blake2b(self.data[start[k] : end[k]], digest_size=8, salt=salt.to_bytes(8, "little")).digest()
+            out[k] = int.from_bytes(digest, "little")
+        return out
+
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        return self.span_hash(self.start, self.end, salt)
 
 
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of h[i:i+width] for every i (as if one text); len(h)-width+1 values, or none."""
-    n = len(h)
-    if n < width:
+    """Hash of h[i:i+width] for every i (as if one text); len(h)-width+1 values, or none.
+
+    Hashes of 1, 2, 4, ... values are paired up; the powers of two that make up ``width`` are then put together.
+    """
+    n = len(h) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    power, inverse = powers(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * power[:n], out=prefix[1:])
-    return mixed((prefix[width:] - prefix[: n - width + 1]) * inverse[: n - width + 1])
+    power, size, out, done = h, 1, None, 0
+    while True:
+        if width & size:
+            part = power[done : done + n]
+            out = part if out is None else paired(out, part)
+            done += size
+        if 2 * size > width:
+            return out
+        power = paired(power[:-size], power[size:])
+        size *= 2
 
 
 def whole(off: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -157,8 +172,6 @@ def seen_before(keys: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """n booleans: positions within ``width`` of a true start."""
-    edge = np.zeros(n + 1, np.int64)
     at = np.flatnonzero(starts)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, np.minimum(at + width, n), -1)
-    return np.cumsum(edge[:-1]) > 0
+    edge = np.bincount(at, minlength=n + 1) - np.bincount(np.minimum(at + width, n), minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0

@@ -2,17 +2,19 @@
 
 Every benchmark item is cut into windows of 13 consecutive words (a shorter item is one window). The words of a window
 are ordered by rarity in the corpus; since containment must be exact, the prefix that two equal windows must share is
-one word long: the window's rarest. Documents are probed with these prefix words only. A document word that is one
-fixes, by the word's place in the window, where the window would have to begin (positional bound) and end (length
-bound); windows within the document are then verified word by word.
-
-The windows of a block of items are sent to all tasks. The block is bounded by ``block_words`` whatever the size of the
-benchmark; a larger benchmark takes several blocks, each joined with all documents, and the blocks' findings are merged
-per document. Word frequencies are counted over all documents, for the words of the block.
-
-Defined cases: null texts have no words and no windows; items with a null item_id are left out; an item_id that stands in
-several rows counts once; rows with equal doc_id and text are one document where several blocks are merged, and come
-back as often as they came.
+one word long: the window's rarest. A document word that is the prefix word of some window fixes, by the word's place in
+the window, where the window would have to begin (positional bound) and end (length bound). What passes these bounds
+is joined with the table of windows by the prefix word and all the words of the window, as text: a hit is verified word by word.
+
+Documents are not shuffled, and the benchmark is not broadcast. Tasks get filters of a fixed number of bits (Bloom filters of the
+prefix words, of their places and of the windows) and a table of 2**20 frequencies; a benchmark too large for them lets more
+candidates through to the join, and none is lost. Frequencies are counted over all documents, for all words of the benchmark;
+words that share one of the 2**20 places share their count, which can only change which word of a window is its prefix.
+
+Defined cases: null texts have no words and no windows; an item_id that stands in several rows counts once; a benchmark
+row with a null item_id has windows (they count as hits and contaminate) but no id to report; repeated and null document
+ids do no harm, as rows are told apart by row. Measures take the place of kept columns of their names; the pipeline's
+stage returns all columns as they came.
 """
 from __future__ import annotations
 
@@ -22,146 +24,190 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .bytesplit import LOWER, WORD_BYTES, Words, steps
+from .bytesplit import LOWER, WORD_BYTES, Words, mixed, rolling, steps
+from .carry import ROW, measured, opened, quoted
+from .scratch import staged
 
 WINDOW = 13
+#: Places of the frequency table (as a power of two) and bits of each filter.
+CELL_BITS, FILTER_BITS = 20, 1 << 22
+PREFIX, PLACED, WHOLE = range(3)
+_SPACED = bytes(b if WORD_BYTES[b] else 0x20 for b in LOWER.tolist())  # lower case, all that is not a word as a space
 
 
-class Block:
-    """Windows of some benchmark items as arrays: word ids by window, and the items each window belongs to."""
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
-    def __init__(self, item_ids: list, texts: list, width: int = WINDOW):
-        words, ids = [], {}
-        for _, _, data, off in steps(pa.array(texts, pa.string())):
-            w = Words(LOWER[data], off, WORD_BYTES)
-            h = w.hashes()
-            words += [h[a:b].tolist() for a, b in zip(w.off[:-1], w.off[1:], strict=True)]
-        for item, own in zip(item_ids, words, strict=True):
-            n = min(width, len(own))
-            for k in range(len(own) - n + 1 if own else 0):
-                ids.setdefault(tuple(own[k : k + n]), set()).add(str(item))
-        self.vocab = np.unique(np.array([x for window in ids for x in window], np.uint64))
-        self.length = np.array([len(w) for w in ids], np.int64)
-        self.window = np.full((len(ids), width), -2, np.int32)
-        for k, w in enumerate(ids):
-            self.window[k, : len(w)] = np.searchsorted(self.vocab, np.array(w, np.uint64))
-        self.items = [sorted(x) for x in ids.values()]
-
-    def word_ids(self, h: np.ndarray) -> np.ndarray:
-        """Index of each hash in the block's vocabulary, or -1."""
-        if not len(self.vocab) or not len(h):
-            return np.full(len(h), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
-        return np.where(self.vocab[at] == h, at, -1).astype(np.int32)
-
-    def order_by(self, frequency: np.ndarray) -> None:
-        """Prefix word of each window: its rarest; postings from that word to (window, place)."""
-        n = len(self.window)
-        place = np.zeros(n, np.int64)
-        prefix = np.zeros(n, np.int64)
-        for k in range(n):
-            own = self.window[k, : self.length[k]]
-            place[k] = np.lexsort((np.arange(len(own)), own, frequency[own]))[0]
-            prefix[k] = own[place[k]]
-        self.by_prefix = np.argsort(prefix, kind="stable")
-        self.first = np.searchsorted(prefix[self.by_prefix], np.arange(len(self.vocab) + 1))
-        self.place = place
-
-    def occurrences(self, ids: np.ndarray, doc: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, window) of every occurrence of a window among the words ``ids``."""
-        if not len(self.vocab):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(ids >= 0)
-        many = (self.first[1:] - self.first[:-1])[ids[at]]
-        at, many = at[many > 0], many[many > 0]
-        rank = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        window = self.by_prefix[np.repeat(self.first[ids[at]], many) + rank]
-        start = np.repeat(at, many) - self.place[window]
-        low, high = np.repeat(off[doc[at]], many), np.repeat(off[doc[at] + 1], many)
-        ok = (start >= low) & (start + self.length[window] <= high)
-        start, window = start[ok], window[ok]
-        for k in range(self.window.shape[1]):
-            short = self.length[window] <= k
-            ok = short | (ids[np.where(short, 0, start + k)] == self.window[window, k])
-            start, window = start[ok], window[ok]
-        return start, window
-
-
-def _read_block(benchmark: DataFrame, k: int, n_blocks: int, id_col: str, text_col: str) -> Block:
-    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
-    rows = rows.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == k).orderBy("i", "t").collect()  # at most block_words words, about
-    return Block([r["i"] for r in rows], [r["t"] for r in rows])
-
-
-def _with_frequencies(docs: DataFrame, block: Block, text_col: str) -> Block:
-    """Counts the block's words over all documents and orders the windows' words by rarity."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(block)
+
+def _bits(kind: int, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash in the filter of its kind; the three filters lie one after the other."""
+    two = mixed(h + np.uint64(kind + 1))
+    low = np.uint64(size - 1)
+    return (two & low).astype(np.int64) + kind * size, ((two >> np.uint64(32)) & low).astype(np.int64) + kind * size
+
+
+def _has(bits: np.ndarray, kind: int, h: np.ndarray) -> np.ndarray:
+    a, b = _bits(kind, h, len(bits) // 3)
+    return bits[a] & bits[b]
+
+
+def _placed(h: np.ndarray, n: np.ndarray | int, place: np.ndarray | int) -> np.ndarray:
+    """A prefix word together with the window's length and its place in it."""
+    return mixed(h ^ mixed(np.atleast_1d(np.asarray(n * 64 + place, np.uint64))))
+
+
+def _word_list(raw: bytes) -> list[bytes]:
+    return raw.translate(_SPACED).split()
+
+
+def _batches(source: DataFrame, text_col: str) -> DataFrame:
+    return source.select(quoted(text_col).cast("string").alias("t"))
+
+
+def _benchmark_cells(benchmark: DataFrame, text_col: str) -> np.ndarray:
+    """Which of the 2**20 places hold a word of the benchmark."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in steps(batch.column(0)):
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(np.unique(_cells(Words(LOWER[data], off, WORD_BYTES).hashes())), pa.int64())})
+
+    used = np.zeros(1 << CELL_BITS, bool)
+    used[[r["cell"] for r in _batches(benchmark, text_col).mapInArrow(cells, "cell long").distinct().collect()]] = True  # at most 2**20 rows
+    return used
+
+
+def _frequencies(docs: DataFrame, text_col: str, used: np.ndarray) -> np.ndarray:
+    """How often words of each used place occur in all documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(used))  # 2**17 bytes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        total = np.zeros(len(own.vocab) + 1, np.int64)
+        own = np.unpackbits(sent.value).astype(bool)
+        total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
             for _, _, data, off in steps(batch.column(0)):
-                total += np.bincount(own.word_ids(Words(LOWER[data], off, WORD_BYTES).hashes()) + 1, minlength=len(total))
-        some = np.flatnonzero(total[1:])
-        yield pa.RecordBatch.from_pydict({"w": pa.array(some, pa.int64()), "n": pa.array(total[1:][some], pa.int64())})
+                cell = _cells(Words(LOWER[data], off, WORD_BYTES).hashes())
+                total += np.bincount(cell[own[cell]], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
 
-    frequency = np.zeros(max(1, len(block.vocab)), np.int64)
-    if len(block.vocab):
-        for r in docs.select(F.col(text_col).cast("string")).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():  # as many as the block has words
-            frequency[r["w"]] = r["n"]
-    block.order_by(frequency)
-    return block
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    if used.any():
+        for r in _batches(docs, text_col).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most 2**20 rows
+            out[r["cell"]] = r["n"]
+    return out
 
 
-def _probe(docs: DataFrame, block: Block, keep: list[str], text_col: str) -> DataFrame:
-    """keep columns as _0.., key1, key2, n_words, hit (word positions) and items for one block."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-    asked = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep)], F.col(text_col).cast("string").alias("_t"))
-    schema = ", ".join([*(f"`_{k}` {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)), "n_words long, hit array<long>, items array<string>"])
+def benchmark_windows(benchmark: DataFrame, frequency: np.ndarray, id_col: str, text_col: str, width: int = WINDOW) -> DataFrame:
+    """(item, w, prefix, n, place, h_prefix, h_placed, h_whole): the windows of every row, with their prefix word and its place."""
+    sent = benchmark.sparkSession.sparkContext.broadcast(frequency)  # 2**20 numbers
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            n_words, hits, items = [], [], []
-            for a, b, data, off in steps(batch.column(len(keep))):
+            items, rows = batch.column(0).to_pylist(), []
+            for a, b, data, off in steps(batch.column(1)):
                 w = Words(LOWER[data], off, WORD_BYTES)
-                doc = w.doc()
-                start, window = own.occurrences(own.word_ids(w.hashes()), doc, w.off)
-                n_words += w.counts.tolist()
-                hit, item = [[] for _ in range(b - a)], [set() for _ in range(b - a)]
-                for s, x in zip(start.tolist(), window.tolist(), strict=True):
-                    d = doc[s]
-                    hit[d].append(range(s - w.off[d], s - w.off[d] + own.length[x]))
-                    item[d].update(own.items[x])
-                hits += [sorted({p for r in x for p in r}) for x in hit]
-                items += [sorted(x) for x in item]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*(f"_{k}" for k in range(len(keep))), "n_words", "hit", "items"])
-
-    return asked.mapInArrow(probe, schema)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, block_words: int = 500_000, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``keep`` columns (all by default), n_words, hit (positions), items (ids as strings, sorted) and contaminated."""
+                h = w.hashes()
+                for d in range(b - a):
+                    words, mine = _word_list(data[off[d] : off[d + 1]].tobytes()), h[w.off[d] : w.off[d + 1]]
+                    if not words:
+                        continue
+                    n = min(width, len(words))
+                    at = np.arange(len(words) - n + 1)[:, None] + np.arange(n)
+                    often = own[_cells(mine)][at]
+                    rare = np.where(often == often.min(axis=1, keepdims=True), mine[at], np.uint64(2**64 - 1)).argmin(axis=1)
+                    h_prefix = mine[at[:, 0] + rare]
+                    h_placed, h_whole = _placed(h_prefix, n, rare), rolling(mine, n)
+                    for k in range(len(at)):
+                        rows.append((items[a + d], b" ".join(words[k : k + n]).decode(), words[k + rare[k]].decode(), n, int(rare[k]), *(int(x[k].view(np.int64)) for x in (h_prefix, h_placed, h_whole))))
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            names = ["item", "w", "prefix", "n", "place", "h_prefix", "h_placed", "h_whole"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    asked = benchmark.select(quoted(id_col).cast("string").alias("i"), quoted(text_col).cast("string").alias("t"))
+    return asked.mapInArrow(cut, "item string, w string, prefix string, n int, place int, h_prefix long, h_placed long, h_whole long")
+
+
+def _filters(windows: DataFrame, size: int) -> np.ndarray:
+    """The three filters as packed bits; ``size``: bits of each, a power of two from 8 on."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [x for kind in (PREFIX, PLACED, WHOLE) for x in _bits(kind, batch.column(kind).to_numpy().view(np.uint64), size)]
+            yield pa.RecordBatch.from_pydict({"bit": pa.array(np.unique(np.concatenate(some)), pa.int64())})
+
+    out = np.zeros(3 * size, bool)
+    found = windows.select("h_prefix", "h_placed", "h_whole").mapInArrow(bits, "bit long").distinct().toArrow()  # at most 3 * size numbers
+    out[found["bit"].to_numpy()] = True
+    return np.packbits(out)
+
+
+_FOUND = StructField("_found", ArrayType(StructType([StructField("w", StringType()), StructField("prefix", StringType()), StructField("n", IntegerType()), StructField("starts", ArrayType(IntegerType()))])))
+_FOUND_ARROW = pa.list_(pa.struct([("w", pa.string()), ("prefix", pa.string()), ("n", pa.int32()), ("starts", pa.list_(pa.int32()))]))
+
+
+def _candidates(docs: DataFrame, text_col: str, keep: list[str], filters: np.ndarray, shapes: list[tuple[int, int]]) -> DataFrame:
+    """_row, n_words and _found: the windows of each document that pass all bounds and filters, with their places."""
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # 3 * FILTER_BITS bits
+
+    def probe(texts: pa.Array, more: dict) -> list[pa.Array]:
+        bits = np.unpackbits(sent.value).astype(bool)
+        counts, found = [np.zeros(0, np.int64)], []
+        for a, b, data, off in steps(texts):
+            w = Words(LOWER[data], off, WORD_BYTES)
+            h, rolled = w.hashes(), {}
+            counts.append(w.counts)
+            at = np.flatnonzero(_has(bits, PREFIX, h))
+            doc = np.searchsorted(w.off, at, "right") - 1
+            low, high = w.off[doc], w.off[doc + 1]
+            hits: dict[int, dict] = {}
+            for n, place in shapes:
+                start = at - place
+                ok = np.flatnonzero((start >= low) & (start + n <= high))
+                ok = ok[_has(bits, PLACED, _placed(h[at[ok]], n, place))]
+                if len(ok):
+                    if n not in rolled:
+                        rolled[n] = rolling(h, n)
+                    ok = ok[_has(bits, WHOLE, rolled[n][start[ok]])]
+                for d, s in zip(doc[ok].tolist(), (start[ok] - low[ok]).tolist(), strict=True):
+                    hits.setdefault(d, {}).setdefault((n, place), []).append(s)
+            for d in range(b - a):
+                own: dict[tuple, list] = {}
+                if d in hits:
+                    words = _word_list(data[off[d] : off[d + 1]].tobytes())
+                    for (n, place), places in hits[d].items():
+                        for s in places:
+                            own.setdefault((b" ".join(words[s : s + n]), words[s + place], n), []).append(s)
+                found.append([{"w": x.decode(), "prefix": p.decode(), "n": n, "starts": s} for (x, p, n), s in own.items()])
+        return [pa.array(np.concatenate(counts), pa.int64()), pa.array(found, _FOUND_ARROW)]
+
+    return measured(docs, text_col, [StructField("n_words", LongType()), _FOUND], probe, keep)
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str, keep: list[str], item_id: str, item_text: str, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """_row, n_words, n_hit, hits, items and contaminated."""
+    frequency = _frequencies(docs, text_col, _benchmark_cells(benchmark, item_text))
+    windows = staged(benchmark_windows(benchmark, frequency, item_id, item_text), "windows")
+    shapes = sorted((r["n"], r["place"]) for r in windows.select("n", "place").distinct().collect())  # at most 13 * 13
+    own = staged(_candidates(docs, text_col, keep, _filters(windows, filter_bits), shapes).withColumn("_uid", F.monotonically_increasing_id()), "probed")
+    probes = own.filter(F.size("_found") > 0).select("_uid", F.inline("_found"))
+    real = staged(probes.join(windows.select("prefix", "w").distinct(), ["prefix", "w"]), "hits")
+    ends = real.select("_uid", "n", F.explode("starts").alias("start")).groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("hits"))  # of one document
+    covered = F.aggregate("hits", F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(F.greatest(a["to"], x["end"]).alias("to"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["to"], x["start"]))).alias("n")))["n"]
+    named = real.select("_uid", "prefix", "w").join(windows.filter("item is not null").select("prefix", "w", "item").distinct(), ["prefix", "w"])
+    named = named.groupBy("_uid").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = staged(ends.join(named, "_uid", "left").select("_uid", covered.alias("n_hit"), "hits", "items"), "found")
+    out = own.drop("_found").join(found, "_uid", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "hits": F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``keep`` columns (all by default), n_words, n_hit, hits (word ranges of all occurrences), items (ids as strings, sorted) and contaminated."""
     keep = docs.columns if keep is None else keep
-    size = benchmark.agg(F.coalesce(F.sum(F.size(F.split(F.col(item_text), "[^0-9A-Za-z\\x80-\\x{10FFFF}]+"))), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // block_words))
-    found = [_probe(docs, _with_frequencies(docs, _read_block(benchmark, k, n_blocks, item_id, item_text), text_col), [*keep] if n_blocks == 1 else [*keep, text_col], text_col) for k in range(n_blocks)]
-    names = [f"_{k}" for k in range(len(keep))]
-    if n_blocks == 1:
-        out = found[0]
-    else:
-        same = [*names, f"_{len(keep)}"]
-        parts = [f.withColumn("block", F.lit(k)) for k, f in enumerate(found)]
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        merged = union.groupBy(*same).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count(F.when(F.col("block") == 0, 1)).alias("times"))
-        out = merged.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    n_hit = F.size("hit").cast("long")
-    return out.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(keep)], "n_words", n_hit.alias("n_hit"), "hit", "items", ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return opened(_contaminated(docs, benchmark, text_col, keep, item_id, item_text, filter_bits), keep, ["n_words", "n_hit", "hits", "items", "contaminated"])
 
 
 def decontaminate_query(spark, sf_dir: str) -> DataFrame:
@@ -170,7 +216,23 @@ def decontaminate_query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+_SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+DECONTAMINATE_SQL = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[p + 1:p + least(13, len(w))], ' ') AS t
+       FROM (SELECT *, unnest(range(len(w) - least(13, len(w)) + 1)) AS p FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, unnest(range(len(w) - n + 1)) AS p, w FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+h AS (SELECT doc_id, item_id, p, x.n FROM (SELECT doc_id, n, p, array_to_string(w[p + 1:p + n], ' ') AS t FROM dw) x JOIN bw USING (n, t)),
+c AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS i FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+"""
+
+
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't contaminated."""
-    names = docs.columns
-    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("not contaminated").select(*names)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _contaminated(docs, bench, "text", docs.columns, "item_id", "text").filter("not contaminated").select(f"{ROW}.*")

@@ -2,21 +2,31 @@
 
 Lines are the pieces between line feeds; lines without a word (only tab to carriage return, and space) are passed over
 when windows are formed and are never removed. Every three consecutive worded lines of a document are a window. The
-first occurrence of a window, by (doc_id, line), stays; every line that any later occurrence covers is removed. Windows
-are judged on the input, not on what is left.
+first occurrence of a window stays; every line that any later occurrence covers is removed. Windows are judged on the
+input, not on what is left.
+
+Occurrences are ordered by (doc_id, key of the text, copy, line). So where rows share a doc_id, or have none, the row
+whose text has the smaller 64-bit key counts as the earlier one, and of rows with the same doc_id and the same text one is
+the first copy (by the order in which they were written to the shared folder), and every later copy loses all lines that
+its windows cover.
 
 Defined cases: null texts stay null; a text of fewer than three worded lines keeps all; a null doc_id comes after all
-others; rows with the same doc_id and text are one document to the operator (both are treated alike).
+others. The measures n_lines and n_removed take the place of columns of these names; the pipeline's stage returns all
+columns as they came.
 
-Shuffles: windows travel as 96-bit hashes with a position, never as text; a window that stands in very many documents
+Shuffles: windows travel as 128-bit hashes with a position, never as text; a window that stands in very many documents
 is reduced by a map-side minimum, and the join that brings the minimum back is an equi-join Spark can split on skew.
-The text moves once, keyed by document, with the positions to remove.
+The text moves once, keyed by document, with the sorted positions to remove. They are turned into one mask over the lines,
+so the work on a text grows with its lines alone.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carry import ROW, quoted, row_of
+from .scratch import staged
+
 #: Stands for a null id: after all others.
 NO_ID = 2**63 - 1
 WORDED = "[^\\x20\\x09-\\x0D]"
@@ -26,46 +36,76 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _id_and_key(id_col: str, text: Column) -> list[Column]:
+    return [F.coalesce(quoted(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_key")]
+
+
 def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, text_key, at, h1, h2, lines): hashes of each window and the indexes of the lines it covers."""
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text_col).alias("_key"), _lines(F.col(text_col)).alias("_l"))
-    d = d.filter(F.size("_l") >= width)
-    worded = F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(WORDED), F.xxhash64(x)).alias("a"), F.hash(x).alias("b"))), lambda s: s["a"].isNotNull())
-    d = d.select("_id", "_key", worded.alias("_w")).filter(F.size("_w") >= width)
-    w = F.col("_w")
-    made = F.transform(
-        F.sequence(F.lit(0), F.size("_w") - width),
-        lambda k: F.struct(
-            F.xxhash64(*[F.element_at(w, (k + j + 1).cast("int"))["a"] for j in range(width)]).alias("h1"),
-            F.hash(*[F.element_at(w, (k + j + 1).cast("int"))["b"] for j in range(width)]).alias("h2"),
-            F.array(*[F.element_at(w, (k + j + 1).cast("int"))["i"] for j in range(width)]).alias("lines"),
-        ),
-    )
-    return d.select("_id", "_key", F.explode(made).alias("_x")).select("_id", "_key", "_x.*")
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(_id, _key, drop): the line indexes covered by later occurrences, merged per document."""
-    windows = line_windows(docs, id_col, text_col, width)
-    place = F.struct("_id", F.element_at("lines", 1).alias("at"))
+    """(_id, _key, nth, h1, h2, lines): hashes of each window and the indexes of the lines it covers; nth counts from 0."""
+    text = quoted(text_col).cast("string")
+    d = docs.select(*_id_and_key(id_col, text), _lines(text).alias("_l")).filter(F.size("_l") >= width)
+    line = lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(WORDED), F.xxhash64(x)).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
+    d = d.select("_id", "_key", F.filter(F.transform("_l", line), lambda s: s["a"].isNotNull()).alias("_w")).filter(F.size("_w") >= width)
+    # the same lines, shifted by one, two, ...: side by side they are the windows
+    shifted = [F.slice("_w", j + 1, F.size("_w") - width + 1).alias(f"s{j}") for j in range(width)]
+    d = d.select("_id", "_key", F.posexplode(F.arrays_zip(*shifted)).alias("nth", "_z"))
+    part = lambda name: [F.col("_z")[f"s{j}"][name] for j in range(width)]
+    return d.select("_id", "_key", "nth", F.xxhash64(*part("a")).alias("h1"), F.xxhash64(*part("b")).alias("h2"), F.array(*part("i")).alias("lines"))
+
+
+def repeated_lines(windows: DataFrame) -> DataFrame:
+    """(_id, _key, drop): the sorted line indexes covered by later occurrences, merged per document."""
+    place = F.struct("_id", "_key", "nth")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).filter(place > F.col("first"))
-    return later.select("_id", "_key", F.explode("lines").alias("i")).groupBy("_id", "_key").agg(F.collect_set("i").alias("drop"))
+    return later.select("_id", "_key", F.explode("lines").alias("i")).groupBy("_id", "_key").agg(F.sort_array(F.collect_set("i")).alias("drop"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every row as a struct, its id and text key, and whether it is a later copy (none is, until copies are told apart)."""
+    return docs.select(row_of(docs.columns).alias(ROW), *_id_and_key(id_col, quoted(text_col).cast("string")), F.lit(False).alias("_again"))
+
+
+def _told_apart(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``rows``, with ``_again`` for all but one of the rows that ``copies`` (_id, _key) names; only these are staged."""
+    several = staged(rows.join(copies, ["_id", "_key"], "left_semi").withColumn("_n", F.monotonically_increasing_id()), "line-copies")
+    one = several.groupBy("_id", "_key").agg(F.min("_n").alias("_first"))
+    several = several.join(one, ["_id", "_key"]).withColumn("_again", F.col("_n") > F.col("_first"))
+    columns = [ROW, "_id", "_key", "_again"]
+    return rows.join(copies, ["_id", "_key"], "left_anti").select(*columns).unionByName(several.select(*columns))
+
+
+def _mask(drop: Column, n: Column) -> Column:
+    """n booleans, false at the sorted positions ``drop``."""
+    before = lambda k: F.when(k > 0, F.get(drop, k - 1)).otherwise(-1)
+    runs = F.transform(F.sequence(F.lit(0), F.size(drop) - 1), lambda k: F.concat(F.array_repeat(F.lit(True), F.get(drop, k) - before(k) - 1), F.array(F.lit(False))))
+    return F.concat(F.flatten(runs), F.array_repeat(F.lit(True), n - F.element_at(drop, -1) - 1))
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """_row, _text (what is kept), n_lines and n_removed."""
+    windows = staged(line_windows(docs, id_col, text_col, width), "line-windows")
+    gone = repeated_lines(windows)
+    rows = _rows(docs, id_col, text_col)
+    copies = staged(windows.filter("nth = 0").groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id", "_key"), "copied-rows")
+    if copies.limit(1).count():
+        rows = _told_apart(rows, copies)
+    both = rows.join(gone, ["_id", "_key"], "left")
+    text = F.col(ROW)[text_col].cast("string")
+    worded = F.transform(_lines(text), lambda x: ~x.rlike(WORDED))  # a later copy keeps only what no window covers
+    mask = F.when(F.col("_again"), worded).when(F.col("drop").isNotNull(), _mask(F.col("drop"), F.size(_lines(text))))
+    kept = F.transform(F.filter(F.arrays_zip(_lines(text).alias("x"), mask.alias("m")), lambda z: z["m"]), lambda z: z["x"])
+    touched = F.col("_again") | F.col("drop").isNotNull()
+    removed = F.when(F.col("_again"), F.size(F.filter(_lines(text), lambda x: x.rlike(WORDED)))).when(F.col("drop").isNotNull(), F.size("drop")).otherwise(0)
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(_lines(text)))
+    return both.select(ROW, F.when(touched, F.array_join(kept, "\n")).otherwise(text).alias("_text"), n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``docs`` with the text's repeated lines removed, and two more columns: n_lines and n_removed."""
-    names = docs.columns
-    gone = repeated_lines(docs, id_col, text_col, width)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_a"), F.xxhash64(text_col).alias("_b"))
-    both = own.join(gone, (F.col("_a") == F.col("_id")) & (F.col("_b") == F.col("_key")), "left")
-    text = F.col("_row")[text_col]
-    left = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains("drop", i.cast("int"))), "\n")
-    both = both.select("_row", F.when(F.col("drop").isNull(), text).otherwise(left).alias("_kept"), F.coalesce(F.size(_lines(text)), F.lit(0)).alias("_n"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias("_r"))
-    return both.select(
-        *[F.col("_kept").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names],
-        F.when(text.isNull(), 0).otherwise(F.col("_n")).cast("long").alias("n_lines"), F.col("_r").cast("long").alias("n_removed"),
-    )
+    out = _deduped(docs, id_col, text_col, width)
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(ROW)[c].alias(c) for c in names], "n_lines", "n_removed")
 
 
 def line_dedup_query(spark, sf_dir: str) -> DataFrame:
@@ -90,8 +130,8 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """The documents with repeated lines removed; ``n_chars`` follows the text where the table has it."""
-    names = docs.columns
-    out = without_repeated_lines(docs)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    out, kinds = _deduped(docs, "doc_id", "text", 3), {f.name: f.dataType for f in docs.schema}
+    own = {"text": F.col("_text").cast(kinds["text"]).alias("text")}
+    if "n_chars" in kinds:
+        own["n_chars"] = F.length("_text").cast(kinds["n_chars"]).alias("n_chars")
+    return out.select(*[own.get(c, F.col(ROW)[c].alias(c)) for c in docs.columns])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .bytesplit import Words, mixed
 from .scratch import staged
-from .segments import Segment, bucket_of, cuts, each, n_buckets, planes, segments, unplanes
+from .segments import Layout, Segment, bucket_of, cuts, each, planes, segments, unplanes
 
 MARK = 0xFF
 #: Context bytes of the query's model.
@@ -197,8 +197,9 @@ def log_scores(kinds: np.ndarray, count: np.ndarray, order: int, low: Trie) -> n
     return out.astype(np.float32)
 
 
-def gram_scores(segs: DataFrame, buckets: int, order: int, trie) -> DataFrame:
+def gram_scores(segs: DataFrame, layout: Layout, order: int, trie) -> DataFrame:
     """(seg, bucket, scores): the log probabilities of each segment's distinct grams, by bucket."""
+    buckets = layout.buckets
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seg in each(batches):
@@ -220,7 +221,7 @@ def gram_scores(segs: DataFrame, buckets: int, order: int, trie) -> DataFrame:
         cut = np.cumsum([0, *(len(x) for x in sent)])
         return pa.table({"seg": table["seg"], "bucket": table["bucket"], "scores": pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
-    return segs.mapInArrow(send, "bucket int, seg long, g binary, n binary").groupBy("bucket").applyInArrow(answer, "seg long, bucket int, scores binary")
+    return layout.by_bucket(segs.mapInArrow(send, "bucket int, seg long, g binary, n binary")).applyInArrow(answer, "seg long, bucket int, scores binary")
 
 
 def _words_of(seg: Segment) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -229,8 +230,9 @@ def _words_of(seg: Segment) -> tuple[Words, np.ndarray, np.ndarray]:
     return w, h, np.unique(np.append(h, END_HASH)) if len(seg.ids) else np.zeros(0, np.uint64)
 
 
-def word_counts(segs: DataFrame, buckets: int) -> DataFrame:
+def word_counts(segs: DataFrame, layout: Layout) -> DataFrame:
     """(seg, bucket, counts, total, kinds): the corpus counts of each segment's distinct words, in the order of their hashes."""
+    buckets = layout.buckets
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seg in each(batches):
@@ -253,7 +255,7 @@ def word_counts(segs: DataFrame, buckets: int) -> DataFrame:
         rest = [0] * (len(sent) - 1)
         return pa.table({"seg": table["seg"], "bucket": table["bucket"], "counts": pa.array([planes(count[at[a:b]].astype(np.uint64), 8) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "total": pa.array([first[0], *rest], pa.int64()), "kinds": pa.array([first[1], *rest], pa.int64())})
 
-    return segs.mapInArrow(send, "bucket int, seg long, h binary, n binary").groupBy("bucket").applyInArrow(answer, "seg long, bucket int, counts binary, total long, kinds long")
+    return layout.by_bucket(segs.mapInArrow(send, "bucket int, seg long, h binary, n binary")).applyInArrow(answer, "seg long, bucket int, counts binary, total long, kinds long")
 
 
 def logs_of(code: np.ndarray, logs: np.ndarray, order: int, buckets: int) -> np.ndarray:
@@ -274,15 +276,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     if not 2 <= order <= 6:
         raise ValueError(f"order is {order}, not 2 to 6")
     spark = docs.sparkSession
-    buckets = n_buckets(spark)
     segs = segments(docs, id_col, text_col, lower=True, name="ppm")
-    low = trie_counts(segs).toPandas()  # at most 2**24 rows
-    trie = spark.sparkContext.broadcast(Trie(uuid.uuid4().hex, low["code"].to_numpy(np.int64), low["n"].to_numpy(np.int64)))
-    counts = staged(word_counts(segs, buckets), "word-counts")
+    layout = Layout(segs)
+    buckets = layout.buckets
+    low = trie_counts(segs).toPandas()  # at most 2**24 rows, whatever the corpus
+    trie = spark.sparkContext.broadcast(Trie(uuid.uuid4().hex, low["code"].to_numpy(np.uint32), low["n"].to_numpy(np.int64)))
+    counts = staged(word_counts(segs, layout), "word-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     floor = np.log10(total + 0.5 * (kinds + 1))
     none = F.lit(None).cast("binary")
-    back = counts.select("seg", "bucket", "counts", none.alias("scores")).unionByName(gram_scores(segs, buckets, order, trie).withColumn("counts", none))
+    back = counts.select("seg", "bucket", "counts", none.alias("scores")).unionByName(gram_scores(segs, layout, order, trie).withColumn("counts", none))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         got = sorted(zip(right["bucket"].to_pylist(), right["counts"].to_pylist(), right["scores"].to_pylist(), strict=True), key=lambda x: x[0])
@@ -306,7 +309,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             }))
         return pa.concat_tables(parts) if parts else _EMPTY.to_table()
 
-    out = segs.groupBy("seg").cogroup(back.groupBy("seg")).applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = layout.by_segment(segs).cogroup(layout.by_segment(back)).applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 

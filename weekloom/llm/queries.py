@@ -1,12 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
-from .decontaminate import decontaminate_query
+from .decontaminate import DECONTAMINATE_SQL, decontaminate_query
 from .linedup import LINE_DEDUP_SQL, line_dedup_query
-from .neardup import near_dup_query
+from .neardup import NEAR_DUP_SQL, near_dup_query
 from .packing import packing_query
 from .ppm import lm_query
-from .quality import quality_query
+from .quality import QUALITY_SQL, quality_query
 from .repeats import REPEATS_SQL, repeats_query
-from .secrets import secrets_query
+from .secrets import SECRETS_SQL, secrets_query
 from .tokencounts import token_count_query
 from .warc import WARC_SQL, warc_query
 
@@ -22,4 +22,12 @@ QUERIES = {
     "op9_near_dup": near_dup_query,
     "op10_line_dedup": line_dedup_query,
 }
-ORACLES = {"op1_warc": WARC_SQL, "op3_substring_dedup": REPEATS_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
+ORACLES = {
+    "op1_warc": WARC_SQL,
+    "op2_secrets": SECRETS_SQL,
+    "op3_substring_dedup": REPEATS_SQL,
+    "op5_decontaminate": DECONTAMINATE_SQL,
+    "op7_quality": QUALITY_SQL,
+    "op9_near_dup": NEAR_DUP_SQL,
+    "op10_line_dedup": LINE_DEDUP_SQL,
+}

@@ -9,7 +9,9 @@ verified window that covers it also starts in a document with a smaller id; wind
 Hashes travel through segments (see ``segments``): each distinct probe of a segment once, 5 bytes, with a mark if it is
 also a grid block there; a probe counts as hit if its bucket got it from two segments (or the segment holds it twice)
 and some document has it on its grid. 50-word windows around anchors then travel once per segment with the smallest id
-there, as full 64-bit hashes; the bucket answers with the smallest id anywhere.
+there, by fingerprints of 128 bits made of two independent hashes of every word; the bucket answers with the smallest id
+anywhere. Two different windows have the same fingerprint with a chance of about 2**-128, which is below 1 in 10**11
+over all pairs of the windows of 100 TB of text; the words themselves are not sent a second time.
 
 Defined cases: a null text has no words; a text under 50 words keeps all; rows with the same id never remove each
 other's words; a null id comes after all others (equal among nulls).
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytesplit import Words, covered, found_twice, rolling, whole
 from .scratch import staged
-from .segments import Segment, bucket_of, cuts, each, n_buckets, planes, segments, unplanes
+from .segments import Layout, Segment, bucket_of, cuts, each, planes, segments, unplanes
 
 #: Bytes of a probe's hash that travel; with the bucket's share of the bits, false hits are rare, and verified away.
 PROBE_BYTES = 5
@@ -44,8 +46,9 @@ def _narrow(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(4)) & np.uint64((1 << (8 * PROBE_BYTES)) - 1)
 
 
-def anchors(segs: DataFrame, block: int, buckets: int) -> DataFrame:
+def anchors(segs: DataFrame, block: int, layout: Layout) -> DataFrame:
     """(seg, bucket, hits): the probes of a segment that another segment shares, if one of them is a grid block."""
+    buckets = layout.buckets
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seg in each(batches):
@@ -60,10 +63,9 @@ def anchors(segs: DataFrame, block: int, buckets: int) -> DataFrame:
             key, on_grid = key[first], on_grid[first]  # a grid block comes first among equals
             cut = cuts(key, buckets)
             rows = []
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(cut)).tolist():
                 k, g = key[cut[b] : cut[b + 1]], on_grid[cut[b] : cut[b + 1]]
-                if len(k):
-                    rows.append((b, planes(_narrow(np.concatenate([k[g], k[~g]])), PROBE_BYTES), int(g.sum())))
+                rows.append((b, planes(_narrow(np.concatenate([k[g], k[~g]])), PROBE_BYTES), int(g.sum())))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([seg.seg] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["bucket", "seg", "h", "blocks"])
 
     def answer(table: pa.Table) -> pa.Table:
@@ -83,21 +85,30 @@ def anchors(segs: DataFrame, block: int, buckets: int) -> DataFrame:
         some = np.flatnonzero(np.diff(cut))
         return pa.table({"seg": table["seg"].take(pa.array(some)), "bucket": table["bucket"].take(pa.array(some)), "hits": pa.array([planes(key[order[cut[k] : cut[k + 1]]], PROBE_BYTES) for k in some], pa.binary())})
 
-    return segs.mapInArrow(send, "bucket int, seg long, h binary, blocks long").groupBy("bucket").applyInArrow(answer, "seg long, bucket int, hits binary")
+    return layout.by_bucket(segs.mapInArrow(send, "bucket int, seg long, h binary, blocks long")).applyInArrow(answer, "seg long, bucket int, hits binary")
 
 
-def _local_min(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the smallest id of each."""
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    return key[first], ids[first]
+def _fingerprints(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of every window: together its fingerprint."""
+    return rolling(w.hashes(), window), rolling(w.hashes(1), window)
 
 
-def verified_windows(segs: DataFrame, hits: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(seg, h, ids): windows around anchors whose smallest id anywhere is below the segment's own, with that id."""
-    block = window // 2
+def _starts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where runs of equal pairs begin, in sorted pairs."""
+    return np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+
+
+def _local_min(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct fingerprints and the smallest id of each."""
+    order = np.lexsort((ids, two, one))
+    one, two, ids = one[order], two[order], ids[order]
+    first = _starts(one, two)
+    return one[first], two[first], ids[first]
+
+
+def verified_windows(segs: DataFrame, hits: DataFrame, window: int, layout: Layout) -> DataFrame:
+    """(seg, h, ids): fingerprints of windows around anchors whose smallest id anywhere is below the segment's own, with that id."""
+    block, buckets = window // 2, layout.buckets
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -115,61 +126,64 @@ def verified_windows(segs: DataFrame, hits: DataFrame, window: int, buckets: int
             mark = np.zeros(len(h) + 1, np.int64)
             mark[1 + at[anchor]] = 1
             seen = np.cumsum(mark)
-            wide, fits = rolling(w.hashes(), window), whole(w.off, window, len(w.start))
-            p = np.flatnonzero(fits)
+            one, two = _fingerprints(w, window)
+            p = np.flatnonzero(whole(w.off, window, len(w.start)))
             p = p[seen[p + window - block + 1] > seen[p]]  # an anchor begins at p .. p + window - block
-            key, least = _local_min(wide[p], seg.ids[w.doc()[p]])
-            cut = cuts(key, buckets)
-            rows += [(b, seg.seg, key[x:y].tobytes(), planes(least[x:y].astype(np.uint64), 8)) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+            one, two, least = _local_min(one[p], two[p], seg.ids[w.doc()[p]])
+            cut = cuts(one, buckets)
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                x, y = cut[b], cut[b + 1]
+                rows.append((b, seg.seg, np.concatenate([one[x:y], two[x:y]]).tobytes(), planes(least[x:y].astype(np.uint64), 8)))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "seg": pa.array([r[1] for r in rows], pa.int64()), "h": pa.array([r[2] for r in rows], pa.binary()), "ids": pa.array([r[3] for r in rows], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, np.uint64) for x in table["h"].to_pylist()]
-        size = np.array([len(x) for x in sent])
-        key, owner = np.concatenate(sent), np.repeat(np.arange(len(sent)), size)
+        sent = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table["h"].to_pylist()]
+        size = np.array([x.shape[1] for x in sent])
+        (one, two), owner = np.concatenate(sent, axis=1), np.repeat(np.arange(len(sent)), size)
         ids = np.concatenate([unplanes(x, 8) for x in table["ids"].to_pylist()]).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        key, ids, owner = key[order], ids[order], owner[order]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        least = np.repeat(np.minimum.reduceat(ids, start), np.diff(np.concatenate([start, [len(key)]])))
+        order = np.lexsort((two, one))
+        one, two, ids, owner = one[order], two[order], ids[order], owner[order]
+        start = _starts(one, two)
+        least = np.repeat(np.minimum.reduceat(ids, start), np.diff(np.append(start, len(one))))
         less = least < ids
-        key, least, owner = key[less], least[less], owner[less]
+        one, two, least, owner = one[less], two[less], least[less], owner[less]
         order = np.argsort(owner, kind="stable")
         cut = np.searchsorted(owner[order], np.arange(len(sent) + 1))
         some = np.flatnonzero(np.diff(cut))
         parts = [order[cut[k] : cut[k + 1]] for k in some]
-        return pa.table({"seg": table["seg"].take(pa.array(some)), "h": pa.array([key[x].tobytes() for x in parts], pa.binary()), "ids": pa.array([least[x].tobytes() for x in parts], pa.binary())})
+        return pa.table({"seg": table["seg"].take(pa.array(some)), "h": pa.array([np.concatenate([one[x], two[x]]).tobytes() for x in parts], pa.binary()), "ids": pa.array([least[x].tobytes() for x in parts], pa.binary())})
 
-    sent = segs.groupBy("seg").cogroup(hits.groupBy("seg")).applyInArrow(send, "bucket int, seg long, h binary, ids binary")
-    return sent.groupBy("bucket").applyInArrow(answer, "seg long, h binary, ids binary")
+    sent = layout.by_segment(segs).cogroup(layout.by_segment(hits)).applyInArrow(send, "bucket int, seg long, h binary, ids binary")
+    return layout.by_bucket(sent).applyInArrow(answer, "seg long, h binary, ids binary")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """(id, n_words, n_removed, kept_text), one row per input row; kept words are joined by one space."""
-    spark = docs.sparkSession
-    buckets = n_buckets(spark)
     segs = segments(docs, id_col, text_col, name="repeats")
-    hits = staged(anchors(segs, window // 2, buckets), "anchors")
-    found = staged(verified_windows(segs, hits, window, buckets), "windows")
+    layout = Layout(segs)
+    hits = staged(anchors(segs, window // 2, layout), "anchors")
+    found = staged(verified_windows(segs, hits, window, layout), "windows")
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"id": [], "n_words": [], "n_removed": [], "kept_text": []}
-        key = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right["h"].to_pylist())])
-        least = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in right["ids"].to_pylist())])
-        order = np.argsort(key, kind="stable")
-        key, least = key[order], least[order]
+        sent = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in right["h"].to_pylist()]
+        far_one, far_two = np.concatenate([np.zeros((2, 0), np.uint64), *sent], axis=1)
+        far_ids = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in right["ids"].to_pylist())])
         for seg in each(left):
             w = Words(seg.data, seg.off)
-            wide, fits = rolling(w.hashes(), window), whole(w.off, window, len(w.start))
-            p = np.flatnonzero(fits)
-            own_id, h = seg.ids[w.doc()[p]], wide[p]
-            local, local_least = _local_min(h, own_id)
-            lowest = local_least[np.searchsorted(local, h)]
-            if len(key):
-                at = np.minimum(np.searchsorted(key, h), len(key) - 1)
-                lowest = np.where(key[at] == h, np.minimum(lowest, least[at]), lowest)
+            one, two = _fingerprints(w, window)
+            p = np.flatnonzero(whole(w.off, window, len(w.start)))
+            own_id = seg.ids[w.doc()[p]]
+            # the segment's own windows and the answers, sorted together: runs of equal fingerprints share their least id
+            all_one, all_two = np.concatenate([one[p], far_one]), np.concatenate([two[p], far_two])
+            all_ids = np.concatenate([own_id, far_ids])
+            order = np.lexsort((all_two, all_one))
+            start = _starts(all_one[order], all_two[order])
+            lowest = np.empty(len(order), np.int64)
+            if len(order):
+                lowest[order] = np.repeat(np.minimum.reduceat(all_ids[order], start), np.diff(np.append(start, len(order))))
             again = np.zeros(len(w.start), bool)
-            again[p[lowest < own_id]] = True
+            again[p[lowest[: len(p)] < own_id]] = True
             gone = covered(again, window, len(w.start))
             n_gone = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.off])
             for d in range(len(seg.ids)):
@@ -182,7 +196,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out["n_removed"].append(n_gone)
         return pa.table({"id": pa.chunked_array(out["id"], pa.int64()), "n_words": pa.array(np.concatenate([np.zeros(0, np.int64), *out["n_words"]]), pa.int64()), "n_removed": pa.array(np.concatenate([np.zeros(0, np.int64), *out["n_removed"]]), pa.int64()), "kept_text": pa.array(out["kept_text"], pa.string())})
 
-    return segs.groupBy("seg").cogroup(found.groupBy("seg")).applyInArrow(remove, "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    back = layout.by_segment(segs).cogroup(layout.by_segment(found))
+    return back.applyInArrow(remove, "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
 def repeats_query(spark, sf_dir: str) -> DataFrame:

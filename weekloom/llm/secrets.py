@@ -1,27 +1,40 @@
 """Secret scans over a trigram inverted index.
 
 From each rule's regular expression a Boolean query over lower-cased trigrams is derived: trigrams that every match
-must hold (AND), and alternatives (OR). Documents are indexed by segment: a task inverts the texts of its batch into
-postings (trigram -> rows), for the trigrams that some rule asks for, evaluates each rule's query by intersecting and
-uniting postings, and runs the regular expression on the candidates alone. A rule without a mandatory trigram is run on
-every text. The index is partitioned by document, as the texts are, so neither postings nor texts are shuffled, and a
-hot source or trigram stays spread over all tasks.
+must hold (AND), and alternatives (OR). ``trigram_index`` inverts the corpus once, for any set of rules: documents are
+dealt into segments, and a segment holds, beside its rows and texts, the sorted list of all trigrams (of UTF-8 bytes, ASCII
+letters in lower case) and for each of them its postings, the rows that hold it. The index is a table that can be written
+and searched again with other rules. ``search`` looks up the trigrams of each rule's query, intersects and unites postings,
+and runs the regular expression on the candidates alone. A rule without a mandatory trigram is run on every text.
+
+The index is partitioned by document, as the texts are, so neither postings nor texts are shuffled, and a hot source or
+trigram stays spread over all tasks. A segment has at most 256 rows, so a posting is one byte, and about ``SEGMENT_BYTES``
+of text; a longer text is a segment of its own.
 
 Defined cases: a null text counts as empty; every input row gives one output row, whatever its id; matches are leftmost
-and do not overlap within a rule; positions are code points, ends exclusive.
+and do not overlap within a rule; positions are code points, ends exclusive. A kept column named ``spans`` gives way to
+the measure of that name.
 """
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from re import _constants as sre
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+
+from .bytesplit import LOWER, text_buffers
+from .carry import ROW, opened, quoted, row_of
+from .scratch import staged
+
+SEGMENT_ROWS, SEGMENT_BYTES = 256, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -60,11 +73,17 @@ EXACT = 64
 
 
 def _trigrams(s: str):
-    """AND of the trigrams of a literal; None (no demand) for shorter ones."""
-    got = frozenset(s[k : k + 3] for k in range(len(s) - 2))
+    """AND of the trigrams of a literal, as UTF-8 bytes; None (no demand) for shorter ones."""
+    raw = s.encode()
+    got = frozenset(raw[k : k + 3] for k in range(len(raw) - 2))
     return ("and", *sorted(got)) if got else None
 
 
+def _low(code: int) -> str:
+    """A character with ASCII letters in lower case, as in the index."""
+    return chr(code + 32 if 0x41 <= code <= 0x5A else code)
+
+
 def _both(a, b):
     return b if a is None else a if b is None or a == b else ("and", *((a[1:] if a[0] == "and" else (a,)) + (b[1:] if b[0] == "and" else (b,))))
 
@@ -85,9 +104,9 @@ def trigram_query(pattern: str):
         out: set[str] = set()
         for op, arg in items:
             if op is sre.LITERAL:
-                out.add(chr(arg).lower())
+                out.add(_low(arg))
             elif op is sre.RANGE and arg[1] - arg[0] < 8:
-                out |= {chr(c).lower() for c in range(arg[0], arg[1] + 1)}
+                out |= {_low(c) for c in range(arg[0], arg[1] + 1)}
             else:
                 return None
         return out if len(out) <= 8 else None
@@ -108,7 +127,7 @@ def trigram_query(pattern: str):
     def one(part):
         op, arg = part
         if op is sre.LITERAL:
-            return {chr(arg).lower()}, None
+            return {_low(arg)}, None
         if op is sre.IN:
             return chars(arg), None
         if op is sre.SUBPATTERN:
@@ -134,40 +153,77 @@ def trigram_query(pattern: str):
     return _exact_query(exact) if exact is not None else query
 
 
-def leaves(query) -> set[str]:
+def leaves(query) -> set[bytes]:
     """The trigrams of a query."""
-    return set() if query is None else {query} if isinstance(query, str) else set().union(*(leaves(x) for x in query[1:]))
+    return set() if query is None else {query} if isinstance(query, bytes) else set().union(*(leaves(x) for x in query[1:]))
 
 
-class SegmentIndex:
-    """Postings of one batch of texts, for the given trigrams."""
+def inverted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigrams, offsets, postings) of the texts of a segment: which rows hold each of the sorted distinct trigrams."""
+    data, off = text_buffers(texts)
+    low = LOWER[data].astype(np.uint32)
+    if len(low) < 3:
+        return np.zeros(0, np.uint32), np.zeros(1, np.uint32), np.zeros(0, np.uint8)
+    row = np.repeat(np.arange(len(off) - 1, dtype=np.uint32), np.diff(off))
+    pairs = (((low[:-2] << np.uint32(8)) | low[1:-1]) << np.uint32(8) | low[2:]) << np.uint32(8) | row[:-2]
+    pairs = np.unique(pairs[row[:-2] == row[2:]])
+    trigram = pairs >> np.uint32(8)
+    first = np.flatnonzero(np.append(True, trigram[1:] != trigram[:-1])) if len(pairs) else np.zeros(0, np.int64)
+    return trigram[first], np.append(first, len(pairs)).astype(np.uint32), (pairs & np.uint32(0xFF)).astype(np.uint8)
 
-    def __init__(self, texts: list[str], trigrams: list[str]):
-        self.n = len(texts)
-        self.postings: dict[str, set[int]] = {t: set() for t in trigrams}
-        for k, text in enumerate(texts):
-            low = text.lower()
-            for t, rows in self.postings.items():
-                if t in low:
-                    rows.add(k)
 
-    def candidates(self, query) -> set[int]:
-        if query is None:
-            return set(range(self.n))
-        if isinstance(query, str):
-            return self.postings[query]
-        sets = sorted((self.candidates(x) for x in query[1:]), key=len)
-        return set.intersection(*sets) if query[0] == "and" else set.union(*sets)
+_TEXTS = [StructField("texts", ArrayType(StringType())), *(StructField(c, BinaryType()) for c in ("trigrams", "offsets", "postings"))]
+
 
+def trigram_index(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The index, one row a segment: its rows (the columns ``keep``), its texts, and its trigrams, offsets and postings."""
+    keep = docs.columns if keep is None else list(keep)
+    asked = docs.select(row_of(keep).alias(ROW), quoted(text_col).cast("string").alias("_text"))
 
-def spans_of(texts: list[str], rules=RULES, queries: dict | None = None) -> list[list[tuple[int, int, int]]]:
-    """For each text (start, rule number, end), sorted."""
-    queries = {r.kind: trigram_query(r.pattern) for r in rules} if queries is None else queries
-    index = SegmentIndex(texts, sorted(set().union(*(leaves(q) for q in queries.values()))))
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1), "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < batch.num_rows:
+                base = ends[a - 1] if a else 0
+                b = min(a + SEGMENT_ROWS, max(a + 1, int(np.searchsorted(ends, base + SEGMENT_BYTES, "right"))), batch.num_rows)
+                own = texts.slice(a, b - a)
+                rows = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a))
+                lists = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), own.cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([rows, lists, *(pa.array([x.tobytes()], pa.binary()) for x in inverted(own))], names=["rows", "texts", "trigrams", "offsets", "postings"])
+                a = b
+
+    return asked.mapInArrow(invert, StructType([StructField("rows", ArrayType(asked.schema[ROW].dataType)), *_TEXTS]))
+
+
+class Postings:
+    """The inverted part of one segment."""
+
+    def __init__(self, n: int, trigrams: bytes, offsets: bytes, postings: bytes):
+        self.n = n
+        self.trigrams, self.offsets, self.rows = np.frombuffer(trigrams, np.uint32), np.frombuffer(offsets, np.uint32), np.frombuffer(postings, np.uint8)
+
+    def candidates(self, query) -> np.ndarray:
+        """The rows that satisfy a query, as booleans."""
+        if query is None:
+            return np.ones(self.n, bool)
+        if isinstance(query, bytes):
+            out, code = np.zeros(self.n, bool), int.from_bytes(query, "big")
+            at = int(np.searchsorted(self.trigrams, np.uint32(code)))
+            if at < len(self.trigrams) and self.trigrams[at] == code:
+                out[self.rows[self.offsets[at] : self.offsets[at + 1]]] = True
+            return out
+        sets = [self.candidates(x) for x in query[1:]]
+        return np.logical_and.reduce(sets) if query[0] == "and" else np.logical_or.reduce(sets)
+
+
+def spans_of(texts: list[str], index: Postings, rules, queries: dict) -> list[list[tuple[int, int, int]]]:
+    """For each text of a segment (start, rule number, end), sorted."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for number, rule in enumerate(rules):
         finditer = _long_runs(rule) or rule.compiled.finditer
-        for k in index.candidates(queries[rule.kind]):
+        for k in np.flatnonzero(index.candidates(queries[rule.kind])).tolist():
             found[k] += [(m.start(), number, m.end()) for m in finditer(texts[k]) if m.end(rule.group) - m.start(rule.group) >= rule.size]
     return [sorted(x) for x in found]
 
@@ -181,23 +237,31 @@ def _long_runs(rule: Rule):
     return None
 
 
-def secret_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``keep`` columns (all by default) and spans: array of (kind, start, end) by start, then by rule."""
-    keep = docs.columns if keep is None else keep
-    asked = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep)], F.col(text_col).cast("string").alias("_t"))
-    schema = ", ".join([*(f"`_{k}` {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)), "spans array<struct<kind:string,start:long,end:long>>"])
+_SPANS = StructField("spans", ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])))
+
+
+def search(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``_row`` and spans, array of (kind, start, end) by start, then by rule: one row for each row of the index's segments."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):  # a segment of the index
-                part = batch.slice(a, 2048)
-                found = spans_of([t or "" for t in part.column(len(keep)).to_pylist()], rules, queries)
-                spans = pa.array([[{"kind": rules[r].kind, "start": s, "end": e} for s, r, e in x] for x in found], pa.list_(kind))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], spans], names=[*(f"_{k}" for k in range(len(keep))), "spans"])
+            for k in range(batch.num_rows):
+                texts = batch.column(1)[k].as_py()
+                postings = Postings(len(texts), *(batch.column(c)[k].as_py() for c in (2, 3, 4)))
+                found = spans_of(texts, postings, rules, queries)
+                spans = pa.array([[{"kind": rules[r].kind, "start": s, "end": e} for s, r, e in x] for x in found], kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k].values, spans], names=[ROW, "spans"])
+
+    asked = index.select("rows", "texts", "trigrams", "offsets", "postings")
+    return asked.mapInArrow(scan, StructType([StructField(ROW, index.schema["rows"].dataType.elementType), _SPANS]))
+
 
-    return asked.mapInArrow(scan, schema).toDF(*keep, "spans")
+def secret_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``keep`` columns (all by default) and spans, from an index that is staged first."""
+    keep = docs.columns if keep is None else keep
+    return opened(search(staged(trigram_index(docs, text_col, keep), "trigrams", "zstd"), rules), keep, ["spans"])
 
 
 def _joined(spans):
@@ -211,5 +275,33 @@ def secrets_query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[n(r.kind) for r in BASE_RULES], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
-def sha256_of(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def _sql_pattern(rule: Rule) -> str:
+    """The pattern with both cases spelt out, as DuckDB's own flag for that would also match letters beyond ASCII."""
+    if not rule.any_case:
+        return rule.pattern
+    return re.sub(r"\\x[0-9A-F]{2}|\[[^]]*\]|[a-z]", lambda m: m.group() if len(m.group()) > 1 else f"[{m.group().upper()}{m.group()}]", rule.pattern)
+
+
+def _rule_sql(number: int, rule: Rule) -> str:
+    pattern = _sql_pattern(rule).replace("'", "''")
+    return f"""SELECT doc_id, {number} AS r, '{rule.kind}' AS kind, unnest(range(len(m))) AS k, p, m, g FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS p,
+      regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g FROM d WHERE regexp_matches(t, '{pattern}'))
+    WHERE len(m) > 0"""
+
+
+def _secrets_sql() -> str:
+    """Places follow from the pieces between the matches of a rule."""
+    count = ", ".join(f"coalesce(count(*) FILTER (kind = '{r.kind}'), 0)::BIGINT AS n_{r.kind}" for r in BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({' UNION ALL '.join(_rule_sql(n, r) for n, r in enumerate(RULES))}),
+y AS (SELECT doc_id, r, kind, length(array_to_string(p[1:k + 1], '')) + length(array_to_string(m[1:k], '')) AS s, length(m[k + 1]) AS n FROM x
+      WHERE length(g[k + 1]) >= CASE r {' '.join(f'WHEN {n} THEN {r.size}' for n, r in enumerate(RULES))} END),
+z AS (SELECT doc_id, r, kind, s, kind || ':' || s || ':' || (s + n) AS span FROM y),
+a AS (SELECT doc_id, {count}, coalesce(string_agg(span, ',' ORDER BY s, r) FILTER (r < {len(BASE_RULES)}), '') AS base, string_agg(span, ',' ORDER BY s, r) AS spans FROM z GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}' for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+
+SECRETS_SQL = _secrets_sql()

@@ -5,6 +5,9 @@ times the input. Here a segment holds some megabytes of whole texts, sends each
 that owns it (packed, a few bytes each), and gets a packed answer back. So a hash that stands in a third of all rows
 costs one entry per segment, a bucket holds an even share of the distinct hashes, and a row needs no key of its own:
 repeated, null or clashing ids do no harm.
+
+Buckets and partitions follow the bytes of text, not a setting: a bucket owns the hashes of about ``BUCKET_BYTES`` of text
+however large the corpus, and both buckets and segments are dealt to partitions by number, so no task gets several by chance.
 """
 from __future__ import annotations
 
@@ -18,23 +21,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesplit import LOWER, steps
+from .carry import quoted
 from .scratch import staged
 
-SCHEMA = "seg long, ids binary, nulls binary, lens binary, z binary"
+SCHEMA = "seg long, n_bytes long, ids binary, nulls binary, lens binary, z binary"
 #: Stands for a null id: after all others.
 NO_ID = np.iinfo(np.int64).max
-
-
-def n_buckets(spark) -> int:
-    """Grows with the shuffle partitions the cluster is set to, so that a bucket stays a small share of a task."""
-    return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text whose distinct hashes are one bucket.
+BUCKET_BYTES = 8 << 20
+#: Segments of a partition when they are brought together with answers.
+SEGMENTS_PER_PART = 2
+#: Beyond so many partitions, a partition takes several buckets (one after the other) or more segments.
+MOST_PARTS = 1 << 15
+_OWN = 30  # bits of a segment's number within its task
+
+
+class Layout:
+    """How many buckets and partitions a staged table of segments takes."""
+
+    def __init__(self, segs: DataFrame):
+        own = F.col("seg").bitwiseAND((1 << _OWN) - 1)
+        n, size, most = segs.agg(F.count("seg"), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.max(own), F.lit(0))).first()
+        self.buckets = max(1, -(-int(size) // BUCKET_BYTES))
+        self.bucket_parts = min(self.buckets, MOST_PARTS)
+        self.seg_parts = max(1, min(-(-int(n) // SEGMENTS_PER_PART), MOST_PARTS))
+        self.stride = int(most) + 1
+
+    def by_bucket(self, sent: DataFrame):
+        """Rows with a ``bucket``, grouped by it, one bucket or a few in a partition."""
+        dealt = sent.withColumn("part", F.pmod(F.col("bucket"), F.lit(self.bucket_parts)))
+        return dealt.repartitionById(self.bucket_parts, "part").groupBy("part", "bucket")
+
+    def by_segment(self, rows: DataFrame):
+        """Rows with a ``seg``, grouped by it; the segments of a task go to neighbouring partitions."""
+        number = F.shiftright("seg", _OWN) * F.lit(self.stride) + F.col("seg").bitwiseAND((1 << _OWN) - 1)
+        dealt = rows.withColumn("part", F.pmod(number, F.lit(self.seg_parts)).cast("int"))
+        return dealt.repartitionById(self.seg_parts, "part").groupBy("part", "seg")
 
 
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = False, name: str = "segments") -> DataFrame:
     """A staged table of segments: ids, byte lengths and the compressed texts. Null texts count as empty."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = (TaskContext.get().partitionId() << 30) - 1
+        seg = (TaskContext.get().partitionId() << _OWN) - 1
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column(0)
@@ -45,13 +74,13 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo
                 known = own.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
                 data = LOWER[data] if lower else data
                 yield pa.RecordBatch.from_pydict({
-                    "seg": pa.array([seg], pa.int64()),
+                    "seg": pa.array([seg], pa.int64()), "n_bytes": pa.array([len(data)], pa.int64()),
                     "ids": [known.tobytes()], "nulls": [no_id.tobytes()],
                     "lens": [np.diff(off).astype(np.int64).tobytes()],
                     "z": [squeeze.compress(np.ascontiguousarray(data).tobytes())],
                 })
 
-    return staged(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(pack, SCHEMA), name)
+    return staged(docs.select(quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("t")).mapInArrow(pack, SCHEMA), name)
 
 
 class Segment:

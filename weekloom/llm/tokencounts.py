@@ -4,26 +4,30 @@ A text is cut into pre-tokens by the tokenizer's own pattern; every run of ``LEA
 characters and tokens, and inner nodes hold sums. An edit replaces [start, end) by other text. Pre-tokens are
 matched from left to right and look at most two characters ahead, so only pre-tokens from a few characters before the edit
 can change, and once a new boundary falls on an old leaf boundary after the edit, all that follows is as it was.
-So only the leaves between these two places are encoded again; they are written back into the same leaves, and sums are
-renewed along their paths.
+So only the leaves between these two places are encoded again. If they need no more places than before, they are written
+back into them and sums are renewed along their paths; if an insertion makes more leaves, the tree is laid out anew from
+all leaves (sums only, nothing else is encoded), so a leaf never holds more than ``LEAF`` pre-tokens and later edits stay
+local.
 
 Trees and edits stay with their document's row: nothing is shuffled. The vocabulary file is read once by the driver and
 sent to the tasks (its size is that of the file, whatever the corpus).
 
 Defined cases: a null text counts as empty and has no tokens; offsets of edits are in code points, clipped to the text, and
 apply in order, each to the text that the one before left; a null edit list, a null edit or a null replacement counts
-as none or empty.
+as none or empty. Columns that have the name of a measure give way to it.
 """
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
+
+from .carry import ROW, measured, opened, quoted
 
 # Fixed value: the pattern of the public byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -67,6 +71,9 @@ class TokenTree:
     """Leaves at [size, 2 * size); node k sums 2k and 2k + 1. Two sums: characters and tokens."""
 
     def __init__(self, chars: list[int], tokens: list[int]):
+        self._lay_out(chars, tokens)
+
+    def _lay_out(self, chars: list[int], tokens: list[int]) -> None:
         self.size = 1 << max(0, (len(chars) - 1)).bit_length()
         self.leaves = len(chars)
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
@@ -121,8 +128,12 @@ class TokenTree:
             last = self.leaves - 1
         chars, tokens = _leaves(pieces, coder)
         room = last - first + 1
-        if len(chars) > room:  # more leaves than places: the last place takes the rest
-            chars[room - 1 :], tokens[room - 1 :] = [sum(chars[room - 1 :])], [sum(tokens[room - 1 :])]
+        if len(chars) > room:
+            own_chars, own_tokens = self.parts()
+            chars, tokens = own_chars[:first] + chars + own_chars[last + 1 :], own_tokens[:first] + tokens + own_tokens[last + 1 :]
+            some = [k for k, n in enumerate(chars) if n] or [0]
+            self._lay_out([chars[k] for k in some], [tokens[k] for k in some])
+            return new, at - begin
         chars += [0] * (room - len(chars))
         tokens += [0] * (room - len(tokens))
         a, b = self.size + first, self.size + last
@@ -146,54 +157,57 @@ def _leaves(pieces: list[str], coder: Coder) -> tuple[list[int], list[int]]:
     return [sum(sizes[k : k + LEAF]) for k in cut], [sum(counts[k : k + LEAF]) for k in cut]
 
 
-TREE = "leaf_chars array<int>, leaf_tokens array<int>, n_tokens long"
+_INTS = ArrayType(IntegerType())
+TREE = [StructField("leaf_chars", _INTS), StructField("leaf_tokens", _INTS), StructField("n_tokens", LongType())]
+_TREE_NAMES = [f.name for f in TREE]
 
 
 def _sent(spark, vocabulary: str):
     with open(vocabulary, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast(f.read())  # the file's size
+
+
+def _tree_arrays(trees: list[TokenTree]) -> list[pa.Array]:
+    parts = [t.parts() for t in trees]
+    ints = pa.list_(pa.int32())
+    return [pa.array([p[0] for p in parts], ints), pa.array([p[1] for p in parts], ints), pa.array([t.n_tokens for t in trees], pa.int64())]
 
 
 def token_trees(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with leaf_chars, leaf_tokens and n_tokens."""
-    raw, names = _sent(docs.sparkSession, vocabulary), docs.columns
-    place = names.index(text_col)
-    plain = [f"_{k}" for k in range(len(names))]
-    safe = docs.toDF(*plain)
+    raw = _sent(docs.sparkSession, vocabulary)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(texts: pa.Array, more: dict) -> list[pa.Array]:
         coder = Coder.of(raw.value)
-        for batch in batches:
-            trees = [TokenTree.build(t or "", coder) for t in batch.column(place).to_pylist()]
-            parts = [t.parts() for t in trees]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p[0] for p in parts], pa.list_(pa.int32())), pa.array([p[1] for p in parts], pa.list_(pa.int32())), pa.array([t.n_tokens for t in trees], pa.int64())], names=[*plain, "leaf_chars", "leaf_tokens", "n_tokens"])
+        return _tree_arrays([TokenTree.build(t or "", coder) for t in texts.to_pylist()])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in safe.schema), TREE])
-    return safe.mapInArrow(build, schema).toDF(*names, "leaf_chars", "leaf_tokens", "n_tokens")
+    return opened(measured(docs, text_col, TREE, build), docs.columns, _TREE_NAMES)
 
 
 def edited(trees: DataFrame, text_col: str = "text", edits_col: str = "edits", keep: list[str] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` columns, the new text, its tree and n_tokens, and n_reencoded (characters); edits are array<struct<start,end,text>>."""
-    keep = [c for c in trees.columns if c not in (text_col, edits_col, "leaf_chars", "leaf_tokens", "n_tokens")] if keep is None else keep
-    raw, n = _sent(trees.sparkSession, vocabulary), len(keep)
-    safe = trees.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep)], F.col(text_col).alias("_text"), F.col(edits_col).alias("_edits"), F.col("leaf_chars").alias("_chars"), F.col("leaf_tokens").alias("_tokens"))
+    keep = [c for c in trees.columns if c not in (text_col, edits_col, *_TREE_NAMES)] if keep is None else keep
+    raw = _sent(trees.sparkSession, vocabulary)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(texts: pa.Array, more: dict) -> list[pa.Array]:
         coder = Coder.of(raw.value)
-        for batch in batches:
-            out: list[tuple] = []
-            for text, edits, chars, tokens in zip(*(batch.column(n + k).to_pylist() for k in range(4)), strict=True):
-                tree, again, text = TokenTree(chars or [0], tokens or [0]), 0, text or ""
-                for e in edits or ():
-                    if e is not None:
-                        text, more = tree.edit(text, e["start"] or 0, e["end"] or 0, e["text"] or "", coder)
-                        again += more
-                out.append((text, *tree.parts(), tree.n_tokens, again))
-            kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], names=[*(f"_{k}" for k in range(n)), "_text", "leaf_chars", "leaf_tokens", "n_tokens", "n_reencoded"])
-
-    schema = ", ".join([*(f"`_{k}` {trees.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)), "_text string", TREE, "n_reencoded long"])
-    return safe.mapInArrow(apply, schema).toDF(*keep, text_col, "leaf_chars", "leaf_tokens", "n_tokens", "n_reencoded")
+        new, grown, again = [], [], []
+        for text, edits, chars, tokens in zip(texts.to_pylist(), *(more[c].to_pylist() for c in ("edits", "chars", "tokens")), strict=True):
+            tree, n, text = TokenTree(chars or [0], tokens or [0]), 0, text or ""
+            for e in edits or ():
+                if e is not None:
+                    text, once = tree.edit(text, e["start"] or 0, e["end"] or 0, e["text"] or "", coder)
+                    n += once
+            new.append(text)
+            grown.append(tree)
+            again.append(n)
+        return [pa.array(new, pa.string()), *_tree_arrays(grown), pa.array(again, pa.int64())]
+
+    more = {"edits": quoted(edits_col), "chars": F.col("leaf_chars"), "tokens": F.col("leaf_tokens")}
+    out = measured(trees, text_col, [StructField("_new", StringType()), *TREE, StructField("n_reencoded", LongType())], apply, keep, more)
+    measures = [*_TREE_NAMES, "n_reencoded"]
+    kept = [c for c in keep if c not in (text_col, *measures)]
+    return out.select(*[F.col(ROW)[c].alias(c) for c in kept], F.col("_new").alias(text_col), *measures)
 
 
 def token_count_query(spark, sf_dir: str) -> DataFrame:

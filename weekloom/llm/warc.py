@@ -12,9 +12,11 @@ ranges within a file. Pointer jumping from the start of each file then keeps onl
 in a logarithmic number of joins over offsets alone; magic inside a payload is never reached. Payloads aren't shuffled
 unless a record really holds the magic in its payload; only such records are put together from their pieces.
 
-Defined cases: a null payload is empty; a null url is left out; control characters in a url are left out, as they would
-end a header; rows that share the smallest id of equal payloads are all responses; a null id comes after all others.
-A payload is text (UTF-8) when written; the reader takes any bytes. An empty table gives an archive without records.
+Defined cases: a null payload is empty; a null url is left out; what is not printable ASCII in a url (or in an id that is
+text) is percent-encoded as UTF-8, so no character can end a header line, whatever Unicode calls it; rows that share the
+smallest id of equal payloads are all responses; a null id comes after all others; columns other than id, url and payload
+are not read. A payload is text (UTF-8) when written; the reader takes any bytes, and header lines that end in CR LF or LF.
+An empty table gives an archive without records.
 """
 from __future__ import annotations
 
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .carry import quoted
 from .scratch import scratch_dir, staged
 
 MAGIC, END = "WARC/1.", "\r\n\r\n"
@@ -33,51 +36,68 @@ def _header(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
 
 
-def record_plan(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 100) -> DataFrame:
-    """``pages`` with _digest, _bytes, _type and _refers. Only digests of payloads that repeat are joined back."""
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    own = pages.withColumns({"_payload": payload, "_bytes": F.octet_length(payload).cast("long"), "_digest": F.sha2(payload.cast("binary"), 256)})
-    first = own.filter(F.col("_bytes") >= least_bytes).groupBy(F.col("_digest").alias("_d")).agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_d", "_first")
+def _printable(value: Column) -> Column:
+    """The text with all but printable ASCII percent-encoded."""
+    encoded = F.transform(F.split(value, ""), lambda c: F.when(c.rlike("\\A[!-~]\\z"), c).otherwise(F.regexp_replace(F.url_encode(c), "[+]", "%20")))
+    return F.when(value.rlike("[^!-~]"), F.array_join(encoded, "")).otherwise(value)
+
+
+def record_plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100) -> DataFrame:
+    """(id, url, payload, bytes, digest, revisit, refers) of each row. Only digests of payloads that repeat are joined back."""
+    payload = F.coalesce(quoted(payload_col), F.lit(""))
+    own = pages.select(quoted(id_col).alias("id"), quoted(url_col).cast("string").alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload.cast("binary"), 256).alias("digest"))
+    first = own.filter(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d", "first")
     first = staged(first, "repeated-payloads")  # its size is then known, so that Spark broadcasts it only if it is small
-    both = own.join(first, F.col("_digest") == F.col("_d"), "left")
-    again = F.col("_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first"))
-    return both.withColumn("_type", F.when(again, "revisit").otherwise("response")).withColumn("_refers", F.when(again, F.col("_first"))).drop("_d", "_first")
+    both = own.join(first, F.col("digest") == F.col("d"), "left")
+    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    return both.select("id", "url", "payload", "bytes", "digest", again.alias("revisit"), F.when(again, F.col("first")).alias("refers"))
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", least_bytes: int = 100) -> None:
     """Writes a record per row to text archives under ``path``."""
-    plan = record_plan(pages, id_col, payload_col, least_bytes)
-    revisit = F.col("_type") == "revisit"
+    plan = record_plan(pages, id_col, url_col, payload_col, least_bytes)
+    revisit = F.col("revisit")
+    urn = lambda c: F.concat(F.lit("<urn:page:"), _printable(c.cast("string")), F.lit(">"))
     record = F.concat(
         F.lit(f"{MAGIC}1\r\n"),
-        _header("WARC-Type", F.col("_type")),
-        _header("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(">"))),
+        _header("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        _header("WARC-Record-ID", F.coalesce(urn(F.col("id")), F.lit("<urn:page:>"))),
         _header("WARC-Date", F.lit(date)),
-        _header("WARC-Target-URI", F.regexp_replace(F.col(url_col).cast("string"), "[\\x00-\\x20\\x7f]", "")),
-        _header("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("_refers").cast("string"), F.lit(">"))),
+        _header("WARC-Target-URI", _printable(F.col("url"))),
+        _header("WARC-Refers-To", urn(F.col("refers"))),
         _header("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("_digest"))),
+        _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         _header("Content-Type", F.lit("text/html")),
-        _header("Content-Length", F.when(revisit, "0").otherwise(F.col("_bytes").cast("string"))),
+        _header("Content-Length", F.when(revisit, "0").otherwise(F.col("bytes").cast("string"))),
         F.lit("\r\n"),
-        F.when(revisit, "").otherwise(F.col("_payload")),
+        F.when(revisit, "").otherwise(F.col("payload")),
     )
     plan.select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
 def _pieces(spark, path: str) -> DataFrame:
-    """(file, range, nth, piece): what lies between two places of the magic; nth counts within a byte range."""
+    """(file, range, nth, value): what lies between two places of the magic; nth orders the pieces of a byte range."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("nth"), "value")
 
 
+def _placed(pieces: DataFrame) -> DataFrame:
+    """A staged table of pieces with ``size``, and ``at``: the offset in the file of the magic before each."""
+    in_range = pieces.withColumn("inside", F.sum(F.col("size") + len(MAGIC)).over(W.partitionBy("file", "range").orderBy("nth")))
+    before = W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = pieces.groupBy("file", "range").agg(F.sum(F.col("size") + len(MAGIC)).alias("all")).select("file", "range", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    # the first piece of a file lies before any magic, at offset -len(MAGIC): it is no candidate
+    return in_range.join(ranges, ["file", "range"]).withColumn("at", F.col("base") + F.col("inside") - F.col("size") - 2 * len(MAGIC)).filter("at >= 0")
+
+
 def _field(head: Column, name: str) -> Column:
-    found = F.regexp_extract(head, f"(?im)^{name}:[ \\t]*(.*?)[ \\t\\r]*$", 1)
+    """The value of a header line; only LF ends a line, with or without CR before it."""
+    found = F.regexp_extract(head, f"(?i)\\n{name}:[ \\t]*([^\\r\\n]*?)[ \\t]*(?:\\r|\\n|\\z)", 1)
     return F.when(found != "", found)
 
 
 def candidates(spark, path: str) -> DataFrame:
-    """(file, at, next, length, head, digest, full): every place where a record may begin and where its successor must.
+    """(file, range, at, next, length, head, digest, full): every place where a record may begin and where its successor must.
 
     ``at`` is the offset of the magic; ``next`` is null where no header or length can be read; ``full`` says that the
     record ends where the piece ends, so its payload digest could be taken at once.
@@ -91,13 +111,8 @@ def candidates(spark, path: str) -> DataFrame:
     p = p.withColumn("full", F.coalesce(F.col("begin") + F.col("length") + _ENDS == F.col("size"), F.lit(False)))
     body = F.when(F.col("full"), F.col("value").cast("binary").substr(F.col("begin").cast("int") + 1, F.col("length").cast("int")))
     p = p.select("file", "range", "nth", "size", "head", "begin", "length", "full", F.sha2(body, 256).alias("digest"))
-    p = staged(p, "candidates")
-    in_range = p.withColumn("inside", F.sum(F.col("size") + len(MAGIC)).over(W.partitionBy("file", "range").orderBy("nth")))
-    before = W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = p.groupBy("file", "range").agg(F.sum(F.col("size") + len(MAGIC)).alias("all")).select("file", "range", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
-    placed = in_range.join(ranges, ["file", "range"]).withColumn("at", F.col("base") + F.col("inside") - F.col("size") - 2 * len(MAGIC))
-    # the first piece of a file lies before any magic, at offset -len(MAGIC): it is no candidate
-    return placed.filter("at >= 0").select("file", "range", "nth", "at", (F.col("at") + len(MAGIC) + F.col("begin") + F.col("length") + _ENDS).alias("next"), "length", "head", "digest", "full")
+    placed = _placed(staged(p, "candidates"))
+    return placed.select("file", "range", "at", (F.col("at") + len(MAGIC) + F.col("begin") + F.col("length") + _ENDS).alias("next"), "length", "head", "digest", "full")
 
 
 def _contract(table: pa.Table) -> pa.Table:
@@ -144,6 +159,25 @@ def reachable(links: DataFrame) -> DataFrame:
     return entered.groupBy("file", "range").applyInArrow(_follow, "file string, at long")
 
 
+def _put_together(spark, path: str, found: DataFrame, kept: DataFrame, broken: DataFrame) -> DataFrame:
+    """(file, at, digest) of the records that hold the magic in their payload, from all their pieces in order.
+
+    Their files are read once more. That scan may split them otherwise than the first one, so its pieces are staged and
+    placed anew, and meet the records by their offsets in the file alone.
+    """
+    starts = kept.select("file", "at", F.lit(True).alias("mine"))
+    owner = F.last(F.when(F.col("mine"), F.col("at")), ignorenulls=True).over(W.partitionBy("file").orderBy("at"))
+    mapped = found.select("file", "at").join(starts, ["file", "at"], "left").withColumn("owner", owner)
+    parts = mapped.join(broken.select("file", F.col("at").alias("owner")), ["file", "owner"]).select("file", "at", "owner")
+    again = _pieces(spark, path).join(broken.select("file").distinct(), "file", "left_semi").withColumn("size", F.octet_length("value").cast("long"))
+    text = _placed(staged(again, "pieces")).join(parts, ["file", "at"])
+    text = text.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("binary").alias("v")))).alias("p"))  # the pieces of one record
+    joined = F.aggregate(F.slice("p", 2, F.size("p")), F.element_at("p", 1)["v"], lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["v"]))
+    whole = broken.join(text.select("file", F.col("owner").alias("at"), joined.alias("all")), ["file", "at"])
+    body = F.expr("substring(all, cast(octet_length(head) + 5 as int), cast(length as int))")
+    return whole.select("file", "at", F.sha2(body, 256).alias("digest"))
+
+
 def read_warc(spark, path: str) -> DataFrame:
     """(file, at, record_type, record_id, url, refers_to, payload_bytes, payload_digest, stated_digest) per record."""
     found = staged(candidates(spark, path), "chain")
@@ -151,17 +185,8 @@ def read_warc(spark, path: str) -> DataFrame:
     kept = staged(found.join(real, ["file", "at"], "left_semi"), "records")
     broken = kept.filter(~F.col("full"))
     if broken.limit(1).count():
-        # pieces of records that hold the magic in their payload, put together in order
-        starts = kept.select("file", "at", "full")
-        owner = F.last(F.when(F.col("mine"), F.col("at")), ignorenulls=True).over(W.partitionBy("file").orderBy("at"))
-        mapped = found.join(starts.select("file", "at", F.lit(True).alias("mine")), ["file", "at"], "left").withColumn("owner", owner)
-        parts = mapped.join(broken.select("file", F.col("at").alias("owner")), ["file", "owner"]).select("file", "range", "nth", "at", "owner")
-        text = _pieces(spark, path).join(parts, ["file", "range", "nth"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("binary").alias("v")))).alias("p"))
-        joined = F.aggregate(F.slice("p", 2, F.size("p")), F.element_at("p", 1)["v"], lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["v"]))
-        text = text.select("file", F.col("owner").alias("at"), joined.alias("all"))
-        whole = kept.join(text, ["file", "at"], "left")
-        body = F.expr("substring(all, cast(octet_length(head) + 5 as int), cast(length as int))")
-        kept = whole.withColumn("digest", F.when(F.col("full"), F.col("digest")).otherwise(F.sha2(body, 256)))
+        sums = _put_together(spark, path, found, kept, broken).withColumnRenamed("digest", "own")
+        kept = kept.join(sums, ["file", "at"], "left").withColumn("digest", F.coalesce("own", "digest"))
     head = F.col("head")
     urn = lambda x: F.when(x.rlike("^<urn:page:.+>$"), F.regexp_extract(x, "^<urn:page:(.*)>$", 1))
     return kept.select(
@@ -171,12 +196,18 @@ def read_warc(spark, path: str) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Records with revisits given the length and digest of the response they refer to (its digest must be the stated one)."""
-    responses = records.filter("record_type = 'response'").groupBy(F.col("record_id").alias("_r"), F.col("payload_digest").alias("_d")).agg(F.max("payload_bytes").alias("_n"))
-    revisit = F.col("record_type") == "revisit"
-    both = records.withColumn("_k", F.when(revisit, F.col("refers_to"))).withColumn("_s", F.when(revisit, F.col("stated_digest")))
-    both = both.join(responses, (F.col("_k") == F.col("_r")) & (F.col("_s") == F.col("_d")), "left")
-    return both.withColumns({"payload_bytes": F.when(revisit, F.col("_n")).otherwise(F.col("payload_bytes")), "payload_digest": F.when(revisit, F.col("_d")).otherwise(F.col("payload_digest"))}).drop("_k", "_s", "_r", "_d", "_n")
+    """Records with revisits given the length and digest of the response they refer to (its digest must be the stated one).
+
+    Only revisits are joined, with the responses that some revisit names.
+    """
+    names = records.columns
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    named = records.filter(revisit).select(F.col("refers_to").alias("_r"), F.col("stated_digest").alias("_d")).distinct()
+    responses = records.filter("record_type = 'response'").join(named, (F.col("record_id") == F.col("_r")) & (F.col("payload_digest") == F.col("_d")))
+    responses = responses.groupBy("_r", "_d").agg(F.max("payload_bytes").alias("_n"))
+    again = records.filter(revisit).join(responses, (F.col("refers_to") == F.col("_r")) & (F.col("stated_digest") == F.col("_d")), "left")
+    again = again.withColumns({"payload_bytes": F.col("_n"), "payload_digest": F.col("_d")}).select(*names)
+    return records.filter(~revisit).unionByName(again)
 
 
 def warc_query(spark, sf_dir: str) -> DataFrame:
@@ -186,7 +217,7 @@ def warc_query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     write_warc(pages, path)
     id_type = pages.schema["page_id"].dataType
-    out = resolved(read_warc(spark, path))
+    out = resolved(staged(read_warc(spark, path), "warc-records"))
     return out.select(F.col("record_id").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"))
 
 
