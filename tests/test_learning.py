@@ -275,3 +275,47 @@ def test_streamed_band_and_learner_equal_the_batch(spark, tmp_path):
     # a label of the row's own day is known a week later at the latest: the batch learner sees the same labels before each row
     want = column(learn.online_learner(df, ["k"], ["a", "b"], "c"), "prediction")
     assert [g["prediction"] for g in got if not g["rejected"]] == pytest.approx(want, nan_ok=True) and want[60] is not None
+
+
+def test_conformal_scale_warm_up_and_seed():
+    c = learn.Conformal()
+    low, high = c.band(10.0, 2.0)
+    assert abs(high - 10 - 1.2815515655446004 * 2) < 1e-9 and abs(low + high - 20) < 1e-9  # Gaussian until residuals are there
+    c.seed(np.linspace(-1, 3, 41))
+    assert c.warm and np.allclose(c.band(0.0, 2.0), (2 * (-1 + 0.1 * 4), 2 * (-1 + 0.9 * 4)))  # signed quantiles times the scale
+    for _ in range(200):
+        c.learn(1000.0, 0.0, 1.0)
+    assert c.bounds[0] <= c.level <= c.bounds[1] and c.clips > 0 and len(c.errors) == c.window
+
+
+def test_conformal_follows_a_change_of_scale(spark):
+    rng = np.random.default_rng(3)
+    size = np.where(np.arange(600) < 300, 1.0, 5.0)
+    rows = [("a", str(np.datetime64("2000-01-03") + 7 * k), float(e), 0.0, float(s)) for k, (e, s) in enumerate(zip(rng.normal(size=600) * size, size))]
+    df = spark.createDataFrame(rows, "k string, date string, y double, h double, s double").selectExpr("k", "to_date(date) AS date", "y", "h", "s")
+    got = learn.adaptive_conformal(df, ["k"], "y", "h", "s").join(df, ["k", "date"]).selectExpr("avg(cast(y between lower and upper as double)) AS c", "avg(upper - lower) AS w").first()
+    plain = learn.adaptive_conformal(df, ["k"], "y", "h").join(df, ["k", "date"]).selectExpr("avg(cast(y between lower and upper as double)) AS c").first()
+    assert abs(got["c"] - 0.8) < 0.04 and abs(plain["c"] - 0.8) < 0.06 and 5 < got["w"] < 10
+
+
+def test_ecm_band_covers(spark):
+    rng = np.random.default_rng(7)
+    n = 320
+    x, vol = rng.normal(size=n), np.where(np.arange(n) % 40 < 20, 0.2, 1.0)
+    change = 0.8 * x + rng.normal(size=n) * vol
+    origin = 100 + np.concatenate([[0], np.cumsum(change)[:-1]])
+    day = np.datetime64("2000-01-03") + 7 * np.arange(n + 1)
+    rows = [("a", str(day[k]), str(day[k + 1]), float(x[k]), float(vol[k]), float(origin[k]), float(change[k])) for k in range(n)]
+    df = spark.createDataFrame(rows, "k string, d string, t string, x double, vol double, origin double, change double").selectExpr("k", "to_date(d) AS date", "to_date(t) AS target_date", "x", "vol", "origin", "change")
+    got = learn.ecm_walk_forward(df, ["k"], ["x"], "change", "origin", drivers=["vol"]).filter("lower is not null").collect()
+    inside = np.mean([r["lower"] <= r["origin"] + r["change"] <= r["upper"] for r in got])
+    width = {v: np.mean([r["upper"] - r["lower"] for r in got if r["vol"] == v]) for v in (0.2, 1.0)}
+    assert len(got) > 150 and 0.7 < inside < 0.9 and width[1.0] > 2 * width[0.2]
+    assert not any(r["fallback"] for r in got)
+
+
+def test_refit_epochs(spark):
+    rows = [(f"2000-01-{3 + 7 * k:02d}",) for k in range(4)] + [("2000-02-07",), ("2000-02-14",)]
+    df = spark.createDataFrame(rows, "d string").selectExpr("to_date(d) AS target_date", "date_sub(to_date(d), 7) AS date")
+    assert learn.refit_epochs(df, 2, 2) == [("2000-01-10", "2000-01-24"), ("2000-01-24", "2000-02-07"), ("2000-02-07", "2000-02-21")]
+    assert learn.refit_epochs(df, 2, 99) == [] and learn.refit_epochs(df.limit(0), 2, 1) == []

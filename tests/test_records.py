@@ -86,11 +86,11 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, ok.collect())) == [("S10", dt.date(2020, 1, 5), 4.37), ("S500", dt.date(2020, 1, 12), 1234.5)] and bad.count() == 3
     (tmp_path / "v.json").write_text('{"value": [{"VALDATA": "2020-01-05T00:00:00-03:00", "VALVALOR": 2.5}, {"VALDATA": "2020-01-06T00:00:00-03:00", "VALVALOR": null}]}')
     assert [tuple(r) for r in files.read_series_json(spark, str(tmp_path / "v.json"), "values").collect()] == [(dt.date(2020, 1, 5), 2.5)]
-    (tmp_path / "c.jsonl").write_text('{"id": 1, "t": "a"}\n{"id": 2, "t": "b", "more": 1}\nnot json\n{"id": 1, "t": "c"}\n{"id": null, "t": "d"}\n')
+    (tmp_path / "c.jsonl").write_text('{"id": 1, "t": "a"}\n{"id": 2, "t": "b", "more": 1}\nnot json\n{"id": 1, "t": "c"}\n{"id": null, "t": "d"}\n{"id": 3, "t": "e"}\n')
     from pyspark.sql.types import StructType
 
     ok, v = files.read_contract_jsonl(spark, str(tmp_path / "c.jsonl"), StructType.fromDDL("id bigint, t string"), "id")
-    assert ok.count() == 2 and {r["rule"]: r["violations"] for r in v.collect()} == {"unreadable": 1, "fields": 1, "missing_id": 1, "repeated_id": 1}
+    assert [tuple(r) for r in ok.collect()] == [(3, "e")] and {r["rule"]: r["violations"] for r in v.collect()} == {"unreadable": 1, "fields": 1, "missing_id": 1, "repeated_id": 1}
     df = spark.createDataFrame([(1, "=1+1", "k"), (2, None, "k"), (3, "plain", "k")], "i int, t string, g string")
     files.write_table(df, str(tmp_path / "out"), "csv")
     assert {r["t"] for r in spark.read.csv(str(tmp_path / "out"), header=True).collect()} == {"'=1+1", None, "plain"}
@@ -117,3 +117,44 @@ def test_streamed_detector_equals_the_batch(spark, tmp_path):
     batch = page_hinkley(e.withColumnRenamed("ts", "date"), ["user_id"], "value", 0.5, 60.0).join(e.withColumnRenamed("ts", "date"), ["user_id", "date"])
     assert got == {r["event_id"]: (round(r["path"], 9), r["changed"] == 1.0, False) for r in batch.collect()}
     assert any(v[1] for v in got.values())
+
+
+def test_manifest_and_repeated_ids(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.jsonl").write_text('{"id": 1, "t": "a"}\n{"id": 2, "t": "b"}\n\n{"id": 2, "t": "c"}\n')
+    (tmp_path / "c" / "b.jsonl").write_text('{"id": 3, "t": "x"}\n')
+    schema, found = StructType.fromDDL("id bigint, t string"), files.file_profile(spark, str(tmp_path / "c"))
+    assert {r["file"]: r["records"] for r in found.collect()} == {"a.jsonl": 3, "b.jsonl": 1}
+    ok, v = files.read_contract_jsonl(spark, str(tmp_path / "c"), schema, "id", manifest=found.select("file", "records", "sha256"))
+    assert sorted(r["id"] for r in ok.collect()) == [1, 3]
+    assert {r["rule"]: r["violations"] for r in v.collect() if r["violations"]} == {"repeated_id": 1}
+    stated = spark.createDataFrame([tuple(r) for r in found.select("file", "records", "sha256").collect()], "file string, records long, sha256 string")
+    (tmp_path / "c" / "b.jsonl").write_text('{"id": 3, "t": "y"}\n{"id": 4, "t": "y"}\n')
+    (tmp_path / "c" / "d.jsonl").write_text("\n")
+    v = files.read_contract_jsonl(spark, str(tmp_path / "c"), schema, "id", manifest=stated)[1]
+    assert {r["rule"]: r["violations"] for r in v.collect() if r["violations"]} == {"repeated_id": 1, "record_count": 1, "file_sha256": 1, "undeclared_file": 1}
+
+
+def test_ledger_alerts(spark):
+    rows = [("a", f"2020-01-{d:02d}", 1.0, 0.5, d % 2 == 0) for d in range(1, 27)] + [("b", "2020-01-01", 0.1, 0.5, True)]
+    done = spark.createDataFrame(rows, "k string, t string, abs_error double, base_error double, inside boolean").selectExpr("k", "to_date(t) AS target", "abs_error", "base_error", "inside")
+    issued = done.select("k", "target").unionByName(spark.sql("SELECT 'b' AS k, DATE'2020-01-20' AS target UNION ALL SELECT 'c', DATE'2020-03-01'"))
+    got = {r["k"]: (r["level"], [(a["level"], a["code"]) for a in r["alerts"]]) for r in ledger.review_ledger(issued, done, ["k"], "target", F.lit("2020-02-24").cast("date")).collect()}
+    assert got["a"] == ("critical", [("critical", "worse_than_naive"), ("warning", "coverage"), ("info", "goal_reached")])
+    assert got["b"] == ("critical", [("critical", "late_settlement")]) and got["c"] == ("ok", [])
+
+
+def test_stream_drops_late_rows(spark, tmp_path):
+    """State goes over from run to run; a row that comes after its week was closed changes nothing."""
+    from weekloom.streaming import weekly
+
+    schema = "ts timestamp, event_type string, value double"
+    batch = lambda *rows: spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("to_timestamp(ts) AS ts", "event_type", "value")
+    parts = [batch(("2024-01-02 10:00:00", "a", 1.0), ("2024-01-10 10:00:00", "a", 2.0)), batch(("2024-06-03 10:00:00", "a", 4.0)), batch(("2024-01-03 10:00:00", "a", 8.0), ("2024-06-04 10:00:00", "a", 16.0)), batch(("2024-12-30 10:00:00", "b", 0.0))]
+    for _ in weekly.arrive(str(tmp_path / "in"), *parts):
+        rows = weekly.weekly(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).select("window.start", "event_type", "n", "total")
+        rows.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {(str(r["start"])[:10], r["event_type"]): (r["n"], r["total"]) for r in spark.read.schema(rows.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got == {("2024-01-01", "a"): (1, 1.0), ("2024-01-08", "a"): (1, 2.0), ("2024-06-03", "a"): (2, 20.0)}

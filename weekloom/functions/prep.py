@@ -125,6 +125,12 @@ def leak_check(spark, columns: Sequence[str]) -> DataFrame:
     return df.withColumn("leaks", F.col("column").rlike("_l0$|_t0$|^target|_now$"))
 
 
+def leaking_columns(df: DataFrame, columns: Sequence[str], target: str, most: float = 0.95) -> DataFrame:
+    """``leak_check`` of the names, and of the values: the share of rows in which a column equals the target, and whether it is above ``most``."""
+    share = df.agg(*[F.avg((F.col(c) == F.col(target)).cast("double")).alias(c) for c in columns]).unpivot([], list(columns), "column", "equal_share")
+    return leak_check(df.sparkSession, columns).join(share, "column").withColumn("equals_target", F.col("equal_share") > most)
+
+
 def with_region(df: DataFrame, unit: str, regions: DataFrame, region_unit: str = "unit") -> DataFrame:
     """Joins the region of each unit; Spark broadcasts the table of units while it is small."""
     return df.join(regions.withColumnRenamed(region_unit, unit), unit, "left")

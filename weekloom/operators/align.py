@@ -120,6 +120,17 @@ def pinned_folds(df: DataFrame, start: str, end: str, size: int, n: int, date: s
     return df.withColumn("fold", fold)
 
 
+def holdout_length(df: DataFrame, keys: Sequence[str], weeks: int) -> DataFrame:
+    """(keys, n, complete): the holdout's rows of each series, and whether they are as many as pinned."""
+    return df.groupBy(*keys).agg(F.count(F.when(F.col("fold") == "holdout", 1)).alias("n")).withColumn("complete", F.col("n") == weeks)
+
+
+def fold_contiguity(df: DataFrame, keys: Sequence[str], date: str = "date", fold: str = "fold_id") -> DataFrame:
+    """(keys, fold, n, contiguous): whether the rows of a fold follow each other without a row of another fold between them."""
+    x = df.withColumn("_i", F.row_number().over(by_date(keys, date)))
+    return x.groupBy(*keys, fold).agg(F.count(F.lit(1)).alias("n"), (F.max("_i") - F.min("_i") + 1 == F.count(F.lit(1))).alias("contiguous"))
+
+
 def exact_week_pairs(df: DataFrame, horizon: int, origin: str, target: str) -> DataFrame:
     return df.filter(F.datediff(target, origin) == 7 * horizon)
 

@@ -49,16 +49,21 @@ def gate_by_pressure(pred: DataFrame, press: DataFrame, on: Sequence[str], z: st
     return pred.join(press.select(*on, z), list(on), "left").withColumn("gated", F.when(F.col(z) < 0, F.col("prediction")).otherwise(F.col("origin")))
 
 
-def horizon_sweep(prices: DataFrame, keys: Sequence[str], price: str, horizons: Sequence[int], width: int = 4, date: str = "date") -> DataFrame:
-    """(keys, horizon, n, mae, ratio, status) of the running mean against the last price; 'unavailable' without a full pair.
+def horizon_sweep(prices: DataFrame, keys: Sequence[str], price: str, horizons: Sequence[int], width: int = 4, date: str = "date", threshold: float = 0.0, carry: float = 0.0) -> DataFrame:
+    """(keys, horizon, n, mae, ratio, triggers, saving, status) of the running mean against the last price; 'unavailable' without a full pair.
+
+    ``saving``: what buying a litre early would have saved in all weeks in which the mean was ``threshold`` above the price or more, less
+    ``carry`` a week.
 
     One calendar join per horizon: the list of horizons is short and fixed by the caller.
     """
     out = None
     p = prices.withColumn("_m", over(F.avg, price, keys, 1 - width, 0, 1, date))
     for h in horizons:
-        x = calendar_target(p, keys, price, h, date).groupBy(*keys).agg(F.count("target").alias("n"), F.avg(F.abs(F.col("_m") - F.col("target"))).alias("mae"), F.avg(F.abs(F.col(price) - F.col("target"))).alias("_b"))
-        x = x.select(*keys, F.lit(h).alias("horizon"), "n", "mae", (F.col("mae") / F.nullif("_b", F.lit(0.0))).alias("ratio"), F.when(F.col("n") == 0, "unavailable").otherwise("available").alias("status"))
+        hit = F.col("target").isNotNull() & (F.col("_m") - F.col(price) >= threshold)
+        saved = F.sum(F.when(hit, F.col("target") - F.col(price) - carry * h).otherwise(0.0))
+        x = calendar_target(p, keys, price, h, date).groupBy(*keys).agg(F.count("target").alias("n"), F.count(F.when(hit, 1)).alias("triggers"), saved.alias("saving"), F.avg(F.abs(F.col("_m") - F.col("target"))).alias("mae"), F.avg(F.abs(F.col(price) - F.col("target"))).alias("_b"))
+        x = x.select(*keys, F.lit(h).alias("horizon"), "n", "mae", (F.col("mae") / F.nullif("_b", F.lit(0.0))).alias("ratio"), "triggers", "saving", F.when(F.col("n") == 0, "unavailable").otherwise("available").alias("status"))
         out = x if out is None else out.unionByName(x)
     return out
 
@@ -69,14 +74,17 @@ def freshness(target: Column, today: Column, grace: int = 6, block_after: int =
     return F.when(stale.isNull() | target.isNull(), "blocked").when(stale == 0, "healthy").when(stale <= block_after, "degraded").otherwise("blocked"), stale
 
 
-def health_report(pred: DataFrame, keys: Sequence[str], alpha: float = 0.2, at_least: int = 20, date: str = "date") -> DataFrame:
-    """(n, coverage, mae, alerts) per key: low coverage, worse than the last price, missed weeks."""
+def health_report(pred: DataFrame, keys: Sequence[str], alpha: float = 0.2, at_least: int = 20, date: str = "date", clip: str | None = None, capacity: str | None = None, churn: str | None = None) -> DataFrame:
+    """(n, coverage, mae, alerts) per key: low coverage, worse than the last price, missed weeks; by the last row's share of clipped features
+    (``clip`` above 0.25), of used capacity (0.9 or more) and of replaced dictionary entries (0.1 or more), where these columns are named."""
     from .align import by_date
 
     gap = F.datediff(date, F.lag(date, 1).over(by_date(keys, date)))
     x = pred.withColumns({"_gap": gap, "_e": F.abs(F.col("prediction") - F.col("actual")), "_b": F.abs(F.col("origin") - F.col("actual"))})
     inside = F.col("actual").between(F.col("lower"), F.col("upper")).cast("double")
-    one = x.groupBy(*keys).agg(F.count("_e").alias("n"), F.avg(inside).alias("coverage"), F.avg("_e").alias("mae"), F.avg("_b").alias("_base"), F.count(F.when(F.col("_gap") != 7, 1)).alias("missed"))
+    last = [(n, c, m) for n, c, m in (("clip", clip, 0.25), ("capacity", capacity, 0.9), ("churn", churn, 0.1)) if c]
+    one = x.groupBy(*keys).agg(*[F.max_by(c, date).alias(f"_{n}") for n, c, _ in last], F.count("_e").alias("n"), F.avg(inside).alias("coverage"), F.avg("_e").alias("mae"), F.avg("_b").alias("_base"), F.count(F.when(F.col("_gap") != 7, 1)).alias("missed"))
     enough = F.col("n") >= at_least
-    alerts = F.array_compact(F.array(F.when(enough & (F.col("coverage") < 1 - alpha - 0.1), "coverage"), F.when(enough & (F.col("mae") > F.col("_base")), "mae"), F.when(F.col("missed") > 0, "cadence")))
-    return one.withColumn("alerts", F.concat_ws(",", alerts)).drop("_base")
+    alerts = F.array_compact(F.array(F.when(enough & (F.col("coverage") < 1 - alpha - 0.1), "coverage"), F.when(enough & (F.col("mae") > F.col("_base")), "mae"), F.when(F.col("missed") > 0, "cadence"),
+        *[F.when(F.col(f"_{name}") > most if name == "clip" else F.col(f"_{name}") >= most, name) for name, _, most in last]))
+    return one.withColumn("alerts", F.concat_ws(",", alerts)).drop("_base", *[f"_{name}" for name, _, _ in last])

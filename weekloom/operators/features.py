@@ -32,15 +32,22 @@ def weekly_features(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
 
 
 def price_jump_proxy(df: DataFrame, keys: Sequence[str], col: str, date: str = "date", window: int = 12, at_least: int = 4, times: float = 2.5, floor: float = 1e-4) -> DataFrame:
-    """jump: the log change is beyond ``times`` its rolling deviation; z: the value against its rolling mean."""
+    """jump: the log change is beyond ``times`` its rolling deviation; z: the value against its rolling mean; adjusted: a jump, or a z beyond 2."""
     df = df.withColumn("_d", F.log(col) - F.log(F.lag(col, 1).over(by_date(keys, date))))
     sd = F.greatest(over(F.stddev_samp, "_d", keys, 1 - window, 0, at_least, date), F.lit(floor))
     z = (F.col(col) - over(F.avg, col, keys, 1 - window, 0, at_least, date)) / over(F.stddev_samp, col, keys, 1 - window, 0, at_least, date)
-    return df.withColumns({"jump": F.coalesce(F.abs("_d") > times * sd, F.lit(False)), "z": z}).drop("_d")
+    jump = F.coalesce(F.abs("_d") > times * sd, F.lit(False))
+    return df.withColumns({"jump": jump, "z": z, "adjusted": jump | F.coalesce(F.abs(z) > 2, F.lit(False))}).drop("_d")
 
 
-def feature_set(df: DataFrame, keys: Sequence[str], col: str, kind: str = "dynamics", date: str = "date", warm: int = 13) -> DataFrame:
-    """'price', 'lags' or 'dynamics' features on the grid; rows without ``warm`` unbroken weeks get NULLs."""
+def feature_set(df: DataFrame, keys: Sequence[str], col: str, kind: str = "dynamics", date: str = "date", warm: int = 13, exogenous: Sequence[str] = ()) -> DataFrame:
+    """'price', 'lags', 'dynamics' or 'exogenous' features on the grid; rows without ``warm`` unbroken weeks get NULLs.
+
+    'exogenous' has the level, changes over 1 and 4 weeks, the gap to the mean of 8, the deviation of 12, and last week's value of the
+    columns that are named (at least one).
+    """
+    if kind == "exogenous" and not exogenous:
+        raise ValueError("an exogenous set needs columns")
     w = by_date(keys, date)
     p = F.col(col)
     lag = lambda k: F.lag(col, k).over(w)
@@ -53,6 +60,10 @@ def feature_set(df: DataFrame, keys: Sequence[str], col: str, kind: str = "dynam
         out |= {f"gap_ma{k}": p - F.avg(col).over(w.rowsBetween(1 - k, 0)) for k in (4, 8)}
         df = df.withColumn("_d", p - lag(1))
         out |= {f"vol_{k}": F.stddev_pop("_d").over(w.rowsBetween(1 - k, 0)) for k in (4, 12)}
+    if kind == "exogenous":
+        df = df.withColumn("_d", p - lag(1))
+        out |= {"change_1": p - lag(1), "change_4": (p - lag(4)) / 4, "gap_ma8": p - F.avg(col).over(w.rowsBetween(-7, 0)), "vol_12": F.stddev_pop("_d").over(w.rowsBetween(-11, 0))}
+        out |= {f"{c}_l1": F.lag(c, 1).over(w) for c in exogenous}
     return df.withColumns({k: F.when(whole, v) for k, v in out.items()}).drop("_d")
 
 
@@ -79,10 +90,12 @@ def passthrough_panel(df: DataFrame, keys: Sequence[str], price: str, cost: str,
     return df.withColumns({"dp1": F.lag("dp", 1).over(w), **moves, "coint1": F.lag("coint", 1).over(w), "vol26": over(F.stddev_samp, "dp", keys, -26, -1, 12, date), "abs_cost": F.abs("_c")}).drop("_c")
 
 
-def parity_panel(df: DataFrame, keys: Sequence[str], price: str, parity: str, producer: str, producer_lag: int = 1, warmup: int = 52, date: str = "date") -> DataFrame:
-    """The pass-through panel on import parity, with the producer's lagged move."""
+def parity_panel(df: DataFrame, keys: Sequence[str], price: str, parity: str, producer: str, producer_lag: int = 1, warmup: int = 52, date: str = "date", crude: str | None = None) -> DataFrame:
+    """The pass-through panel on import parity, with the producer's lagged move and, with a ``crude`` column, last week's log change of it."""
     w = by_date(keys, date)
     out = passthrough_panel(df, keys, price, parity, warmup, date)
+    if crude:
+        out = out.withColumn("crude_move", F.log(F.lag(crude, 1).over(w)) - F.log(F.lag(crude, 2).over(w)))
     return out.withColumn("producer_move", F.lag(producer, producer_lag).over(w) - F.lag(producer, producer_lag + 1).over(w))
 
 
@@ -153,12 +166,13 @@ def episodes(df: DataFrame, keys: Sequence[str], mask: Column, min_gap: int = 8,
 
 
 def spread_opportunity(df: DataFrame, keys: Sequence[str], spread: str, horizon: int, shares=(0.02, 0.05, 0.10), date: str = "date") -> DataFrame:
-    """Per key and low quantile: weeks, episodes, mean forward change, share of rises."""
+    """Per key and low quantile: weeks, episodes, mean forward change, share of rises, and where the last value stands now (z, percentile)."""
     ahead = df.withColumn("_f", F.lead(spread, horizon).over(by_date(keys, date)) - F.col(spread))
     cut = df.groupBy(*keys).agg(F.percentile(spread, F.array(*[F.lit(s) for s in shares])).alias("_q"))
     cut = cut.select(*keys, F.posexplode("_q").alias("_i", "cut")).withColumn("share", F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("_i") + 1)).drop("_i")
     low = episodes(ahead.join(cut, list(keys)), [*keys, "share"], F.col(spread) <= F.col("cut"), date=date)
-    return low.groupBy(*keys, "share").agg(F.count(F.lit(1)).alias("weeks"), F.max("episode").alias("episodes"), F.avg("_f").alias("mean_forward"), F.avg((F.col("_f") > 0).cast("double")).alias("share_up"))
+    one = low.groupBy(*keys, "share").agg(F.count(F.lit(1)).alias("weeks"), F.max("episode").alias("episodes"), F.avg("_f").alias("mean_forward"), F.avg((F.col("_f") > 0).cast("double")).alias("share_up"))
+    return one.join(basis_report(df, keys, spread, spread, date=date).select(*keys, F.col("z").alias("z_now"), F.col("percentile").alias("percentile_now")), list(keys))
 
 
 def basis_report(df: DataFrame, keys: Sequence[str], price: str, spread: str, weeks: int = 52, date: str = "date") -> DataFrame:

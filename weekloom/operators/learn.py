@@ -6,6 +6,8 @@ origin once its target date is at or before it. Rows that miss a value are predi
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weekloom.sources.scratch import new_folder
+
 from .align import MOST_FOLDS, by_date
 from .features import over, past
 
@@ -101,15 +105,23 @@ def nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
-def ecm_walk_forward(df: DataFrame, keys: Sequence[str], features: Sequence[str], change: str, origin: str, most_sigmas: float = 8.0, min_train: int = 52, refit_every: int = 13, date: str = "date") -> DataFrame:
+def ecm_walk_forward(df: DataFrame, keys: Sequence[str], features: Sequence[str], change: str, origin: str, most_sigmas: float = 8.0, min_train: int = 52, refit_every: int = 13, date: str = "date", drivers: Sequence[str] = ()) -> DataFrame:
     """Origin plus the predicted change of the robust regression; falls back to the origin where features are missing or the
-    predicted change is implausible against the earlier changes' deviation."""
+    predicted change is implausible against the earlier changes' deviation.
+
+    With ``drivers`` (columns known at the origin) also sigma, lower and upper: the deviation that past errors show for such drivers, and the
+    quantiles of past errors over it (see ``conditional_interval``).
+    """
     p = walk_forward(df, keys, features, change, huber(), min_train, refit_every, date).withColumnRenamed("prediction", "_c").drop("trained")
     x = df.join(p, [*keys, date])
     sd = past(F.stddev_samp, "_moved", keys, 12, date)
     x = x.withColumn("_moved", F.col(origin) - F.lag(origin, 1).over(by_date(keys, date)))
     bad = F.col("_c").isNull() | F.coalesce(F.abs("_c") > most_sigmas * sd, F.lit(False))
-    return x.withColumn("fallback", bad).withColumn("prediction", F.col(origin) + F.when(F.col("fallback"), 0.0).otherwise(F.col("_c"))).drop("_c", "_moved")
+    out = x.withColumn("fallback", bad).withColumn("prediction", F.col(origin) + F.when(F.col("fallback"), 0.0).otherwise(F.col("_c"))).drop("_c", "_moved")
+    if not drivers:
+        return out
+    band = conditional_interval(out.withColumn("_a", F.col(origin) + F.col(change)), keys, "_a", "prediction", drivers, date=date)
+    return out.join(band, [*keys, date])
 
 
 THETAS = np.linspace(-0.95, 0.95, 39)
@@ -184,41 +196,57 @@ def arimax_walk_forward(df: DataFrame, keys: Sequence[str], value: str, exog: Se
 
 
 class Conformal:
-    """A band whose level follows its misses: after each row, level += gamma * (alpha - missed), kept within the bounds."""
+    """A band whose level follows its misses: after each row, level += gamma * (alpha - missed), kept within the bounds.
 
-    def __init__(self, alpha: float = 0.2, gamma: float = 0.02, window: int = 104, at_least: int = 20, bounds=(0.01, 0.5)):
-        self.alpha, self.gamma, self.window, self.at_least, self.bounds = alpha, gamma, window, at_least, bounds
-        self.level, self.clips, self.errors = alpha, 0, []
+    Residuals are signed and, with ``normalise``, divided by the row's scale; the band runs between their quantiles at level / 2 and
+    1 - level / 2, times the scale. Until there are enough of them it is Gaussian, with the scale as deviation. ``seed`` loads
+    residuals of earlier rows, which count as no misses.
+    """
 
-    def band(self, point: float) -> tuple[float, float]:
-        if len(self.errors) < self.at_least or not np.isfinite(point):
-            return np.nan, np.nan
-        w = np.quantile(self.errors, 1 - self.level)
-        return point - w, point + w
+    def __init__(self, alpha: float = 0.2, gamma: float = 0.02, window: int = 156, at_least: int = 20, bounds=(0.01, 0.60), normalise: bool = True):
+        self.alpha, self.gamma, self.window, self.at_least, self.bounds, self.normalise = alpha, gamma, window, at_least, bounds, normalise
+        self.level, self.clips, self.errors = min(max(alpha, bounds[0]), bounds[1]), 0, []
+
+    def seed(self, residuals) -> None:
+        self.errors = [*self.errors, *(float(r) for r in residuals if np.isfinite(r))][-self.window :]
+
+    @property
+    def warm(self) -> bool:
+        return len(self.errors) >= self.at_least
 
-    def learn(self, actual: float, point: float) -> None:
-        if not (np.isfinite(actual) and np.isfinite(point)):
+    def band(self, point: float, scale: float = 1.0) -> tuple[float, float]:
+        scale = abs(scale) or 1.0
+        if not (np.isfinite(point) and np.isfinite(scale)):
+            return np.nan, np.nan
+        if not self.warm:
+            w = NormalDist().inv_cdf(1 - self.level / 2) * scale
+            return point - w, point + w
+        low, high = np.quantile(self.errors, [self.level / 2, 1 - self.level / 2]) * (scale if self.normalise else 1.0)
+        return point + low, point + high
+
+    def learn(self, actual: float, point: float, scale: float = 1.0) -> None:
+        lower, upper = self.band(point, scale)
+        if not (np.isfinite(actual) and np.isfinite(lower)):
             return
-        lower, upper = self.band(point)
-        if np.isfinite(lower):
-            raw = self.level + self.gamma * (self.alpha - float(not lower <= actual <= upper))
-            self.level = min(max(raw, self.bounds[0]), self.bounds[1])
-            self.clips += raw != self.level
-        self.errors = [*self.errors, abs(actual - point)][-max(self.window, self.at_least) :]
+        raw = self.level + self.gamma * (self.alpha - float(not lower <= actual <= upper))
+        self.level = min(max(raw, self.bounds[0]), self.bounds[1])
+        self.clips += raw != self.level
+        self.errors = [*self.errors, (actual - point) / ((abs(scale) or 1.0) if self.normalise else 1.0)][-self.window :]
 
 
-def adaptive_conformal(df: DataFrame, keys: Sequence[str], actual: str, yhat: str, alpha: float = 0.2, gamma: float = 0.02, window: int = 104, at_least: int = 20, bounds=(0.01, 0.5), date: str = "date") -> DataFrame:
-    """(keys, date, lower, upper, level, clipped) of ``Conformal``; NULL band until enough residuals; ``clipped`` counts how often the
-    level was kept within its bounds. Rows must be one step ahead."""
+def adaptive_conformal(df: DataFrame, keys: Sequence[str], actual: str, yhat: str, scale: str | None = None, date: str = "date", **options) -> DataFrame:
+    """(keys, date, lower, upper, level, clipped, warm) of ``Conformal``; ``clipped`` counts how often the level was kept within its bounds,
+    ``warm`` is 1 once the band rests on residuals. Rows must be one step ahead; ``scale`` is a column, 1 by default."""
 
     def step(pdf):
-        c, out = Conformal(alpha, gamma, window, at_least, bounds), []
-        for y, h in zip(pdf[actual].to_numpy(float), pdf[yhat].to_numpy(float)):
-            out.append((*c.band(h), c.level, float(c.clips)))
-            c.learn(y, h)
-        return pd.DataFrame(out, columns=["lower", "upper", "level", "clipped"])
+        c, out = Conformal(**options), []
+        sizes = pdf[scale].to_numpy(float) if scale else np.ones(len(pdf))
+        for y, h, s in zip(pdf[actual].to_numpy(float), pdf[yhat].to_numpy(float), sizes):
+            out.append((*c.band(h, s), c.level, float(c.clips), float(c.warm)))
+            c.learn(y, h, s)
+        return pd.DataFrame(out, columns=["lower", "upper", "level", "clipped", "warm"])
 
-    return nulls(per_series(df, keys, ["lower", "upper", "level", "clipped"], step, date), ["lower", "upper"])
+    return nulls(per_series(df, keys, ["lower", "upper", "level", "clipped", "warm"], step, date), ["lower", "upper"])
 
 
 def page_hinkley(df: DataFrame, keys: Sequence[str], value: str, delta: float = 0.005, threshold: float = 50.0, date: str = "date") -> DataFrame:
@@ -530,11 +558,29 @@ def release_forecast(df: DataFrame, keys: Sequence[str], price: str, primary: st
     return x.select(*keys, date, p.alias("point"), "guarded", F.least(p, p + F.col("_q")[0]).alias("p10"), F.greatest(p, p + F.col("_q")[1]).alias("p90"))
 
 
+def refit_epochs(df: DataFrame, weeks: int, min_rows: int, date: str = "date", target_date: str = "target_date") -> list[tuple[str, str]]:
+    """[start, end) of refits every so many weeks, from the first date by which ``min_rows`` labels are known to the last date.
+
+    The driver reads two dates; epochs are as many as the years hold.
+    """
+    per = df.groupBy(target_date).agg(F.count(F.lit(1)).alias("_n"))
+    known = per.withColumn("_k", F.sum("_n").over(W.orderBy(target_date)))  # one row a date, in all
+    first, last = known.filter(F.col("_k") >= min_rows).agg(F.min(target_date)).first()[0], df.agg(F.max(date)).first()[0]
+    out, step = [], timedelta(weeks=weeks)
+    while first is not None and last is not None and first <= last:
+        out.append((str(first), str(first + step)))
+        first += step
+    return out
+
+
 def boosted_trees(df: DataFrame, features: Sequence[str], target: str, epochs: Sequence[tuple[str, str]], date: str = "date", target_date: str = "target_date", rounds: int = 20, depth: int = 4) -> DataFrame:
     """(…, prediction) per refit epoch [start, end): MLlib boosted trees, pooled over all series, of the labels known at its start."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    path = new_folder(df.sparkSession, "labelled")
+    df.write.parquet(path)  # each fit reads it again
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
     x = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="skip").transform(df.filter(F.col(target).isNotNull()))
     out = None
     for a, b in epochs:

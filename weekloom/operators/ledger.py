@@ -44,12 +44,21 @@ def settle(ledger: DataFrame, observed: DataFrame, on: Sequence[str]) -> DataFra
     return x.withColumns({"event": F.lit("forecast_realized"), "abs_error": F.abs(F.col("prediction") - F.col("actual")), "base_error": F.abs(F.col("origin") - F.col("actual")), "inside": inside})
 
 
-def review_ledger(latest: DataFrame, settled: DataFrame, keys: Sequence[str], target: str, today: Column, nominal: float = 0.8, late_weeks: int = 2, at_least: int = 20) -> DataFrame:
-    """Per ledger: issued, settled, pending, longest wait in weeks, coverage, errors, and the level: ok, info, warning or critical."""
+def review_ledger(latest: DataFrame, settled: DataFrame, keys: Sequence[str], target: str, today: Column, nominal: float = 0.8, tolerance: float = 0.1, late_weeks: int = 2, at_least: int = 20, goal: int = 26) -> DataFrame:
+    """Per ledger: issued, settled, pending, longest wait in weeks, coverage, errors, the alerts and their highest level.
+
+    Alerts are an array of (level, code), the gravest first: critical late_settlement (a forecast waits longer than
+    ``late_weeks``) and worse_than_naive, warning coverage (farther than ``tolerance`` from nominal, on either side), info goal_reached. Without
+    any the level is ok.
+    """
     s = settled.select(*keys, target, "abs_error", "base_error", F.col("inside").cast("double").alias("inside"))
     x = latest.select(*keys, target).join(s, [*keys, target], "left")
     wait = F.when(F.col("abs_error").isNull(), F.greatest(F.floor(F.datediff(today, F.col(target)) / 7), F.lit(0)))
     one = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("issued"), F.count("abs_error").alias("settled"), F.count(F.when(F.col("abs_error").isNull(), 1)).alias("pending"), F.max(wait).alias("weeks_pending"), F.avg("inside").alias("coverage"), F.avg("abs_error").alias("mae"), F.avg("base_error").alias("base_mae"))
     enough = F.col("settled") >= at_least
-    level = F.when(F.col("weeks_pending") > 2 * late_weeks, "critical").when((F.col("weeks_pending") > late_weeks) | (enough & (F.col("coverage") < nominal - 0.1)), "warning").when(enough & (F.col("mae") > F.col("base_mae")), "info").otherwise("ok")
-    return one.withColumn("level", level)
+    rules = [
+        ("critical", "late_settlement", F.col("weeks_pending") > late_weeks), ("critical", "worse_than_naive", enough & (F.col("mae") > F.col("base_mae"))),
+        ("warning", "coverage", enough & (F.abs(F.col("coverage") - nominal) > tolerance)), ("info", "goal_reached", F.col("settled") >= goal),
+    ]
+    alerts = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"))) for level, code, when in rules]))
+    return one.withColumn("alerts", alerts).withColumn("level", F.coalesce(F.get("alerts", 0)["level"], F.lit("ok")))

@@ -54,10 +54,10 @@ def metric_row(pred: DataFrame, by: Sequence[str]) -> DataFrame:
     return pred.groupBy(*by).agg(F.avg(e).alias("bias"), F.max(F.abs(e)).alias("max_abs"), F.median(F.abs(e)).alias("median_abs"), (F.avg(F.abs(e)) / F.nullif(naive, F.lit(0.0))).alias("ratio_naive"))
 
 
-def winkler(alpha: float) -> Column:
+def winkler(alpha: float, lower: str = "lower", upper: str = "upper") -> Column:
     """Interval score of a row: width, and 2/alpha for each unit outside."""
-    out = F.greatest(F.col("lower") - F.col("actual"), F.col("actual") - F.col("upper"), F.lit(0.0))
-    return F.col("upper") - F.col("lower") + 2.0 / alpha * out
+    out = F.greatest(F.col(lower) - F.col("actual"), F.col("actual") - F.col(upper), F.lit(0.0))
+    return F.col(upper) - F.col(lower) + 2.0 / alpha * out
 
 
 def interval_report(pred: DataFrame, by: Sequence[str], alpha: float, threshold: float) -> DataFrame:
@@ -66,12 +66,19 @@ def interval_report(pred: DataFrame, by: Sequence[str], alpha: float, threshold:
     return pred.dropna(subset=["lower", "upper"]).groupBy(*by).agg(
         coverage().alias("coverage"), (coverage() - (1 - alpha)).alias("calibration_error"), F.avg(width).alias("mean_width"), F.median(width).alias("median_width"),
         F.avg(winkler(alpha)).alias("winkler"), F.avg(F.when(event, inside)).alias("coverage_event"), F.avg(F.when(~event, inside)).alias("coverage_quiet"),
+        (F.avg(F.when(event, width)) / F.nullif(F.avg(F.when(~event, width)), F.lit(0.0))).alias("width_ratio"),
     )
 
 
-def performance_report(pred: DataFrame, by: Sequence[str], cents=(0.01, 0.02, 0.05, 0.10)) -> DataFrame:
-    e = F.abs(ERR())
-    return pred.groupBy(*by).agg(directional_accuracy().alias("hit_rate"), *[F.avg((e <= c).cast("double")).alias(f"within_{round(100 * c)}") for c in cents], F.median(e).alias("median_abs"), F.avg(e).alias("mean_abs"))
+def performance_report(pred: DataFrame, by: Sequence[str], threshold: float, cents=(0.01, 0.02, 0.05, 0.10)) -> DataFrame:
+    """Share of right directions (of all rows that moved, of events, of quiet rows that moved), of errors within so many cents, and
+    of actuals inside the band (lower, upper)."""
+    e, moved, event = F.abs(ERR()), F.col("actual") != F.col("origin"), F.abs(F.col("actual") - F.col("origin")) > threshold
+    right = (F.signum(F.col("prediction") - F.col("origin")) == F.signum(F.col("actual") - F.col("origin"))).cast("double")
+    return pred.groupBy(*by).agg(
+        directional_accuracy().alias("hit_rate"), F.avg(F.when(event, right)).alias("hit_rate_event"), F.avg(F.when(~event & moved, right)).alias("hit_rate_quiet"), F.count(F.when(event, 1)).alias("n_event"),
+        *[F.avg((e <= c).cast("double")).alias(f"within_{round(100 * c)}") for c in cents], F.median(e).alias("median_abs"), F.avg(e).alias("mean_abs"), coverage().alias("coverage"),
+    )
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
@@ -108,6 +115,19 @@ def bootstrap_ci(means: DataFrame, keys: Sequence[str], level: float = 0.9) -> D
     return means.groupBy(*keys).agg(F.percentile("mean", F.lit(t)).alias("low"), F.percentile("mean", F.lit(1 - t)).alias("high"))
 
 
+def paired_bootstrap(df: DataFrame, keys: Sequence[str], a: str, b: str, order: str, block: int, resamples: int, seed: int = 1) -> DataFrame:
+    """(keys, n, mean_difference, low, high, p_not_better, p_two_sided) of paired losses a - b, resampled in blocks.
+
+    ``p_not_better``: share of resampled means that are not below 0. ``p_two_sided``: share of resampled means that lie as far
+    from the observed mean as that lies from 0 (the resamples centred on no difference).
+    """
+    d = df.withColumn("_d", F.col(a) - F.col(b)).filter(F.col("_d").isNotNull())
+    own = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_difference"))
+    x = block_bootstrap(d, keys, "_d", order, block, resamples, seed).join(own, list(keys))
+    far = F.abs(F.col("mean") - F.col("mean_difference")) >= F.abs("mean_difference")
+    return x.groupBy(*keys, "n", "mean_difference").agg(F.percentile("mean", F.lit(0.05)).alias("low"), F.percentile("mean", F.lit(0.95)).alias("high"), F.avg((F.col("mean") >= 0).cast("double")).alias("p_not_better"), F.avg(far.cast("double")).alias("p_two_sided"))
+
+
 def psi(expected: DataFrame, actual: DataFrame, value: str, by: Sequence[str], bins: int = 10) -> DataFrame:
     """Population stability: quantile bins of the expected values, shares of at least 1e-6, outside values dropped."""
     edges = expected.groupBy(*by).agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("e"), F.count(value).alias("n0")).filter(F.col("n0") >= bins)
@@ -126,10 +146,12 @@ def psi(expected: DataFrame, actual: DataFrame, value: str, by: Sequence[str], b
     return edges.select(*by).join(found, list(by), "left").select(*by, F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
-def rank_candidates(scores: DataFrame, candidate: str = "candidate", score: str = "score") -> DataFrame:
-    """mean, worst and deviation over folds, the selection score mean + 0.2 worst + 0.1 deviation, and the place."""
+def rank_candidates(scores: DataFrame, candidate: str = "candidate", score: str = "score", limit: float = 1.0) -> DataFrame:
+    """mean, worst and deviation over folds, the selection score mean + 0.2 worst + 0.1 deviation, eligibility (below ``limit`` in
+    every fold: for scores over the naive one, 1 means that it beats it always), and the place."""
     one = scores.groupBy(candidate).agg(F.avg(score).alias("mean"), F.max(score).alias("worst"), F.coalesce(F.stddev_pop(score), F.lit(0.0)).alias("dev"))
     one = one.withColumn("selection", F.col("mean") + 0.2 * F.col("worst") + 0.1 * F.col("dev"))
+    one = one.withColumn("eligible", F.col("worst") < limit)
     return one.withColumn("place", F.row_number().over(W.orderBy("selection", candidate)))  # candidates are few
 
 
@@ -205,9 +227,21 @@ def pool_reversion(estimates: DataFrame, group: Sequence[str], unit: str, value:
 
 
 def usage_summary(events: DataFrame, tenant: str, status: str, latency: str, period: Column, quota: int) -> DataFrame:
-    """Calls, errors (status >= 400), mean latency, and what is left of the quota, per tenant and period."""
+    """Calls, errors (status >= 400), mean latency, what is left of the quota, and the share of it that is used, per tenant and period."""
     x = events.withColumn("period", period).groupBy(tenant, "period").agg(F.count(F.lit(1)).alias("calls"), F.count(F.when(F.col(status) >= 400, 1)).alias("errors"), F.avg(latency).alias("mean_latency"))
-    return x.withColumns({"left": F.greatest(F.lit(quota) - F.col("calls"), F.lit(0)), "exceeded": F.col("calls") > quota})
+    return x.withColumns({"left": F.greatest(F.lit(quota) - F.col("calls"), F.lit(0)), "used": F.col("calls") / F.nullif(F.lit(quota), F.lit(0)), "exceeded": F.col("calls") > quota})
+
+
+def usage_by_path(events: DataFrame, tenant: str, path: str, period: Column) -> DataFrame:
+    """Calls per tenant, period and path."""
+    return events.withColumn("period", period).groupBy(tenant, "period", path).agg(F.count(F.lit(1)).alias("calls"))
+
+
+def peak_calls(events: DataFrame, tenant: str, at: Column, period: Column, seconds: int = 60) -> DataFrame:
+    """The most calls of a tenant within any trailing minute that ends in the period."""
+    w = W.partitionBy(tenant).orderBy("_at").rangeBetween(1 - seconds, 0)
+    x = events.select(tenant, period.alias("period"), F.unix_timestamp(at.cast("timestamp")).alias("_at"))
+    return x.withColumn("_n", F.count(F.lit(1)).over(w)).groupBy(tenant, "period").agg(F.max("_n").alias("peak"))
 
 
 def prebuy_replay(pred: DataFrame, keys: Sequence[str], horizon: int, liters: float, share: float, threshold: float, carry: float, date: str = "target_date") -> DataFrame:
@@ -217,12 +251,42 @@ def prebuy_replay(pred: DataFrame, keys: Sequence[str], horizon: int, liters: fl
     return hit.withColumns({"volume": F.lit(volume), "saving": volume * (F.col("actual") - F.col("origin") - carry * horizon), "right": (F.col("actual") > F.col("origin"))})
 
 
-def profitability(events: DataFrame, by: Sequence[str], saving: str = "saving") -> DataFrame:
-    """Win rate over triggers, profit factor (infinite without a loss), expectancy, largest event's share (NULL unless the total is positive)."""
+def replay_summary(pred: DataFrame, keys: Sequence[str], horizon: int, liters: float, share: float, threshold: float, carry: float, means: DataFrame | None = None) -> DataFrame:
+    """The replay over all weeks, those without a trigger included.
+
+    (keys, weeks, triggers, precision, total, gross_profit, gross_loss, return_on_spend, annualised, largest_share, off_calendar);
+    spend is the demand of every week at its origin price; ``precision``: share of triggers after which the price rose;
+    ``off_calendar``: rows whose target is not ``horizon`` weeks after the origin. With the resampled means of the weekly savings
+    (``means``), also the 90 % interval of the annualised value.
+    """
+    x = weekly_savings(pred, horizon, liters, share, threshold, carry)
+    s, hit = F.col("saving"), F.col("trigger")
+    total = F.sum(s)
+    one = x.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("weeks"), F.count(F.when(hit, 1)).alias("triggers"), F.avg(F.when(hit, (F.col("actual") > F.col("origin")).cast("double"))).alias("precision"), total.alias("total"),
+        F.sum(F.greatest(s, F.lit(0.0))).alias("gross_profit"), F.sum(F.greatest(-s, F.lit(0.0))).alias("gross_loss"), (total / F.nullif(F.sum(liters * F.col("origin")), F.lit(0.0))).alias("return_on_spend"),
+        (F.avg(s) * 52).alias("annualised"), F.when(total > 0, F.max(s) / total).alias("largest_share"), F.count(F.when(F.datediff("target_date", "date") != 7 * horizon, 1)).alias("off_calendar"),
+    )
+    if means is None:
+        return one
+    ci = bootstrap_ci(means, keys).select(*keys, (F.col("low") * 52).alias("annual_low"), (F.col("high") * 52).alias("annual_high"))
+    return one.join(ci, list(keys), "left")
+
+
+def weekly_savings(pred: DataFrame, horizon: int, liters: float, share: float, threshold: float, carry: float) -> DataFrame:
+    """``trigger`` and ``saving`` of every row: 0 where nothing is bought early."""
+    hit = F.coalesce(F.col("prediction") - F.col("origin") >= threshold, F.lit(False))
+    return pred.withColumns({"trigger": hit, "saving": F.when(hit, liters * share * (F.col("actual") - F.col("origin") - carry * horizon)).otherwise(0.0)})
+
+
+def profitability(events: DataFrame, by: Sequence[str], saving: str = "saving", spend: str | None = None, weeks: str | None = None) -> DataFrame:
+    """Win rate over triggers, profit factor (infinite without a loss), gross profit and loss, expectancy, largest event's share (NULL unless
+    the total is positive); with columns of spend and weeks also the return on spend and the value a year."""
     s = F.col(saving)
     up, down = F.sum(F.when(s > 0, s).otherwise(0.0)), -F.sum(F.when(s < 0, s).otherwise(0.0))
     total = F.sum(s)
-    return events.groupBy(*by).agg(F.count(F.lit(1)).alias("triggers"), total.alias("total"), F.avg((s > 0).cast("double")).alias("win_rate"), F.when(down > 0, up / down).when(up > 0, F.lit(float("inf"))).alias("profit_factor"), F.avg(s).alias("expectancy"), F.when(total > 0, F.max(s) / total).alias("largest_share"))
+    return events.groupBy(*by).agg(F.count(F.lit(1)).alias("triggers"), total.alias("total"), F.avg((s > 0).cast("double")).alias("win_rate"), F.when(down > 0, up / down).when(up > 0, F.lit(float("inf"))).alias("profit_factor"), F.avg(s).alias("expectancy"), F.when(total > 0, F.max(s) / total).alias("largest_share"), up.alias("gross_profit"), down.alias("gross_loss"),
+        *([(total / F.nullif(F.sum(spend), F.lit(0.0))).alias("return_on_spend")] if spend else []), *([(52 * total / F.nullif(F.sum(weeks), F.lit(0))).alias("annualised")] if weeks else []))
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], ident: str, n: int, seed: int) -> DataFrame:
@@ -257,8 +321,9 @@ def summary_gate(df: DataFrame, by: Sequence[str], value: str, expected: DataFra
     return x.withColumn("ok", F.coalesce(F.abs(F.col("found") - F.col("expected")) <= tolerance, F.lit(False)))
 
 
-def classification_report(df: DataFrame, by: Sequence[str], truth: str, probs: dict[int, str]) -> DataFrame:
-    """Accuracy, balanced accuracy, macro F1, Brier, log loss and calibration error (bins (lo, lo + 0.1]) of class probabilities.
+def classification_report(df: DataFrame, by: Sequence[str], truth: str, probs: dict[int, str], no_news: Column | None = None) -> DataFrame:
+    """Accuracy, balanced accuracy, macro F1, Brier, log loss and calibration error (bins (lo, lo + 0.1]) of class probabilities, and the
+    share of rows without news.
 
     The class of the largest probability is predicted; at equal ones the first named. Classes that never occur count as NULL
     in the means over classes. Two aggregations, then one row per group and class.
@@ -269,12 +334,13 @@ def classification_report(df: DataFrame, by: Sequence[str], truth: str, probs: d
     own = F.coalesce(*[F.when(F.col(truth) == c, F.col(p)) for c, p in probs.items()])
     brier = sum(((F.col(p) - (F.col(truth) == c).cast("double")) * (F.col(p) - (F.col(truth) == c).cast("double")) for c, p in probs.items()), F.lit(0.0))
     d = d.withColumns({"_g": guess, "_hit": (guess == F.col(truth)).cast("double"), "_top": top, "_ll": -F.log(F.greatest(own, F.lit(1e-15))), "_br": brier})
-    whole = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("accuracy"), F.avg("_br").alias("brier"), F.avg("_ll").alias("log_loss"),
+    quiet = F.avg(F.coalesce(no_news, F.lit(False)).cast("double")) if no_news is not None else F.lit(0.0)
+    whole = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("accuracy"), F.avg("_br").alias("brier"), F.avg("_ll").alias("log_loss"), quiet.alias("no_news_rate"),
         *[x for c in probs for x in (F.count(F.when(F.col(truth) == c, 1)).alias(f"_t{c}"), F.count(F.when(F.col("_g") == c, 1)).alias(f"_p{c}"), F.count(F.when((F.col(truth) == c) & (F.col("_g") == c), 1)).alias(f"_b{c}"))])
     mean = lambda cs: F.aggregate(F.filter(F.array(*cs), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(F.filter(F.array(*cs), lambda x: x.isNotNull())), F.lit(0))
     recall = [F.col(f"_b{c}") / F.nullif(F.col(f"_t{c}"), F.lit(0)) for c in probs]
     f1 = [2 * F.col(f"_b{c}") / F.nullif(F.col(f"_t{c}") + F.col(f"_p{c}"), F.lit(0)) for c in probs]
-    whole = whole.select(*by, "n", "accuracy", mean(recall).alias("balanced_accuracy"), mean(f1).alias("macro_f1"), "brier", "log_loss")
+    whole = whole.select(*by, "n", "accuracy", mean(recall).alias("balanced_accuracy"), mean(f1).alias("macro_f1"), "brier", "log_loss", "no_news_rate")
     bins = d.groupBy(*by, F.ceil(F.col("_top") * 10).alias("_bin")).agg(F.count(F.lit(1)).alias("m"), F.abs(F.avg("_hit") - F.avg("_top")).alias("gap"))
     ece = bins.groupBy(*by).agg((F.sum(F.col("m") * F.col("gap")) / F.sum("m")).alias("ece"))
     return whole.join(ece, list(by)) if by else whole.join(ece, how="cross")  # one row each
@@ -363,18 +429,21 @@ def stacked_ensemble(pred: DataFrame, weights: DataFrame, keys: Sequence[str]) -
     return x.groupBy(*keys).agg((F.sum(F.col("weight") * F.col("prediction")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("prediction"))
 
 
-def evaluate_gates(pred: DataFrame, by: Sequence[str], means: DataFrame, threshold: float, alpha: float = 0.2, most_share: float = 0.5, slack: float = 1.02) -> DataFrame:
-    """(by, gate, passed) of a challenger (prediction) against an incumbent, and of all gates together.
+def evaluate_gates(pred: DataFrame, by: Sequence[str], means: DataFrame, savings: DataFrame, threshold: float, alpha: float = 0.2, most_share: float = 0.5, slack: float = 1.02) -> DataFrame:
+    """(by, gate, passed) of a challenger (prediction, lower, upper) against an incumbent (incumbent, incumbent_lower, incumbent_upper),
+    and of all gates together.
 
     ``means`` are the resampled means of the difference of absolute errors (see ``block_bootstrap``); the gate needs its 95 %
-    quantile below 0. Further gates: lower mean error, no regression in events or quiet weeks (within ``slack``), errors not
-    concentrated in one row, coverage within ten points of 1 - alpha. NULL measures fail.
+    quantile below 0. ``savings`` are those of the weekly savings; their 5 % quantile, a year, must be positive. Further gates: lower mean
+    error, no regression in events or quiet weeks (within ``slack``), errors not concentrated in one row, coverage within ten points of
+    1 - alpha, an interval score not above the incumbent's. NULL measures fail.
     """
     e, i, event = F.abs(F.col("prediction") - F.col("actual")), F.abs(F.col("incumbent") - F.col("actual")), F.abs(F.col("actual") - F.col("origin")) > threshold
-    a = pred.groupBy(*by).agg(F.avg(e).alias("_e"), F.avg(i).alias("_i"), *[F.avg(F.when(m, v)).alias(n) for n, m, v in (("_ee", event, e), ("_ie", event, i), ("_eq", ~event, e), ("_iq", ~event, i))], (F.max(e * e) / F.nullif(F.sum(e * e), F.lit(0.0))).alias("_share"), coverage().alias("_cov"))
+    a = pred.groupBy(*by).agg(F.avg(e).alias("_e"), F.avg(i).alias("_i"), *[F.avg(F.when(m, v)).alias(n) for n, m, v in (("_ee", event, e), ("_ie", event, i), ("_eq", ~event, e), ("_iq", ~event, i))], (F.max(e * e) / F.nullif(F.sum(e * e), F.lit(0.0))).alias("_share"), coverage().alias("_cov"), F.avg(winkler(alpha)).alias("_w"), F.avg(winkler(alpha, "incumbent_lower", "incumbent_upper")).alias("_wi"))
     ci = means.groupBy(*by).agg(F.percentile("mean", F.lit(0.95)).alias("_hi"))
-    x = a.join(ci, list(by), "left")
-    gates = {"beats_incumbent": F.col("_e") < F.col("_i"), "difference_below_zero": F.col("_hi") < 0, "events": F.col("_ee") <= slack * F.col("_ie"), "quiet": F.col("_eq") <= slack * F.col("_iq"), "not_concentrated": F.col("_share") <= most_share, "calibrated": F.abs(F.col("_cov") - (1 - alpha)) <= 0.1}
+    year = savings.groupBy(*by).agg((52 * F.percentile("mean", F.lit(0.05))).alias("_year"))
+    x = a.join(ci, list(by), "left").join(year, list(by), "left")
+    gates = {"beats_incumbent": F.col("_e") < F.col("_i"), "difference_below_zero": F.col("_hi") < 0, "events": F.col("_ee") <= slack * F.col("_ie"), "quiet": F.col("_eq") <= slack * F.col("_iq"), "not_concentrated": F.col("_share") <= most_share, "calibrated": F.abs(F.col("_cov") - (1 - alpha)) <= 0.1, "annual_savings": F.col("_year") > 0, "interval_score": F.col("_w") <= F.col("_wi")}
     gates = {k: F.coalesce(v, F.lit(False)) for k, v in gates.items()}
     both = F.lit(True)
     for v in gates.values():
@@ -383,13 +452,14 @@ def evaluate_gates(pred: DataFrame, by: Sequence[str], means: DataFrame, thresho
 
 
 def promotion_report(pred: DataFrame, by: Sequence[str], order: str, at_least: int = 26) -> DataFrame:
-    """(n, ratio, worst_ratio, dm, status): 'promote' if n, the error ratio (<= 0.98), the worst 13-week ratio (<= 1.05) and the
-    one-sided 5 % test all agree; 'collect' with too few rows; else 'hold'."""
+    """(n, ratio, ratio_naive, worst_ratio, dm, status): 'promote' if n, the error ratios against the incumbent and against the naive
+    forecast (both <= 0.98), the worst 13-week ratio (<= 1.05) and the one-sided 5 % test all agree; 'collect' with too few rows; else 'hold'."""
     from .features import worst_rolling_ratio
 
     p = pred.withColumns({"_a": F.col("prediction") - F.col("actual"), "_b": F.col("incumbent") - F.col("actual")}).withColumns({"_la": F.col("_a") * F.col("_a"), "_lb": F.col("_b") * F.col("_b")})
-    ratio = p.groupBy(*by).agg(F.sqrt(F.avg("_la") / F.nullif(F.avg("_lb"), F.lit(0.0))).alias("ratio"))
+    naive = F.col("naive") - F.col("actual")
+    ratio = p.groupBy(*by).agg(F.sqrt(F.avg("_la") / F.nullif(F.avg("_lb"), F.lit(0.0))).alias("ratio"), F.sqrt(F.avg("_la") / F.nullif(F.avg(naive * naive), F.lit(0.0))).alias("ratio_naive"))
     dm = dm_statistic(p, by, "_la", "_lb", order).select(*by, "n", "dm")
     x = ratio.join(worst_rolling_ratio(p, by, "_a", "_b", date=order), list(by)).join(dm, list(by))
-    good = (F.col("ratio") <= 0.98) & (F.col("worst_ratio") <= 1.05) & (F.col("dm") < -1.6448536269514722)
+    good = (F.col("ratio") <= 0.98) & (F.col("ratio_naive") <= 0.98) & (F.col("worst_ratio") <= 1.05) & (F.col("dm") < -1.6448536269514722)
     return x.withColumn("status", F.when(F.col("n") < at_least, "collect").when(good, "promote").otherwise("hold"))

@@ -25,10 +25,26 @@ def plain(c: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.lower(unaccented(c)), r"\s+", " ")), 1, PART_CHARS)
 
 
+def weekly_lines(articles: DataFrame, origins: DataFrame, days: int, record: str, source: str, title: str, body: str, available: str = "available", sha: str = "sha", origin: str = "origin") -> DataFrame:
+    """(origin, position, record, line): the lines of each origin's document, one an article, numbered in order of time and id.
+
+    An origin without articles has one line, which says so, at position 0. NULL parts count as empty. No task holds a whole document:
+    lines are ranked by a window that carries the line's article alone.
+    """
+    hit = articles_in_lookback(articles, origins, days, available, sha, record, origin)
+    part = lambda c: F.coalesce(plain(F.col(c)), F.lit(""))
+    line = F.concat_ws(" ", F.concat(F.lit("source_"), part(source)), part(title), part(body))
+    place = F.row_number().over(W.partitionBy(origin).orderBy(available, record))
+    lines = hit.select(origin, place.alias("position"), F.col(record).alias("record"), line.alias("line"))
+    none = origins.select(origin).distinct().join(hit.select(origin).distinct(), origin, "left_anti")
+    return lines.unionByName(none.select(origin, F.lit(0).alias("position"), F.lit(None).cast(articles.schema[record].dataType).alias("record"), F.lit(NO_NEWS).alias("line")))
+
+
 def weekly_documents(articles: DataFrame, origins: DataFrame, days: int, record: str, source: str, title: str, body: str, available: str = "available", sha: str = "sha", origin: str = "origin") -> DataFrame:
     """(origin, n, document): the look-back's articles, one line each in order of time and id; a week without any says so.
 
-    A document is as long as its articles are, at most two parts each; NULL parts count as empty.
+    A document is as long as its articles are, at most two parts each, and is put together in one group: for look-backs that fit into a
+    task. ``weekly_lines`` gives the same lines without that bound. NULL parts count as empty.
     """
     hit = articles_in_lookback(articles, origins, days, available, sha, record, origin)
     part = lambda c: F.coalesce(plain(F.col(c)), F.lit(""))
@@ -77,14 +93,17 @@ def annotation_batch(df: DataFrame, strata: Sequence[str], ident: str, relevant:
     return took.select(F.substring("_h", 1, 16).alias("item_id"), ident, *strata, "pool", F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("slot"))
 
 
-def annotation_violations(df: DataFrame, item: str, slot: str, annotator: str, labels: dict[str, Sequence[str]]) -> DataFrame:
-    """(rule, violations): an item twice in a slot, items not in all slots, one annotator in several slots, labels outside their domain."""
+def annotation_violations(df: DataFrame, item: str, slot: str, annotator: str, labels: dict[str, Sequence[str]], stamp: str | None = None) -> DataFrame:
+    """(rule, violations): an item twice in a slot, items not in all slots, one annotator in several slots, labels outside their domain and,
+    with a column of time stamps (text), those that can't be read as a time."""
     rules = [df.groupBy(item, slot).count().filter("count > 1").agg(F.count(F.lit(1)).alias("violations")).withColumn("rule", F.lit("duplicate"))]
     slots = df.agg(F.count_distinct(slot).alias("_s"))
     each = df.groupBy(item).agg(F.count_distinct(slot).alias("_n"), (F.count_distinct(annotator) < F.count_distinct(slot)).alias("_same"))
     rules += [each.join(F.broadcast(slots), how="cross").agg(F.count(F.when(F.col("_n") != F.col("_s"), 1)).alias("violations")).withColumn("rule", F.lit("unequal_slots"))]  # one row
     rules += [each.agg(F.count(F.when(F.col("_same"), 1)).alias("violations")).withColumn("rule", F.lit("same_annotator"))]
     rules += [df.agg(F.count(F.when(F.col(c).isNull() | ~F.col(c).isin(*v), 1)).alias("violations")).withColumn("rule", F.lit(f"domain_{c}")) for c, v in labels.items()]
+    if stamp:
+        rules += [df.agg(F.count(F.when(F.try_to_timestamp(F.col(stamp)).isNull(), 1)).alias("violations")).withColumn("rule", F.lit("timestamp"))]
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)

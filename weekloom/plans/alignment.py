@@ -74,6 +74,23 @@ def jn11_pinned_folds(spark, d):
     return align.pinned_folds(panel(spark, d).select("k", "date", "price"), "2000-01-03", "2001-01-01", 52, 3)
 
 
+@query(f"WITH {PANEL}, h AS (SELECT k, count(*) FILTER (date BETWEEN DATE '2000-01-03' AND DATE '2001-01-01') AS n FROM p WHERE k % 5 > 0 OR date < DATE '2000-12-01' OR date > DATE '2001-01-01' GROUP BY k) SELECT k, n, n = 53 AS complete FROM h")
+def jn11_holdout_length(spark, d):
+    """Some series miss the last weeks of the holdout."""
+    p = panel(spark, d).filter("k % 5 > 0 or date < '2000-12-01' or date > '2001-01-01'").select("k", "date", "price")
+    return align.holdout_length(align.pinned_folds(p, "2000-01-03", "2001-01-01", 52, 3), K, 53)
+
+
+@query(f"WITH {PANEL}, l AS (SELECT k, date, lead(date, 2) OVER (PARTITION BY k ORDER BY date) AS target_date FROM p), f AS (SELECT year(date) AS fold_id, min(date) AS a, max(date) AS b FROM p GROUP BY 1), x AS (SELECT k, l.date, CASE WHEN datediff('day', DATE '1995-01-02', l.date) % 1001 = 0 THEN 1999 ELSE fold_id END AS fold_id FROM l JOIN f ON target_date BETWEEN a AND b), i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY date) AS i FROM x) SELECT k, fold_id, count(*) AS n, max(i) - min(i) + 1 = count(*) AS contiguous FROM i GROUP BY 1, 2")
+def jn12_fold_contiguity(spark, d):
+    """Every 143rd week is put into a wrong fold."""
+    p = panel(spark, d)
+    folds = p.groupBy(F.year("date").alias("fold_id")).agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"))
+    x = align.remap_fold(align.lagged_dataset(p.drop("stations"), K, "price", [], 2), folds)
+    wrong = F.datediff("date", F.lit("1995-01-02").cast("date")) % 1001 == 0
+    return align.fold_contiguity(x.withColumn("fold_id", F.when(wrong, 1999).otherwise(F.col("fold_id"))), K)
+
+
 @query(f"WITH {PANEL}, l AS (SELECT k, date, lead(date, 2) OVER (PARTITION BY k ORDER BY date) AS target_date FROM p), f AS (SELECT year(date) AS fold_id, min(date) AS a, max(date) AS b FROM p GROUP BY 1) SELECT k, l.date, target_date, fold_id FROM l JOIN f ON target_date BETWEEN a AND b WHERE datediff('day', l.date, target_date) = 14")
 def jn12_remap_fold(spark, d):
     p = panel(spark, d)
@@ -105,10 +122,10 @@ def wf4_passthrough_panel(spark, d):
     return x.select("k", "date", F.round("dp", 6).alias("dp"), F.round("dp1", 6).alias("dp1"), F.round("cost_2", 4).alias("cost_2"), F.round("abs_cost", 6).alias("abs_cost"), F.round("vol26", 5).alias("vol26"))
 
 
-@query(f"WITH {COST}, y AS (SELECT k, date, price, stations FROM x UNION ALL SELECT k, (max(date) + INTERVAL 7 DAY)::DATE, NULL, NULL FROM x GROUP BY k), m AS (SELECT *, price - lag(price) OVER (PARTITION BY k ORDER BY date) AS dp FROM y) SELECT k, date, round(lag(dp) OVER w, 6) AS dp1, (lag(stations, 1) OVER w - lag(stations, 2) OVER w)::DOUBLE AS producer_move FROM m WINDOW w AS (PARTITION BY k ORDER BY date)")
+@query(f"WITH {COST}, y AS (SELECT k, date, price, stations, cost FROM x UNION ALL SELECT k, (max(date) + INTERVAL 7 DAY)::DATE, NULL, NULL, NULL FROM x GROUP BY k), m AS (SELECT *, price - lag(price) OVER w AS dp, ln(cost) - ln(lag(cost) OVER w) AS c, lag(price) OVER w AS p1 FROM y WINDOW w AS (PARTITION BY k ORDER BY date)) SELECT k, date, round(lag(dp) OVER w, 6) AS dp1, (lag(stations, 1) OVER w - lag(stations, 2) OVER w)::DOUBLE AS producer_move, round(lag(c) OVER w, 6) AS crude_move, round(lag(c, 2) OVER w * p1, 4) AS cost_2, CASE WHEN count(dp) OVER v >= 12 THEN round(stddev_samp(dp) OVER v, 5) END AS vol26 FROM m WINDOW w AS (PARTITION BY k ORDER BY date), v AS (PARTITION BY k ORDER BY date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)")
 def wf5_parity_panel_next_week(spark, d):
-    x = features.parity_panel(features.with_next_week(with_cost(spark, d), K), K, "price", "cost", "stations")
-    return x.select("k", "date", F.round("dp1", 6).alias("dp1"), F.col("producer_move").cast("double").alias("producer_move"))
+    x = features.parity_panel(features.with_next_week(with_cost(spark, d), K), K, "price", "cost", "stations", crude="cost")
+    return x.select("k", "date", F.round("dp1", 6).alias("dp1"), F.col("producer_move").cast("double").alias("producer_move"), F.round("crude_move", 6).alias("crude_move"), F.round("cost_2", 4).alias("cost_2"), F.round("vol26", 5).alias("vol26"))
 
 
 @query(f"WITH {COST}, m AS (SELECT k, date, ln(lag(cost) OVER w) - ln(lag(price) OVER w) AS press FROM x WINDOW w AS (PARTITION BY k ORDER BY date)), z AS (SELECT *, count(press) OVER v AS n, avg(press) OVER v AS m, stddev_samp(press) OVER v AS s FROM m WINDOW v AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT k, date, round(press, 6) AS press, CASE WHEN n >= 52 THEN round((press - m) / s, 5) + 0.0 END AS press_z FROM z")
@@ -117,7 +134,7 @@ def wf7_pressure_features(spark, d):
     return x.select("k", "date", F.round("press", 6).alias("press"), (F.round("press_z", 5) + 0.0).alias("press_z"))
 
 
-@query(f"WITH {SPREAD}, a AS (SELECT k, date, spread, lead(spread, 4) OVER (PARTITION BY k ORDER BY date) - spread AS f FROM sp), q AS (SELECT k, unnest([0.02, 0.05, 0.1])::DOUBLE AS share, unnest(quantile_cont(spread, [0.02, 0.05, 0.1])) AS cut FROM sp GROUP BY k), l AS (SELECT a.k, share, date, f, coalesce((datediff('day', lag(date) OVER (PARTITION BY a.k, share ORDER BY date), date) > 56)::INT, 1) AS n FROM a JOIN q ON q.k = a.k WHERE spread <= cut) SELECT k, share, count(*) AS weeks, sum(n)::BIGINT AS episodes, round(avg(f), 6) AS mean_forward, round(avg((f > 0)::INT::DOUBLE), 6) AS share_up FROM l GROUP BY 1, 2")
+@query(f"WITH {SPREAD}, a AS (SELECT k, date, spread, lead(spread, 4) OVER (PARTITION BY k ORDER BY date) - spread AS f FROM sp), q AS (SELECT k, unnest([0.02, 0.05, 0.1])::DOUBLE AS share, unnest(quantile_cont(spread, [0.02, 0.05, 0.1])) AS cut FROM sp GROUP BY k), l AS (SELECT a.k, share, date, f, coalesce((datediff('day', lag(date) OVER (PARTITION BY a.k, share ORDER BY date), date) > 56)::INT, 1) AS n FROM a JOIN q ON q.k = a.k WHERE spread <= cut), la AS (SELECT k, arg_max(spread, date) AS s, avg(spread) AS m, stddev_samp(spread) AS sd FROM sp GROUP BY k), nw AS (SELECT la.k, (s - m) / sd AS z, avg((spread <= s)::INT::DOUBLE) AS pc FROM la JOIN sp ON sp.k = la.k GROUP BY ALL) SELECT l.k, share, count(*) AS weeks, sum(n)::BIGINT AS episodes, round(avg(f), 6) AS mean_forward, round(avg((f > 0)::INT::DOUBLE), 6) AS share_up, round(max(z), 6) AS z_now, round(max(pc), 6) AS percentile_now FROM l JOIN nw ON nw.k = l.k GROUP BY 1, 2")
 def wf15_spread_opportunity(spark, d):
     return rounded(features.spread_opportunity(spread(spark, d), K, "spread", 4))
 

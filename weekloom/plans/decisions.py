@@ -61,9 +61,10 @@ def dc6_gate_by_pressure(spark, d):
     return decide.gate_by_pressure(predictions(spark, d), press, ["k", "date"]).select("k", "date", F.round(F.col("gated") / LITRES_PER_GALLON, 6).alias("gated_litre"))
 
 
-@query(f"WITH {PANEL}, m AS (SELECT *, avg(price) OVER (PARTITION BY k ORDER BY date ROWS 3 PRECEDING) AS m FROM p), h AS (SELECT unnest([1, 4, 12]) AS horizon) SELECT m.k, horizon, count(t.price) AS n, round(avg(abs(m.m - t.price)), 6) AS mae, round(avg(abs(m.m - t.price)) / avg(abs(m.price - t.price)), 6) AS ratio, CASE WHEN count(t.price) = 0 THEN 'unavailable' ELSE 'available' END AS status FROM m CROSS JOIN h LEFT JOIN p t ON t.k = m.k AND t.date = m.date + INTERVAL 7 DAY * horizon GROUP BY 1, 2")
+@query(f"WITH {PANEL}, m AS (SELECT *, avg(price) OVER (PARTITION BY k ORDER BY date ROWS 3 PRECEDING) AS m FROM p), h AS (SELECT unnest([1, 4, 12]) AS horizon) SELECT m.k, horizon, count(t.price) AS n, round(avg(abs(m.m - t.price)), 6) AS mae, round(avg(abs(m.m - t.price)) / avg(abs(m.price - t.price)), 6) AS ratio, count(*) FILTER (t.price IS NOT NULL AND m.m - m.price >= 5) AS triggers, round(coalesce(sum(t.price - m.price - 1.5 * horizon) FILTER (t.price IS NOT NULL AND m.m - m.price >= 5), 0), 4) AS saving, CASE WHEN count(t.price) = 0 THEN 'unavailable' ELSE 'available' END AS status FROM m CROSS JOIN h LEFT JOIN p t ON t.k = m.k AND t.date = m.date + INTERVAL 7 DAY * horizon GROUP BY 1, 2")
 def dc7_horizon_sweep(spark, d):
-    return rounded(decide.horizon_sweep(panel(spark, d), K, "price", [1, 4, 12]))
+    x = decide.horizon_sweep(panel(spark, d), K, "price", [1, 4, 12], threshold=5.0, carry=1.5)
+    return rounded(x.withColumn("saving", F.round("saving", 4)))
 
 
 @query(f"WITH {PANEL}, l AS (SELECT k, max(date) AS target FROM p GROUP BY k), t AS (SELECT max(date) + 7 AS today FROM p), s AS (SELECT k, target, greatest(datediff('day', target, today) - 6, 0) AS stale FROM l, t) SELECT k, target, stale, CASE WHEN stale = 0 THEN 'healthy' WHEN stale <= 14 THEN 'degraded' ELSE 'blocked' END AS status FROM s")
@@ -74,6 +75,9 @@ def dc8_freshness_status(spark, d):
     return x.select("k", "target", stale.alias("stale"), status.alias("status"))
 
 
-@query(f"WITH {PRED}, g AS (SELECT *, datediff('day', lag(date) OVER (PARTITION BY k ORDER BY date), date) AS gap FROM r), o AS (SELECT k, count(*) AS n, avg((actual BETWEEN origin - 40 AND origin + 50)::INT::DOUBLE) AS coverage, avg(abs(prediction - actual)) AS mae, avg(abs(origin - actual)) AS b, count(*) FILTER (gap <> 7) AS missed FROM g GROUP BY k) SELECT k, n, round(coverage, 6) AS coverage, round(mae, 6) AS mae, missed, concat_ws(',', CASE WHEN n >= 20 AND coverage < 0.7 THEN 'coverage' END, CASE WHEN n >= 20 AND mae > b THEN 'mae' END, CASE WHEN missed > 0 THEN 'cadence' END) AS alerts FROM o")
+@query(f"WITH {PRED}, g AS (SELECT *, datediff('day', lag(date) OVER (PARTITION BY k ORDER BY date), date) AS gap FROM r), o AS (SELECT k, count(*) AS n, avg((actual BETWEEN origin - 40 AND origin + 50)::INT::DOUBLE) AS coverage, avg(abs(prediction - actual)) AS mae, avg(abs(origin - actual)) AS b, count(*) FILTER (gap <> 7) AS missed, arg_max(abs(prediction - origin) / 400, date) AS cl, arg_max(abs(actual - origin) / 400, date) AS ca, arg_max(abs(actual - prediction) / 2000, date) AS ch FROM g GROUP BY k) SELECT k, n, round(coverage, 6) AS coverage, round(mae, 6) AS mae, missed, concat_ws(',', CASE WHEN n >= 20 AND coverage < 0.7 THEN 'coverage' END, CASE WHEN n >= 20 AND mae > b THEN 'mae' END, CASE WHEN missed > 0 THEN 'cadence' END, CASE WHEN cl > 0.25 THEN 'clip' END, CASE WHEN ca >= 0.9 THEN 'capacity' END, CASE WHEN ch >= 0.1 THEN 'churn' END) AS alerts FROM o")
 def ml21_health_report(spark, d):
-    return rounded(decide.health_report(banded(spark, d), K))
+    """Clip, capacity and churn are stood in for by sizes of the last row's moves."""
+    gap = lambda a, b, n: F.abs(F.col(a) - F.col(b)) / n
+    x = banded(spark, d).withColumns({"clip": gap("prediction", "origin", 400), "capacity": gap("actual", "origin", 400), "churn": gap("actual", "prediction", 2000)})
+    return rounded(decide.health_report(x, K, clip="clip", capacity="capacity", churn="churn"))

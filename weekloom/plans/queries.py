@@ -95,9 +95,10 @@ def banded(spark, d):
     return predictions(spark, d).withColumns({"lower": F.col("origin") - 40, "upper": F.col("origin") + 50})
 
 
-@query(f"WITH {BAND}, z AS (SELECT *, (actual BETWEEN lower AND upper)::INT::DOUBLE AS i, upper - lower AS w, abs(actual - origin) > 30 AS e FROM b) SELECT k, round(avg(i), 6) AS coverage, round(avg(i) - 0.8, 6) AS calibration_error, round(avg(w), 6) AS mean_width, round(median(w), 6) AS median_width, round(avg(w + 2.0 / 0.2 * greatest(lower - actual, actual - upper, 0)), 6) AS winkler, round(avg(i) FILTER (e), 6) AS coverage_event, round(avg(i) FILTER (NOT e), 6) AS coverage_quiet FROM z GROUP BY k")
+@query(f"WITH {BAND}, bb AS (SELECT * REPLACE (upper + abs(prediction - origin) / 10 AS upper) FROM b), z AS (SELECT *, (actual BETWEEN lower AND upper)::INT::DOUBLE AS i, upper - lower AS w, abs(actual - origin) > 30 AS e FROM bb) SELECT k, round(avg(i), 6) AS coverage, round(avg(i) - 0.8, 6) AS calibration_error, round(avg(w), 6) AS mean_width, round(median(w), 6) AS median_width, round(avg(w + 2.0 / 0.2 * greatest(lower - actual, actual - upper, 0)), 6) AS winkler, round(avg(i) FILTER (e), 6) AS coverage_event, round(avg(i) FILTER (NOT e), 6) AS coverage_quiet, round(avg(w) FILTER (e) / avg(w) FILTER (NOT e), 6) AS width_ratio FROM z GROUP BY k")
 def ag7_interval_report(spark, d):
-    return rounded(score.interval_report(banded(spark, d), K, 0.2, 30.0))
+    wide = banded(spark, d).withColumn("upper", F.col("upper") + F.abs(F.col("prediction") - F.col("origin")) / 10)
+    return rounded(score.interval_report(wide, K, 0.2, 30.0))
 
 
 @query(f"WITH {BAND}, z AS (SELECT k, actual - lower AS d FROM b) SELECT k, round(avg(greatest(0.1 * d, -0.9 * d)), 6) AS pinball FROM z GROUP BY k")
@@ -105,9 +106,9 @@ def ag4_pinball(spark, d):
     return rounded(banded(spark, d).groupBy("k").agg(score.pinball("lower", 0.1).alias("pinball")))
 
 
-@query(f"WITH {PRED}, e AS (SELECT *, abs(prediction - actual) AS e FROM r) SELECT k, round(avg((sign(prediction - origin) = sign(actual - origin))::INT::DOUBLE) FILTER (actual <> origin), 6) AS hit_rate, round(avg((e <= 0.01)::INT::DOUBLE), 6) AS within_1, round(avg((e <= 0.02)::INT::DOUBLE), 6) AS within_2, round(avg((e <= 0.05)::INT::DOUBLE), 6) AS within_5, round(avg((e <= 0.1)::INT::DOUBLE), 6) AS within_10, round(median(e), 6) AS median_abs, round(avg(e), 6) AS mean_abs FROM e GROUP BY k")
+@query(f"WITH {BAND}, e AS (SELECT *, abs(prediction - actual) AS e, (sign(prediction - origin) = sign(actual - origin))::INT::DOUBLE AS h FROM b) SELECT k, round(avg(h) FILTER (actual <> origin), 6) AS hit_rate, round(avg(h) FILTER (abs(actual - origin) > 30), 6) AS hit_rate_event, round(avg(h) FILTER (abs(actual - origin) <= 30 AND actual <> origin), 6) AS hit_rate_quiet, count(*) FILTER (abs(actual - origin) > 30) AS n_event, round(avg((actual BETWEEN lower AND upper)::INT::DOUBLE), 6) AS coverage, round(avg((e <= 0.01)::INT::DOUBLE), 6) AS within_1, round(avg((e <= 0.02)::INT::DOUBLE), 6) AS within_2, round(avg((e <= 0.05)::INT::DOUBLE), 6) AS within_5, round(avg((e <= 0.1)::INT::DOUBLE), 6) AS within_10, round(median(e), 6) AS median_abs, round(avg(e), 6) AS mean_abs FROM e GROUP BY k")
 def ag8_performance_report(spark, d):
-    return rounded(score.performance_report(predictions(spark, d), K))
+    return rounded(score.performance_report(banded(spark, d), K, 30.0))
 
 
 @query("WITH d AS (SELECT * FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), n AS (SELECT count(*) AS n, avg((quality = toxic)::INT::DOUBLE) AS o FROM d), a AS (SELECT quality AS l, count(*) AS na FROM d GROUP BY 1), b AS (SELECT toxic AS l, count(*) AS nb FROM d GROUP BY 1), s AS (SELECT sum(na * nb)::DOUBLE AS s FROM a JOIN b USING (l)) SELECT n, round(o, 6) AS observed, round((o - s / (n * n)) / (1 - s / (n * n)), 6) AS kappa FROM n, s")
@@ -143,16 +144,26 @@ def ag14_block_bootstrap(spark, d):
     return rounded(score.bootstrap_ci(score.block_bootstrap(p, K, "e", "date", 8, 100), K))
 
 
-@query("SELECT user_id, date_trunc('day', ts)::DATE AS period, count(*) AS calls, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean_latency, greatest(20 - count(*), 0) AS left, count(*) > 20 AS exceeded FROM events GROUP BY 1, 2")
+@query("SELECT user_id, date_trunc('day', ts)::DATE AS period, count(*) AS calls, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean_latency, greatest(20 - count(*), 0) AS left, round(count(*) / 20, 6) AS used, count(*) > 20 AS exceeded FROM events GROUP BY 1, 2")
 def ag25_usage_summary(spark, d):
     e = table(spark, d, "events").withColumn("status", F.when(F.col("event_type") == "error", 500).otherwise(200))
     return rounded(score.usage_summary(e, "user_id", "status", "value", F.to_date("ts"), 20))
 
 
-@query(f"WITH {PANEL}, f AS (SELECT k AS candidate, year(date) AS y, avg(price) AS s FROM p GROUP BY 1, 2), g AS (SELECT candidate, avg(s) AS mean, max(s) AS worst, stddev_pop(s) AS dev FROM f GROUP BY 1) SELECT candidate, round(mean, 6) AS mean, round(worst, 6) AS worst, round(dev, 6) AS dev, round(mean + 0.2 * worst + 0.1 * dev, 6) AS selection, row_number() OVER (ORDER BY mean + 0.2 * worst + 0.1 * dev, candidate) AS place FROM g")
+@query("SELECT user_id, date_trunc('day', ts)::DATE AS period, event_type, count(*) AS calls FROM events GROUP BY 1, 2, 3")
+def ag25_usage_by_path(spark, d):
+    return score.usage_by_path(table(spark, d, "events"), "user_id", "event_type", F.to_date("ts"))
+
+
+@query("WITH w AS (SELECT user_id, ts::DATE AS period, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS n FROM events) SELECT user_id, period, max(n) AS peak FROM w GROUP BY 1, 2")
+def ag25_peak_calls(spark, d):
+    return score.peak_calls(table(spark, d, "events"), "user_id", F.col("ts"), F.to_date("ts"))
+
+
+@query(f"WITH {PANEL}, f AS (SELECT k AS candidate, year(date) AS y, avg(price) AS s FROM p GROUP BY 1, 2), g AS (SELECT candidate, avg(s) AS mean, max(s) AS worst, stddev_pop(s) AS dev FROM f GROUP BY 1) SELECT candidate, round(mean, 6) AS mean, round(worst, 6) AS worst, round(dev, 6) AS dev, round(mean + 0.2 * worst + 0.1 * dev, 6) AS selection, worst < 1950 AS eligible, row_number() OVER (ORDER BY mean + 0.2 * worst + 0.1 * dev, candidate) AS place FROM g")
 def ag15_rank_candidates(spark, d):
     s = panel(spark, d).groupBy(F.col("k").alias("candidate"), F.year("date").alias("y")).agg(F.avg("price").alias("score"))
-    return rounded(score.rank_candidates(s))
+    return rounded(score.rank_candidates(s, limit=1950.0))
 
 
 @query(f"WITH {PRED}, e AS (SELECT k, 100.0 * (actual - origin - 1.5) AS s FROM r WHERE prediction - origin >= 5) SELECT k, count(*) AS triggers, round(sum(s), 1) AS total, round(avg((s > 0)::INT::DOUBLE), 6) AS win_rate, round(sum(s) FILTER (s > 0) / -sum(s) FILTER (s < 0), 6) AS profit_factor, round(avg(s), 2) AS expectancy, round(CASE WHEN sum(s) > 0 THEN max(s) / sum(s) END, 6) AS largest_share FROM e GROUP BY k")
@@ -212,9 +223,9 @@ def wf1_weekly_features(spark, d):
     return f.select("k", "date", F.col("price_l4").alias("l4"), F.round("price_ma8", 6).alias("ma8"), F.round("price_vol8", 6).alias("vol8"))
 
 
-@query(f"WITH {PANEL}, c AS (SELECT k, date, price, ln(price) - ln(lag(price) OVER (PARTITION BY k ORDER BY date)) AS c FROM p), s AS (SELECT *, CASE WHEN count(c) OVER w >= 4 THEN stddev_samp(c) OVER w END AS sd FROM c WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT k, date, coalesce(abs(c) > 2.5 * greatest(sd, 1e-4), false) AS jump FROM s")
+@query(f"WITH {PANEL}, c AS (SELECT k, date, price, ln(price) - ln(lag(price) OVER (PARTITION BY k ORDER BY date)) AS c FROM p), s AS (SELECT *, CASE WHEN count(c) OVER w >= 4 THEN stddev_samp(c) OVER w END AS sd, CASE WHEN count(price) OVER w >= 4 THEN (price - avg(price) OVER w) / stddev_samp(price) OVER w END AS z FROM c WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)), j AS (SELECT *, coalesce(abs(c) > 2.5 * greatest(sd, 1e-4), false) AS jump FROM s) SELECT k, date, jump, round(z, 6) AS z, jump OR coalesce(abs(z) > 2, false) AS adjusted FROM j")
 def wf2_price_jump(spark, d):
-    return features.price_jump_proxy(panel(spark, d), K, "price").select("k", "date", "jump")
+    return rounded(features.price_jump_proxy(panel(spark, d), K, "price").select("k", "date", "jump", "z", "adjusted"))
 
 
 @query(f"WITH {PANEL}, e AS (SELECT k, min(date) AS a, max(date) AS b FROM p GROUP BY k), g AS (SELECT k, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 7 DAY))::DATE AS date FROM e), x AS (SELECT g.k, g.date, p.price FROM g LEFT JOIN p ON p.k = g.k AND p.date = g.date), y AS (SELECT *, price - lag(price) OVER (PARTITION BY k ORDER BY date) AS dd FROM x) SELECT k, date, CASE WHEN n = 13 THEN round(change_4, 6) END AS change_4, CASE WHEN n = 13 THEN round(gap_ma8, 6) END AS gap_ma8, CASE WHEN n = 13 THEN round(vol_12, 6) END AS vol_12 FROM (SELECT k, date, count(price) OVER (PARTITION BY k ORDER BY date ROWS 12 PRECEDING) AS n, (price - lag(price, 4) OVER (PARTITION BY k ORDER BY date)) / 4 AS change_4, price - avg(price) OVER (PARTITION BY k ORDER BY date ROWS 7 PRECEDING) AS gap_ma8, stddev_pop(dd) OVER (PARTITION BY k ORDER BY date ROWS 11 PRECEDING) AS vol_12 FROM y)")
@@ -223,6 +234,12 @@ def wf3_feature_set(spark, d):
     return rounded(features.feature_set(g, K, "price").select("k", "date", "change_4", "gap_ma8", "vol_12"))
 
 
+@query(f"WITH {COST}, e AS (SELECT k, min(date) AS a, max(date) AS b FROM p GROUP BY k), g AS (SELECT k, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 7 DAY))::DATE AS date FROM e), y AS (SELECT g.k, g.date, x.price, x.cost FROM g LEFT JOIN x ON x.k = g.k AND x.date = g.date) SELECT k, date, CASE WHEN n = 13 THEN price END AS level, CASE WHEN n = 13 THEN round(change_1, 6) END AS change_1, CASE WHEN n = 13 THEN cost_l1 END AS cost_l1 FROM (SELECT k, date, price, count(price) OVER (PARTITION BY k ORDER BY date ROWS 12 PRECEDING) AS n, price - lag(price) OVER (PARTITION BY k ORDER BY date) AS change_1, lag(cost) OVER (PARTITION BY k ORDER BY date) AS cost_l1 FROM y)")
+def wf3_exogenous_set(spark, d):
+    g = align.weekly_grid(with_cost(spark, d).drop("stations"), K)
+    return features.feature_set(g, K, "price", "exogenous", exogenous=["cost"]).select("k", "date", "level", F.round("change_1", 6).alias("change_1"), "cost_l1")
+
+
 @query(f"WITH {COST}, l AS (SELECT k, date, ln(price) AS y, ln(cost) AS x FROM x WHERE cost IS NOT NULL), s AS (SELECT *, count(*) OVER w AS n, regr_slope(y, x) OVER w AS b, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM l WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), r AS (SELECT k, date, CASE WHEN n >= 52 THEN y - my - b * (x - mx) END AS r FROM s), v AS (SELECT k, date, r, count(r) OVER w AS n, stddev_samp(r) OVER w AS sd FROM r WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT k, date, CASE WHEN n >= 2 THEN round(r / sd, 3) + 0.0 END AS coint FROM v")
 def wf6_coint_residual(spark, d):
     x = with_cost(spark, d).filter("cost is not null")
@@ -296,12 +313,15 @@ def wf12_change_guard(spark, d):
     return features.change_guard(predictions(spark, d), K, "origin", "prediction", 52).select("k", "date", "guarded")
 
 
-@query(f"WITH {PANEL}, n AS (SELECT date, avg(price) AS nat FROM p GROUP BY 1), s AS (SELECT p.k, p.date, p.price - n.nat AS s FROM p JOIN n ON n.date = p.date), z AS (SELECT *, count(s) OVER w AS n, avg(s) OVER w AS m, stddev_samp(s) OVER w AS sd, lag(s) OVER (PARTITION BY k ORDER BY date) AS l FROM s WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT k, date, round(s, 5) AS spread, round(s - l, 5) AS spread_d, CASE WHEN n >= 52 THEN round((s - m) / sd, 5) + 0.0 END AS spread_z FROM z")
+@query(f"WITH {PANEL}, n AS (SELECT date, avg(price) AS nat FROM p GROUP BY 1), rg AS (SELECT n_regionkey AS region, date, avg(price) AS r FROM p JOIN nation ON n_nationkey = k GROUP BY 1, 2), s AS (SELECT p.k, p.date, p.price - n.nat AS s, rg.r - n.nat AS ps FROM p JOIN n ON n.date = p.date JOIN nation ON n_nationkey = p.k JOIN rg ON rg.region = n_regionkey AND rg.date = p.date), z AS (SELECT *, lag(ps, 3) OVER (PARTITION BY k ORDER BY date) AS p3, count(s) OVER w AS n, avg(s) OVER w AS m, stddev_samp(s) OVER w AS sd, lag(s) OVER (PARTITION BY k ORDER BY date) AS l FROM s WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT k, date, round(s, 5) AS spread, round(s - l, 5) AS spread_d, CASE WHEN n >= 52 THEN round((s - m) / sd, 5) + 0.0 END AS spread_z, round(p3, 5) + 0.0 AS producer_l3 FROM z")
 def wf8_regional_features(spark, d):
-    p = panel(spark, d)
+    """The producer's spread is that of the series' region."""
+    p = panel(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("region")), "k")
     nat = p.groupBy("date").agg(F.avg("price").alias("nat"))
-    f = features.regional_features(p.join(nat, "date").withColumn("ps", F.lit(0.0)), K, "price", "nat", "ps", 52)
-    return f.select("k", "date", F.round("spread", 5).alias("spread"), F.round("spread_d", 5).alias("spread_d"), (F.round("spread_z", 5) + 0.0).alias("spread_z"))
+    region = p.groupBy("region", "date").agg(F.avg("price").alias("r"))
+    x = p.join(nat, "date").join(region, ["region", "date"]).withColumn("ps", F.col("r") - F.col("nat"))
+    f = features.regional_features(x, K, "price", "nat", "ps", 52)
+    return f.select("k", "date", (F.round("producer_l3", 5) + 0.0).alias("producer_l3"), F.round("spread", 5).alias("spread"), F.round("spread_d", 5).alias("spread_d"), (F.round("spread_z", 5) + 0.0).alias("spread_z"))
 
 
 @query(f"WITH {PANEL}, e AS (SELECT k, date, coalesce((datediff('day', lag(date) OVER (PARTITION BY k ORDER BY date), date) > 56)::INT, 1) AS n FROM p WHERE price > 2500) SELECT k, date, sum(n) OVER (PARTITION BY k ORDER BY date ROWS UNBOUNDED PRECEDING)::BIGINT AS episode FROM e")
@@ -326,6 +346,20 @@ def prj7_drop_targets_in_gap(spark, d):
     return prep.drop_targets_in_gap(panel(spark, d), K, "date", 4, "1997-01-06", "1997-03-31").select("k", "date")
 
 
+@query(f"WITH {COST}, s AS (SELECT k, date, cost, CASE WHEN k % 2 = 0 THEN stations END AS half FROM x) SELECT k, date, last_value(cost IGNORE NULLS) OVER (PARTITION BY k ORDER BY date ROWS UNBOUNDED PRECEDING) AS cost FROM s")
+def prj7_keep_covered_columns(spark, d):
+    """A column that half the series lack is dropped; the other is filled forward."""
+    x = with_cost(spark, d).select("k", "date", "cost", F.when(F.col("k") % 2 == 0, F.col("stations")).alias("half"))
+    return prep.keep_covered_columns(x, K, "date", ["cost", "half"])
+
+
+@query(f"WITH {PRED}, x AS (SELECT origin, prediction, actual AS price_now, target_date, abs(actual) AS target_price, actual FROM r), c AS (SELECT unnest(['origin', 'prediction', 'price_now', 'target_price']) AS \"column\", unnest([avg((origin = actual)::INT::DOUBLE), avg((prediction = actual)::INT::DOUBLE), avg((price_now = actual)::INT::DOUBLE), avg((target_price = actual)::INT::DOUBLE)]) AS share FROM x) SELECT \"column\", \"column\" IN ('price_now', 'target_price') AS leaks, round(share, 6) AS equal_share, share > 0.95 AS equals_target FROM c")
+def prj11_leak_check(spark, d):
+    """Features of the forecasts, two of which hold the target itself under names that say so."""
+    x = predictions(spark, d).select("origin", "prediction", F.col("actual").alias("price_now"), F.abs("actual").alias("target_price"), "actual")
+    return rounded(prep.leaking_columns(x, ["origin", "prediction", "price_now", "target_price"], "actual"))
+
+
 @query("WITH e AS (SELECT event_type AS k, value AS v, event_id % 2 AS h FROM events), q AS (SELECT k, quantile_cont(v, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS e FROM e WHERE h = 0 GROUP BY k), b AS (SELECT e.k, h, CASE WHEN v = q.e[6] THEN 5 ELSE len(list_filter(q.e, lambda x: x <= v)) END AS bin FROM e JOIN q ON q.k = e.k WHERE v BETWEEN q.e[1] AND q.e[6]), c AS (SELECT k, h, bin, count(*) AS c FROM b GROUP BY 1, 2, 3), s AS (SELECT *, c / sum(c) OVER (PARTITION BY k, h) AS s FROM c), g AS (SELECT k, unnest(range(1, 6)) AS bin FROM q), j AS (SELECT g.k, greatest(coalesce(a.s, 0), 1e-6) AS p, greatest(coalesce(z.s, 0), 1e-6) AS q FROM g LEFT JOIN s a ON a.k = g.k AND a.bin = g.bin AND a.h = 0 LEFT JOIN s z ON z.k = g.k AND z.bin = g.bin AND z.h = 1) SELECT k, round(sum((q - p) * ln(q / p)), 6) AS psi FROM j GROUP BY k")
 def ag12_psi(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("k"), F.col("value").alias("v"), (F.col("event_id") % 2).alias("h"))

@@ -1,6 +1,9 @@
 """Registered queries: sources (over files that Spark writes from the given tables), ledgers and the settling stream."""
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,6 +23,15 @@ def src1_read_price_csv(spark, d):
     return files.read_price_csv(spark, path)[0]
 
 
+@query(f"WITH {PANEL}, x AS (SELECT CASE WHEN k < 12 THEN 'S10' ELSE 'S500' END AS product, date, round(price / 3.785411784, 2) AS price FROM p WHERE k % 12 < 6) SELECT product, (date + INTERVAL 6 DAY)::DATE AS week_end, round(median(price), 6) AS price FROM x GROUP BY 1, 2")
+def src1_weekly_prices(spark, d):
+    path = new_folder(spark, "prices")
+    price = F.replace(F.format_string("%.2f", F.round(F.col("price") / 3.785411784, 2)), F.lit("."), F.lit(","))
+    x = panel(spark, d).filter("k % 12 < 6").select(F.date_format("date", "dd/MM/yyyy").alias("Data"), F.when(F.col("k") < 12, "Diesel S10").otherwise("Diesel S500").alias("Produto"), price.alias("Preço Médio"))
+    x.write.csv(path, sep=";", header=True)
+    return rounded(files.read_price_csv(spark, path, weekly="median")[0])
+
+
 @query(f"WITH {COST} SELECT date, cost AS value FROM c")
 def src2_read_series_json(spark, d):
     path = new_folder(spark, "series")
@@ -38,6 +50,25 @@ def src3_read_contract_jsonl(spark, d):
     return ok
 
 
+@query("""WITH x AS (SELECT * FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n FROM x)
+SELECT unnest(['unreadable', 'fields', 'missing_id', 'repeated_id', 'record_count', 'file_sha256', 'undeclared_file', 'missing_file']) AS rule, unnest([count(*) FILTER (doc_id % 200 = 3), count(*) FILTER (doc_id % 50 = 1), count(*) FILTER (doc_id % 250 = 4),
+  count(*) FILTER (doc_id % 100 = 2), 1, 1, 1, 1]) AS violations FROM x""")
+def src3_contract_violations(spark, d):
+    """Documents as contract lines, some of them broken, repeated or without an id, in three files; the manifest states a wrong count for
+    the first file and a wrong SHA-256 for the second, leaves out the third and names one that isn't there."""
+    path = new_folder(spark, "contract")
+    x = table(spark, d, "documents").filter("text is not null").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"))
+    rest = (F.col("source"), F.col("content_sha256"))
+    line = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    text = F.when(F.col("doc_id") % 200 == 3, F.substring(line("doc_id", *rest), 1, 10)).when(F.col("doc_id") % 50 == 1, line("doc_id", *rest, F.lit(1).alias("more"))).when(F.col("doc_id") % 250 == 4, line(F.lit(None).cast("long").alias("doc_id"), *rest)).otherwise(line("doc_id", *rest))
+    x.withColumn("n", F.when(F.col("doc_id") % 100 == 2, 2).otherwise(1)).select(text.alias("value"), F.explode(F.sequence(F.lit(1), "n"))).drop("col").repartition(3).write.text(path)
+    found = files.file_profile(spark, path)
+    nth = F.row_number().over(W.orderBy("file"))  # three files
+    m = found.withColumn("i", nth).filter("i < 3").select("file", (F.col("records") + F.when(F.col("i") == 1, 1).otherwise(0)).alias("records"), F.when(F.col("i") == 2, F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256"))
+    m = m.unionByName(spark.range(1).select(F.lit("gone.txt").alias("file"), F.lit(1).cast("long").alias("records"), F.lit("0" * 64).alias("sha256")))
+    return files.read_contract_jsonl(spark, path, StructType.fromDDL("doc_id bigint, source string, content_sha256 string"), "doc_id", manifest=m)[1]
+
+
 def ledger_rows(spark, d):
     """Events as ledgers by user, numbered by id but linked in order of time, so that some links are broken."""
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("ledger"), F.col("event_id").alias("id"), F.col("event_type").alias("event"), F.col("event_id").cast("string").alias("payload"), "ts")
@@ -46,6 +77,24 @@ def ledger_rows(spark, d):
     return e.withColumns({"sequence": F.row_number().over(by.orderBy("id")).cast("long"), "previous_hash": F.lag("record_hash", 1).over(by.orderBy("ts", "id"))})
 
 
+def chained(spark, d):
+    """Events as ledgers by user, each record's hash over its content and the hash before it; then some are tampered with: a changed
+    payload where the id is a multiple of 97, a changed link of 89, a changed number of 83."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("ledger"), F.col("event_id").alias("id"), F.col("event_type").alias("event"), F.col("event_id").cast("string").alias("payload"))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, before, links, hashes = pdf.sort_values("id"), "", [], []
+        for event, payload in zip(pdf["event"], pdf["payload"], strict=True):
+            links.append(before or None)
+            before = hashlib.sha256(f"{event}|{payload}|{before}".encode()).hexdigest()
+            hashes.append(before)
+        return pdf.assign(sequence=range(1, len(pdf) + 1), previous_hash=links, record_hash=hashes)
+
+    x = e.groupBy("ledger").applyInPandas(chain, "ledger long, id long, event string, payload string, sequence long, previous_hash string, record_hash string")
+    bad = lambda n: F.col("id") % n == 0
+    return x.withColumns({"payload": F.when(bad(97), F.concat("payload", F.lit("x"))).otherwise(F.col("payload")), "previous_hash": F.when(bad(89), "x").otherwise(F.col("previous_hash")), "sequence": F.when(bad(83), F.col("sequence") + 1).otherwise(F.col("sequence"))})
+
+
 CHAIN = "e AS (SELECT user_id::VARCHAR AS ledger, event_id AS id, event_type AS event, event_id::VARCHAR AS payload, ts, sha256(event_type || '|' || event_id) AS h FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY ledger ORDER BY id) AS sequence, lag(h) OVER (PARTITION BY ledger ORDER BY ts, id) AS ph FROM e)"
 
 
@@ -56,9 +105,9 @@ def src4_read_ledger(spark, d):
     return files.read_ledger(spark, path).drop("line")
 
 
-@query(f"WITH {CHAIN} SELECT ledger, count(*) AS records, 0 AS bad_hash, count(*) FILTER (ph IS DISTINCT FROM b) AS bad_link, 0 AS bad_sequence FROM (SELECT *, lag(h) OVER (PARTITION BY ledger ORDER BY sequence) AS b FROM l) GROUP BY ledger")
+@query("SELECT user_id AS ledger, count(*) AS records, count(*) FILTER (event_id % 97 = 0 OR event_id % 89 = 0) AS bad_hash, count(*) FILTER (event_id % 89 = 0) AS bad_link, count(*) FILTER (event_id % 83 = 0) AS bad_sequence FROM events GROUP BY 1")
 def st1_verify_ledger(spark, d):
-    return ledger.verify_ledger(ledger_rows(spark, d), ["ledger"], "sequence", ["event", "payload"])
+    return ledger.verify_ledger(chained(spark, d), ["ledger"], "id", ["event", "payload", "previous_hash"])
 
 
 @query(f"WITH {PANEL} SELECT n_name AS uf, date, price, stations FROM p JOIN nation ON n_nationkey = k")
@@ -83,9 +132,11 @@ def src7_write_csv_safe(spark, d):
     return spark.read.schema("event_id bigint, label string").csv(path, header=True, escape='"')
 
 
-@query('SELECT source, count(*) AS "rows", min(doc_id) AS "first", max(doc_id) AS "last", count(text) AS n_text, count(lang) AS n_lang FROM documents GROUP BY source')
+@query("""WITH h AS (SELECT *, sha256(doc_id || '|' || coalesce(text, '\\N') || '|' || coalesce(lang, '\\N')) AS h FROM documents),
+p AS (SELECT source, count(*) AS n, min(doc_id) AS a, max(doc_id) AS z, count(text) AS n_text, count(lang) AS n_lang, coalesce(sum(octet_length(encode(text))), 0)::BIGINT AS n_bytes, concat_ws(':', sum(('0x' || substr(h, 1, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 9, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 17, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 25, 8))::BIGINT)::VARCHAR) AS s FROM h GROUP BY 1)
+SELECT source, n AS "rows", a AS "first", z AS "last", n_text, n_lang, n_bytes AS bytes, sha256(s) AS fingerprint FROM p""")
 def src8_source_profile(spark, d):
-    return files.source_profile(table(spark, d, "documents").select("source", "doc_id", "text", "lang"), ["source"], "doc_id")
+    return files.source_profile(table(spark, d, "documents").select("source", "doc_id", "text", "lang"), ["source"], "doc_id", "text")
 
 
 @query("WITH h AS (SELECT event_type, sha256(user_id || '|' || event_id) AS h FROM events), p AS (SELECT event_type, count(*) AS n, sum(('0x' || substr(h, 1, 8))::BIGINT)::VARCHAR AS a, sum(('0x' || substr(h, 9, 8))::BIGINT)::VARCHAR AS b, sum(('0x' || substr(h, 17, 8))::BIGINT)::VARCHAR AS c, sum(('0x' || substr(h, 25, 8))::BIGINT)::VARCHAR AS d FROM h GROUP BY 1) SELECT event_type, n AS \"rows\", sha256(a || ':' || b || ':' || c || ':' || d) AS fingerprint FROM p")
@@ -120,10 +171,18 @@ def st3_settle(spark, d):
     return rounded(settled(spark, d)[1].select("k", "target_date", "abs_error", "inside"), 5)
 
 
-@query(f"WITH {ISSUED}, s AS (SELECT *, y BETWEEN 1996 AND 1999 AS d FROM fc WHERE y <= 2000), o AS (SELECT k, count(*) AS issued, count(*) FILTER (d) AS settled, count(*) FILTER (NOT d) AS pending, max(greatest(floor(datediff('day', target_date, DATE '2001-01-08') / 7), 0)) FILTER (NOT d) AS weeks_pending, avg((actual BETWEEN lower AND upper)::INT::DOUBLE) FILTER (d) AS coverage, avg(abs(prediction - actual)) FILTER (d) AS mae, avg(abs(origin - actual)) FILTER (d) AS b FROM s GROUP BY k) SELECT k, issued, settled, pending, weeks_pending::BIGINT AS weeks_pending, round(coverage, 6) AS coverage, round(mae, 6) AS mae, CASE WHEN weeks_pending > 4 THEN 'critical' WHEN weeks_pending > 2 OR settled >= 20 AND coverage < 0.7 THEN 'warning' WHEN settled >= 20 AND mae > b THEN 'info' ELSE 'ok' END AS level FROM o")
+@query(f"WITH {ISSUED}, s AS (SELECT *, y BETWEEN 1996 AND 1999 AS d FROM fc WHERE y <= 2000), o AS (SELECT k, count(*) AS issued, count(*) FILTER (d) AS settled, count(*) FILTER (NOT d) AS pending, max(greatest(floor(datediff('day', target_date, DATE '2001-01-08') / 7), 0)) FILTER (NOT d) AS weeks_pending, avg((actual BETWEEN lower AND upper)::INT::DOUBLE) FILTER (d) AS coverage, avg(abs(prediction - actual)) FILTER (d) AS mae, avg(abs(origin - actual)) FILTER (d) AS b FROM s GROUP BY k) SELECT k, issued, settled, pending, weeks_pending::BIGINT AS weeks_pending, round(coverage, 6) AS coverage, round(mae, 6) AS mae, CASE WHEN weeks_pending > 30 OR settled >= 20 AND mae > b THEN 'critical' WHEN settled >= 20 AND abs(coverage - 0.8) > 0.1 THEN 'warning' WHEN settled >= 60 THEN 'info' ELSE 'ok' END AS level, concat_ws(',', CASE WHEN weeks_pending > 30 THEN 'late_settlement' END, CASE WHEN settled >= 20 AND mae > b THEN 'worse_than_naive' END, CASE WHEN settled >= 20 AND abs(coverage - 0.8) > 0.1 THEN 'coverage' END, CASE WHEN settled >= 60 THEN 'goal_reached' END) AS alerts FROM o")
 def st4_review_ledger(spark, d):
     issued, done = settled(spark, d)
-    return rounded(ledger.review_ledger(issued, done, ["k"], "target_date", F.lit("2001-01-08").cast("date")).drop("base_mae"))
+    x = ledger.review_ledger(issued, done, ["k"], "target_date", F.lit("2001-01-08").cast("date"), late_weeks=30, goal=60).drop("base_mae")
+    return rounded(x.withColumn("alerts", F.concat_ws(",", F.transform("alerts", lambda a: a["code"]))))
+
+
+@query("SELECT f.user_id, f.event_id AS purchase_id, a.event_id AS error_id FROM events f LEFT JOIN events a ON a.user_id = f.user_id AND a.ts >= f.ts AND a.ts <= f.ts + INTERVAL 1 DAY AND a.event_type = 'error' WHERE f.event_type = 'purchase'")
+def st6_stream_settle_grace(spark, d):
+    from weekloom.streaming.settle import stream_settle_grace
+
+    return stream_settle_grace(spark, d)
 
 
 @query("SELECT f.user_id, f.event_id AS purchase_id, a.event_id AS error_id FROM events f JOIN events a ON a.user_id = f.user_id AND a.ts >= f.ts AND a.ts <= f.ts + INTERVAL 1 DAY WHERE f.event_type = 'purchase' AND a.event_type = 'error'")

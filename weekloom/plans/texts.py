@@ -18,11 +18,13 @@ def origins(spark):
     return spark.sql("select explode(sequence(date'2024-01-07', date'2024-04-28', interval 7 days)) as origin")
 
 
-@query(f"WITH {ART}, h AS (SELECT origin::DATE AS origin, doc_id, t, 'source_' || source || ' ' || lang || ' ' || left(sha, 40) AS line, row_number() OVER (PARTITION BY origin, sha ORDER BY t, doc_id) AS i FROM a JOIN o ON t <= origin AND t > origin - INTERVAL 14 DAY), g AS (SELECT origin, count(*) AS n, string_agg(line, chr(10) ORDER BY t, doc_id) AS doc FROM h WHERE i = 1 GROUP BY 1) SELECT o.origin::DATE AS origin, coalesce(n, 0) AS n, sha256(coalesce(doc, '__no_news__')) AS document_sha256 FROM o LEFT JOIN g ON g.origin = o.origin")
+FOLDED = "left(trim(regexp_replace(lower(translate(coalesce({c}, ''), 'ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑáàâãäéèêëíìîïóòôõöúùûüçñ', 'AAAAAEEEEIIIIOOOOOUUUUCNaaaaaeeeeiiiiooooouuuucn')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 3000)"
+
+
+@query(f"WITH {ART}, h AS (SELECT origin::DATE AS origin, doc_id, t, 'source_' || {FOLDED.format(c='source')} || ' ' || {FOLDED.format(c='lang')} || ' ' || {FOLDED.format(c='text')} AS line, row_number() OVER (PARTITION BY origin, sha ORDER BY t, doc_id) AS i FROM a JOIN o ON t <= origin AND t > origin - INTERVAL 14 DAY), g AS (SELECT origin, row_number() OVER (PARTITION BY origin ORDER BY t, doc_id) AS position, doc_id, line FROM h WHERE i = 1) SELECT origin, position, doc_id AS record, sha256(line) AS line_sha256 FROM g UNION ALL SELECT origin::DATE, 0, NULL, sha256('__no_news__') FROM o WHERE origin::DATE NOT IN (SELECT origin FROM g)")
 def tx2_weekly_documents(spark, d):
-    a = articles(spark, d).withColumn("short", F.substring("sha", 1, 40))
-    x = text.weekly_documents(a, origins(spark), 14, "doc_id", "source", "lang", "short")
-    return x.select("origin", "n", F.sha2(F.col("document").cast("binary"), 256).alias("document_sha256"))
+    x = text.weekly_lines(articles(spark, d), origins(spark), 14, "doc_id", "source", "lang", "text")
+    return x.select("origin", F.col("position").cast("long").alias("position"), "record", F.sha2(F.col("line").cast("binary"), 256).alias("line_sha256"))
 
 
 @query(f"WITH {PRED} SELECT k, date, CASE WHEN actual - origin > 200 THEN 1 WHEN actual - origin < -200 THEN -1 ELSE 0 END AS label FROM r")
@@ -30,13 +32,27 @@ def tx3_market_labels(spark, d):
     return predictions(spark, d).select("k", "date", text.market_label("origin", "actual", 200.0).alias("label"))
 
 
-@query("WITH w AS (SELECT user_id, date_trunc('week', ts)::DATE AS week, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS u, count(*) FILTER (event_type = 'error') AS d, count(*) FILTER (event_type = 'view') AS v FROM events WHERE event_type IN ('purchase', 'error', 'view') GROUP BY 1, 2) SELECT user_id, week, round(ln(1 + n), 6) AS log_count, round(u / n, 6) AS share_up, round(d / n, 6) AS share_down, round(u / n - d / n, 6) AS balance, round(v / n, 6) AS category_view FROM w")
-def tx1_weekly_signal_features(spark, d):
+KINDS = ["click", "error", "purchase", "signup", "view"]
+SIGNALS = "w AS (SELECT user_id, date_trunc('week', ts)::DATE AS week, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS u, count(*) FILTER (event_type = 'error') AS d, " + ", ".join(f"count(*) FILTER (event_type = '{c}') AS c_{c}" for c in KINDS) + " FROM events GROUP BY 1, 2)"
+
+
+def signals(spark, d):
+    """Weekly counts of a user's events by direction and by kind."""
     kind = F.when(F.col("event_type") == "purchase", "up").when(F.col("event_type") == "error", "down").otherwise("neutral")
-    e = table(spark, d, "events").filter(F.col("event_type").isin("purchase", "error", "view")).select("user_id", F.to_date(F.date_trunc("week", "ts")).alias("week"), kind.alias("dir"), "event_type")
-    count = lambda c: F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), F.count(F.when(F.col(c[0]) == k, 1)).alias("value")) for k in c[1]]))
-    s = e.groupBy("user_id", "week").agg(F.count(F.lit(1)).alias("n"), count(("dir", ("up", "down", "neutral"))).alias("directions"), count(("event_type", ("purchase", "error", "view"))).alias("categories"))
-    return rounded(text.weekly_signal_features(s, ["user_id", "week"], "n", "directions", "categories", ["view"]).select("user_id", "week", "log_count", "share_up", "share_down", "balance", "category_view"))
+    e = table(spark, d, "events").select("user_id", F.to_date(F.date_trunc("week", "ts")).alias("week"), kind.alias("dir"), "event_type")
+    count = lambda c, names: F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), F.count(F.when(F.col(c) == k, 1)).alias("value")) for k in names]))
+    return e.groupBy("user_id", "week").agg(F.count(F.lit(1)).alias("n"), count("dir", ("up", "down", "neutral")).alias("directions"), count("event_type", KINDS).alias("categories"))
+
+
+@query(f"WITH {SIGNALS} SELECT user_id, week, round(ln(1 + n), 6) AS log_count, round(u / n, 6) AS share_up, round(d / n, 6) AS share_down, round((n - u - d) / n, 6) AS share_neutral, round(u / n - d / n, 6) AS balance, {', '.join(f'round(c_{c} / n, 6) AS category_{c}' for c in KINDS)} FROM w")
+def tx1_weekly_signal_features(spark, d):
+    return rounded(text.weekly_signal_features(signals(spark, d), ["user_id", "week"], "n", "directions", "categories", KINDS))
+
+
+@query(f"WITH {SIGNALS} SELECT unnest(['negative_count', 'direction_sum']) AS rule, unnest([count(*) FILTER (n - 40 < 0), count(*)]) AS violations FROM w")
+def tx1_signal_violations(spark, d):
+    """Counts made wrong by 40, so that small ones are negative and none is the sum of its directions."""
+    return text.signal_violations(signals(spark, d).withColumn("n", F.col("n") - 40), "n", "directions")
 
 
 def annotated(spark, d):
@@ -45,14 +61,31 @@ def annotated(spark, d):
     return x.select("doc_id", "s.*")
 
 
-@query("SELECT unnest(['duplicate', 'unequal_slots', 'same_annotator', 'domain_good']) AS rule, unnest([(SELECT 2 * count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)), 0, 0, (SELECT count(*) FILTER (quality IS NULL) + count(*) FILTER (toxic IS NULL) FROM labels)]) AS violations")
+FIELDS = {"relevance": "{x}", "direction": "CASE WHEN doc_id % 3 = 0 THEN 1 - {x} ELSE {x} END", "intensity": "{x} * 2 + doc_id % 2", "horizon": "CASE WHEN doc_id % 7 = {x} THEN 0 ELSE {x} END"}
+
+
+def fully_annotated(spark, d):
+    """``annotated`` with four labels made of each slot's own and with time stamps, some of which can't be read."""
+    x = annotated(spark, d).withColumn("g", F.col("good").cast("int"))
+    x = x.select("doc_id", "slot", "annotator", *[F.expr(e.format(x="g")).cast("string").alias(c) for c, e in FIELDS.items()])
+    return x.withColumn("at", F.when(F.col("doc_id") % 10 == 0, "some day").otherwise(F.concat(F.lit("2024-01-0"), F.col("slot").cast("string"), F.lit(" 12:00:00"))))
+
+
+SLOTS = "s AS (SELECT doc_id, 1 AS slot, quality AS g FROM labels UNION ALL SELECT doc_id, 2, 1 - toxic FROM labels), x AS (SELECT doc_id, slot, " + ", ".join(f"({e.format(x='g')})::VARCHAR AS {c}" for c, e in FIELDS.items()) + " FROM s)"
+
+
+@query(f"WITH {SLOTS} SELECT unnest(['duplicate', 'unequal_slots', 'same_annotator', 'timestamp', 'domain_relevance', 'domain_intensity']) AS rule, unnest([(SELECT 2 * count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)), 0, 0, count(*) FILTER (doc_id % 10 = 0), count(*) FILTER (relevance IS NULL), count(*) FILTER (intensity IS NULL OR intensity NOT IN ('0', '1', '2'))]) AS violations FROM x")
 def tx6_validate_annotations(spark, d):
-    return text.annotation_violations(annotated(spark, d), "doc_id", "slot", "annotator", {"good": ["0", "1"]})
+    return text.annotation_violations(fully_annotated(spark, d), "doc_id", "slot", "annotator", {"relevance": ["0", "1"], "intensity": ["0", "1", "2"]}, "at")
+
+
+def _kappa_sql(c: str) -> str:
+    return f"SELECT '{c}' AS label, max(n) AS n, round(max(o), 6) AS observed, round((max(o) - coalesce(sum(pa * pb), 0)) / (1 - coalesce(sum(pa * pb), 0)), 6) AS kappa FROM (SELECT (SELECT count(*) FROM p{c}) AS n, (SELECT avg((a = b)::INT::DOUBLE) FROM p{c}) AS o, (SELECT count(*) FROM p{c} WHERE a = l) / (SELECT count(*) FROM p{c}) AS pa, (SELECT count(*) FROM p{c} WHERE b = l) / (SELECT count(*) FROM p{c}) AS pb FROM (SELECT DISTINCT a AS l FROM p{c}))"
 
 
-@query("WITH d AS (SELECT quality AS a, 1 - toxic AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), m AS (SELECT count(*) AS n, avg((a = b)::INT::DOUBLE) AS o, avg(a) AS pa, avg(b) AS pb FROM d) SELECT 'good' AS label, n, round(o, 6) AS observed, round((o - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 6) AS kappa FROM m")
+@query(f"WITH {SLOTS}, {', '.join(f'p{c} AS (SELECT y.{c} AS a, z.{c} AS b FROM x y JOIN x z ON z.doc_id = y.doc_id AND y.slot = 1 AND z.slot = 2 WHERE y.{c} IS NOT NULL AND z.{c} IS NOT NULL)' for c in FIELDS)} {' UNION ALL '.join(_kappa_sql(c) for c in FIELDS)}")
 def tx6_slot_agreement(spark, d):
-    return rounded(text.slot_agreement(annotated(spark, d), "doc_id", "slot", ["good"]))
+    return rounded(text.slot_agreement(fully_annotated(spark, d), "doc_id", "slot", list(FIELDS)))
 
 
 @query("SELECT doc_id, 'good' AS fields FROM labels WHERE quality IS DISTINCT FROM 1 - toxic")

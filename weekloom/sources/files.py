@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weekloom.functions.prep import canonical_product, normalize_name, parse_price, row_median
+from weekloom.operators.score import weekly_reduce
 
 # Accepted names of the columns (normalised).
 DATE_NAMES = ("data", "date", "data_final", "semana", "week")
@@ -32,13 +33,17 @@ def pick(df: DataFrame, given: str | None, names: Sequence[str]) -> str:
     raise ValueError(f"no column named any of {list(names)}")
 
 
-def read_price_csv(spark: SparkSession, path: str, sep: str = ";", date: str | None = None, product: str | None = None, price: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects): (product, date, price) of known products with a date and a positive price, and the lines that have not."""
+def read_price_csv(spark: SparkSession, path: str, sep: str = ";", date: str | None = None, product: str | None = None, price: str | None = None, weekly: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): (product, date, price) of known products with a date and a positive price, and the lines that have not.
+
+    With ``weekly`` ('mean', 'median' or 'preserve') rows are one a product and week: (product, week_end, price).
+    """
     raw = spark.read.csv(path, sep=sep, header=True)
     d, p, v = (pick(raw, g, n) for g, n in ((date, DATE_NAMES), (product, PRODUCT_NAMES), (price, PRICE_NAMES)))
     x = raw.select(canonical_product(F.col(p)).alias("product"), day_first(F.col(d)).alias("date"), parse_price(F.col(v)).alias("price"), F.col(p).alias("raw_product"), F.col(d).alias("raw_date"), F.col(v).alias("raw_price"))
     ok = F.coalesce(F.col("product").isNotNull() & F.col("date").isNotNull() & (F.col("price") > 0), F.lit(False))
-    return x.filter(ok).select("product", "date", "price"), x.filter(~ok).select("raw_product", "raw_date", "raw_price")
+    good = x.filter(ok).select("product", "date", "price")
+    return weekly_reduce(good, ["product"], "date", "price", weekly) if weekly else good, x.filter(~ok).select("raw_product", "raw_date", "raw_price")
 
 
 CHART = "chart struct<result array<struct<timestamp array<bigint>, indicators struct<quote array<struct<close array<double>>>>>>>"
@@ -57,21 +62,43 @@ def read_series_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return x.groupBy(F.to_date("at").alias("date")).agg(F.max_by("value", F.struct("at", "value")).alias("value"))
 
 
-def read_contract_jsonl(spark: SparkSession, path: str, schema: StructType, ident: str, version_field: str | None = None, version: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, violations): lines of a closed set of fields. Rules: unreadable, other fields, missing or repeated id, other version."""
+def file_profile(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, records, sha256) of the files of a folder; records are lines that aren't blank. Files without a single byte aren't seen."""
+    sums = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("records"))
+    return sums.join(lines, "file", "left").select("file", "bytes", F.coalesce("records", F.lit(0)).alias("records"), "sha256")
+
+
+def manifest_violations(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(rule, violations) of files against a manifest (file, records, sha256)."""
+    x = found.select("file", F.col("records").alias("n"), F.col("sha256").alias("s")).join(manifest, "file", "full")
+    rules = {"record_count": F.col("n") != F.col("records"), "file_sha256": F.col("s") != F.col("sha256"), "undeclared_file": F.col("sha256").isNull(), "missing_file": F.col("s").isNull()}
+    return x.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in rules.items()]).unpivot([], list(rules), "rule", "violations")
+
+
+def read_contract_jsonl(spark: SparkSession, path: str, schema: StructType, ident: str, version_field: str | None = None, version: str | None = None, manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, violations): lines of a closed set of fields. Rules: unreadable, other fields, missing or repeated id, other version and,
+    with a manifest (file, records, sha256), the files' record counts and SHA-256, files it doesn't name and files that are missing.
+
+    Records with a repeated id are all left out: none can be trusted to be the right one.
+    """
     raw = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
     names = F.array(*[F.lit(f.name) for f in schema])
     x = raw.select("value", F.from_json("value", schema).alias("r"), F.json_object_keys("value").alias("keys"))
     fields = F.sort_array("keys") != F.sort_array(names)
-    rules = {"unreadable": F.col("keys").isNull(), "fields": F.coalesce(fields, F.lit(False)), "missing_id": F.col("keys").isNotNull() & F.col(f"r.{ident}").isNull()}
+    rules = {"unreadable": F.col("keys").isNull(), "fields": F.coalesce(fields, F.lit(False)), "missing_id": F.col("keys").isNotNull() & F.col(f"r.{ident}").isNull()}
     if version_field:
         rules["version"] = F.col("keys").isNotNull() & ~F.col(f"r.{version_field}").cast("string").eqNullSafe(F.lit(version))
     v = x.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in rules.items()]).unpivot([], list(rules), "rule", "violations")
-    twice = x.filter(F.col(f"r.{ident}").isNotNull()).groupBy(f"r.{ident}").count().filter("count > 1").agg(F.count(F.lit(1)).alias("violations")).select(F.lit("repeated_id").alias("rule"), "violations")
+    again = x.filter(F.col(f"r.{ident}").isNotNull()).groupBy(F.col(f"r.{ident}").alias("_again")).count().filter("count > 1").select("_again")
+    twice = again.agg(F.count(F.lit(1)).alias("violations")).select(F.lit("repeated_id").alias("rule"), "violations")
     bad = F.lit(False)
     for c in rules.values():
         bad = bad | c
-    return x.filter(~bad).select("r.*"), v.unionByName(twice)
+    v = v.unionByName(twice)
+    if manifest is not None:
+        v = v.unionByName(manifest_violations(file_profile(spark, path), manifest))
+    return x.filter(~bad).join(again, F.col(f"r.{ident}") == F.col("_again"), "left_anti").select("r.*"), v
 
 
 LEDGER = "ledger string, sequence bigint, event string, payload string, previous_hash string, record_hash string"
@@ -113,14 +140,22 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         df.write.mode("overwrite").format(fmt).save(path)
 
 
-def source_profile(df: DataFrame, by: Sequence[str], date: str) -> DataFrame:
-    """Rows, first and last date, and non-null values of each other column, per source."""
+def source_profile(df: DataFrame, by: Sequence[str], date: str, content: str | None = None) -> DataFrame:
+    """Rows, first and last date, and non-null values of each other column, per source; with a ``content`` column also its bytes and the
+    fingerprint of all columns (see ``data_fingerprint``). Of files, ``file_profile`` gives bytes and SHA-256."""
     rest = [c for c in df.columns if c not in (*by, date)]
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min(date).alias("first"), F.max(date).alias("last"), *[F.count(c).alias(f"n_{c}") for c in rest])
+    own = [F.count(F.lit(1)).alias("rows"), F.min(date).alias("first"), F.max(date).alias("last"), *[F.count(c).alias(f"n_{c}") for c in rest]]
+    if content:
+        own += [F.coalesce(F.sum(F.octet_length(F.col(content)).cast("long")), F.lit(0)).alias("bytes"), _fingerprint([date, *rest]).alias("fingerprint")]
+    return df.groupBy(*by).agg(*own)
 
 
-def data_fingerprint(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """(rows, fingerprint) per key: sums of the row hashes' four 32-bit parts, hashed, so no group is ever collected; order doesn't count, repeats do."""
+def _fingerprint(cols: Sequence[str]) -> Column:
     h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]), 256)
     part = lambda i: F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws(":", *[part(i).cast("string") for i in range(4)]), 256).alias("fingerprint"))
+    return F.sha2(F.concat_ws(":", *[part(i).cast("string") for i in range(4)]), 256)
+
+
+def data_fingerprint(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(rows, fingerprint) per key: sums of the row hashes' four 32-bit parts, hashed, so no group is ever collected; order doesn't count, repeats do."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), _fingerprint(cols).alias("fingerprint"))

@@ -1,4 +1,5 @@
-"""A new folder for derived files: under ``spark.checkpoint.dir``, which every executor sees; a temporary one where that is unset."""
+"""A new folder for derived files: under ``spark.checkpoint.dir``, which every executor sees; a temporary one where that is unset and
+the master is local. On a cluster a missing setting is an error, as executors would write to their own disks."""
 from __future__ import annotations
 
 import tempfile
@@ -8,5 +9,8 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-weekloom-")
-    return f"{base}/weekloom/{name}-{uuid.uuid4().hex}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir is not set: with master {master}, a folder that all executors share is needed")
+    return f"{(base or tempfile.mkdtemp(prefix='spark-weekloom-')).rstrip('/')}/weekloom/{name}-{uuid.uuid4().hex}"

@@ -28,3 +28,23 @@ def stream_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = settle_stream(f, a, "user_id", "1 day").select("f.user_id", "purchase_id", "error_id")
     both.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("user_id bigint, purchase_id bigint, error_id bigint").parquet(f"{out}/rows")
+
+
+def stream_settle_grace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``stream_settle``, but purchases without an error within the day come out too, once the watermarks have passed their grace.
+
+    After the events, a purchase and an error of a later year arrive, which close all that went before; they are left out (they have no
+    event_id, but a key: rows without one never reach the watermarks of an equi-join).
+    """
+    from .weekly import arrive
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    far = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit(None).cast("long").alias("event_id"), F.explode(F.array(F.lit("purchase"), F.lit("error"))).alias("event_type"), F.make_timestamp(F.lit(2999), *[F.lit(x) for x in (1, 1, 0, 0, 0)]).alias("ts"))
+    out = new_folder(spark, "grace")
+    for _ in arrive(f"{out}/arrivals", events, far, far):
+        e = spark.readStream.schema(events.schema).parquet(f"{out}/arrivals")
+        f = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("issued"))
+        a = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("ts").alias("at"))
+        both = settle_stream(f, a, "user_id", "1 day", how="leftOuter").select("f.user_id", "purchase_id", "error_id")
+        both.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id bigint, purchase_id bigint, error_id bigint").parquet(f"{out}/rows").filter("purchase_id is not null")
