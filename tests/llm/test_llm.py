@@ -531,6 +531,38 @@ def test_near_classes(docs, spark):
     assert neardup.near_classes(df.limit(0)).count() == 0
 
 
+def test_near_pairs_recall(spark):
+    """Hundreds of pairs just above the threshold, each of words of its own: all must share a class, and none below it."""
+    rng, rows, alike = random.Random(21), [], {}
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(700):
+        one = [f"p{k}w{i}" for i in range(rng.randrange(60, 300))]
+        two = list(one)
+        for at in rng.sample(range(len(one)), max(1, round(len(one) * rng.uniform(0.008, 0.03)))):
+            two[at] = f"p{k}x{at}"
+        a, b = grams(one), grams(two)
+        alike[k] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    got = {r["id"]: r["class_id"] for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    near = [k for k, j in alike.items() if j >= 0.8]
+    assert len(near) > 250 and sum(0.8 <= alike[k] < 0.9 for k in near) > 150
+    assert all(got[2 * k + 1] == (2 * k if j >= 0.8 else 2 * k + 1) for k, j in alike.items())
+
+
+def test_components_of_long_chains(spark):
+    """Paths and trees whose nodes are numbered at random, and a star."""
+    rng, links, want = random.Random(3), [], {}
+    for g, size in enumerate([2, 3, 50, 400]):
+        nodes = rng.sample(range(1000 * g, 1000 * g + 900), size)
+        links += list(zip(nodes[:-1], nodes[1:]))
+        want |= dict.fromkeys(nodes, min(nodes))
+    links += [(5000, 5000 + k) for k in range(1, 300)] + [(5299, 5000)]
+    want |= dict.fromkeys(range(5000, 5300), 5000)
+    links = [(max(x), min(x)) for x in links]
+    got = neardup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+
+
 def test_near_classes_repeated_sentence(spark):
     """One of two copies says a sentence many times more: the sets stay close, the counts don't."""
     rows = []

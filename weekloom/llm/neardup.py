@@ -183,6 +183,7 @@ def _star(named: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs of each text with the centre of its band, the oldest in round 0, one by hash in later rounds."""
     order = F.col("a") if k == 0 else F.xxhash64("a", F.lit(k))
     centre = named.groupBy("band").agg(F.min_by(F.struct("a", "n", "component"), order).alias("c"))
+    centre = staged(centre, "centres")  # a plain table: Spark can split the texts of a hot band, or broadcast few centres
     pairs = named.join(centre, "band").filter((F.col("component") != F.col("c.component")) & _alike(F.col("n"), F.col("c.n"), threshold))
     return staged(pairs.select(F.greatest("a", "c.a").alias("a"), F.least("a", "c.a").alias("b")).distinct(), "star")
 
