@@ -192,7 +192,12 @@ def st6_stream_settle(spark, d):
     return stream_settle(spark, d)
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT user_id AS k, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+h AS (SELECT DISTINCT k, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0::DOUBLE AS n, 0::DOUBLE AS mean, 0::DOUBLE AS s, 0::DOUBLE AS low, false AS hit FROM i
+  UNION ALL SELECT k, i, event_id, n, mean, s, low, v IS NOT NULL AND s - low > 200 FROM (SELECT *, least(low0, s) AS low FROM (SELECT *, CASE WHEN v IS NULL THEN s0 ELSE s0 + v - mean - 0.5 END AS s
+    FROM (SELECT *, CASE WHEN v IS NULL THEN mean0 ELSE mean0 + (v - mean0) / n END AS mean FROM (SELECT i.k, i.i, i.event_id, v, CASE WHEN hit THEN 0 ELSE n END + (v IS NOT NULL)::INT AS n,
+      CASE WHEN hit THEN 0 ELSE mean END AS mean0, CASE WHEN hit THEN 0 ELSE s END AS s0, CASE WHEN hit THEN 0 ELSE low END AS low0 FROM h JOIN i ON i.k = h.k AND i.i = h.i + 1)))))
+SELECT k AS key, event_id, round(s - low, 6) AS path, hit AS changed, false AS rejected FROM h WHERE i > 0""")
 def st7_stream_page_hinkley(spark, d):
     from weekloom.streaming.online import stream_page_hinkley
 

@@ -109,7 +109,14 @@ def tx9_lexicon_label(spark, d):
     return text.lexicon_label(x, "text", LEX["up"], LEX["down"], LEX["rel"]).drop("text")
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, source, lang, CASE WHEN n_chars > 1000 THEN 'relevant' ELSE 'control' END AS pool FROM documents),
+s AS (SELECT pool, source, lang, count(*) AS m FROM p GROUP BY ALL), q AS (SELECT *, 60 * m / sum(m) OVER (PARTITION BY pool) AS e FROM s),
+b AS (SELECT *, floor(e) AS base, row_number() OVER (PARTITION BY pool ORDER BY e - floor(e) DESC, source, lang) AS r FROM q),
+t AS (SELECT *, base + (r <= 60 - sum(base) OVER (PARTITION BY pool))::INT AS quota FROM b),
+k AS (SELECT p.*, sha256('7:' || doc_id) AS h, quota, row_number() OVER (PARTITION BY p.pool, p.source, p.lang ORDER BY sha256('7:' || doc_id)) AS i FROM p JOIN t ON t.pool = p.pool AND t.source = p.source AND t.lang = p.lang),
+d AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY h) AS j FROM k WHERE i <= quota),
+z AS (SELECT least(greatest(40, 60 - count(*) FILTER (pool = 'control')), count(*) FILTER (pool = 'relevant')) AS r FROM d)
+SELECT substr(h, 1, 16) AS item_id, doc_id, source, lang, pool, unnest([1, 2]) AS slot FROM d, z WHERE j <= CASE WHEN pool = 'relevant' THEN r ELSE 60 - r END""")
 def tx5_annotation_batch(spark, d):
     x = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
     return text.annotation_batch(x, ["source", "lang"], "doc_id", F.col("n_chars") > 1000, 60, 2 / 3, 2, 7)
