@@ -319,3 +319,84 @@ def test_refit_epochs(spark):
     df = spark.createDataFrame(rows, "d string").selectExpr("to_date(d) AS target_date", "date_sub(to_date(d), 7) AS date")
     assert learn.refit_epochs(df, 2, 2) == [("2000-01-10", "2000-01-24"), ("2000-01-24", "2000-02-07"), ("2000-02-07", "2000-02-21")]
     assert learn.refit_epochs(df, 2, 99) == [] and learn.refit_epochs(df.limit(0), 2, 1) == []
+
+
+def test_rule_learner_beta_merging_and_replacement():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(200, 2))
+    y = x[:, 0] + 0.5 * r.normal(size=200)
+    known = np.arange(200)
+    got = learn.learned(x, y, known, learn.RuleLearner(2, most=5, novelty=0.01))
+    assert got["beta"].nunique() > 10 and got["beta"].between(0.05, 0.5).all()
+    assert got["action"][0] is None and got["action"][1] == "created" and got["action"].str.startswith("replaced").any()
+    assert (got["dictionary"] <= 5 * got["rules"]).all()
+    fixed = learn.learned(x, y, known, learn.RuleLearner(2, steady=True))
+    assert fixed["beta"].unique() == [0.18] and fixed["action"].str.contains("merged").any()
+    # two far groups of rows, one rule each: a beta this high merges nearer ones
+    z = np.r_[r.normal(size=(100, 1)) * 0.01, 10 + r.normal(size=(100, 1)) * 0.01][r.permutation(200)]
+    model = learn.RuleLearner(1, radius=0.3, beta=0.3, steady=True)
+    got = learn.learned(z, np.where(z[:, 0] > 5, 3.0, -1.0), known, model)
+    assert len(model.rules) == 2 and model.predict(np.array([10.0])) == pytest.approx(3, abs=0.01) and model.predict(np.array([0.0])) == pytest.approx(-1, abs=0.01)
+    # a rule without an error beyond the tolerance lowers beta to its bound, one with raises it
+    same = learn.learned(x, np.full(200, 2.0), known, learn.RuleLearner(2))
+    assert same["beta"].iloc[-1] == 0.05 and same["prediction"].iloc[-1] == pytest.approx(2)
+    assert learn.learned(x, y, known, learn.RuleLearner(2, tolerance=0.0))["beta"].iloc[-1] == 0.5
+    for bad in ({"beta": 0.6}, {"grow": 1.0}, {"width": 0.0}, {"most": 0}):
+        with pytest.raises(ValueError):
+            learn.RuleLearner(2, **bad)
+
+
+def test_default_learner_follows_a_fast_curve():
+    r = np.random.default_rng(5)
+    x = r.uniform(-2, 2, (300, 1))
+    y = np.sin(2 * x[:, 0])
+    p = learn.learned(x, y, np.arange(300), learn.RuleLearner(1))["prediction"].to_numpy()
+    assert np.abs(p - y)[150:].mean() < 0.3 * np.abs(y[150:]).mean()
+
+
+def test_series_are_dealt_to_all_partitions(spark):
+    rows = spark.range(64).select((F.col("id") % 16).cast("int").alias("k"), F.lit(DAY).alias("date"), F.col("id").cast("double").alias("v"))
+    sorted_ = rows.withColumn("v", F.sum("v").over(learn.by_date(["k"])))  # partitioned by the key already
+    got = learn.page_hinkley(sorted_, ["k"], "v").select(F.spark_partition_id().alias("p"), "k").distinct().collect()
+    assert len(got) == 16 and len({r["p"] for r in got}) > 2
+
+
+def test_learners_by_fold_equal_a_loop(spark):
+    x, y = regression(n=90)
+    df = frame(spark, [(*p, q, q + 10, 10.0) for p, q in zip(x, y)], "abcde")
+    day = lambda i: DAY + dt.timedelta(days=7 * i)
+    folds = spark.createDataFrame([(1, day(40), day(59)), (2, day(60), day(200)), (3, day(0), day(10)), (4, day(300), day(400))], "fold_id int, start_date date, end_date date")
+    sets = {"price": ["a"], "lags": ["b"], "dynamics": ["a", "b"]}
+    run = lambda d: {(r["candidate"], r["fold_id"]): r for r in learn.evaluate_learners(d, ["k"], sets, {"level": "d", "delta": "c"}, "e", learn.candidate_grid(spark, 2), folds).collect()}
+    got = run(df)
+    assert {f for _, f in got} == {1, 2} and len(got) == 10  # a fold without a known label, or without rows, has no score
+    for c in learn.candidate_grid(spark, 2).collect():
+        q = x[:, [{"a": 0, "b": 1}[n] for n in sets[c["feature_set"]]]]
+        low, high = q[:40].min(0), q[:40].max(0)
+        cut = np.clip((q - low) / (high - low), 0, 1)
+        t = y if c["target_mode"] == "delta" else (y - y[:40].min()) / (y[:40].max() - y[:40].min())
+        model = learn.RuleLearner(q.shape[1], c["width"], c["novelty"], c["most"], c["ridge"], c["radius"])
+        p = learn.learned(cut[:60], t[:60], np.arange(60), model)["prediction"].to_numpy()[40:]
+        p = p if c["target_mode"] == "delta" else p * (y[:40].max() - y[:40].min()) + y[:40].min()
+        one = got[c["candidate"], 1]
+        assert one["n"] == 20 and one["mae"] == pytest.approx(np.abs(p - y[40:60]).mean())
+        assert one["rmse_ratio"] == pytest.approx(np.sqrt(((p - y[40:60]) ** 2).sum() / (y[40:60] ** 2).sum()))
+        assert one["clipped"] == pytest.approx((np.abs((q - low) / (high - low) - cut)[40:60] > 1e-12).mean())
+    late = F.col("date") >= day(60)
+    turned = run(df.withColumns({n: F.when(late, 99.0).otherwise(F.col(n)) for n in "abcd"}))
+    assert all(turned[k] == v for k, v in got.items() if k[1] == 1)
+    assert run(df.limit(0)) == {}
+
+
+def test_hybrid_grid_against_numpy(spark):
+    r = np.random.default_rng(8)
+    base, c = 100 + r.normal(size=30), 5 * r.normal(size=30)
+    actual = base + 0.4 * c
+    rows = [(float(a), float(b), None if i == 3 else float(v), i % 2) for i, (a, b, v) in enumerate(zip(actual, base, c))] + [(None, 1.0, 1.0, 0), (1.0, None, 1.0, 0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, f int")
+    got = {(x["f"], x["weight"], x["limit"]): x for x in learn.hybrid_grid(df, "a", "b", "c", [0.0, 0.5], [0.02, None], "f").collect()}
+    assert len(got) == 8 and got[0, 0.5, None]["n"] == 15 and got[1, 0.0, 0.02]["rmse_ratio"] == pytest.approx(1)
+    c[3] = 0
+    for f in (0, 1):
+        e = (base + np.clip(0.5 * c, -0.02 * base, 0.02 * base) - actual)[f::2]
+        assert got[f, 0.5, 0.02]["mae"] == pytest.approx(np.abs(e).mean()) and got[f, 0.5, 0.02]["rmse"] == pytest.approx(np.sqrt((e**2).mean()))

@@ -11,7 +11,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,23 +23,27 @@ from .features import over, past
 Fit = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]
 
 
-def per_series(df: DataFrame, keys: Sequence[str], out: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame], date: str = "date") -> DataFrame:
-    """Runs a step on each series in order of time; it returns the keys, the date and the named doubles."""
+def per_series(df: DataFrame, keys: Sequence[str], out: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame], date: str = "date", texts: Sequence[str] = ()) -> DataFrame:
+    """Runs a step on each series in order of time; it returns the keys, the date, the named doubles and then the named texts."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in [*keys, date]), *(f"`{c}` double" for c in out)])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in [*keys, date]), *(f"`{c}` double" for c in out), *(f"`{c}` string" for c in texts)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date, kind="stable").reset_index(drop=True)
         got = step(pdf)
-        return pd.concat([pdf[[*keys, date]], got[list(out)]], axis=1)
+        return pd.concat([pdf[[*keys, date]], got[[*out, *texts]]], axis=1)
 
-    return spread_out(df, keys).groupBy(*keys).applyInPandas(run, schema)
+    return dealt(df, keys).applyInPandas(run, schema)
 
 
-def spread_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Deals series to all shuffle partitions: they are small in bytes but long to compute, so adaptive merging by size would put
-    them into a few tasks. The grouping that follows needs no other shuffle."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if keys else df
+def dealt(df: DataFrame, keys: Sequence[str]) -> GroupedData:
+    """Groups by series, dealt to all shuffle partitions: series are small in bytes but long to compute, so adaptive merging by
+    size would put them all into a few tasks. They are dealt by a hash of the keys that leads the grouping: on the keys themselves
+    Spark would drop the repartition as one that the data has already, and merge partitions after all."""
+    if not keys:
+        return df.groupBy()
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn("_deal", F.xxhash64(*keys)).repartition(n, "_deal").groupBy("_deal", *keys)
 
 
 def known_before(dates: pd.Series, targets: pd.Series) -> np.ndarray:
@@ -295,84 +299,182 @@ def conditional_interval(df: DataFrame, keys: Sequence[str], actual: str, yhat:
     return nulls(per_series(df, keys, ["sigma", "lower", "upper"], step, date), ["sigma", "lower", "upper"])
 
 
-class RuleLearner:
-    """Evolving rules, each with a sparse kernel regression, weighted by closeness; one row at a time.
+class Rule:
+    """One rule: a centre, its arousal, the last rows that it learned from, and the dictionary of its kernel regression."""
+
+    def __init__(self, q: np.ndarray):
+        self.centre, self.arousal, self.n = q.copy(), 0.0, 0
+        self.at, self.x, self.y = np.empty(0, int), np.empty((0, len(q))), np.empty(0)
+        self.entries, self.widths = np.empty((0, len(q))), np.empty(0)
+        self.weights, self.mean = np.empty(0), 0.0
+
 
-    A row farther than ``radius`` from all centres opens a rule; the nearest rule learns. A rule keeps a sample in its dictionary when its
-    kernel's residual on the dictionary exceeds ``novelty`` (approximate linear dependence), up to ``most``, a parameter of the model; its
-    weights are the recursive least-squares solution on it. Features are standardised by running moments.
+class RuleLearner:
+    """Evolving rules by participatory learning, each with a sparse kernel regression; one row at a time.
+
+    A row is compatible with a rule by exp(-d**2 / (2 radius**2)), d being its distance to the centre; features are
+    standardised by running moments. The arousal of each rule follows 1 - compatibility at the rate beta. If even the least aroused
+    rule is above beta, the row opens a rule, while there are fewer than ``most_rules``; else the most compatible
+    one learns it and moves its centre towards it by step * compatibility ** (1 - arousal). Two rules that are more compatible than
+    1 - beta become one. All this uses the beta of the row before; then beta is divided by ``grow`` if the error was more than
+    ``tolerance`` deviations of the target, else multiplied by ``shrink``. ``steady`` keeps it fixed.
+
+    A rule keeps its last ``memory`` rows. A row enters its dictionary when its kernel's residual on the dictionary exceeds ``novelty``
+    (approximate linear dependence), as do the entries of a rule that it takes up; a full dictionary gives up its oldest entry to a row. Otherwise each entry's width takes a
+    normalised gradient step on the row's error, by a tenth at most and within a quarter and four times ``width``
+    (``adapt`` turns that off). The weights are then the ridge solution over the memory.
+
+    Forecasts are averaged by compatibility, the rows that a rule has learned, and its best kernel value at the point: a rule that
+    has seen little, or nothing near, says little. ``action`` says what the last row did: created, inserted, replaced or
+    updated, with +merged.
     """
 
-    def __init__(self, size: int, width: float = 1.0, novelty: float = 0.1, most: int = 50, ridge_: float = 0.1, radius: float = 2.5):
+    def __init__(self, size: int, width: float = 1.0, novelty: float = 0.1, most: int = 50, ridge_: float = 0.1, radius: float = 2.5, beta: float = 0.18, grow: float = 0.97, shrink: float = 0.84, tolerance: float = 0.1, bounds: tuple[float, float] = (0.05, 0.5), steady: bool = False, step: float = 0.01, most_rules: int = 20, memory: int = 256, adapt: bool = True):
+        if not (0 < bounds[0] <= beta <= bounds[1] < 1 and 0 < grow < 1 and 0 < shrink < 1):
+            raise ValueError("beta lies within its bounds in (0, 1); grow and shrink lie in (0, 1)")
+        if min(width, ridge_, radius) <= 0 or min(most, most_rules, memory) < 1:
+            raise ValueError("width, ridge and radius are positive; a dictionary, the rules and a memory have room for one")
         self.width, self.novelty, self.most, self.ridge, self.radius = width, novelty, most, ridge_, radius
-        self.n, self.mean, self.var, self.rules = 0, np.zeros(size), np.zeros(size), []
+        self.beta, self.grow, self.shrink, self.tolerance, self.bounds, self.steady = beta, grow, shrink, tolerance, bounds, steady
+        self.step, self.most_rules, self.memory, self.adapt = step, most_rules, memory, adapt
+        self.n, self.mean, self.var, self.unit, self.rules, self.action = 0, np.zeros(size), np.zeros(size), np.ones(size), [], None
+        self.y_mean = self.y_var = 0.0
 
-    def _scaled(self, q: np.ndarray) -> np.ndarray:
-        return (q - self.mean) / np.sqrt(np.maximum(self.var / max(self.n, 1), 1e-12))
+    def _gaps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Squared distances of all rows of a to all rows of b, in standardised features."""
+        a, b = (a - self.mean) * self.unit, (b - self.mean) * self.unit
+        return np.maximum(np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b) - 2 * (a @ b.T), 0.0)
 
-    def _kernel(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        a, b = self._scaled(a), self._scaled(b)
-        return np.exp(-((a[:, None, :] - b[None, :, :]) ** 2).sum(2) / (2 * self.width**2))
+    def _kernel(self, a: np.ndarray, r: Rule) -> np.ndarray:
+        return np.exp(-self._gaps(a, r.entries) / (2 * r.widths**2))
 
-    def learn(self, q: np.ndarray, y: float) -> None:
+    def _close(self, q: np.ndarray) -> np.ndarray:
+        return np.exp(-self._gaps(np.array([r.centre for r in self.rules]), q[None])[:, 0] / (2 * self.radius**2))
+
+    def _moments(self, q: np.ndarray, y: float) -> None:
         self.n += 1
-        gap = q - self.mean
-        self.mean = self.mean + gap / self.n
-        self.var = self.var + gap * (q - self.mean)
-        far = lambda r: np.linalg.norm(self._scaled(r["c"]) - self._scaled(q))
-        near = min(self.rules, key=far, default=None)
-        if near is None or (self.n > 10 and far(near) > self.radius):
-            near = {"c": q.copy(), "n": 0, "d": np.empty((0, len(q))), "A": None, "b": None, "w": None, "mean": 0.0}
-            self.rules.append(near)
-        near["n"] += 1
-        near["c"] = near["c"] + (q - near["c"]) / near["n"]
-        near["mean"] += (y - near["mean"]) / near["n"]
-        d = near["d"]
-        k = self._kernel(d, q[None])[:, 0] if len(d) else np.empty(0)
-        rest = 1 - k @ np.linalg.solve(self._kernel(d, d) + 1e-6 * np.eye(len(d)), k) if len(d) else 1.0
-        if rest > self.novelty and len(d) < self.most:
-            near["d"] = np.vstack([d, q])
-            size = len(near["d"])
-            a, b = self.ridge * np.eye(size), np.zeros(size)
-            if size > 1:
-                a[:-1, :-1], b[:-1] = near["A"], near["b"]
-            near["A"], near["b"], k = a, b, np.append(k, 1.0)
-        near["A"] = near["A"] + np.outer(k, k)
-        near["b"] = near["b"] + k * (y - near["mean"])
-        near["w"] = np.linalg.solve(near["A"], near["b"])
+        gap, gap_y = q - self.mean, y - self.y_mean
+        self.mean, self.y_mean = self.mean + gap / self.n, self.y_mean + gap_y / self.n
+        self.var, self.y_var = self.var + gap * (q - self.mean), self.y_var + gap_y * (y - self.y_mean)
+        self.unit = 1 / np.sqrt(np.maximum(self.var / self.n, 1e-12))
+
+    def _novel(self, r: Rule, q: np.ndarray) -> bool:
+        if not len(r.entries):
+            return True
+        unit = lambda g: np.exp(-g / (2 * self.width**2))  # noqa: E731  one width for all, so that the matrix is positive
+        k = unit(self._gaps(r.entries, q[None])[:, 0])
+        return 1 - k @ np.linalg.solve(unit(self._gaps(r.entries, r.entries)) + 1e-6 * np.eye(len(k)), k) > self.novelty
+
+    def _fit(self, r: Rule) -> None:
+        k = self._kernel(r.x, r)
+        r.mean = r.y.mean()
+        r.weights = np.linalg.solve(k.T @ k + self.ridge * np.eye(k.shape[1]), k.T @ (r.y - r.mean))
+
+    def _widths(self, r: Rule, q: np.ndarray, y: float) -> None:
+        gaps = self._gaps(r.entries, q[None])[:, 0]
+        part = r.weights * np.exp(-gaps / (2 * r.widths**2))
+        slope = part * gaps / r.widths**3
+        move = 0.1 * (y - r.mean - part.sum()) * slope / (slope @ slope + max(self.y_var / self.n, 1e-12))
+        r.widths = np.clip(r.widths + np.clip(move, -0.1 * r.widths, 0.1 * r.widths), self.width / 4, self.width * 4)
+
+    def _take(self, r: Rule, q: np.ndarray, y: float) -> str:
+        r.n += 1
+        r.at, r.x, r.y = np.append(r.at, self.n)[-self.memory :], np.vstack([r.x, q])[-self.memory :], np.append(r.y, y)[-self.memory :]
+        action = "updated"
+        if self._novel(r, q):
+            action = "inserted" if len(r.entries) < self.most else "replaced"
+            room = self.most - 1
+            r.entries, r.widths = np.vstack([r.entries[len(r.entries) - min(room, len(r.entries)) :], q]), np.append(r.widths[len(r.widths) - min(room, len(r.widths)) :], self.width)
+        elif self.adapt:
+            self._widths(r, q, y)
+        self._fit(r)
+        return action
+
+    def _merged(self, beta: float) -> bool:
+        """Joins the two closest rules, as long as they are more compatible than 1 - beta."""
+        some = False
+        while len(self.rules) > 1:
+            c = np.array([r.centre for r in self.rules])
+            pair = np.triu(np.exp(-self._gaps(c, c) / (2 * self.radius**2)), 1)
+            i, j = np.unravel_index(pair.argmax(), pair.shape)
+            if pair[i, j] <= 1 - beta:
+                break
+            big, small = sorted((self.rules[i], self.rules[j]), key=lambda r: -r.n)
+            share = big.n / (big.n + small.n)
+            big.centre, big.arousal = share * big.centre + (1 - share) * small.centre, share * big.arousal + (1 - share) * small.arousal
+            big.n += small.n
+            at, x, y = np.append(big.at, small.at), np.vstack([big.x, small.x]), np.append(big.y, small.y)
+            last = np.argsort(at, kind="stable")[-self.memory :]
+            big.at, big.x, big.y = at[last], x[last], y[last]
+            for q, width in zip(small.entries, small.widths, strict=True):
+                if len(big.entries) < self.most and self._novel(big, q):
+                    big.entries, big.widths = np.vstack([big.entries, q]), np.append(big.widths, width)
+            self._fit(big)
+            self.rules = [r for r in self.rules if r is not small]
+            some = True
+        return some
+
+    def learn(self, q: np.ndarray, y: float) -> None:
+        guess, beta = self.predict(q), self.beta
+        self._moments(q, y)
+        own = None
+        if self.rules:
+            if not self.steady:
+                far = abs(y - guess) > self.tolerance * np.sqrt(self.y_var / self.n)
+                self.beta = min(max(beta / self.grow if far else beta * self.shrink, self.bounds[0]), self.bounds[1])
+            close = self._close(q)
+            for r, c in zip(self.rules, close, strict=True):
+                r.arousal += beta * (1 - c - r.arousal)
+            # the first moments are too rough to tell rules apart
+            if self.n <= 10 or len(self.rules) >= self.most_rules or min(r.arousal for r in self.rules) <= beta:
+                own, c = self.rules[close.argmax()], close.max()
+                own.centre = own.centre + self.step * c ** (1 - own.arousal) * (q - own.centre)
+        if own is None:
+            own = Rule(q)
+            self.rules.append(own)
+            self._take(own, q, y)
+            self.action = "created"
+        else:
+            self.action = self._take(own, q, y)
+        if self._merged(beta):
+            self.action += "+merged"
 
     def predict(self, x: np.ndarray) -> float:
         if not self.rules:
             return np.nan
-        q = self._scaled(x)
-        w = np.array([np.exp(-((self._scaled(r["c"]) - q) ** 2).sum() / (2 * self.radius**2)) for r in self.rules]) + 1e-12
-        f = np.array([r["mean"] + self._kernel(r["d"], x[None])[:, 0] @ r["w"] for r in self.rules])
+        k = [self._kernel(x[None], r)[0] for r in self.rules]
+        w = self._close(x) * [r.n * a.max() for r, a in zip(self.rules, k, strict=True)] + 1e-12
+        f = np.array([r.mean + a @ r.weights for r, a in zip(self.rules, k, strict=True)])
         return float(w @ f / w.sum())
 
 
 def learned(x: np.ndarray, y: np.ndarray, known: np.ndarray, model: RuleLearner) -> pd.DataFrame:
-    """Predictions of all rows in order; before each, the model learns the labels that have become known."""
+    """Predictions of all rows in order; before each, the model learns the labels that have become known. ``action`` is that of
+    the last one learned since the row before, None if there was none."""
     whole, done = np.isfinite(x).all(1), 0
-    out, nr, nd = (np.full(len(x), np.nan) for _ in range(3))
+    out, nr, nd, beta = (np.full(len(x), np.nan) for _ in range(4))
+    action = np.full(len(x), None, object)
     for i in range(len(x)):
         while done < known[i]:
             if whole[done] and np.isfinite(y[done]):
                 model.learn(x[done], y[done])
+                action[i] = model.action
             done += 1
-        nr[i], nd[i] = len(model.rules), sum(len(r["d"]) for r in model.rules)
+        nr[i], nd[i], beta[i] = len(model.rules), sum(len(r.entries) for r in model.rules), model.beta
         if whole[i]:
             out[i] = model.predict(x[i])
-    return pd.DataFrame({"prediction": out, "rules": nr, "dictionary": nd})
+    return pd.DataFrame({"prediction": out, "rules": nr, "dictionary": nd, "beta": beta, "action": action})
 
 
-def online_learner(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, width: float = 1.0, novelty: float = 0.1, most: int = 50, ridge_: float = 0.1, radius: float = 2.5, date: str = "date", target_date: str = "target_date") -> DataFrame:
-    """(keys, date, prediction, rules, dictionary) of a ``RuleLearner`` along each series. Labels arrive delayed."""
+def online_learner(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, width: float = 1.0, novelty: float = 0.1, most: int = 50, ridge_: float = 0.1, radius: float = 2.5, date: str = "date", target_date: str = "target_date", **more) -> DataFrame:
+    """(keys, date, prediction, rules, dictionary, beta, action) of a ``RuleLearner`` along each series, ``more`` being its other
+    options. Labels arrive delayed."""
 
     def step(pdf):
         x, y = pdf[list(features)].to_numpy(float), pdf[target].to_numpy(float)
-        return learned(x, y, known_before(pdf[date], pdf[target_date]), RuleLearner(x.shape[1], width, novelty, most, ridge_, radius))
+        return learned(x, y, known_before(pdf[date], pdf[target_date]), RuleLearner(x.shape[1], width, novelty, most, ridge_, radius, **more))
 
-    return nulls(per_series(df, keys, ["prediction", "rules", "dictionary"], step, date), ["prediction"])
+    return nulls(per_series(df, keys, ["prediction", "rules", "dictionary", "beta"], step, date, ["action"]), ["prediction"])
 
 
 #: What a random candidate chooses from.
@@ -401,40 +503,136 @@ def candidate_grid(spark: SparkSession, n: int = 36, horizon: int = 1, seed: int
 
 #: Candidates are sent to every task; this bounds their table.
 MOST_CANDIDATES = 10_000
+#: Candidates that run in one group along a series: the series is copied once for so many of them.
+CHUNK = 4
+
+
+def listed(candidates: DataFrame) -> list:
+    """The candidates on the driver, in order; too many are an error."""
+    rows = candidates.orderBy("candidate").limit(MOST_CANDIDATES + 1).collect()
+    if len(rows) > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
+    return [r.asDict() for r in rows]
+
+
+def chunked(df: DataFrame, keys: Sequence[str], n: int) -> GroupedData:
+    """Each series once for every chunk of n candidates, numbered by ``_chunk``, and dealt to all partitions."""
+    chunks = F.sequence(F.lit(0), F.lit((n - 1) // CHUNK)) if n else F.array().cast("array<int>")
+    return dealt(df.withColumn("_chunk", F.explode(chunks)), [*keys, "_chunk"])
 
 
 def search_learner(df: DataFrame, keys: Sequence[str], feature_sets: dict[str, Sequence[str]], targets: dict[str, str], origin: str, candidates: DataFrame, start: Column, date: str = "date", target_date: str = "target_date") -> DataFrame:
-    """(candidate, n, mae, worst): each candidate runs along each series, one group for both, and is scored from ``start`` on.
+    """(candidate, n, mae, worst): each candidate runs along each series and is scored from ``start`` on.
 
     ``feature_sets`` and ``targets`` name columns: targets has level and delta; a delta is added to the origin before it is
     scored. ``worst`` is the largest mean error of a series. Too many candidates are an error.
     """
-    if candidates.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
-        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
+    grid = listed(candidates)
     columns = sorted({c for names in feature_sets.values() for c in names} | set(targets.values()) | {origin})
-    x = df.select(*keys, date, target_date, *columns, start.alias("_scored")).join(F.broadcast(candidates))
+    x = chunked(df.select(*keys, date, target_date, *columns, start.alias("_scored")), keys, len(grid))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date, kind="stable").reset_index(drop=True)
-        c = pdf.iloc[0]
-        q, y = pdf[list(feature_sets[c["feature_set"]])].to_numpy(float), pdf[targets[c["target_mode"]]].to_numpy(float)
-        got = learned(q, y, known_before(pdf[date], pdf[target_date]), RuleLearner(q.shape[1], c["width"], c["novelty"], int(c["most"]), c["ridge"], c["radius"]))["prediction"].to_numpy()
-        if c["target_mode"] == "delta":
-            got = got + pdf[origin].to_numpy(float)
-        e = np.abs(got - pdf[targets["level"]].to_numpy(float))[pdf["_scored"].fillna(False).to_numpy(bool)]
-        e = e[np.isfinite(e)]
-        return pd.DataFrame({"candidate": [c["candidate"]], "sae": [float(e.sum())], "n": [len(e)]})
-
-    one = spread_out(x, [*keys, "candidate"]).groupBy(*keys, "candidate").applyInPandas(run, "candidate string, sae double, n long")
+        scored, known, rows = pdf["_scored"].fillna(False).to_numpy(bool), known_before(pdf[date], pdf[target_date]), []
+        at = int(pdf["_chunk"].iloc[0]) * CHUNK
+        for c in grid[at : at + CHUNK]:
+            q, y = pdf[list(feature_sets[c["feature_set"]])].to_numpy(float), pdf[targets[c["target_mode"]]].to_numpy(float)
+            got = learned(q, y, known, RuleLearner(q.shape[1], c["width"], c["novelty"], int(c["most"]), c["ridge"], c["radius"]))["prediction"].to_numpy()
+            if c["target_mode"] == "delta":
+                got = got + pdf[origin].to_numpy(float)
+            e = np.abs(got - pdf[targets["level"]].to_numpy(float))[scored]
+            e = e[np.isfinite(e)]
+            rows.append((c["candidate"], float(e.sum()), len(e)))
+        return pd.DataFrame(rows, columns=["candidate", "sae", "n"])
+
+    one = x.applyInPandas(run, "candidate string, sae double, n long")
     return one.groupBy("candidate").agg(F.sum("n").alias("n"), (F.sum("sae") / F.nullif(F.sum("n"), F.lit(0))).alias("mae"), F.max(F.col("sae") / F.nullif(F.col("n"), F.lit(0))).alias("worst"))
 
 
+def evaluate_learners(df: DataFrame, keys: Sequence[str], feature_sets: dict[str, Sequence[str]], targets: dict[str, str], origin: str, candidates: DataFrame, folds: DataFrame, date: str = "date", target_date: str = "target_date") -> DataFrame:
+    """(candidate, fold_id, n, mae, rmse, rmse_ratio, rules, dictionary, clipped): learner candidates on every fold and series.
+
+    Within a fold, features are scaled to [0, 1] by their range before its start and clipped; a level is scaled by the range of
+    the labels known at the start, a delta is not. The learner takes the labels known at the start, then each as it becomes known.
+    ``rmse_ratio`` is against the origin itself; ``rules`` and ``dictionary`` are the largest sizes within the fold, ``clipped`` is
+    the share of feature values that were clipped. Folds and candidates are few and sent to the tasks; too many are an error.
+    """
+    grid = listed(candidates)
+    spans = folds.select("fold_id", "start_date", "end_date").orderBy("fold_id").limit(MOST_FOLDS + 1).collect()
+    if len(spans) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds")
+    spans = [(r["fold_id"], np.datetime64(r["start_date"]), np.datetime64(r["end_date"])) for r in spans]
+    columns = sorted({c for names in feature_sets.values() for c in names} | set(targets.values()) | {origin})
+    x = chunked(df.select(*keys, date, target_date, *columns), keys, len(grid))
+
+    def ranged(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.fmin.reduce(values), np.fmax.reduce(values)
+        return low, np.where(high > low, high - low, 1.0)
+
+    def fold(pdf: pd.DataFrame, days: np.ndarray, known: np.ndarray, c: dict, start, end) -> tuple | None:
+        a, b = np.searchsorted(days, start), np.searchsorted(days, end, side="right")
+        if a == 0 or a >= b or not known[a]:
+            return None
+        raw, y = pdf[list(feature_sets[c["feature_set"]])].to_numpy(float)[:b], pdf[targets[c["target_mode"]]].to_numpy(float)[:b]
+        level, base = pdf[targets["level"]].to_numpy(float)[a:b], pdf[origin].to_numpy(float)[a:b]
+        low, width = ranged(raw[:a])
+        scaled = (raw - low) / width
+        q = np.clip(scaled, 0, 1)
+        shift, size = ranged(y[: known[a]]) if c["target_mode"] == "level" else (0.0, 1.0)
+        got = learned(q, (y - shift) / size, np.minimum(known[:b], b), RuleLearner(q.shape[1], c["width"], c["novelty"], int(c["most"]), c["ridge"], c["radius"]))[a:]
+        guess = got["prediction"].to_numpy() * size + shift + (base if c["target_mode"] == "delta" else 0)
+        ok = np.isfinite(guess) & np.isfinite(level) & np.isfinite(base)
+        if not ok.any():
+            return None
+        e, naive, cut = (guess - level)[ok], (base - level)[ok], np.abs(scaled[a:] - q[a:])
+        return int(ok.sum()), np.abs(e).sum(), (e**2).sum(), (naive**2).sum(), got["rules"].max(), got["dictionary"].max(), int((cut > 1e-12).sum()), int(np.isfinite(cut).sum())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(date, kind="stable").reset_index(drop=True)
+        days, known = pd.to_datetime(pdf[date]).to_numpy(), known_before(pdf[date], pdf[target_date])
+        at = int(pdf["_chunk"].iloc[0]) * CHUNK
+        got = [(c["candidate"], f, fold(pdf, days, known, c, start, end)) for c in grid[at : at + CHUNK] for f, start, end in spans]
+        return pd.DataFrame([(c, f, *r) for c, f, r in got if r], columns=["candidate", "fold_id", "n", "sae", "sse", "naive", "rules", "dictionary", "cut", "seen"])
+
+    one = x.applyInPandas(run, "candidate string, fold_id int, n long, sae double, sse double, naive double, rules double, dictionary double, cut long, seen long")
+    return one.groupBy("candidate", "fold_id").agg(
+        F.sum("n").alias("n"), (F.sum("sae") / F.sum("n")).alias("mae"), F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"),
+        F.sqrt(F.sum("sse") / F.nullif(F.sum("naive"), F.lit(0.0))).alias("rmse_ratio"), F.max("rules").alias("rules"), F.max("dictionary").alias("dictionary"),
+        (F.sum("cut") / F.nullif(F.sum("seen"), F.lit(0))).alias("clipped"),
+    )
+
+
 def residual_hybrid(df: DataFrame, keys: Sequence[str], features: Sequence[str], actual: str, base: str, weight: float = 0.5, limit: float = 0.05, date: str = "date") -> DataFrame:
     """Base forecast plus a weighted correction learned online from actual - base, limited to a share of the base."""
-    x = df.withColumn("_r", F.col(actual) - F.col(base))
-    c = online_learner(x, keys, features, "_r", date=date).select(*keys, date, F.col("prediction").alias("_c"))
+    c = corrections(df, keys, features, actual, base, date).withColumnRenamed("correction", "_c")
     top = limit * F.abs(base)
-    return df.join(c, [*keys, date]).withColumn("prediction", F.col(base) + F.coalesce(F.greatest(-top, F.least(top, weight * F.col("_c"))), F.lit(0.0))).drop("_c")
+    return c.withColumn("prediction", F.col(base) + F.coalesce(F.greatest(-top, F.least(top, weight * F.col("_c"))), F.lit(0.0))).drop("_c")
+
+
+def corrections(df: DataFrame, keys: Sequence[str], features: Sequence[str], actual: str, base: str, date: str = "date") -> DataFrame:
+    """df with the ``correction`` that a learner of actual - base predicts."""
+    c = online_learner(df.withColumn("_r", F.col(actual) - F.col(base)), keys, features, "_r", date=date)
+    return df.join(c.select(*keys, date, F.col("prediction").alias("correction")), [*keys, date])
+
+
+def hybrid_grid(df: DataFrame, actual: str, base: str, correction: str, weights: Sequence[float], limits: Sequence[float | None], fold: str) -> DataFrame:
+    """(fold, weight, limit, n, mae, rmse, rmse_ratio): each weight and limit of a correction, by fold; the ratio is against the base.
+
+    The correction does not depend on the grid, so it is learned once and all cells are summed in one pass; a limit is a share
+    of the base's size, None means no limit, and a missing correction is none. Rows without actual or base don't count.
+    """
+    cells = [(float(w), None if t is None else float(t)) for w in weights for t in limits]
+    x = df.filter(F.col(actual).isNotNull() & F.col(base).isNotNull())
+
+    def error(w: float, t: float | None) -> Column:
+        c = w * F.coalesce(F.col(correction), F.lit(0.0))
+        top = None if t is None else t * F.abs(F.col(base))
+        return F.col(base) + (c if t is None else F.greatest(-top, F.least(top, c))) - F.col(actual)
+
+    sums = [F.struct(F.lit(w).alias("weight"), F.lit(t).cast("double").alias("limit"), F.avg(F.abs(error(w, t))).alias("mae"), F.avg(error(w, t) ** 2).alias("mse")) for w, t in cells]
+    one = x.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(base) - F.col(actual)) ** 2).alias("_b"), F.array(*sums).alias("_c"))
+    one = one.select(fold, "n", "_b", F.inline("_c"))
+    return one.select(fold, "weight", "limit", "n", "mae", F.sqrt("mse").alias("rmse"), F.sqrt(F.col("mse") / F.nullif(F.col("_b"), F.lit(0.0))).alias("rmse_ratio"))
 
 
 def evaluate_candidates(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alphas: Sequence[float], folds: DataFrame, date: str = "date", target_date: str = "target_date") -> DataFrame:
@@ -456,7 +654,7 @@ def evaluate_candidates(df: DataFrame, keys: Sequence[str], features: Sequence[s
         sae = [np.abs(ridge(g)(a[train], b[train])(a[test]) - b[test]).sum() for g in grid]
         return pd.DataFrame({"candidate": range(len(grid)), "fold_id": pdf["fold_id"].iloc[0], "sae": sae, "n": int(test.sum())})
 
-    one = spread_out(x, [*keys, "fold_id"]).groupBy(*keys, "fold_id").applyInPandas(run, "candidate int, fold_id int, sae double, n long")
+    one = dealt(x, [*keys, "fold_id"]).applyInPandas(run, "candidate int, fold_id int, sae double, n long")
     return one.groupBy("candidate", "fold_id").agg((F.sum("sae") / F.sum("n")).alias("mae"), F.sum("n").alias("n"))
 
 

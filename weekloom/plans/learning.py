@@ -112,6 +112,11 @@ def ml13_online_learner(spark, d):
     return rounded(learn.online_learner(supervised(spark, d), K, XS, "change"), 3)
 
 
+@query()
+def ml13_fixed_beta(spark, d):
+    return rounded(learn.online_learner(supervised(spark, d), K, XS, "change", steady=True), 3)
+
+
 @query()
 def ml14_evaluate_candidates(spark, d):
     x = supervised(spark, d)
@@ -119,11 +124,26 @@ def ml14_evaluate_candidates(spark, d):
     return rounded(learn.evaluate_candidates(x, K, XS, "change", [0.1, 1.0, 10.0], folds), 3)
 
 
+SETS = {"price": ["origin"], "lags": ["move", "moved2"], "dynamics": ["gap", "gap2", "move"]}
+TARGETS = {"level": "actual", "delta": "change"}
+
+
+def with_sets(spark, d):
+    return supervised(spark, d).withColumn("gap2", F.col("origin") - F.avg("origin").over(features.by_date(K).rowsBetween(-7, 0)))
+
+
+@query()
+def ml14_evaluate_learners(spark, d):
+    """Three seeds and three drawn candidates, every second year a fold."""
+    x = with_sets(spark, d)
+    y = F.year("date")
+    folds = x.groupBy((y - y % 2).alias("fold_id")).agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"))
+    return rounded(learn.evaluate_learners(x, K, SETS, TARGETS, "origin", learn.candidate_grid(spark, 3), folds), 2)
+
+
 @query()
 def ml15_candidate_search(spark, d):
-    x = supervised(spark, d).withColumn("gap2", F.col("origin") - F.avg("origin").over(features.by_date(K).rowsBetween(-7, 0)))
-    sets = {"price": ["origin"], "lags": ["move", "moved2"], "dynamics": ["gap", "gap2", "move"]}
-    return rounded(learn.search_learner(x, K, sets, {"level": "actual", "delta": "change"}, "origin", learn.candidate_grid(spark, 6), F.col("date") >= "1998-01-05"), 1)
+    return rounded(learn.search_learner(with_sets(spark, d), K, SETS, TARGETS, "origin", learn.candidate_grid(spark, 6), F.col("date") >= "1998-01-05"), 1)
 
 
 @query()
@@ -132,6 +152,22 @@ def ml16_residual_hybrid(spark, d):
     return learn.residual_hybrid(x, K, XS, "actual", "origin").select("k", "date", F.round("prediction", 3).alias("prediction"))
 
 
+@query()
+def ml16_learned_grid(spark, d):
+    x = learn.corrections(supervised(spark, d), K, XS, "actual", "origin").withColumn("year", F.year("date"))
+    return rounded(learn.hybrid_grid(x, "actual", "origin", "correction", [0.25, 0.5, 1.0], [0.02, 0.05, None], "year"), 2)
+
+
+GRID = ", ".join(f"({w}::DOUBLE, {t}::DOUBLE)" for w in (0.25, 0.5, 1.0) for t in (0.02, 0.05, "NULL"))
+
+
+@query(f"WITH {PRED}, x AS (SELECT year(date) AS year, actual, origin, prediction - origin AS c FROM r), g AS (SELECT * FROM (VALUES {GRID}) t(weight, \"limit\")), e AS (SELECT year, weight, \"limit\", origin - actual AS b, origin + CASE WHEN \"limit\" IS NULL THEN weight * c ELSE greatest(-\"limit\" * abs(origin), least(\"limit\" * abs(origin), weight * c)) END - actual AS e FROM x CROSS JOIN g WHERE actual IS NOT NULL AND origin IS NOT NULL) SELECT year, weight, \"limit\", count(*) AS n, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(sqrt(avg(e * e) / nullif(avg(b * b), 0)), 4) AS rmse_ratio FROM e GROUP BY 1, 2, 3")
+def ml16_hybrid_grid(spark, d):
+    """The grid on a correction that needs no learner: towards the registered forecast."""
+    x = predictions(spark, d).withColumns({"correction": F.col("prediction") - F.col("origin"), "year": F.year("date")})
+    return rounded(learn.hybrid_grid(x, "actual", "origin", "correction", [0.25, 0.5, 1.0], [0.02, 0.05, None], "year"), 4)
+
+
 @query(f"WITH {PRED}, a AS (SELECT k, min(origin) AS a, max(origin) AS b FROM r WHERE date < DATE '1998-01-05' GROUP BY k), z AS (SELECT r.k, date, (origin - a) / (b - a) AS z FROM r JOIN a ON a.k = r.k) SELECT k, date, round(greatest(0, least(1, z)), 8) AS scaled, z < 0 OR z > 1 AS clipped FROM z")
 def ml17_minmax_scale(spark, d):
     return learn.minmax_scale(predictions(spark, d), K, "origin", F.col("date") < "1998-01-05").select("k", "date", F.round("scaled", 8).alias("scaled"), "clipped")
