@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weekloom.functions import prep
-from weekloom.operators import align, features, score
+from weekloom.operators import align, features, score, text
 
 DAY = dt.date(2024, 1, 1)
 
@@ -104,3 +104,28 @@ def test_stream_equals_batch(spark, tmp_path):
     e.write.parquet(str(tmp_path / "events.parquet"))
     batch = e.groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     assert sorted(map(tuple, stream_weekly(spark, str(tmp_path)).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_lexicon_personas(spark):
+    news = [
+        (1, "Petrobras anuncia reajuste: ALTA do preço do óleo diesel S10"), (2, "Estudo sobre o petróleo"),
+        (3, "Dólar \n sobe e\u00a0petróleo cai"), (4, "Greve no transporte de combustível"), (5, "Embargo atinge derivados"), (6, None),
+    ]
+    df = spark.createDataFrame(news, "k int, body string").withColumn("horizon", F.lit("theirs"))
+    got = {(r["k"], r["persona"]): (r["relevance"], r["direction"], r["intensity"], r["horizon"], r["evidence"]) for r in text.lexicon_label(df, "body").collect()}
+    first = "diesel s10,diesel,oleo diesel,petrobras,alta do preco,reajuste"
+    mixed = (2, "uncertain", 1, "unknown", "petroleo,dolar,dolar sobe,petroleo cai")
+    assert len(got) == 18
+    assert [got[k, "supply_cost"] for k in range(1, 7)] == [
+        (3, "up", 3, "1w", first), (1, "neutral", 0, "unknown", "petroleo"), mixed, (2, "up", 2, "1w", "combustivel,greve"),
+        (2, "up", 2, "unknown", "derivados,embargo"), (0, "neutral", 0, "unknown", ""),
+    ]
+    assert [got[k, "procurement_risk"] for k in range(1, 7)] == [
+        (3, "up", 2, "1w", first), (0, "neutral", 0, "unknown", "petroleo"), mixed, (2, "up", 1, "1w", "combustivel,greve"),
+        (2, "uncertain", 1, "unknown", "derivados,embargo"), (0, "neutral", 0, "unknown", ""),
+    ]
+    assert [got[k, "procurement_risk_calibrated"][:3] for k in range(1, 7)] == [
+        (3, "up", 2), (0, "neutral", 0), (2, "uncertain", 1), (2, "up", 1), (2, "up", 1), (0, "neutral", 0),
+    ]
+    with pytest.raises(ValueError):
+        text.lexicon_label(df, "body", personas=["nobody"])

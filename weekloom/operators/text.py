@@ -18,6 +18,38 @@ from .score import cohen_kappa, stratified_sample
 # The mark of a week without articles, and the longest part of an article in a document.
 NO_NEWS = "__no_news__"
 PART_CHARS = 3000
+# The terms of fuel news by what they speak of, as plain text; the last four tell when a price would move.
+FUEL_NEWS = {
+    "direct": ["diesel s10", "diesel", "oleo diesel", "biodiesel"],
+    "fuel": ["combustivel", "derivados", "gasoleo", "abastecimento"],
+    "sector": [
+        "petroleo", "brent", "refino", "refinaria", "petrobras", "barril", "opep", "importacao", "exportacao", "producao", "estoque",
+    ],
+    "cost": ["dolar", "cambio", "tribut", "imposto", "icms", "pis/cofins", "frete", "logistica"],
+    "up": [
+        "aumento de preco", "aumento do preco", "alta de preco", "alta do preco", "reajuste", "eleva imposto", "aumento de imposto",
+        "aumenta imposto", "corte de producao", "reduz producao", "reducao da producao", "reduz oferta", "reducao da oferta",
+        "queda da oferta", "paralisacao", "greve", "interrupcao", "escassez", "embargo", "sancoes", "conflito", "desvalorizacao do real",
+        "alta do petroleo", "petroleo sobe", "dolar sobe",
+    ],
+    "down": [
+        "reducao de preco", "reducao do preco", "queda de preco", "queda do preco", "reduz imposto", "reducao de imposto",
+        "corte de imposto", "desoneracao", "isencao", "subsidio", "aumenta producao", "aumento da producao", "amplia producao",
+        "aumenta oferta", "ampliacao da oferta", "amplia oferta", "alta da oferta", "valorizacao do real", "queda do petroleo",
+        "petroleo cai", "dolar cai",
+    ],
+    "policy": [
+        "consulta publica", "audiencia publica", "estudo", "seminario", "debate", "grupo de trabalho", "relatorio", "monitoramento",
+        "agenda",
+    ],
+    "context": ["preco", "imposto", "producao", "oferta", "greve", "reajuste"],
+    "1w": ["reajuste", "preco", "imposto", "greve", "paralisacao"],
+    "2w": ["oferta", "producao", "estoque", "importacao", "refinaria", "refino"],
+    "4w": ["biodiesel", "mistura", "resolucao", "regulament", "lei"],
+    "long": ["investimento", "transicao", "plano", "2030", "2050"],
+}
+HORIZONS = ("1w", "2w", "4w", "long")
+PERSONAS = ("supply_cost", "procurement_risk", "procurement_risk_calibrated")
 
 
 def plain(c: Column) -> Column:
@@ -137,15 +169,46 @@ def disagreements(a: DataFrame, b: DataFrame, item: str, labels: Sequence[str])
     return x.select(item, fields.alias("fields")).filter("fields <> ''")
 
 
-def lexicon_label(df: DataFrame, text: str, up: Sequence[str], down: Sequence[str], relevant: Sequence[str], most_terms: int = 6) -> DataFrame:
-    """relevance, direction, intensity and evidence (the first terms in list order) by whether plain text contains listed terms."""
-    t = F.lower(unaccented(F.coalesce(F.col(text), F.lit(""))))
-    found = lambda terms: F.filter(F.array(*[F.lit(x) for x in terms]), lambda x: F.contains(F.col("_t"), x))
-    x = df.withColumn("_t", t).withColumns({"_u": found(up), "_d": found(down), "_r": found(relevant)}).drop("_t")
-    u, dn = F.size("_u"), F.size("_d")
-    ev = F.slice(F.array_distinct(F.concat("_r", "_u", "_d")), 1, most_terms)
-    out = {"relevance": F.when(F.size("_r") > 0, "relevant").otherwise("other"), "direction": F.when(u > dn, "up").when(dn > u, "down").otherwise("neutral"), "intensity": F.when(u + dn >= 4, "high").when(u + dn >= 2, "medium").otherwise("low"), "evidence": F.concat_ws(",", ev)}
-    return x.withColumns(out).drop("_u", "_d", "_r")
+def lexicon_label(
+    df: DataFrame, text: str, personas: Sequence[str] = PERSONAS, terms: dict[str, Sequence[str]] = FUEL_NEWS, most_terms: int = 6
+) -> DataFrame:
+    """Weak labels of every row by every persona: its columns, persona, relevance (0-3), direction, intensity (0-3), horizon, evidence.
+
+    A term counts if the plain text (lower case, no accents, single spaces) contains it. Relevance is 3 for a direct term, 2 for
+    a fuel term or for sector and cost together; a single sector or cost term is worth 1, but ``procurement_risk`` asks for
+    two of them and its calibrated form for a text without terms of mere policy. Terms of both directions, or none, are
+    uncertain (neutral if the text speaks of mere policy); ``procurement_risk`` also asks for a context term. Only
+    ``supply_cost`` gives the full relevance as intensity. Evidence is the first terms found, in the order of the lists.
+
+    A NULL or empty text is irrelevant and has no evidence. Columns with the names of the labels are replaced.
+    """
+    odd = set(personas) - set(PERSONAS)
+    if odd:
+        raise ValueError(f"unknown personas: {sorted(odd)}")
+    plain = F.trim(F.regexp_replace(F.lower(unaccented(F.coalesce(F.col(text), F.lit("")))), "(?U)\\s+", " "))
+    found = [F.filter(F.array(*[F.lit(t) for t in terms[c]]), lambda t: F.contains(F.col("_t"), t)).alias(c) for c in FUEL_NEWS]
+    x = df.withColumn("_t", plain).withColumn("_m", F.struct(*found)).drop("_t")
+    x = x.withColumn("persona", F.explode(F.array(*[F.lit(p) for p in personas])))
+    n = {c: F.size(F.col("_m")[c]) for c in FUEL_NEWS}
+    risk, calibrated = F.col("persona") == "procurement_risk", F.col("persona") == "procurement_risk_calibrated"
+    indirect, policy = n["sector"] + n["cost"], n["policy"] > 0
+    alone = F.when(risk, indirect >= 2).otherwise((indirect > 0) & ~(calibrated & policy)).cast("int")
+    relevance = F.when(n["direct"] > 0, 3).when((n["fuel"] > 0) | (n["sector"] > 0) & (n["cost"] > 0), 2).otherwise(alone)
+    undecided = F.when(policy, "neutral").otherwise("uncertain")
+    direction = (
+        F.when(F.col("relevance") == 0, "neutral").when((n["up"] > 0) & (n["down"] > 0), "uncertain")
+        .when(risk & (n["context"] == 0), undecided).when(n["up"] > 0, "up").when(n["down"] > 0, "down").otherwise(undecided)
+    )
+    neutral = F.col("direction") == "neutral"  # an irrelevant text is neutral, too
+    sized = F.when(F.col("persona") == "supply_cost", F.col("relevance")).otherwise(F.greatest(F.lit(1), F.col("relevance") - 1))
+    intensity = F.when(neutral, 0).when(F.col("direction") == "uncertain", 1).otherwise(sized)
+    horizon = F.when(neutral, "unknown")
+    for c in HORIZONS:
+        horizon = horizon.when(n[c] > 0, c)
+    hits = F.array_distinct(F.concat(*[F.col("_m")[c] for c in ("direct", "fuel", "sector", "cost", "up", "down")]))
+    x = x.withColumn("relevance", relevance).withColumn("direction", direction)
+    labels = {"intensity": intensity, "horizon": horizon.otherwise("unknown"), "evidence": F.concat_ws(",", F.slice(hits, 1, most_terms))}
+    return x.withColumns(labels).drop("_m")
 
 
 def gram_counts(docs: DataFrame, keys: Sequence[str], text: str, n_features: int = 2**14) -> DataFrame:

@@ -118,10 +118,13 @@ def src5_read_state_prices(spark, d):
     return ok
 
 
-@query(f"WITH {PANEL}, w AS (SELECT date, max(price) FILTER (k = 0) AS a, max(price) FILTER (k = 1) AS b, max(price) FILTER (k = 2) AS c FROM p GROUP BY 1) SELECT (date - INTERVAL 1 DAY)::DATE AS date, round((SELECT median(x) FROM (SELECT unnest([a, b, c]) AS x)) / 3.785411784, 6) AS producer_national, b AS producer_region FROM w")
+@query(f"""WITH {PANEL} SELECT (date - INTERVAL 1 DAY)::DATE AS date, round(median(price) / 3.785411784, 6) AS producer_national,
+  max(price) FILTER (k = 1) AS producer_region FROM p WHERE k < 25 GROUP BY date""")
 def src6_read_producer(spark, d):
-    w = panel(spark, d).groupBy("date").agg(*[F.max(F.when(F.col("k") == i, F.col("price"))).alias(c) for i, c in enumerate("abc")])
-    x = files.read_producer(w.withColumn("produto", F.lit("Diesel S10")), "produto", "date", ["a", "b", "c"], "b")
+    """A producer's table with a column for each of the 25 nations."""
+    regions = [f"r{k}" for k in range(25)]
+    w = panel(spark, d).groupBy("date").pivot("k", list(range(25))).agg(F.max("price")).toDF("date", *regions)
+    x = files.read_producer(w.withColumn("produto", F.lit("Diesel S10")), "produto", "date", regions, "r1")
     return x.withColumn("producer_national", F.round(F.col("producer_national") / 3.785411784, 6))
 
 

@@ -100,13 +100,36 @@ def tx7_merge_slots(spark, d):
     return text.merge_slots([x.filter("slot = 1"), x.filter("slot = 2")], "doc_id", ["lang"]).select("doc_id", "slot", "good", "changed")
 
 
-LEX = {"up": ["the", "tion"], "down": ["der", "para"], "rel": ["data", "que"]}
-
-
-@query("WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑáàâãäéèêëíìîïóòôõöúùûüçñ', 'AAAAAEEEEIIIIOOOOOUUUUCNaaaaaeeeeiiiiooooouuuucn') AS t FROM documents), f AS (SELECT doc_id, list_filter(['data', 'que'], lambda x: contains(lower(t), x)) AS r, list_filter(['the', 'tion'], lambda x: contains(lower(t), x)) AS u, list_filter(['der', 'para'], lambda x: contains(lower(t), x)) AS d FROM t) SELECT doc_id, CASE WHEN len(r) > 0 THEN 'relevant' ELSE 'other' END AS relevance, CASE WHEN len(u) > len(d) THEN 'up' WHEN len(d) > len(u) THEN 'down' ELSE 'neutral' END AS direction, CASE WHEN len(u) + len(d) >= 4 THEN 'high' WHEN len(u) + len(d) >= 2 THEN 'medium' ELSE 'low' END AS intensity, array_to_string(r || u || d, ',') AS evidence FROM f")
+#: Pieces of words that the documents hold, in the place of the terms of fuel news, which they don't.
+LEX = {
+    "direct": ["nicht", "donde"], "fuel": ["thanedble", "keiteintz"], "sector": ["erition", "ontion"], "cost": ["anedble", "onment"],
+    "up": ["thingea", "elle"], "down": ["reingen", "cion"], "policy": ["thwhon", "ouvr"], "context": ["ersh", "chlich"],
+    "1w": ["thonly", "avec"], "2w": ["thor", "para"], "4w": ["reou"], "long": ["from"],
+}
+_FOUND = ", ".join(f"list_filter({terms}, lambda x: contains(t, x)) AS m_{c}" for c, terms in LEX.items())
+_POLICY = "CASE WHEN len(m_policy) > 0 THEN 'neutral' ELSE 'uncertain' END"
+LEXICON_SQL = f"""
+WITH t AS (SELECT doc_id, trim(regexp_replace(lower(translate(coalesce(text, ''), 'ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑáàâãäéèêëíìîïóòôõöúùûüçñ',
+  'AAAAAEEEEIIIIOOOOOUUUUCNaaaaaeeeeiiiiooooouuuucn')), '[\\s\\x0B\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS t FROM documents),
+m AS (SELECT doc_id, unnest(['supply_cost', 'procurement_risk', 'procurement_risk_calibrated']) AS persona, {_FOUND} FROM t),
+r AS (SELECT *, CASE WHEN len(m_direct) > 0 THEN 3 WHEN len(m_fuel) > 0 OR len(m_sector) > 0 AND len(m_cost) > 0 THEN 2
+  WHEN persona = 'procurement_risk' THEN (len(m_sector) + len(m_cost) >= 2)::INT
+  WHEN persona = 'procurement_risk_calibrated' AND len(m_policy) > 0 THEN 0 ELSE (len(m_sector) + len(m_cost) > 0)::INT END AS relevance FROM m),
+d AS (SELECT *, CASE WHEN relevance = 0 THEN 'neutral' WHEN len(m_up) > 0 AND len(m_down) > 0 THEN 'uncertain'
+  WHEN persona = 'procurement_risk' AND len(m_context) = 0 THEN {_POLICY} WHEN len(m_up) > 0 THEN 'up' WHEN len(m_down) > 0 THEN 'down'
+  ELSE {_POLICY} END AS direction FROM r)
+SELECT doc_id, persona, relevance, direction,
+  CASE direction WHEN 'neutral' THEN 0 WHEN 'uncertain' THEN 1 ELSE CASE WHEN persona = 'supply_cost' THEN relevance ELSE greatest(1, relevance - 1) END END AS intensity,
+  CASE WHEN direction = 'neutral' THEN 'unknown' WHEN len("m_1w") > 0 THEN '1w' WHEN len("m_2w") > 0 THEN '2w' WHEN len("m_4w") > 0 THEN '4w'
+    WHEN len("m_long") > 0 THEN 'long' ELSE 'unknown' END AS horizon,
+  array_to_string((m_direct || m_fuel || m_sector || m_cost || m_up || m_down)[:6], ',') AS evidence FROM d
+"""
+
+
+@query(LEXICON_SQL)
 def tx9_lexicon_label(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "text")
-    return text.lexicon_label(x, "text", LEX["up"], LEX["down"], LEX["rel"]).drop("text")
+    """Whole texts, labelled by all three personas."""
+    return text.lexicon_label(table(spark, d, "documents").select("doc_id", "text"), "text", terms=LEX).drop("text")
 
 
 @query("""WITH p AS (SELECT doc_id, source, lang, CASE WHEN n_chars > 1000 THEN 'relevant' ELSE 'control' END AS pool FROM documents),
