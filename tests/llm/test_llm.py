@@ -531,6 +531,14 @@ def test_near_classes(docs, spark):
     assert neardup.near_classes(df.limit(0)).count() == 0
 
 
+def test_near_dup_stage_keeps_wordless_rows(spark):
+    """Repeated rows without a word are classes of their own; a repeated text is not."""
+    rows = [(1, ""), (1, ""), (1, " \t"), (None, None), (None, None), (None, ""), (2, "one two three"), (2, "one two three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter(tuple(r) for r in neardup.near_dup_stage(spark, df).collect())
+    assert kept == Counter(rows) - Counter([(2, "one two three")])
+
+
 def test_near_pairs_recall(spark):
     """Hundreds of pairs just above the threshold, each of words of its own: all must share a class, and none below it."""
     rng, rows, alike = random.Random(21), [], {}

@@ -39,6 +39,7 @@ from .carry import ROW, quoted, row_of
 from .scratch import staged
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 25, 5, 0.8
+WORDED = "[^\\x20\\x09-\\x0D]"
 #: Rounds go on while they find a link for one in so many members of bands.
 ENOUGH = 100
 #: Bounds of a block of texts in the last step.
@@ -279,9 +280,12 @@ SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id FROM d LEFT JOIN u O
 
 
 def near_dup_stage(spark, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """One document of each class: the one with the smallest doc_id."""
+    """One document of each class: the one with the smallest doc_id; wordless texts are classes of their own and all stay."""
     last = F.lit(2**63 - 1).cast("long")
     found = near_classes(docs)
     kept = found.groupBy("class_row").agg(F.min(F.struct(F.coalesce("id", last).alias("_i"), F.col("text_hash").alias("_h"))).alias("k")).select("k.*").distinct()
-    own = docs.select(row_of(docs.columns).alias(ROW), F.coalesce(F.col("doc_id").cast("long"), last).alias("_i"), F.xxhash64("text").alias("_h"))
-    return own.join(kept, ["_i", "_h"], "left_semi").dropDuplicates(["_i", "_h"]).select(f"{ROW}.*")
+    worded = F.coalesce(F.col("text").cast("string").rlike(WORDED), F.lit(False))
+    apart = F.when(worded, F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())
+    keys = [F.coalesce(F.col("doc_id").cast("long"), last).alias("_i"), F.xxhash64("text").alias("_h"), apart.alias("_apart")]
+    own = docs.select(row_of(docs.columns).alias(ROW), *keys)
+    return own.join(kept, ["_i", "_h"], "left_semi").dropDuplicates(["_i", "_h", "_apart"]).select(f"{ROW}.*")
