@@ -400,3 +400,20 @@ def test_hybrid_grid_against_numpy(spark):
     for f in (0, 1):
         e = (base + np.clip(0.5 * c, -0.02 * base, 0.02 * base) - actual)[f::2]
         assert got[f, 0.5, 0.02]["mae"] == pytest.approx(np.abs(e).mean()) and got[f, 0.5, 0.02]["rmse"] == pytest.approx(np.sqrt((e**2).mean()))
+
+
+def test_arimax_takes_known_future_values(spark):
+    """Values follow a column that jumps about: they can be foretold only where its next value is known."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=140)
+    y = 5 + 3 * x + 0.01 * rng.normal(size=140)
+    day = dt.date(2020, 1, 6)
+    rows = [("a", day + dt.timedelta(weeks=i), float(y[i]), float(x[i]), float(x[i + 1]) if i < 139 else None) for i in range(140)]
+    df = spark.createDataFrame(rows, "k string, date date, c double, a double, b double")
+    errors = []
+    for future in (None, ["b"]):
+        got = learn.arimax_walk_forward(df, ["k"], "c", ["a"], future=future).orderBy("date").toPandas()["prediction"].to_numpy()
+        errors.append(np.abs(got[110:139] - y[111:140]).mean())
+        assert np.isfinite(got).all()
+    assert errors[1] < 0.2 < errors[0], errors
+    assert got[139] == y[139]

@@ -86,11 +86,15 @@ def huber(delta: float = 1.345, rounds: int = 30) -> Fit:
     return fit
 
 
-def walk_forward(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, fit: Fit, min_train: int = 52, refit_every: int = 13, date: str = "date", target_date: str = "target_date") -> DataFrame:
-    """(keys, date, prediction, trained): at each origin a model of all labels known then, refitted every so many origins."""
+def walk_forward(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, fit: Fit, min_train: int = 52, refit_every: int = 13, date: str = "date", target_date: str = "target_date", ahead: Sequence[str] | None = None) -> DataFrame:
+    """(keys, date, prediction, trained): at each origin a model of all labels known then, refitted every so many origins.
+
+    ``ahead`` names the columns that a forecast takes in the place of the features, such as their known future values.
+    """
 
     def step(pdf):
         x, y = pdf[list(features)].to_numpy(float), pdf[target].to_numpy(float)
+        asked = pdf[list(ahead)].to_numpy(float) if ahead else x
         whole, known = np.isfinite(x).all(1), known_before(pdf[date], pdf[target_date])
         out, trained, model, since = np.full(len(x), np.nan), np.full(len(x), np.nan), None, refit_every
         for i in range(len(x)):
@@ -98,8 +102,8 @@ def walk_forward(df: DataFrame, keys: Sequence[str], features: Sequence[str], ta
             if len(rows) >= min_train and since >= refit_every:
                 model, since, size = fit(x[rows], y[rows]), 0, len(rows)
             since += 1
-            if model and whole[i]:
-                out[i], trained[i] = model(x[i : i + 1])[0], size
+            if model and np.isfinite(asked[i]).all():
+                out[i], trained[i] = model(asked[i : i + 1])[0], size
         return pd.DataFrame({"prediction": out, "trained": trained})
 
     return nulls(per_series(df, keys, ["prediction", "trained"], step, date), ["prediction", "trained"])
@@ -190,13 +194,27 @@ def arima_walk_forward(df: DataFrame, keys: Sequence[str], value: str, orders: S
     return nulls(per_series(df.select(*keys, date, value), keys, ["prediction"], step, date), ["prediction"])
 
 
-def arimax_walk_forward(df: DataFrame, keys: Sequence[str], value: str, exog: Sequence[str], horizon: int = 1, min_train: int = 52, refit_every: int = 13, date: str = "date") -> DataFrame:
-    """ARIMA errors around a ridge regression on columns known at the origin: regression forecast plus the forecast of its residual."""
+def arimax_walk_forward(
+    df: DataFrame, keys: Sequence[str], value: str, exog: Sequence[str], horizon: int = 1, min_train: int = 52, refit_every: int = 13,
+    date: str = "date", future: Sequence[str] | None = None,
+) -> DataFrame:
+    """ARIMA errors around a ridge regression: regression forecast plus the forecast of its residual.
+
+    The regression forecast holds the exogenous columns at the origin's values, or takes the columns ``future``, in the order of
+    ``exog``, where their values at the target are known ahead. NULL future values leave the last value as forecast.
+    """
     x = df.withColumns({"_t": F.col(date), "_y": F.col(value)})
-    reg = walk_forward(x, keys, exog, "_y", ridge(), min_train, refit_every, date, "_t").withColumnRenamed("prediction", "_r").drop("trained")
-    x = df.select(*keys, date, value).join(reg, [*keys, date]).withColumn("_e", F.col(value) - F.col("_r"))
-    e = arima_walk_forward(x, keys, "_e", refit_every=refit_every, horizon=horizon, min_train=min_train, date=date).withColumnRenamed("prediction", "_f")
-    return x.join(e, [*keys, date]).select(*keys, date, F.coalesce(F.col("_r") + F.col("_f"), F.col(value)).alias("prediction"))
+
+    def regression(name: str, ahead: Sequence[str] | None = None) -> DataFrame:
+        p = walk_forward(x, keys, exog, "_y", ridge(), min_train, refit_every, date, "_t", ahead)
+        return p.withColumnRenamed("prediction", name).drop("trained")
+
+    own = df.select(*keys, date, value).join(regression("_r"), [*keys, date]).withColumn("_e", F.col(value) - F.col("_r"))
+    e = arima_walk_forward(own, keys, "_e", refit_every=refit_every, horizon=horizon, min_train=min_train, date=date)
+    out = own.join(e.withColumnRenamed("prediction", "_f"), [*keys, date])
+    if future:
+        out = out.drop("_r").join(regression("_r", future), [*keys, date])
+    return out.select(*keys, date, F.coalesce(F.col("_r") + F.col("_f"), F.col(value)).alias("prediction"))
 
 
 class Conformal:
