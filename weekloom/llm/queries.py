@@ -3,6 +3,7 @@ from .decontaminate import DECONTAMINATE_SQL, decontaminate_query
 from .linedup import LINE_DEDUP_SQL, line_dedup_query
 from .neardup import NEAR_DUP_SQL, near_dup_query
 from .packing import packing_query
+from .pieces import piece_query
 from .ppm import lm_query
 from .quality import QUALITY_SQL, quality_query
 from .repeats import REPEATS_SQL, repeats_query
@@ -21,6 +22,7 @@ QUERIES = {
     "op8_packing": packing_query,
     "op9_near_dup": near_dup_query,
     "op10_line_dedup": line_dedup_query,
+    "op13_pieces": piece_query,
 }
 ORACLES = {
     "op1_warc": WARC_SQL,
