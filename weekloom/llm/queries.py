@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 from .decontaminate import DECONTAMINATE_SQL, decontaminate_query
+from .interactions import INTERACTION_SQL, interaction_query
 from .linedup import LINE_DEDUP_SQL, line_dedup_query
 from .neardup import NEAR_DUP_SQL, near_dup_query
 from .packing import packing_query
@@ -10,6 +11,7 @@ from .repeats import REPEATS_SQL, repeats_query
 from .secrets import SECRETS_SQL, secrets_query
 from .tokencounts import token_count_query
 from .warc import WARC_SQL, warc_query
+from .whitening import whitening_query
 
 QUERIES = {
     "op1_warc": warc_query,
@@ -22,6 +24,8 @@ QUERIES = {
     "op8_packing": packing_query,
     "op9_near_dup": near_dup_query,
     "op10_line_dedup": line_dedup_query,
+    "op11_interactions": interaction_query,
+    "op12_whitening": whitening_query,
     "op13_pieces": piece_query,
 }
 ORACLES = {
@@ -32,4 +36,5 @@ ORACLES = {
     "op7_quality": QUALITY_SQL,
     "op9_near_dup": NEAR_DUP_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
+    "op11_interactions": INTERACTION_SQL,
 }
