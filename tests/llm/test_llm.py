@@ -104,11 +104,53 @@ def test_warc_odd_urls(spark, tmp_path, split):
     assert got[1]["url"] == "http://b/%E2%80%A8Content-Length:3" and got[5]["url"] == "%C3%A9%20%F0%9F%98%80%00" and got[6]["url"] == "http://e/?q=%20+" and got[7]["url"] is None
 
 
+@pytest.mark.parametrize("split", ["1k", "64k"])
+def test_warc_magic_in_headers(spark, tmp_path, split):
+    """A URL or an id that names the format neither ends the chain nor hides a record."""
+    rows = [("a", "http://a/", "one " * 50), ("WARC/1.0", "http://a/WARC/1.0/spec", "two " * 50), ("b c+%é", "WARC/1.1", "three " * 300), ("d", "x", "WARC/1.0 WARC/1.1"), ("e", "WARC/1.WARC/1.", None)]
+    rows += [("f", "http://f/WARC/1.1", "one " * 50)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        warc.write_warc(pages, str(tmp_path / "w"))
+        got = {r["record_id"]: r for r in warc.resolved(warc.read_warc(spark, str(tmp_path / "w"))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got.keys() == {r[0] for r in rows}
+    for k, u, html in rows:
+        r, raw = got[k], (html or "").encode()
+        assert (r["url"], r["payload_bytes"], r["payload_digest"]) == (u, len(raw), hashlib.sha256(raw).hexdigest())
+        assert (r["record_type"], r["refers_to"]) == (("revisit", "a") if k == "f" else ("response", None))
+
+
+@pytest.mark.parametrize("split", ["100b", "1m"])
+def test_warc_foreign_archive(spark, tmp_path, split):
+    """Magic as the last header, as a header's name, in lower-case names and in bytes that are no text."""
+    bodies = [b"hi", b"\xff\xfeWARC/1.1\r\nContent-Length: 1\r\n\r\n\x00\r\n\r\nWARC/1.", b"", b"WARC/1.0\r\n" * 40 + b"\r\n\r\n", b"last"]
+    heads = [
+        b"WARC-Type: response\r\ncontent-length: %d\r\nX-Says: WARC/1.1", b"content-length: %d\r\nX-WARC/1.0: 5\r\nWARC-Type: resource\r\nWARC-Target-URI: http://x/WARC/1.0\r\nX-Y: z",
+        b"X: WARC/1.0 Content-Length: 7\r\nWARC-Type: metadata\r\nContent-Length: %d", b"WARC-Type: response\r\nX: WARC/1.WARC/1.\r\nContent-Length: %d", b"Content-Length: %d\r\nX: y",
+    ]
+    (tmp_path / "f").mkdir()
+    raw = b"".join(b"WARC/1.0\r\n" + h % len(x) + b"\r\n\r\n" + x + b"\r\n\r\n" for h, x in zip(heads, bodies, strict=True))
+    (tmp_path / "f" / "x.warc").write_bytes(raw)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = sorted(warc.read_warc(spark, str(tmp_path / "f")).collect(), key=lambda r: r["at"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["payload_bytes"], r["payload_digest"]) for r in got] == [(len(x), hashlib.sha256(x).hexdigest()) for x in bodies]
+    assert [r["record_type"] for r in got] == ["response", "resource", "metadata", "response", None]
+    assert got[1]["url"] == "http://x/WARC/1.0"
+
+
 def test_warc_broken_and_empty(spark, tmp_path):
     (tmp_path / "b").mkdir()
     good = b"WARC/1.1\r\nContent-Length: 2\r\nWARC-Type: response\r\n\r\nhi\r\n\r\n"
     (tmp_path / "b" / "x.warc").write_bytes(good + b"WARC/1.1\r\nContent-Length: nonsense\r\n\r\n" + good)
-    assert warc.read_warc(spark, str(tmp_path / "b")).filter("payload_bytes = 2").count() == 1  # the chain ends at the broken record
+    assert warc.read_warc(spark, str(tmp_path / "b"), strict=False).filter("payload_bytes = 2").count() == 1  # the chain ends at the broken record
+    with pytest.raises(ValueError, match="x.warc: the record at"):
+        warc.read_warc(spark, str(tmp_path / "b"))
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
 

@@ -10,10 +10,16 @@ every place where a record *may* begin. It emits (offset, successor offset) for
 length say where the next record must begin. Offsets come from prefix sums of piece lengths within a byte range and of
 ranges within a file. Pointer jumping from the start of each file then keeps only the records that the chain reaches,
 in a logarithmic number of joins over offsets alone; magic inside a payload is never reached. Payloads aren't shuffled
-unless a record really holds the magic in its payload; only such records are put together from their pieces.
+unless a record really holds the magic in its payload or header; only such records are put together from their pieces.
+A header that holds the magic (a URL may) ends with the first blank line of the pieces that follow: it is found by running
+counts within byte ranges, carried from range to range, and no text is gathered for it before the chain has chosen.
 
-Defined cases: a null payload is empty; a null url is left out; what is not printable ASCII in a url (or in an id that is
-text) is percent-encoded as UTF-8, so no character can end a header line, whatever Unicode calls it; rows that share the
+A chain that stops before the end of its file is an error that names the file, unless ``strict`` is false; then the records
+before the break are returned.
+
+Defined cases: a null payload is empty; a null url is left out; what is not printable ASCII in a url is percent-encoded as
+UTF-8, so no character can end a header line, whatever Unicode calls it; ids that are text are encoded as in a URL's query and
+come back as they were; rows that share the
 smallest id of equal payloads are all responses; a null id comes after all others; columns other than id, url and payload
 are not read. A payload is text (UTF-8) when written; the reader takes any bytes, and header lines that end in CR LF or LF.
 An empty table gives an archive without records.
@@ -57,7 +63,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Writes a record per row to text archives under ``path``."""
     plan = record_plan(pages, id_col, url_col, payload_col, least_bytes)
     revisit = F.col("revisit")
-    urn = lambda c: F.concat(F.lit("<urn:page:"), _printable(c.cast("string")), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">"))
     record = F.concat(
         F.lit(f"{MAGIC}1\r\n"),
         _header("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
@@ -81,13 +87,27 @@ def _pieces(spark, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("nth"), "value")
 
 
-def _placed(pieces: DataFrame) -> DataFrame:
-    """A staged table of pieces with ``size``, and ``at``: the offset in the file of the magic before each."""
-    in_range = pieces.withColumn("inside", F.sum(F.col("size") + len(MAGIC)).over(W.partitionBy("file", "range").orderBy("nth")))
+def _carried(rows: DataFrame, order: str, sums: dict[str, Column], last: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` with running sums, and last known values, over all rows of their file up to and with themselves.
+
+    Each (file, range) is scanned by itself; one row a range carries on what was before. So no task holds a whole file.
+    """
+    last = last or {}
+    inside = W.partitionBy("file", "range").orderBy(order)
+    whole = {**{f"_{k}": F.sum(c) for k, c in sums.items()}, **{f"_{k}": F.max_by(c, F.when(c.isNotNull(), F.col(order))) for k, c in last.items()}}
     before = W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = pieces.groupBy("file", "range").agg(F.sum(F.col("size") + len(MAGIC)).alias("all")).select("file", "range", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    ranges = rows.groupBy("file", "range").agg(*[c.alias(k) for k, c in whole.items()])
+    ranges = ranges.select("file", "range", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums], *[F.last(f"_{k}", ignorenulls=True).over(before).alias(f"_{k}") for k in last])
+    own = rows.withColumns({**{k: F.sum(c).over(inside) for k, c in sums.items()}, **{k: F.last(c, ignorenulls=True).over(inside) for k, c in last.items()}})
+    both = own.join(ranges, ["file", "range"])
+    return both.withColumns({**{k: F.col(k) + F.col(f"_{k}") for k in sums}, **{k: F.coalesce(k, f"_{k}") for k in last}}).drop(*[f"_{k}" for k in (*sums, *last)])
+
+
+def _placed(pieces: DataFrame, **sums: Column) -> DataFrame:
+    """A staged table of pieces with ``size``, and ``at``: the offset in the file of the magic before each; and further running sums."""
+    placed = _carried(pieces, "nth", {"_to": F.col("size") + len(MAGIC), **sums})
     # the first piece of a file lies before any magic, at offset -len(MAGIC): it is no candidate
-    return in_range.join(ranges, ["file", "range"]).withColumn("at", F.col("base") + F.col("inside") - F.col("size") - 2 * len(MAGIC)).filter("at >= 0")
+    return placed.withColumn("at", F.col("_to") - F.col("size") - 2 * len(MAGIC)).filter("at >= 0").drop("_to")
 
 
 def _field(head: Column, name: str) -> Column:
@@ -96,23 +116,41 @@ def _field(head: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def candidates(spark, path: str) -> DataFrame:
-    """(file, range, at, next, length, head, digest, full): every place where a record may begin and where its successor must.
+def _staged_pieces(spark, path: str) -> DataFrame:
+    """A staged table of pieces: size, head and length where a blank line ends the header within the piece, digest of a whole payload.
 
-    ``at`` is the offset of the magic; ``next`` is null where no header or length can be read; ``full`` says that the
-    record ends where the piece ends, so its payload digest could be taken at once.
+    Without a blank line, ``length`` is what the piece itself says of it.
     """
     p = _pieces(spark, path)
     size, known = F.octet_length("value").cast("long"), F.instr("value", END) > 0
     head = F.when(known, F.substring_index("value", END, 1))
     begin = F.octet_length("head").cast("long") + _ENDS
     p = p.select("file", "range", "nth", "value", size.alias("size"), head.alias("head"))
-    p = p.withColumn("begin", begin).withColumn("length", _field(F.col("head"), "Content-Length").try_cast("long"))
+    p = p.withColumn("begin", begin).withColumn("length", _field(F.coalesce("head", "value"), "Content-Length").try_cast("long"))
     p = p.withColumn("full", F.coalesce(F.col("begin") + F.col("length") + _ENDS == F.col("size"), F.lit(False)))
     body = F.when(F.col("full"), F.col("value").cast("binary").substr(F.col("begin").cast("int") + 1, F.col("length").cast("int")))
-    p = p.select("file", "range", "nth", "size", "head", "begin", "length", "full", F.sha2(body, 256).alias("digest"))
-    placed = _placed(staged(p, "candidates"))
-    return placed.select("file", "range", "at", (F.col("at") + len(MAGIC) + F.col("begin") + F.col("length") + _ENDS).alias("next"), "length", "head", "digest", "full")
+    return staged(p.select("file", "range", "nth", "size", "head", "begin", "length", "full", F.sha2(body, 256).alias("digest")), "candidates")
+
+
+def candidates(pieces: DataFrame) -> DataFrame:
+    """(file, range, at, next, length, head, digest, full): every place where a record may begin and where its successor must.
+
+    ``at`` is the offset of the magic; ``next`` is null where no length can be read; ``full`` says that the record is one
+    piece, so its payload digest could be taken at once. ``head`` is null where the header goes on beyond the piece.
+    """
+    # pieces with the same number of headers' ends before them have the same end: the last of them holds it
+    placed = _placed(pieces, ended=F.col("begin").isNotNull().cast("long"))
+    placed = placed.withColumn("run", F.when(F.col("begin").isNotNull(), F.col("ended") - 1).otherwise(F.col("ended")))
+    begin = F.col("at") + len(MAGIC) + F.col("begin")
+    closed = placed.filter("begin is not null").withColumn("body", begin)
+    columns = ["file", "range", "at", (F.col("body") + F.col("length") + _ENDS).alias("next"), "length", "head", "digest", "full"]
+    if not pieces.filter("begin is null").limit(1).count():
+        return closed.select(*columns)
+    open_ = placed.filter("begin is null").withColumn("body", F.lit(None).cast("long"))
+    ends = closed.join(open_.select("file", "run").distinct(), ["file", "run"], "left_semi")
+    ahead = W.partitionBy("file", "run").orderBy(F.desc("at"))  # the pieces of one header, or of one payload
+    joined = open_.unionByName(ends).withColumns({"length": F.last("length", ignorenulls=True).over(ahead), "body": F.max("body").over(ahead)})
+    return closed.select(*columns).unionByName(joined.filter("begin is null").select(*columns))
 
 
 def _contract(table: pa.Table) -> pa.Table:
@@ -165,30 +203,45 @@ def _put_together(spark, path: str, found: DataFrame, kept: DataFrame, broken: D
     Their files are read once more. That scan may split them otherwise than the first one, so its pieces are staged and
     placed anew, and meet the records by their offsets in the file alone.
     """
-    starts = kept.select("file", "at", F.lit(True).alias("mine"))
-    owner = F.last(F.when(F.col("mine"), F.col("at")), ignorenulls=True).over(W.partitionBy("file").orderBy("at"))
-    mapped = found.select("file", "at").join(starts, ["file", "at"], "left").withColumn("owner", owner)
+    starts = kept.select("file", "at", F.col("at").alias("start"))
+    mapped = found.select("file", "range", "at").join(starts, ["file", "at"], "left")
+    mapped = _carried(mapped, "at", {}, {"owner": F.col("start")})
     parts = mapped.join(broken.select("file", F.col("at").alias("owner")), ["file", "owner"]).select("file", "at", "owner")
     again = _pieces(spark, path).join(broken.select("file").distinct(), "file", "left_semi").withColumn("size", F.octet_length("value").cast("long"))
     text = _placed(staged(again, "pieces")).join(parts, ["file", "at"])
     text = text.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("binary").alias("v")))).alias("p"))  # the pieces of one record
     joined = F.aggregate(F.slice("p", 2, F.size("p")), F.element_at("p", 1)["v"], lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["v"]))
-    whole = broken.join(text.select("file", F.col("owner").alias("at"), joined.alias("all")), ["file", "at"])
-    body = F.expr("substring(all, cast(octet_length(head) + 5 as int), cast(length as int))")
-    return whole.select("file", "at", F.sha2(body, 256).alias("digest"))
+    whole = broken.select("file", "at", "length").join(text.select("file", F.col("owner").alias("at"), joined.alias("all")), ["file", "at"])
+    whole = whole.withColumn("own_head", F.substring_index(F.col("all").cast("string"), END, 1))
+    body = F.expr(f"substring(all, cast(octet_length(own_head) + {_ENDS + 1} as int), cast(length as int))")
+    return whole.select("file", "at", "own_head", F.sha2(body, 256).alias("own"))
+
+
+def _unbroken(pieces: DataFrame, kept: DataFrame) -> None:
+    """An error if a chain stops before its file does."""
+    files = pieces.groupBy("file").agg((F.sum(F.col("size") + len(MAGIC)) - len(MAGIC)).alias("bytes")).filter("bytes > 0")
+    reach = kept.groupBy("file").agg(F.when(F.count(F.when(F.col("next").isNull(), 1)) == 0, F.max("next")).alias("reach"), F.max("at").alias("last"))
+    bad = files.join(reach, "file", "left").filter(~F.col("reach").eqNullSafe(F.col("bytes")))
+    some = [f"{r['file']}: {'no record at its start' if r['last'] is None else 'the record at ' + str(r['last'])}" for r in bad.orderBy("file").limit(5).collect()]
+    if some:
+        raise ValueError("archives whose chain of records stops before their end: " + "; ".join(some))
 
 
-def read_warc(spark, path: str) -> DataFrame:
+def read_warc(spark, path: str, strict: bool = True) -> DataFrame:
     """(file, at, record_type, record_id, url, refers_to, payload_bytes, payload_digest, stated_digest) per record."""
-    found = staged(candidates(spark, path), "chain")
+    pieces = _staged_pieces(spark, path)
+    found = staged(candidates(pieces), "chain")
     real = reachable(found)
     kept = staged(found.join(real, ["file", "at"], "left_semi"), "records")
+    if strict:
+        _unbroken(pieces, kept)
+    kept = kept.filter("next is not null")
     broken = kept.filter(~F.col("full"))
     if broken.limit(1).count():
-        sums = _put_together(spark, path, found, kept, broken).withColumnRenamed("digest", "own")
-        kept = kept.join(sums, ["file", "at"], "left").withColumn("digest", F.coalesce("own", "digest"))
+        sums = _put_together(spark, path, found, kept, broken)
+        kept = kept.join(sums, ["file", "at"], "left").withColumns({"digest": F.coalesce("own", "digest"), "head": F.coalesce("own_head", "head")})
     head = F.col("head")
-    urn = lambda x: F.when(x.rlike("^<urn:page:.+>$"), F.regexp_extract(x, "^<urn:page:(.*)>$", 1))
+    urn = lambda x: F.when(x.rlike("^<urn:page:.+>$"), F.try_url_decode(F.regexp_extract(x, "^<urn:page:(.*)>$", 1)))
     return kept.select(
         "file", "at", _field(head, "WARC-Type").alias("record_type"), urn(_field(head, "WARC-Record-ID")).alias("record_id"), _field(head, "WARC-Target-URI").alias("url"),
         urn(_field(head, "WARC-Refers-To")).alias("refers_to"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.regexp_replace(_field(head, "WARC-Payload-Digest"), "^sha256:", "").alias("stated_digest"),
