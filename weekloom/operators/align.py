@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
 
 #: Folds are sent to every task; this bounds their table.
 MOST_FOLDS = 10_000
@@ -36,14 +37,18 @@ def grid_violations(df: DataFrame, keys: Sequence[str], date: str = "date") -> D
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], date: str = "date") -> DataFrame:
-    """The last known values at or before each left date: one union, one sort, no range join."""
+    """The last known values at or before each left date: one union, one sort, no range join. Without keys, a prefix scan."""
+    if not keys:
+        return scan.asof_backward(left, right, keys, columns, date)
     both = left.withColumn("_left", F.lit(1)).unionByName(right.select(*keys, date, *columns).withColumn("_left", F.lit(0)), allowMissingColumns=True)
     w = W.partitionBy(*keys).orderBy(date, "_left").rowsBetween(W.unboundedPreceding, 0)
     return both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns}).filter("_left = 1").drop("_left")
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], column: str, tolerance: int, date: str = "date") -> DataFrame:
-    """The value nearest in days within the tolerance (inclusive); at equal distance the earlier one."""
+    """The value nearest in days within the tolerance (inclusive); at equal distance the earlier one. Without keys, prefix scans."""
+    if not keys:
+        return scan.asof_nearest(left, right, keys, column, tolerance, date)
     both = left.withColumn("_left", F.lit(1)).unionByName(right.select(*keys, date, column).withColumn("_left", F.lit(0)), allowMissingColumns=True)
     own = F.when((F.col("_left") == 0) & F.col(column).isNotNull(), F.struct(F.col(date).alias("d"), F.col(column).alias("v")))
     back = F.last(own, ignorenulls=True).over(W.partitionBy(*keys).orderBy(date, "_left").rowsBetween(W.unboundedPreceding, 0))

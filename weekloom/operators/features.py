@@ -1,4 +1,8 @@
-"""Window features. Rolling values skip NULLs and appear once enough values are there; lagged frames end one row before."""
+"""Window features. Rolling values skip NULLs and appear once enough values are there; lagged frames end one row before.
+
+Without keys the whole table is one series: those of the features that look at a bounded number of rows, running sums or last
+values are then taken range by range (``scan``), never in one task.
+"""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
@@ -7,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
 from .align import by_date
+from .ranks import with_quantiles
 
 
 def over(fn: Callable, col, keys: Sequence[str], start: int, end: int, at_least: int, date: str = "date") -> Column:
@@ -23,6 +29,8 @@ def past(fn: Callable, col, keys: Sequence[str], at_least: int, date: str = "dat
 
 def weekly_features(df: DataFrame, keys: Sequence[str], columns: Sequence[str], lags=(1, 2, 4, 8, 12), means=(4, 8, 12), date: str = "date") -> DataFrame:
     """Lags, lagged means and lagged volatility of log changes."""
+    if not keys:
+        return scan.in_ranges(df, keys, date, lambda x, k: weekly_features(x, k, columns, lags, means, date), max(*lags, *means) + 1)
     w = by_date(keys, date)
     df = df.withColumns({f"_c_{c}": F.log(c) - F.log(F.lag(c, 1).over(w)) for c in columns})
     out = {f"{c}_l{k}": F.lag(c, k).over(w) for c in columns for k in lags}
@@ -33,6 +41,8 @@ def weekly_features(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
 
 def price_jump_proxy(df: DataFrame, keys: Sequence[str], col: str, date: str = "date", window: int = 12, at_least: int = 4, times: float = 2.5, floor: float = 1e-4) -> DataFrame:
     """jump: the log change is beyond ``times`` its rolling deviation; z: the value against its rolling mean; adjusted: a jump, or a z beyond 2."""
+    if not keys:
+        return scan.in_ranges(df, keys, date, lambda x, k: price_jump_proxy(x, k, col, date, window, at_least, times, floor), window)
     df = df.withColumn("_d", F.log(col) - F.log(F.lag(col, 1).over(by_date(keys, date))))
     sd = F.greatest(over(F.stddev_samp, "_d", keys, 1 - window, 0, at_least, date), F.lit(floor))
     z = (F.col(col) - over(F.avg, col, keys, 1 - window, 0, at_least, date)) / over(F.stddev_samp, col, keys, 1 - window, 0, at_least, date)
@@ -48,6 +58,8 @@ def feature_set(df: DataFrame, keys: Sequence[str], col: str, kind: str = "dynam
     """
     if kind == "exogenous" and not exogenous:
         raise ValueError("an exogenous set needs columns")
+    if not keys:
+        return scan.in_ranges(df, keys, date, lambda x, k: feature_set(x, k, col, kind, date, warm, exogenous), max(warm, 13))
     w = by_date(keys, date)
     p = F.col(col)
     lag = lambda k: F.lag(col, k).over(w)
@@ -69,6 +81,8 @@ def feature_set(df: DataFrame, keys: Sequence[str], col: str, kind: str = "dynam
 
 def expanding_coint_residual(df: DataFrame, keys: Sequence[str], y: str, x: str, warmup: int, date: str = "date", out: str = "coint") -> DataFrame:
     """Residual of log y on log x, fitted on all earlier rows by running sums, over its own earlier deviation."""
+    if not keys:
+        return scan.expanding_coint_residual(df, keys, y, x, warmup, date, out)
     ly, lx = F.log(y), F.log(x)
     df = df.withColumns({"_y": F.when(lx.isNotNull(), ly), "_x": F.when(ly.isNotNull(), lx)})
     s = lambda c: F.sum(c).over(by_date(keys, date).rowsBetween(W.unboundedPreceding, -1))
@@ -126,6 +140,8 @@ def regional_features(df: DataFrame, keys: Sequence[str], state: str, national:
 
 def rolling_rmse(df: DataFrame, keys: Sequence[str], y: str, yhat: str, width: int = 12, date: str = "date") -> DataFrame:
     """From row ``width`` on: root mean square of the errors that are there."""
+    if not keys:
+        return scan.in_ranges(df, keys, date, lambda x, k: rolling_rmse(x, k, y, yhat, width, date), width - 1)
     w = by_date(keys, date)
     e = F.col(y) - F.col(yhat)
     return df.withColumn("rmse", F.when(F.row_number().over(w) >= width, F.sqrt(F.avg(e * e).over(w.rowsBetween(1 - width, 0)))))
@@ -133,26 +149,29 @@ def rolling_rmse(df: DataFrame, keys: Sequence[str], y: str, yhat: str, width: i
 
 def expanding_conformal(df: DataFrame, keys: Sequence[str], resid: str, yhat: str, at_least: int = 20, low: float = 0.1, high: float = 0.9, date: str = "date") -> DataFrame:
     """Band from the exact quantiles of all earlier residuals."""
-    q = past(lambda c: F.percentile(c, F.array(F.lit(low), F.lit(high))), resid, keys, at_least, date)
-    return df.withColumn("_q", q).withColumns({"lower": F.col(yhat) + F.col("_q")[0], "upper": F.col(yhat) + F.col("_q")[1]}).drop("_q")
+    return with_quantiles(df, keys, resid, [low, high], None, -1, at_least, date).withColumns({"lower": F.col(yhat) + F.col("_q")[0], "upper": F.col(yhat) + F.col("_q")[1]}).drop("_q")
 
 
 def moving_band(df: DataFrame, keys: Sequence[str], resid: str, yhat: str, width: int = 156, nominal: float = 0.8, at_least: int = 20, date: str = "date") -> DataFrame:
     tail = (1 - nominal) / 2
-    q = over(lambda c: F.percentile(c, F.array(F.lit(tail), F.lit(1 - tail))), resid, keys, -width, -1, at_least, date)
-    return df.withColumn("_q", q).withColumns({"lower": F.col(yhat) + F.col("_q")[0], "upper": F.col(yhat) + F.col("_q")[1]}).drop("_q")
+    return with_quantiles(df, keys, resid, [tail, 1 - tail], -width, -1, at_least, date).withColumns({"lower": F.col(yhat) + F.col("_q")[0], "upper": F.col(yhat) + F.col("_q")[1]}).drop("_q")
 
 
 def change_guard(df: DataFrame, keys: Sequence[str], price: str, yhat: str, width: int = 156, floor: float = 0.10, date: str = "date") -> DataFrame:
     """limit = max(floor, twice the 99.5 % quantile of recent moves); a forecast beyond it falls back to the price."""
+    if not keys:
+        return scan.in_ranges(df, keys, date, lambda x, k: change_guard(x, k, price, yhat, width, floor, date), width)
     df = df.withColumn("_m", F.abs(F.col(price) - F.lag(price, 1).over(by_date(keys, date))))
-    df = df.withColumn("limit", F.greatest(F.lit(floor), 2 * F.percentile("_m", 0.995).over(by_date(keys, date).rowsBetween(1 - width, 0))))
+    df = with_quantiles(df, keys, "_m", [0.995], 1 - width, 0, 1, date)
+    df = df.withColumn("limit", F.greatest(F.lit(floor), 2 * F.col("_q")[0])).drop("_q")
     beyond = F.abs(F.col(yhat) - F.col(price)) > F.col("limit")
     return df.withColumns({"guarded": F.coalesce(beyond, F.lit(False)), "guard_forecast": F.when(beyond, F.col(price)).otherwise(F.col(yhat))}).drop("_m")
 
 
 def contiguous_blocks(df: DataFrame, keys: Sequence[str], step: int = 7, at_least: int = 3, date: str = "date") -> DataFrame:
     """block: islands of unbroken weeks, those of ``at_least`` rows."""
+    if not keys:
+        return scan.contiguous_blocks(df, keys, step, at_least, date)
     new = F.coalesce(F.datediff(date, F.lag(date, 1).over(by_date(keys, date))) != step, F.lit(True)).cast("int")
     df = df.withColumn("_new", new).withColumn("block", F.sum("_new").over(by_date(keys, date).rowsBetween(W.unboundedPreceding, 0)))
     return df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys, "block"))).filter(F.col("_n") >= at_least).drop("_new", "_n")
@@ -160,6 +179,8 @@ def contiguous_blocks(df: DataFrame, keys: Sequence[str], step: int = 7, at_leas
 
 def episodes(df: DataFrame, keys: Sequence[str], mask: Column, min_gap: int = 8, date: str = "date") -> DataFrame:
     """Masked rows with an episode number: a new one where more than ``min_gap`` weeks have passed."""
+    if not keys:
+        return scan.episodes(df, keys, mask, min_gap, date)
     own = df.filter(mask)
     new = F.coalesce(F.datediff(date, F.lag(date, 1).over(by_date(keys, date))) > 7 * min_gap, F.lit(True)).cast("int")
     return own.withColumn("_new", new).withColumn("episode", F.sum("_new").over(by_date(keys, date).rowsBetween(W.unboundedPreceding, 0))).drop("_new")

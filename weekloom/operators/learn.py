@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from weekloom.sources.scratch import new_folder
 
 from .align import MOST_FOLDS, by_date
-from .features import over, past
+from .features import past
+from .ranks import with_quantiles
 
 Fit = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]
 
@@ -768,8 +769,7 @@ def release_forecast(df: DataFrame, keys: Sequence[str], price: str, primary: st
     from .features import change_guard
 
     x = change_guard(df, keys, price, primary, width, date=date)
-    q = over(lambda c: F.percentile(c, F.array(F.lit(0.1), F.lit(0.9))), "resid", keys, -width, -1, 20, date)
-    x = x.withColumn("_q", q)
+    x = with_quantiles(x, keys, "resid", [0.1, 0.9], -width, -1, 20, date)
     p = F.col("guard_forecast")
     return x.select(*keys, date, p.alias("point"), "guarded", F.least(p, p + F.col("_q")[0]).alias("p10"), F.greatest(p, p + F.col("_q")[1]).alias("p90"))
 

@@ -40,7 +40,7 @@ def cost(spark, d: str) -> DataFrame:
 def with_cost(spark, d: str) -> DataFrame:
     """The panel with the last known cost. Dates are resolved once on the calendar, then joined."""
     p = panel(spark, d)
-    weeks = align.asof_backward(p.select("date").distinct().withColumn("g", F.lit(1)), cost(spark, d).withColumn("g", F.lit(1)), ["g"], ["cost"]).drop("g")
+    weeks = align.asof_backward(p.select("date").distinct(), cost(spark, d), [], ["cost"])
     return p.join(weeks, "date")
 
 
@@ -185,8 +185,7 @@ def jn2_asof_backward(spark, d):
 
 @query(f"WITH {COST}, w AS (SELECT DISTINCT date FROM p), n AS (SELECT w.date, c.cost, row_number() OVER (PARTITION BY w.date ORDER BY abs(datediff('day', c.date, w.date)), c.date) AS i FROM w LEFT JOIN c ON abs(datediff('day', c.date, w.date)) <= 1) SELECT date, cost FROM n WHERE i = 1")
 def jn3_asof_nearest(spark, d):
-    g = lambda x: x.withColumn("g", F.lit(1))
-    return align.asof_nearest(g(panel(spark, d).select("date").distinct()), g(cost(spark, d)), ["g"], "cost", 1).select("date", "cost")
+    return align.asof_nearest(panel(spark, d).select("date").distinct(), cost(spark, d), [], "cost", 1).select("date", "cost")
 
 
 @query(f"WITH {PANEL} SELECT a.k, a.date, a.price, b.price AS target, (a.date + INTERVAL 28 DAY)::DATE AS target_date FROM p a LEFT JOIN p b ON b.k = a.k AND b.date = a.date + INTERVAL 28 DAY")
