@@ -53,17 +53,6 @@ def ar1(seed, n=400):
     return np.array(y)
 
 
-def test_arima_equals_least_squares_and_beats_persistence(spark):
-    for seed in range(1, 6):
-        y = ar1(seed)
-        assert learn.arima_fit(y, (1, 0, 0))[1] == pytest.approx((y[1:] * y[:-1]).sum() / (y[:-1] ** 2).sum())
-    assert abs(np.mean([learn.arima_fit(ar1(seed), (1, 0, 0))[1] for seed in range(1, 41)]) - 0.6) < 0.03
-    y = ar1(1)
-    got = np.array(column(learn.arima_walk_forward(frame(spark, [(v,) for v in y], "a"), ["k"], "a"), "prediction"))
-    assert np.abs(got[60:-1] - y[61:]).mean() < 0.95 * np.abs(y[60:-1] - y[61:]).mean()
-    assert list(got[:10]) == pytest.approx(list(y[:10]))
-
-
 def test_conformal_bands_cover(spark):
     r = np.random.default_rng(2)
     y = r.normal(size=400) * np.where(np.arange(400) > 200, 3, 1)

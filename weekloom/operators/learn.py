@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from weekloom.sources.scratch import new_folder
 
 from .align import MOST_FOLDS, by_date
+from .arima import arima_walk_forward, arimax_walk_forward  # noqa: F401
 from .features import past
 from .ranks import with_quantiles
 
@@ -133,91 +134,6 @@ def ecm_walk_forward(df: DataFrame, keys: Sequence[str], features: Sequence[str]
     return out.join(band, [*keys, date])
 
 
-THETAS = np.linspace(-0.95, 0.95, 39)
-
-
-def arima_fit(y: np.ndarray, order: tuple[int, int, int]) -> tuple[float, float, float]:
-    """(AIC, phi, theta) of an ARIMA with orders of at most one and no trend, by least conditional squares.
-
-    For each theta of a grid the residuals are a linear filter of the series, so the best phi has a closed form.
-    """
-    p, d, q = order
-    z = np.diff(y) if d else y
-    if len(z) < 10:
-        return np.inf, 0.0, 0.0
-    thetas = THETAS if q else np.zeros(1)
-    a, b = np.zeros((len(z), len(thetas))), np.zeros((len(z), len(thetas)))
-    for t in range(1, len(z)):
-        a[t], b[t] = z[t] - thetas * a[t - 1], z[t - 1] - thetas * b[t - 1]
-    phi = np.clip((a * b).sum(0) / np.maximum((b * b).sum(0), 1e-300), -0.999, 0.999) if p else np.zeros(len(thetas))
-    sse = ((a - phi * b) ** 2).sum(0)
-    k = int(np.argmin(sse))
-    n = len(z) - 1
-    return n * np.log(max(sse[k], 1e-300) / n) + 2 * (p + q + 1), phi[k], thetas[k]
-
-
-ORDERS = tuple((p, d, q) for p in (0, 1) for d in (0, 1) for q in (0, 1) if p + d + q)
-
-
-def arima_walk_forward(df: DataFrame, keys: Sequence[str], value: str, orders: Sequence[tuple[int, int, int]] = ORDERS, refit_every: int = 13, horizon: int = 1, min_train: int = 52, date: str = "date") -> DataFrame:
-    """(keys, date, prediction): the order of least AIC, refitted every so many rows and only advanced between; the last value
-    where nothing could be fitted. NULL values take the last known one."""
-    orders = tuple(orders)
-
-    def step(pdf):
-        y = pdf[value].astype(float).ffill().to_numpy()
-        first = int(np.argmax(np.isfinite(y))) if np.isfinite(y).any() else len(y)
-        out, e, best, since = y.copy(), 0.0, None, refit_every
-        for i in range(first, len(y)):
-            if i - first + 1 < min_train:
-                continue
-            if since >= refit_every:
-                found = min((*arima_fit(y[first : i + 1], o), o) for o in orders)
-                best, since = (found if np.isfinite(found[0]) else None), 0
-                if best:
-                    z = np.diff(y[first : i + 1]) if best[3][1] else y[first : i + 1]
-                    e = 0.0
-                    for t in range(1, len(z)):
-                        e = z[t] - best[1] * z[t - 1] - best[2] * e
-            elif best:
-                zs = np.diff(y[i - 2 : i + 1]) if best[3][1] else y[i - 1 : i + 1]
-                e = zs[1] - best[1] * zs[0] - best[2] * e
-            since += 1
-            if best:
-                _, phi, theta, (_, d, _) = best
-                z = y[i] - y[i - 1] if d else y[i]
-                level, move = y[i], phi * z + theta * e
-                for h in range(horizon):
-                    level, move = (level + move if d else move), (phi * move)
-                out[i] = level
-        return pd.DataFrame({"prediction": out})
-
-    return nulls(per_series(df.select(*keys, date, value), keys, ["prediction"], step, date), ["prediction"])
-
-
-def arimax_walk_forward(
-    df: DataFrame, keys: Sequence[str], value: str, exog: Sequence[str], horizon: int = 1, min_train: int = 52, refit_every: int = 13,
-    date: str = "date", future: Sequence[str] | None = None,
-) -> DataFrame:
-    """ARIMA errors around a ridge regression: regression forecast plus the forecast of its residual.
-
-    The regression forecast holds the exogenous columns at the origin's values, or takes the columns ``future``, in the order of
-    ``exog``, where their values at the target are known ahead. NULL future values leave the last value as forecast.
-    """
-    x = df.withColumns({"_t": F.col(date), "_y": F.col(value)})
-
-    def regression(name: str, ahead: Sequence[str] | None = None) -> DataFrame:
-        p = walk_forward(x, keys, exog, "_y", ridge(), min_train, refit_every, date, "_t", ahead)
-        return p.withColumnRenamed("prediction", name).drop("trained")
-
-    own = df.select(*keys, date, value).join(regression("_r"), [*keys, date]).withColumn("_e", F.col(value) - F.col("_r"))
-    e = arima_walk_forward(own, keys, "_e", refit_every=refit_every, horizon=horizon, min_train=min_train, date=date)
-    out = own.join(e.withColumnRenamed("prediction", "_f"), [*keys, date])
-    if future:
-        out = out.drop("_r").join(regression("_r", future), [*keys, date])
-    return out.select(*keys, date, F.coalesce(F.col("_r") + F.col("_f"), F.col(value)).alias("prediction"))
-
-
 class Conformal:
     """A band whose level follows its misses: after each row, level += gamma * (alpha - missed), kept within the bounds.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from weekloom.operators import features, learn
+from weekloom.operators import align, features, learn
 from weekloom.plans.alignment import SPREAD, spread
 from weekloom.plans.queries import K, PANEL, PRED, panel, predictions, query, rounded, table
 
@@ -21,12 +21,15 @@ XS = ["gap", "move", "moved2"]
 
 @query()
 def ml2_arima_walk_forward(spark, d):
-    return rounded(learn.arima_walk_forward(panel(spark, d), K, "price"))
+    """On the weekly grid: weeks without a price are missing values, which the filter skips."""
+    grid = align.weekly_grid(panel(spark, d).select("k", "date", "price"), K)
+    return rounded(learn.arima_walk_forward(grid, K, "price"), 3)
 
 
 @query()
 def ml3_arimax_walk_forward(spark, d):
-    return rounded(learn.arimax_walk_forward(panel(spark, d).withColumn("n", F.col("stations").cast("double")), K, "price", ["n"]))
+    grid = align.weekly_grid(panel(spark, d).withColumn("n", F.col("stations").cast("double")).drop("stations"), K)
+    return rounded(learn.arimax_walk_forward(grid, K, "price", ["n"]), 3)
 
 
 @query()
