@@ -8,8 +8,8 @@ closed form from the innovations (generalised least squares); only the ARMA coef
 central differences over their unconstrained transforms (stationary and invertible by partial autocorrelations).
 
 All of it is batched: the orders, the origins of refits and the points of a line search or a gradient are rows of one array, so a
-series costs a few dozen passes along its rows, however many refits there are. Once the variances of all rows have settled they
-are kept until the next gap.
+series costs a few dozen passes along its rows, however many refits there are. A model's steps don't depend on what else is in
+its batch, so later rows change nothing of earlier forecasts.
 """
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ ORDERS = tuple((p, d, q) for p in (0, 1) for d in (0, 1) for q in (0, 1) if p +
 #: Start values of the first partial autocorrelation of either side. Models with both may have several peaks where the sides nearly
 #: cancel or the moving average is nearly at one: of the eight regions (signs, and size of the moving average) so many give a start.
 STARTS, REGIONS = (-0.95, -0.6, -0.2, 0.2, 0.6, 0.95), 4
-MOST_STEPS, SETTLED = 30, 1e-10
+MOST_STEPS = 30
 #: Partial autocorrelations stay this far from one.
 LEAST_GAP = 1e-4
 
@@ -108,25 +108,22 @@ def innovations(data: np.ndarray, models: Models, ends: np.ndarray, marks: Seque
     first = int(np.argmax(there)) if there.any() else n
     a, p = np.zeros((r + 1, c, size)), start
     sums = Sums(np.zeros(size), np.zeros(size), np.zeros((c, c, size)))
-    at, settled, kept = {}, False, np.zeros((n, size, r + 1, c)) if states else None
+    at, kept = {}, np.zeros((n, size, r + 1, c)) if states else None
     for i in range(n):
         if i >= first:
             after = p
             if there[i]:
-                if not settled:
-                    zp = d * p[0] + p[1]
-                    f = np.maximum(d * zp[0] + zp[1], 1e-12)
-                    gain, log_f = zp / f, np.log(f)
-                    after = p - gain[:, None] * zp
+                zp = d * p[0] + p[1]
+                f = np.maximum(d * zp[0] + zp[1], 1e-12)
+                gain = zp / f
+                after = p - gain[:, None] * zp
                 v = data[i][:, None] - (d * a[0] + a[1])
                 counts = (i <= ends) & ((models.d == 0) | (i > first))  # the first value of a differenced series is its level
-                sums.n, sums.logs = sums.n + counts, sums.logs + counts * log_f
+                sums.n, sums.logs = sums.n + counts, sums.logs + counts * np.log(f)
                 sums.products = sums.products + (v * (counts / f))[:, None] * v
                 a = a + gain[:, None] * v
             a = moved(a)
-            if not (settled and there[i]):
-                ahead = moved(moved(after).transpose(1, 0, 2)) + noise
-                settled, p = bool(there[i]) and i > first and bool(np.abs(ahead - p).max(initial=0.0) < SETTLED), ahead
+            p = moved(moved(after).transpose(1, 0, 2)) + noise
             if i == first:
                 differenced = models.d == 1
                 a[:, :, differenced], p[:, :, differenced] = 0, start[:, :, differenced]
@@ -191,6 +188,8 @@ class _Search:
         free, h = self.free(which), 1e-5
         value, inverse, plain = self.likelihood(u, which, ends), np.tile(np.eye(k), (size, 1, 1)), np.zeros(size, bool)
         live, old, step = np.flatnonzero(free.any(1)), None, None
+        if not len(live):
+            return u, value
         for _ in range(MOST_STEPS):
             around = self._around(u, which, ends, live, h * np.eye(k)[:, None])
             slope = np.where(free[live], (around - value[live]).T / h, 0.0)
@@ -271,7 +270,7 @@ def fitted(data: np.ndarray, ends: Sequence[int], orders: Sequence[tuple[int, in
 def forecasts(y: np.ndarray, x: np.ndarray, ahead: np.ndarray, orders: Sequence[tuple[int, int, int]], refit_every: int, horizon: int, min_train: int) -> np.ndarray:
     """The forecast ``horizon`` rows ahead of each row; ``ahead`` holds the exogenous values that it takes."""
     out = pd.Series(y).ffill().to_numpy(float).copy()
-    scale = np.nan_to_num(np.nanmax(np.abs(x), axis=0), nan=1.0) if x.size else np.ones(x.shape[1])
+    scale = np.max(np.abs(np.nan_to_num(x[:min_train])), axis=0, initial=0.0)
     scale = np.where(scale > 0, scale, 1.0)
     data = np.column_stack([y, x / scale])
     there = np.isfinite(data).all(1)
