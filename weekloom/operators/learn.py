@@ -20,6 +20,7 @@ from weekloom.sources.scratch import new_folder
 from .align import MOST_FOLDS, by_date
 from .arima import arima_walk_forward, arimax_walk_forward  # noqa: F401
 from .features import past
+from .krls import KernelLeastSquares
 from .ranks import with_quantiles
 
 Fit = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]
@@ -235,13 +236,10 @@ def conditional_interval(df: DataFrame, keys: Sequence[str], actual: str, yhat:
 
 
 class Rule:
-    """One rule: a centre, its arousal, the last rows that it learned from, and the dictionary of its kernel regression."""
+    """One rule: a centre, its arousal, the rows that it has learned and its kernel regression."""
 
-    def __init__(self, q: np.ndarray):
-        self.centre, self.arousal, self.n = q.copy(), 0.0, 0
-        self.at, self.x, self.y = np.empty(0, int), np.empty((0, len(q))), np.empty(0)
-        self.entries, self.widths = np.empty((0, len(q))), np.empty(0)
-        self.weights, self.mean = np.empty(0), 0.0
+    def __init__(self, q: np.ndarray, model: KernelLeastSquares):
+        self.centre, self.arousal, self.n, self.model = q.copy(), 0.0, 0, model
 
 
 class RuleLearner:
@@ -254,37 +252,30 @@ class RuleLearner:
     1 - beta become one. All this uses the beta of the row before; then beta is divided by ``grow`` if the error was more than
     ``tolerance`` deviations of the target, else multiplied by ``shrink``. ``steady`` keeps it fixed.
 
-    A rule keeps its last ``memory`` rows. A row enters its dictionary when its kernel's residual on the dictionary exceeds ``novelty``
-    (approximate linear dependence), as do the entries of a rule that it takes up; a full dictionary gives up its oldest entry to a row. Otherwise each entry's width takes a
-    normalised gradient step on the row's error, by a tenth at most and within a quarter and four times ``width``
-    (``adapt`` turns that off). The weights are then the ridge solution over the memory.
+    A rule's regression is recursive (``krls``): a row enters its dictionary when the kernel's residual on it exceeds ``novelty``; a full
+    dictionary first gives up its least used entry; all other rows update it. Two rules become one by learning the values at the
+    smaller one's entries. Distances in a regression use the features' deviations of its start; when these have changed by a tenth
+    it is laid out anew. ``forget`` below one lets old rows fade.
 
     Forecasts are averaged by compatibility, the rows that a rule has learned, and its best kernel value at the point: a rule that
     has seen little, or nothing near, says little. ``action`` says what the last row did: created, inserted, replaced or
     updated, with +merged.
     """
 
-    def __init__(self, size: int, width: float = 1.0, novelty: float = 0.1, most: int = 50, ridge_: float = 0.1, radius: float = 2.5, beta: float = 0.18, grow: float = 0.97, shrink: float = 0.84, tolerance: float = 0.1, bounds: tuple[float, float] = (0.05, 0.5), steady: bool = False, step: float = 0.01, most_rules: int = 20, memory: int = 256, adapt: bool = True):
-        if not (0 < bounds[0] <= beta <= bounds[1] < 1 and 0 < grow < 1 and 0 < shrink < 1):
-            raise ValueError("beta lies within its bounds in (0, 1); grow and shrink lie in (0, 1)")
-        if min(width, ridge_, radius) <= 0 or min(most, most_rules, memory) < 1:
-            raise ValueError("width, ridge and radius are positive; a dictionary, the rules and a memory have room for one")
+    def __init__(self, size: int, width: float = 1.0, novelty: float = 0.1, most: int = 50, ridge_: float = 0.1, radius: float = 2.5, beta: float = 0.18, grow: float = 0.97, shrink: float = 0.84, tolerance: float = 0.1, bounds: tuple[float, float] = (0.05, 0.5), steady: bool = False, step: float = 0.01, most_rules: int = 20, forget: float = 1.0):
+        if not (0 < bounds[0] <= beta <= bounds[1] < 1 and 0 < grow < 1 and 0 < shrink < 1 and 0 < forget <= 1):
+            raise ValueError("beta lies within its bounds in (0, 1); grow and shrink lie in (0, 1), forget in (0, 1]")
+        if min(width, ridge_, radius) <= 0 or min(most, most_rules) < 1:
+            raise ValueError("width, ridge and radius are positive; a dictionary and the rules have room for one")
         self.width, self.novelty, self.most, self.ridge, self.radius = width, novelty, most, ridge_, radius
         self.beta, self.grow, self.shrink, self.tolerance, self.bounds, self.steady = beta, grow, shrink, tolerance, bounds, steady
-        self.step, self.most_rules, self.memory, self.adapt = step, most_rules, memory, adapt
+        self.step, self.most_rules, self.forget = step, most_rules, forget
         self.n, self.mean, self.var, self.unit, self.rules, self.action = 0, np.zeros(size), np.zeros(size), np.ones(size), [], None
         self.y_mean = self.y_var = 0.0
 
-    def _gaps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Squared distances of all rows of a to all rows of b, in standardised features."""
-        a, b = (a - self.mean) * self.unit, (b - self.mean) * self.unit
-        return np.maximum(np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b) - 2 * (a @ b.T), 0.0)
-
-    def _kernel(self, a: np.ndarray, r: Rule) -> np.ndarray:
-        return np.exp(-self._gaps(a, r.entries) / (2 * r.widths**2))
-
     def _close(self, q: np.ndarray) -> np.ndarray:
-        return np.exp(-self._gaps(np.array([r.centre for r in self.rules]), q[None])[:, 0] / (2 * self.radius**2))
+        gap = (np.array([r.centre for r in self.rules]) - q) * self.unit
+        return np.exp(np.einsum("ij,ij->i", gap, gap) / (-2 * self.radius**2))
 
     def _moments(self, q: np.ndarray, y: float) -> None:
         self.n += 1
@@ -293,44 +284,18 @@ class RuleLearner:
         self.var, self.y_var = self.var + gap * (q - self.mean), self.y_var + gap_y * (y - self.y_mean)
         self.unit = 1 / np.sqrt(np.maximum(self.var / self.n, 1e-12))
 
-    def _novel(self, r: Rule, q: np.ndarray) -> bool:
-        if not len(r.entries):
-            return True
-        unit = lambda g: np.exp(-g / (2 * self.width**2))  # noqa: E731  one width for all, so that the matrix is positive
-        k = unit(self._gaps(r.entries, q[None])[:, 0])
-        return 1 - k @ np.linalg.solve(unit(self._gaps(r.entries, r.entries)) + 1e-6 * np.eye(len(k)), k) > self.novelty
-
-    def _fit(self, r: Rule) -> None:
-        k = self._kernel(r.x, r)
-        r.mean = r.y.mean()
-        r.weights = np.linalg.solve(k.T @ k + self.ridge * np.eye(k.shape[1]), k.T @ (r.y - r.mean))
-
-    def _widths(self, r: Rule, q: np.ndarray, y: float) -> None:
-        gaps = self._gaps(r.entries, q[None])[:, 0]
-        part = r.weights * np.exp(-gaps / (2 * r.widths**2))
-        slope = part * gaps / r.widths**3
-        move = 0.1 * (y - r.mean - part.sum()) * slope / (slope @ slope + max(self.y_var / self.n, 1e-12))
-        r.widths = np.clip(r.widths + np.clip(move, -0.1 * r.widths, 0.1 * r.widths), self.width / 4, self.width * 4)
-
     def _take(self, r: Rule, q: np.ndarray, y: float) -> str:
         r.n += 1
-        r.at, r.x, r.y = np.append(r.at, self.n)[-self.memory :], np.vstack([r.x, q])[-self.memory :], np.append(r.y, y)[-self.memory :]
-        action = "updated"
-        if self._novel(r, q):
-            action = "inserted" if len(r.entries) < self.most else "replaced"
-            room = self.most - 1
-            r.entries, r.widths = np.vstack([r.entries[len(r.entries) - min(room, len(r.entries)) :], q]), np.append(r.widths[len(r.widths) - min(room, len(r.widths)) :], self.width)
-        elif self.adapt:
-            self._widths(r, q, y)
-        self._fit(r)
-        return action
+        if np.abs(np.log(self.unit / r.model.scale)).max(initial=0.0) > 0.1:
+            r.model.rescale(self.unit)
+        return r.model.learn(q, y)
 
     def _merged(self, beta: float) -> bool:
         """Joins the two closest rules, as long as they are more compatible than 1 - beta."""
         some = False
         while len(self.rules) > 1:
-            c = np.array([r.centre for r in self.rules])
-            pair = np.triu(np.exp(-self._gaps(c, c) / (2 * self.radius**2)), 1)
+            c = np.array([r.centre for r in self.rules]) * self.unit
+            pair = np.triu(np.exp(((c[:, None] - c[None]) ** 2).sum(2) / (-2 * self.radius**2)), 1)
             i, j = np.unravel_index(pair.argmax(), pair.shape)
             if pair[i, j] <= 1 - beta:
                 break
@@ -338,13 +303,7 @@ class RuleLearner:
             share = big.n / (big.n + small.n)
             big.centre, big.arousal = share * big.centre + (1 - share) * small.centre, share * big.arousal + (1 - share) * small.arousal
             big.n += small.n
-            at, x, y = np.append(big.at, small.at), np.vstack([big.x, small.x]), np.append(big.y, small.y)
-            last = np.argsort(at, kind="stable")[-self.memory :]
-            big.at, big.x, big.y = at[last], x[last], y[last]
-            for q, width in zip(small.entries, small.widths, strict=True):
-                if len(big.entries) < self.most and self._novel(big, q):
-                    big.entries, big.widths = np.vstack([big.entries, q]), np.append(big.widths, width)
-            self._fit(big)
+            big.model.absorb(small.model)
             self.rules = [r for r in self.rules if r is not small]
             some = True
         return some
@@ -365,7 +324,7 @@ class RuleLearner:
                 own, c = self.rules[close.argmax()], close.max()
                 own.centre = own.centre + self.step * c ** (1 - own.arousal) * (q - own.centre)
         if own is None:
-            own = Rule(q)
+            own = Rule(q, KernelLeastSquares(len(q), self.width, self.ridge, self.novelty, self.most, self.y_mean, self.unit, self.forget))
             self.rules.append(own)
             self._take(own, q, y)
             self.action = "created"
@@ -377,9 +336,8 @@ class RuleLearner:
     def predict(self, x: np.ndarray) -> float:
         if not self.rules:
             return np.nan
-        k = [self._kernel(x[None], r)[0] for r in self.rules]
-        w = self._close(x) * [r.n * a.max() for r, a in zip(self.rules, k, strict=True)] + 1e-12
-        f = np.array([r.mean + a @ r.weights for r, a in zip(self.rules, k, strict=True)])
+        f, near = np.array([r.model.predict(x) for r in self.rules]).T
+        w = self._close(x) * near * [r.n for r in self.rules] + 1e-12
         return float(w @ f / w.sum())
 
 
@@ -395,7 +353,7 @@ def learned(x: np.ndarray, y: np.ndarray, known: np.ndarray, model: RuleLearner)
                 model.learn(x[done], y[done])
                 action[i] = model.action
             done += 1
-        nr[i], nd[i], beta[i] = len(model.rules), sum(len(r.entries) for r in model.rules), model.beta
+        nr[i], nd[i], beta[i] = len(model.rules), sum(len(r.model) for r in model.rules), model.beta
         if whole[i]:
             out[i] = model.predict(x[i])
     return pd.DataFrame({"prediction": out, "rules": nr, "dictionary": nd, "beta": beta, "action": action})
