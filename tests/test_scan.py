@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weekloom.operators import align, features, scan
+from weekloom.operators import align, features, ledger, scan
 from weekloom.sources import scratch
 
 DAY = date(2020, 1, 1)
@@ -78,6 +78,15 @@ def test_no_range_holds_many_rows_of_a_long_series(spark):
     assert out.agg(F.count("v"), F.sum((F.col("v") == F.col("id") - F.col("id") % 1000).cast("int"))).first()[:] == (n, n)
 
 
+def test_a_single_ledger_of_many_ranges(spark):
+    e = spark.range(500).selectExpr("id", "concat('p', id) AS payload", "id + 1 AS sequence", "cast(null as string) AS previous_hash")
+    e = e.withColumn("record_hash", F.when(F.col("id") % 50 != 7, ledger.record_hash(["payload"])))
+    e = e.withColumn("previous_hash", F.lag("record_hash").over(W.partitionBy(F.lit(1)).orderBy("id"))).withColumn("sequence", F.when(F.col("id") != 400, F.col("sequence")))
+    e = e.withColumn("previous_hash", F.when(F.col("id") % 100 == 99, "x").otherwise(F.col("previous_hash")))
+    assert ledger.verify_ledger(e, [], "id", ["payload"]).collect()[0][:] == (500, 10, 5, 1)
+    assert ledger.verify_ledger(e.withColumn("g", F.lit(1)), ["g"], "id", ["payload"]).collect()[0][1:] == (500, 10, 5, 1)
+
+
 def test_cleanup_takes_away_what_was_staged(spark):
     path = scratch.new_folder(spark, "x")
     spark.range(3).write.parquet(path)

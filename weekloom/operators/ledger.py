@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def record_hash(content: Sequence[str]) -> Column:
     """sha256 of the fields joined by '|'; NULLs are empty. A true chain has previous_hash among its content."""
@@ -15,9 +17,15 @@ def record_hash(content: Sequence[str]) -> Column:
 
 def verify_ledger(df: DataFrame, ledger: Sequence[str], order: str, content: Sequence[str], sequence: str = "sequence") -> DataFrame:
     """(ledger, records, bad_hash, bad_link, bad_sequence): rows whose stored hash, link to the row before, or number is wrong."""
-    w = W.partitionBy(*ledger).orderBy(order)
-    before = F.coalesce(F.lag("record_hash", 1).over(w), F.lit(""))
-    x = df.select(*ledger, (~record_hash(content).eqNullSafe(F.col("record_hash"))).alias("h"), (~before.eqNullSafe(F.coalesce("previous_hash", F.lit("")))).alias("l"), (F.row_number().over(w) != F.coalesce(sequence, F.lit(-1))).alias("s"))
+    if ledger:
+        w = W.partitionBy(*ledger).orderBy(order)
+        df = df.withColumns({"_before": F.lag("record_hash", 1).over(w), "_nth": F.row_number().over(w)})
+    else:  # a single chain of any length, range by range
+        ranges = scan.Ranges(df, [], [order])
+        df = ranges.running(ranges.rows, {"_nth": F.lit(1)}).drop("_before")
+        df = ranges.running(df, last={"_row": F.struct("record_hash")}, inclusive=False).withColumn("_before", F.col("_row.record_hash"))
+    before = F.coalesce("_before", F.lit(""))
+    x = df.select(*ledger, (~record_hash(content).eqNullSafe(F.col("record_hash"))).alias("h"), (~before.eqNullSafe(F.coalesce("previous_hash", F.lit("")))).alias("l"), (F.col("_nth") != F.coalesce(sequence, F.lit(-1))).alias("s"))
     return x.groupBy(*ledger).agg(F.count(F.lit(1)).alias("records"), *[F.count(F.when(F.col(c), 1)).alias(n) for c, n in (("h", "bad_hash"), ("l", "bad_link"), ("s", "bad_sequence"))])
 
 

@@ -1,9 +1,7 @@
 """Registered queries: sources (over files that Spark writes from the given tables), ledgers and the settling stream."""
 from __future__ import annotations
 
-import hashlib
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -82,15 +80,18 @@ def chained(spark, d):
     payload where the id is a multiple of 97, a changed link of 89, a changed number of 83."""
     e = table(spark, d, "events").select(F.col("user_id").alias("ledger"), F.col("event_id").alias("id"), F.col("event_type").alias("event"), F.col("event_id").cast("string").alias("payload"))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, before, links, hashes = pdf.sort_values("id"), "", [], []
-        for event, payload in zip(pdf["event"], pdf["payload"], strict=True):
-            links.append(before or None)
-            before = hashlib.sha256(f"{event}|{payload}|{before}".encode()).hexdigest()
-            hashes.append(before)
-        return pdf.assign(sequence=range(1, len(pdf) + 1), previous_hash=links, record_hash=hashes)
+    # a fold over the sorted records of a ledger: the hash so far, and the records with their links
+    own = F.array_sort(F.collect_list(F.struct("id", "event", "payload")))
+    none = F.array().cast("array<struct<id: bigint, event: string, payload: string, previous_hash: string, record_hash: string>>")
 
-    x = e.groupBy("ledger").applyInPandas(chain, "ledger long, id long, event string, payload string, sequence long, previous_hash string, record_hash string")
+    def link(a, x):
+        made = F.sha2(F.concat_ws("|", x["event"], x["payload"], a["before"]), 256)
+        record = F.struct(x["id"], x["event"], x["payload"], F.nullif(a["before"], F.lit("")).alias("previous_hash"), made.alias("record_hash"))
+        return F.struct(made.alias("before"), F.concat(a["out"], F.array(record)).alias("out"))
+
+    folded = F.aggregate("_own", F.struct(F.lit("").alias("before"), none.alias("out")), link)["out"]
+    x = e.groupBy("ledger").agg(own.alias("_own")).select("ledger", F.posexplode(folded).alias("sequence", "_r"))
+    x = x.select("ledger", "_r.*", (F.col("sequence") + 1).cast("long").alias("sequence"))
     bad = lambda n: F.col("id") % n == 0
     return x.withColumns({"payload": F.when(bad(97), F.concat("payload", F.lit("x"))).otherwise(F.col("payload")), "previous_hash": F.when(bad(89), "x").otherwise(F.col("previous_hash")), "sequence": F.when(bad(83), F.col("sequence") + 1).otherwise(F.col("sequence"))})
 
