@@ -25,6 +25,8 @@ ORDERS = tuple((p, d, q) for p in (0, 1) for d in (0, 1) for q in (0, 1) if p +
 #: cancel or the moving average is nearly at one: of the eight regions (signs, and size of the moving average) so many give a start.
 STARTS, REGIONS = (-0.95, -0.6, -0.2, 0.2, 0.6, 0.95), 4
 MOST_STEPS = 30
+#: A start whose AIC is so far behind the best start of the same rows is not searched from.
+HOPELESS = 100.0
 #: Partial autocorrelations stay this far from one.
 LEAST_GAP = 1e-4
 
@@ -258,7 +260,11 @@ def fitted(data: np.ndarray, ends: Sequence[int], orders: Sequence[tuple[int, in
     ends = np.asarray(ends)
     search = _Search(data, orders)
     u, which, place = search.starts(ends)
-    u, value = search.best(u, which, ends[place])
+    value = search.likelihood(u, which, ends[place])
+    behind = 2 * (search.free(which).sum(1) - value)
+    behind = behind - np.array([behind[place == e].min() for e in range(len(ends))])[place]
+    near = np.flatnonzero(behind <= HOPELESS)
+    u[near], value[near] = search.best(u[near], which[near], ends[place[near]])
     models = search.models(u, which)
     sums = innovations(data, models, ends[place])
     b, _ = sums.regression()
