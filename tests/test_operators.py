@@ -129,3 +129,12 @@ def test_lexicon_personas(spark):
     ]
     with pytest.raises(ValueError):
         text.lexicon_label(df, "body", personas=["nobody"])
+
+
+def test_importance_of_a_callable_equals_the_linear_form(spark):
+    rows = [(i % 3, i, float(i * 7 % 11), float(i * 5 % 13), float(i % 4)) for i in range(90)]
+    df = spark.createDataFrame(rows, "k int, i int, a double, b double, y double")
+    linear = score.permutation_importance(df, ["k"], {"a": 0.5, "b": -0.25}, "y", "i")
+    called = score.permutation_importance(df, ["k"], ["a", "b"], "y", "i", scorer=lambda x: 0.5 * x["a"] - 0.25 * x["b"])
+    values = lambda d: {(r["k"], r["feature"]): pytest.approx(r["importance"]) for r in d.collect()}
+    assert {k: v.expected for k, v in values(called).items()} == values(linear)

@@ -112,6 +112,14 @@ def walk_forward(df: DataFrame, keys: Sequence[str], features: Sequence[str], ta
     return nulls(per_series(df, keys, ["prediction", "trained"], step, date), ["prediction", "trained"])
 
 
+def origins(df: DataFrame, keys: Sequence[str], min_train: int, horizon: int, date: str = "date") -> DataFrame:
+    """(keys, origin, date, target_date): the rows of each series, counted from 0, from which a walk-forward predicts ``horizon`` rows ahead,
+    after ``min_train`` rows and as long as the target is there."""
+    w = by_date(keys, date)
+    x = df.select(*keys, (F.row_number().over(w) - 1).alias("origin"), date, F.lead(date, horizon).over(w).alias("target_date"))
+    return x.filter((F.col("origin") >= min_train - 1) & F.col("target_date").isNotNull())
+
+
 def nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 

@@ -1,8 +1,10 @@
 """Scoring of forecasts: long frames with actual, origin, prediction and, where given, lower and upper."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -405,21 +407,31 @@ def convex_weights(df: DataFrame, by: Sequence[str], models: Sequence[str], actu
     return one.select(*by, best["mae"].alias("mae"), *[best["w"][i].alias(f"w_{m}") for i, m in enumerate(models)])
 
 
-def permutation_importance(df: DataFrame, by: Sequence[str], weights: dict[str, float], target: str, ident: str, repeats: int = 3, seed: int = 1) -> DataFrame:
-    """Rise of a linear scorer's squared error when one column is shuffled within its group, mean over repeats.
-
-    Shuffling pairs the rows in order of ``ident`` with those in order of md5('seed|repeat|ident').
-    """
-    score = lambda c: sum((w * F.col(c.get(k, k)) for k, w in weights.items()), F.lit(0.0))
-    sq = lambda c: (score(c) - F.col(target)) * (score(c) - F.col(target))
-    base = df.groupBy(*by).agg(F.avg(sq({})).alias("_base"))
+def permutation_importance(
+    df: DataFrame, by: Sequence[str], weights: dict[str, float] | Sequence[str], target: str, ident: str, repeats: int = 3, seed: int = 1,
+    scorer: Callable[[pd.DataFrame], np.ndarray] | None = None,
+) -> DataFrame:
+    """Rise of a scorer's squared error when one column is shuffled within its group, mean over repeats.
+
+    The scorer is linear, by ``weights``; or a callable, which gets the columns that ``weights`` names as a batch of rows and
+    returns a number for each (Spark hands it Arrow batches of rows of any groups). Shuffling pairs the rows in order of ``ident``
+    with those in order of md5('seed|repeat|ident').
+    """
+    if scorer is None:
+        score = lambda c: sum((w * F.col(c.get(k, k)) for k, w in weights.items()), F.lit(0.0))
+    else:
+        scored = F.pandas_udf(lambda rows: pd.Series(np.asarray(scorer(rows), float).ravel()), "double")
+        score = lambda c: scored(F.struct(*[F.col(c.get(k, k)).alias(k) for k in weights]))
+    sq = lambda c: F.pow(score(c) - F.col(target), 2)
+    base = df.withColumn("_e", sq({})).groupBy(*by).agg(F.avg("_e").alias("_base"))
     x = df.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     group = W.partitionBy(*by, "repeat")
     key = F.md5(F.concat_ws("|", F.lit(seed), "repeat", ident))
     plain = x.withColumn("_i", F.row_number().over(group.orderBy(ident)))
     mixed = x.select(*by, "repeat", *[F.col(k).alias(f"_m_{k}") for k in weights], F.row_number().over(group.orderBy(key)).alias("_i"))
     both = plain.join(mixed, [*by, "repeat", "_i"])
-    one = both.groupBy(*by).agg(*[F.avg(sq({k: f"_m_{k}"})).alias(k) for k in weights]).join(base, list(by))
+    both = both.select(*by, *[sq({k: f"_m_{k}"}).alias(f"_e_{k}") for k in weights])
+    one = both.groupBy(*by).agg(*[F.avg(f"_e_{k}").alias(k) for k in weights]).join(base, list(by))
     return one.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), (F.col(k) - F.col("_base")).alias("importance")) for k in weights])).alias("x")).select(*by, "x.*")
 
 

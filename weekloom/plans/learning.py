@@ -68,6 +68,12 @@ def ml6_walk_forward(spark, d):
     return x.select("k", "date", (F.round("prediction", 5) + 0.0).alias("prediction"), "trained")
 
 
+@query(f"""WITH {PANEL}, i AS (SELECT k, date, row_number() OVER (PARTITION BY k ORDER BY date) - 1 AS origin, lead(date, 4) OVER (PARTITION BY k ORDER BY date) AS target_date FROM p)
+SELECT k, origin::INT AS origin, date, target_date FROM i WHERE origin >= 51 AND target_date IS NOT NULL""")
+def ml6_origins(spark, d):
+    return learn.origins(panel(spark, d), K, 52, 4)
+
+
 @query()
 def ml8_conditional_interval(spark, d):
     p = predictions(spark, d).withColumn("gap", F.abs(F.col("prediction") - F.col("origin")))

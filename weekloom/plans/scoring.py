@@ -116,6 +116,13 @@ def ag24_permutation_importance(spark, d):
     return rounded(score.permutation_importance(predictions(spark, d), K, {"prediction": 0.7, "origin": 0.3}, "actual", "date"), 2)
 
 
+@query(f"WITH {PRED}, x AS (SELECT * FROM r, (SELECT unnest([1, 2, 3]) AS h)), a AS (SELECT *, row_number() OVER (PARTITION BY k, h ORDER BY date) AS i, row_number() OVER (PARTITION BY k, h ORDER BY md5('1|' || h || '|' || date)) AS j FROM x), m AS (SELECT a.k, a.actual AS y, a.prediction AS p, a.origin AS o, b.prediction AS mp, b.origin AS mo FROM a JOIN a b ON b.k = a.k AND b.h = a.h AND b.j = a.i), g AS (SELECT k, avg((greatest(p, o) - y) ** 2) AS b, avg((greatest(mp, o) - y) ** 2) AS fp, avg((greatest(p, mo) - y) ** 2) AS fo FROM m GROUP BY k) SELECT k, unnest(['prediction', 'origin']) AS feature, round(unnest([fp - b, fo - b]), 2) AS importance FROM g")
+def ag24_callable_importance(spark, d):
+    """A scorer that no weights can express: the larger of the two columns."""
+    larger = lambda rows: rows.max(axis=1)
+    return rounded(score.permutation_importance(predictions(spark, d), K, ["prediction", "origin"], "actual", "date", scorer=larger), 2)
+
+
 @query(f"WITH {LONG}, w AS (SELECT model, 1 / avg(abs(prediction - actual)) AS w FROM lg GROUP BY 1) SELECT k, date, round(sum(w * prediction) / sum(w), 6) AS prediction FROM lg JOIN w ON w.model = lg.model GROUP BY 1, 2")
 def ag26_stacked_ensemble(spark, d):
     x = long(spark, d)
