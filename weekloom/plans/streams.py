@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.plans.queries import PANEL, panel, query
+from weekloom.plans.queries import PANEL, panel, query, table
 from weekloom.sources.scratch import new_folder
+from weekloom.streaming.append import append_batch, append_stream, committed_records
 from weekloom.streaming.stateful import detector_stream, run_arrivals
 
 #: First days of the second and third arrival; weeks that come again late (in either), come twice, or come before their turn.
@@ -41,3 +42,22 @@ def st7_restarted_detector(spark, d) -> DataFrame:
         run_arrivals(detector_stream(stream, 5.0, 3000.0), out)
     found = spark.read.schema("key long, day date, path double, changed boolean, rejected boolean").parquet(f"{out}/rows")
     return found.select(F.col("key").cast("int").alias("k"), F.col("day").alias("date"), F.round("path", 4).alias("path"), "changed", "rejected")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS ledger, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence
+  FROM events WHERE user_id IS NOT NULL),
+h AS (SELECT ledger, sequence, event_id, sha256(coalesce(event_type, '') || '|') AS record_hash FROM e WHERE sequence = 1
+  UNION ALL SELECT e.ledger, e.sequence, e.event_id, sha256(coalesce(e.event_type, '') || '|' || h.record_hash)
+  FROM h JOIN e ON e.ledger = h.ledger AND e.sequence = h.sequence + 1)
+SELECT * FROM h""")
+def st2_append_ledger(spark, d) -> DataFrame:
+    """Events as one ledger a user, appended by a stream in three arrivals with restarts; the second batch is replayed afterwards."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("ledger"), "event_id", "event_type")
+    most = e.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    e = e.withColumn("part", F.floor(3 * F.col("event_id") / (most + 1)) + 1)
+    out = new_folder(spark, "ledger-sink")
+    for part in (1, 2, 3):
+        e.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{out}/arrivals")
+        append_stream(spark.readStream.schema(e.drop("part").schema).parquet(f"{out}/arrivals"), out, "ledger", "event_id", ["event_type"])
+    append_batch(e.filter("part = 2").drop("part"), 1, out, "ledger", "event_id", ["event_type"])
+    return committed_records(spark, out).select("ledger", "sequence", "event_id", "record_hash")
