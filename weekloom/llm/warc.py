@@ -144,7 +144,7 @@ def candidates(pieces: DataFrame) -> DataFrame:
     begin = F.col("at") + len(MAGIC) + F.col("begin")
     closed = placed.filter("begin is not null").withColumn("body", begin)
     columns = ["file", "range", "at", (F.col("body") + F.col("length") + _ENDS).alias("next"), "length", "head", "digest", "full"]
-    if not pieces.filter("begin is null").limit(1).count():
+    if not pieces.filter("begin is null and size > 0").limit(1).count():  # a file begins with an empty piece
         return closed.select(*columns)
     open_ = placed.filter("begin is null").withColumn("body", F.lit(None).cast("long"))
     ends = closed.join(open_.select("file", "run").distinct(), ["file", "run"], "left_semi")
