@@ -9,9 +9,13 @@ verified window that covers it also starts in a document with a smaller id; wind
 Hashes travel through segments (see ``segments``): each distinct probe of a segment once, 5 bytes, with a mark if it is
 also a grid block there; a probe counts as hit if its bucket got it from two segments (or the segment holds it twice)
 and some document has it on its grid. 50-word windows around anchors then travel once per segment with the smallest id
-there, by fingerprints of 128 bits made of two independent hashes of every word; the bucket answers with the smallest id
-anywhere. Two different windows have the same fingerprint with a chance of about 2**-128, which is below 1 in 10**11
-over all pairs of the windows of 100 TB of text; the words themselves are not sent a second time.
+there and a place where they stand, by fingerprints of 128 bits made of two independent hashes of every word; the bucket
+answers with the places of those that have a smaller id elsewhere, and nothing more: the segment has the fingerprint itself.
+Two different windows have the same fingerprint with a chance of about 2**-128, which is below 1 in 10**11 over all pairs
+of the windows of 100 TB of text; the words themselves are not sent a second time.
+
+The text is stored once and shuffled once: verifying and removing are parts of one plan, and meet the segments in the same
+exchange.
 
 Defined cases: a null text has no words; a text under 50 words keeps all; rows with the same id never remove each
 other's words; a null id comes after all others (equal among nulls).
@@ -32,6 +36,8 @@ from .segments import Layout, Segment, bucket_of, cuts, each, planes, segments,
 
 #: Bytes of a probe's hash that travel; with the bucket's share of the bits, false hits are rare, and verified away.
 PROBE_BYTES = 5
+#: Bytes of a word's place in its segment; a single text has fewer words than 2**32.
+PLACE_BYTES = 4
 
 
 def _probes(seg: Segment, block: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -98,16 +104,14 @@ def _starts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
 
 
-def _local_min(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct fingerprints and the smallest id of each."""
+def _local_min(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where each distinct fingerprint, in sorted order, has its smallest id."""
     order = np.lexsort((ids, two, one))
-    one, two, ids = one[order], two[order], ids[order]
-    first = _starts(one, two)
-    return one[first], two[first], ids[first]
+    return order[_starts(one[order], two[order])]
 
 
 def verified_windows(segs: DataFrame, hits: DataFrame, window: int, layout: Layout) -> DataFrame:
-    """(seg, h, ids): fingerprints of windows around anchors whose smallest id anywhere is below the segment's own, with that id."""
+    """(seg, at): places in a segment whose window, around an anchor, has a smaller id elsewhere than anywhere in the segment."""
     block, buckets = window // 2, layout.buckets
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -129,32 +133,35 @@ def verified_windows(segs: DataFrame, hits: DataFrame, window: int, layout: Layo
             one, two = _fingerprints(w, window)
             p = np.flatnonzero(whole(w.off, window, len(w.start)))
             p = p[seen[p + window - block + 1] > seen[p]]  # an anchor begins at p .. p + window - block
-            one, two, least = _local_min(one[p], two[p], seg.ids[w.doc()[p]])
+            one, two, ids = one[p], two[p], seg.ids[w.doc()[p]]
+            first = _local_min(one, two, ids)
+            one, two, least, place = one[first], two[first], ids[first].astype(np.uint64), p[first].astype(np.uint64)
             cut = cuts(one, buckets)
             for b in np.flatnonzero(np.diff(cut)).tolist():
-                x, y = cut[b], cut[b + 1]
-                rows.append((b, seg.seg, np.concatenate([one[x:y], two[x:y]]).tobytes(), planes(least[x:y].astype(np.uint64), 8)))
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "seg": pa.array([r[1] for r in rows], pa.int64()), "h": pa.array([r[2] for r in rows], pa.binary()), "ids": pa.array([r[3] for r in rows], pa.binary())})
+                own = slice(cut[b], cut[b + 1])
+                rows.append((b, seg.seg, planes(one[own], 8), two[own].tobytes(), planes(least[own], 8), planes(place[own], PLACE_BYTES)))
+        columns = zip(("bucket", "seg", "one", "two", "ids", "at"), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)
+        return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(columns)})
 
     def answer(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table["h"].to_pylist()]
-        size = np.array([x.shape[1] for x in sent])
-        (one, two), owner = np.concatenate(sent, axis=1), np.repeat(np.arange(len(sent)), size)
+        sent = [unplanes(x, 8) for x in table["one"].to_pylist()]
+        one, two = np.concatenate(sent), np.concatenate([np.frombuffer(x, np.uint64) for x in table["two"].to_pylist()])
+        owner = np.repeat(np.arange(len(sent)), [len(x) for x in sent])
         ids = np.concatenate([unplanes(x, 8) for x in table["ids"].to_pylist()]).astype(np.int64)
+        place = np.concatenate([unplanes(x, PLACE_BYTES) for x in table["at"].to_pylist()])
         order = np.lexsort((two, one))
-        one, two, ids, owner = one[order], two[order], ids[order], owner[order]
+        one, two, ids = one[order], two[order], ids[order]
         start = _starts(one, two)
-        least = np.repeat(np.minimum.reduceat(ids, start), np.diff(np.append(start, len(one))))
-        less = least < ids
-        one, two, least, owner = one[less], two[less], least[less], owner[less]
-        order = np.argsort(owner, kind="stable")
-        cut = np.searchsorted(owner[order], np.arange(len(sent) + 1))
+        less = order[np.repeat(np.minimum.reduceat(ids, start), np.diff(np.append(start, len(one)))) < ids]
+        owner, place = owner[less], place[less]
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        cut = np.searchsorted(owner, np.arange(len(sent) + 1))
         some = np.flatnonzero(np.diff(cut))
-        parts = [order[cut[k] : cut[k + 1]] for k in some]
-        return pa.table({"seg": table["seg"].take(pa.array(some)), "h": pa.array([np.concatenate([one[x], two[x]]).tobytes() for x in parts], pa.binary()), "ids": pa.array([least[x].tobytes() for x in parts], pa.binary())})
+        return pa.table({"seg": table["seg"].take(pa.array(some)), "at": pa.array([planes(place[cut[k] : cut[k + 1]], PLACE_BYTES) for k in some], pa.binary())})
 
-    sent = layout.by_segment(segs).cogroup(layout.by_segment(hits)).applyInArrow(send, "bucket int, seg long, h binary, ids binary")
-    return layout.by_bucket(sent).applyInArrow(answer, "seg long, h binary, ids binary")
+    sent = layout.by_segment(segs).cogroup(layout.by_segment(hits)).applyInArrow(send, "bucket int, seg long, one binary, two binary, ids binary, at binary")
+    return layout.by_bucket(sent).applyInArrow(answer, "seg long, at binary")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -162,28 +169,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     segs = segments(docs, id_col, text_col, name="repeats")
     layout = Layout(segs)
     hits = staged(anchors(segs, window // 2, layout), "anchors")
-    found = staged(verified_windows(segs, hits, window, layout), "windows")
+    found = verified_windows(segs, hits, window, layout)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"id": [], "n_words": [], "n_removed": [], "kept_text": []}
-        sent = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in right["h"].to_pylist()]
-        far_one, far_two = np.concatenate([np.zeros((2, 0), np.uint64), *sent], axis=1)
-        far_ids = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in right["ids"].to_pylist())])
+        places = np.concatenate([np.zeros(0, np.uint64), *(unplanes(x, PLACE_BYTES) for x in right["at"].to_pylist())]).astype(np.int64)
         for seg in each(left):
             w = Words(seg.data, seg.off)
             one, two = _fingerprints(w, window)
             p = np.flatnonzero(whole(w.off, window, len(w.start)))
             own_id = seg.ids[w.doc()[p]]
-            # the segment's own windows and the answers, sorted together: runs of equal fingerprints share their least id
-            all_one, all_two = np.concatenate([one[p], far_one]), np.concatenate([two[p], far_two])
-            all_ids = np.concatenate([own_id, far_ids])
-            order = np.lexsort((all_two, all_one))
-            start = _starts(all_one[order], all_two[order])
-            lowest = np.empty(len(order), np.int64)
-            if len(order):
-                lowest[order] = np.repeat(np.minimum.reduceat(all_ids[order], start), np.diff(np.append(start, len(order))))
-            again = np.zeros(len(w.start), bool)
-            again[p[lowest[: len(p)] < own_id]] = True
+            # runs of equal fingerprints share their least id, and what was answered for one of them
+            order = np.lexsort((two[p], one[p]))
+            p, own_id = p[order], own_id[order]
+            start = _starts(one[p], two[p])
+            elsewhere, again = np.zeros(len(w.start), bool), np.zeros(len(w.start), bool)
+            elsewhere[places] = True
+            if len(p):
+                size = np.diff(np.append(start, len(p)))
+                again[p] = np.repeat(np.logical_or.reduceat(elsewhere[p], start), size) | (np.repeat(np.minimum.reduceat(own_id, start), size) < own_id)
             gone = covered(again, window, len(w.start))
             n_gone = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.off])
             for d in range(len(seg.ids)):
