@@ -43,6 +43,25 @@ def test_long_text_and_forgetting(coder, monkeypatch):
     assert coder.encode("abcdefgh" * 20000).tolist() == LIBRARY.encode("abcdefgh" * 20000)
 
 
+def test_repeated_chunks_are_looked_up_once(coder, monkeypatch):
+    """A slice asks for each distinct chunk, not for each that it holds; texts in one slice don't join at their ends."""
+    asked = []
+
+    class Counting(dict):
+        def get(self, chunk, default=None):
+            asked.append(chunk)
+            return super().get(chunk, default)
+
+        def __getitem__(self, chunk):
+            asked.append(chunk)
+            return super().__getitem__(chunk)
+
+    monkeypatch.setattr(coder, "known", Counting())
+    texts = ["one two three " * 700, "", "ab", "c", " ", "", "cd", "é🜀 中", "one two"]
+    assert [x.tolist() for x in coder.encode_all(texts)] == [LIBRARY.encode(t) for t in texts]
+    assert len(asked) < 40
+
+
 def test_decoding_any_ids(coder):
     r = random.Random(5)
     n = LIBRARY.get_piece_size()

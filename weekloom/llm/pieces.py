@@ -25,7 +25,6 @@ have the name of a measure give way to it. Models with symbols that the user def
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -65,8 +64,8 @@ class PieceCoder:
         self.surface = [self._surface(i, p) for i, p in enumerate(names)]
         self.dummy = lib.normalize("a") != "a"
         self._lay_out(n, np.array([-lib.get_score(i) for i in range(n)]))
-        self._cut = self._chunk_pattern()
-        self.known = _Known(self, {})
+        self._find_cuts()
+        self.known: dict[str, bytes] = {}
         probe = "The quick brown  fox, 3.14 été 中文\n"
         if self.encode(probe).tolist() != lib.encode(probe):
             raise ValueError("not a merge-type vocabulary, or one with symbols defined by the user")
@@ -79,7 +78,7 @@ class PieceCoder:
         return bytes([int(piece[3:5], 16)]) if self.library.is_byte(i) else piece.replace(BLANK, " ").encode()
 
     def _lay_out(self, n: int, costs: np.ndarray) -> None:
-        """Tables by number: the symbol of each character, and cost and piece of each pair of symbols (by open addressing).
+        """Tables by number: the symbol of each character, and ``cost << 32 | piece`` of each pair of symbols (by open addressing).
 
         Costs are ranks of scores, equal scores share one. Symbols are piece ids; a character that is no piece is -1.
         """
@@ -96,83 +95,96 @@ class PieceCoder:
         left, right, whole = np.array(pairs, np.int64).reshape(-1, 3).T
         key = (left << 32) | right
         self.bits = max(4, int(len(key) * 4).bit_length())
-        self.pair_key, self.pair_piece = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        value = (rank[whole] << 32) | whole
+        self.pair_key, self.pair_value = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER << 32, np.int64)
         slot = self._slot(key)
         while len(key):
             first = np.unique(slot, return_index=True)[1]
             first = first[self.pair_key[slot[first]] < 0]
-            self.pair_key[slot[first]], self.pair_piece[slot[first]] = key[first], whole[first]
+            self.pair_key[slot[first]], self.pair_value[slot[first]] = key[first], value[first]
             rest = np.ones(len(key), bool)
             rest[first] = False
-            key, whole, slot = key[rest], whole[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
-        self.pair_cost, self.pair_piece = rank[self.pair_piece].astype(np.int32), self.pair_piece.astype(np.int32)
+            key, value, slot = key[rest], value[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return (mixed(key.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cost, piece) of each pair of symbols; ``NEVER`` and 0 where it is none."""
-        cost, piece = np.full(len(left), NEVER, np.int32), np.zeros(len(left), np.int32)
-        some = np.flatnonzero((left >= 0) & (right >= 0))
-        key = (left[some].astype(np.int64) << 32) | right[some]
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``cost << 32 | piece`` of each pair of symbols; the cost is ``NEVER`` where it is none."""
+        key = (left.astype(np.int64) << 32) | right  # negative where one of the two is no piece
         slot = self._slot(key)
-        while len(key):
+        there = self.pair_key[slot]
+        out = np.where((there == key) & (key >= 0), self.pair_value[slot], NEVER << 32)
+        some = np.flatnonzero((there != key) & (there >= 0) & (key >= 0))
+        key, slot = key[some], slot[some]
+        while len(some):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
             there = self.pair_key[slot]
             hit = there == key
-            cost[some[hit]], piece[some[hit]] = self.pair_cost[slot[hit]], self.pair_piece[slot[hit]]
+            out[some[hit]] = self.pair_value[slot[hit]]
             on = ~hit & (there >= 0)
-            some, key, slot = some[on], key[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        return cost, piece
+            some, key, slot = some[on], key[on], slot[on]
+        return out
+
+    def _find_cuts(self) -> None:
+        """``kind`` of each character: 1 within longer pieces, 2 the blank, 0 of no longer piece, a chunk of its own."""
+        inner = {ord(c) for p in self.ids if len(p) > 1 for c in p} - {ord(BLANK)}
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.kind[list(inner)], self.kind[ord(BLANK)] = 1, 2
+        self.blank_follows = any(b == BLANK and a != BLANK for p in self.ids for a, b in zip(p, p[1:], strict=False))
 
-    def _chunk_pattern(self) -> re.Pattern:
-        """Matches chunks: between them stand two characters that are side by side in no piece.
+    def _chunks(self, texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+        """How many chunks each text has, and all chunks: between them stand two characters that are side by side in no piece.
 
-        Blanks are looked at first: if they follow nothing but blanks in any piece, a chunk ends before them. A character
-        of no longer piece is a chunk of its own.
+        If blanks follow nothing but blanks in any piece, a chunk ends before them.
         """
-        inner = sorted({c for p in self.ids if len(p) > 1 for c in p} - {BLANK})
-        runs = "".join(map(re.escape, inner))
-        follows = any(b == BLANK and a != BLANK for p in self.ids for a, b in zip(p, p[1:], strict=False))
-        whole = f"[{BLANK}{runs}]+" if follows else f"{BLANK}*[{runs}]+|{BLANK}+" if runs else f"{BLANK}+"
-        return re.compile(f"{whole}|.", re.DOTALL)
+        whole = "".join(texts)
+        kind = self.kind[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
+        raw = np.frombuffer(whole.encode(), np.uint8)
+        text_end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        begins = np.ones(len(kind) + 1, bool)
+        begins[1:-1] = (kind[1:] == 0) | (kind[:-1] == 0)
+        if not self.blank_follows:
+            begins[1:-1] |= (kind[1:] == 2) & (kind[:-1] != 2)
+        begins[text_end] = True
+        byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[begins]
+        count = np.diff(np.concatenate([[0], (np.cumsum(begins) - 1)[text_end]]))
+        return count, pa.Array.from_buffers(pa.large_string(), len(byte) - 1, [None, pa.py_buffer(byte.astype(np.int64)), pa.py_buffer(raw)])
 
     def short(self, chunks: list[str]) -> list[bytes]:
         """Ids of short chunks, all at once: each round takes the best entry of every chunk's agenda.
 
-        ``symbol`` holds the chunks one after the other, ``cost`` an entry of the agenda for each symbol and its next one
-        (``NEVER`` where the two aren't a piece, or end a chunk). A round merges one pair a chunk and looks up its two new
-        neighbours; chunks whose agenda is empty leave.
+        ``symbol`` holds the chunks one after the other, and nothing is moved: ``before`` and ``after`` lead to the neighbours
+        of a symbol within its chunk (to the place after all, where none is), and ``entry`` is its entry of the agenda, the
+        cost of joining it with the next one and its own place (``NEVER`` where the two aren't a piece). A round merges one
+        pair a chunk and looks up its two new neighbours; chunks whose agenda is empty leave.
         """
         code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        symbol, chunk = self.of_code[code], np.repeat(np.arange(len(chunks), dtype=np.int32), sizes)
-        cost, merged = self._pairs(symbol, np.append(symbol[1:], np.int32(-1)))
-        cost[np.cumsum(sizes) - 1] = NEVER
-        done: list[tuple[np.ndarray, ...]] = []
-        while len(symbol):
-            begin = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
-            best = np.minimum.reduceat((cost.astype(np.int64) << 32) | np.arange(len(cost)), begin)  # the place decides between equal costs
-            idle = (best >> 32) >= NEVER
-            if idle.any():
-                out = np.repeat(idle, np.diff(np.append(begin, len(symbol))))
-                done.append((chunk[out], symbol[out], code[out]))
-                place = np.cumsum(~out) - 1
-                symbol, chunk, code, cost, merged = (x[~out] for x in (symbol, chunk, code, cost, merged))
-                at = place[best[~idle] & 0xFFFFFFFF]
-            else:
-                at = best & 0xFFFFFFFF
+        n, end = len(code), np.cumsum(sizes)
+        begin = end - sizes
+        symbol = np.append(self.of_code[code], np.int32(-1))
+        before, after = np.arange(-1, n), np.minimum(np.arange(1, n + 2), n)
+        before[begin], after[end - 1] = n, n
+        pair = self._pairs(symbol, symbol[after])
+        merged = (pair & 0xFFFFFFFF).astype(np.int32)
+        entry = (pair >> 32 << 32) | np.arange(n + 1)
+        alive = np.ones(n, bool)
+        while len(begin):
+            best = np.minimum.reduceat(entry, begin)  # the place decides between equal costs
+            busy = best < NEVER << 32
+            begin, at = begin[busy], best[busy] & 0xFFFFFFFF
+            gone = after[at]
             symbol[at] = merged[at]
-            stay = np.ones(len(symbol), bool)
-            stay[at + 1] = False
-            at = (np.cumsum(stay) - 1)[at]
-            symbol, chunk, code, cost, merged = (x[stay] for x in (symbol, chunk, code, cost, merged))
-            for k in (at, at[at > 0] - 1):
-                there = np.minimum(k + 1, len(symbol) - 1)
-                own, whole = self._pairs(symbol[k], symbol[there])
-                cost[k], merged[k] = np.where((there > k) & (chunk[k] == chunk[there]), own, NEVER), whole
-        chunk, symbol, code = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(chunk, kind="stable")
-        return self._written(chunk[order], symbol[order], code[order], len(chunks))
+            alive[gone], entry[gone] = False, NEVER << 32
+            after[at] = after[gone]
+            before[after[at]] = at
+            k = np.concatenate([at, before[at]])
+            pair = self._pairs(symbol[k], symbol[after[k]])
+            merged[k] = pair & 0xFFFFFFFF
+            entry[k] = (pair >> 32 << 32) | k
+        chunk = np.repeat(np.arange(len(chunks)), sizes)
+        return self._written(chunk[alive], symbol[:-1][alive], code[alive], len(chunks))
 
     def _written(self, chunk: np.ndarray, symbol: np.ndarray, code: np.ndarray, n: int) -> list[bytes]:
         """The ids of each chunk; what is no piece becomes its bytes or the unknown piece."""
@@ -215,16 +227,29 @@ class PieceCoder:
         return np.array([i for x in ids for i in x], "<i4").tobytes()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Chunks that aren't known yet are merged together."""
-        cut = [self._cut.findall(self.library.normalize(t)) for t in texts]
-        chunks = set().union(*cut)
-        new = [c for c in chunks - self.known.keys() if len(c) <= SHORT]
-        if len(self.known) + len(new) > REMEMBER:
-            self.known = _Known(self, {c: self.known[c] for c in chunks & self.known.keys()})
+        """The ids of each text. Each chunk is looked up once, those that aren't known yet are merged together."""
+        count, chunks = self._chunks(self.library.normalize(texts) if texts else [])
+        numbered = chunks.dictionary_encode()
+        kinds = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = [self.known.get(c) for c in kinds]
+        new = [k for k, x in enumerate(found) if x is None and len(kinds[k]) <= SHORT]
         if new:
-            self.known.update(zip(new, self.short(new), strict=True))
-        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<i4") for c in cut]
-        return ids if self.byte_ids else [self._one_unknown(x) for x in ids]
+            names = [kinds[k] for k in new]
+            ids = self.short(names)
+            if len(self.known) + len(new) > REMEMBER:
+                self.known = {c: x for c, x in zip(kinds, found, strict=True) if x is not None}
+            self.known.update(zip(names, ids, strict=True))
+            for k, x in zip(new, ids, strict=True):
+                found[k] = x
+        found = [self.long(c) if x is None else x for c, x in zip(kinds, found, strict=True)]  # long ones are not remembered
+        flat, which = np.frombuffer(b"".join(found), "<i4"), numbered.indices.to_numpy()
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start, many = (np.cumsum(size) - size)[which], size[which]
+        end = np.cumsum(many)
+        ids = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - many), many)]
+        cut = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])].tolist()
+        out = [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return out if self.byte_ids else [self._one_unknown(x) for x in out]
 
     def _one_unknown(self, ids: np.ndarray) -> np.ndarray:
         """Each run of unknown pieces as one."""
@@ -270,17 +295,6 @@ class PieceCoder:
         return _coders[key]
 
 
-class _Known(dict):
-    """Ids by chunk; long chunks are merged when asked for, and not remembered."""
-
-    def __init__(self, coder: PieceCoder, known: dict[str, bytes]):
-        super().__init__(known)
-        self.coder = coder
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.coder.long(chunk)
-
-
 def _replaced(raw: bytes) -> Iterator[str]:
     """Characters of a run of bytes; each byte that begins no valid character is U+FFFD."""
     k = 0
@@ -327,10 +341,10 @@ def _coded(docs: DataFrame, model: str, text_col: str, decode: bool, check: bool
             lists = [x.tolist() for x in own] if decode or check else []
             texts_back = [coder.decode(x) for x in lists] if decode else []
             if check:
-                theirs = [coder.library.encode(t, num_threads=1) for t in texts]
+                theirs = coder.library.encode(texts, num_threads=1)
                 agree = [x == y for x, y in zip(lists, theirs, strict=True)]
                 if decode:
-                    agree = [s and coder.library.decode(x) == t for s, x, t in zip(agree, lists, texts_back, strict=True)]
+                    agree = [s and x == y for s, x, y in zip(agree, coder.library.decode(lists, num_threads=1), texts_back, strict=True)]
                 same.extend(agree)
             found.extend(own)
             back.extend(texts_back)
