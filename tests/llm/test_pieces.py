@@ -2,6 +2,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -74,6 +75,18 @@ def test_decoding_any_ids(coder):
         coder.decode([-1])
 
 
+def test_decoding_a_slice(coder):
+    r = random.Random(8)
+    n = LIBRARY.get_piece_size()
+    lists = [[], [0], [259], []] + [[r.choice([r.randrange(n), r.randrange(0, 262), r.choice([0, 1, 2, 28705, 259])]) for _ in range(r.randrange(9))] for _ in range(3000)]
+    arrays = [np.array(x, np.int32) for x in lists]
+    assert coder.decode_all(arrays) == [LIBRARY.decode(x) for x in lists]
+    assert coder.decode_all([]) == [] and coder.decode_all(arrays[:1]) == [""]
+    for bad in (n, -1):
+        with pytest.raises(IndexError):
+            coder.decode_all([np.array([5, bad], np.int32)])
+
+
 def test_columns_nulls_and_clashes(spark):
     rows = [(1, "a b", "x"), (1, "a b", "y"), (None, None, None), (3, "", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")

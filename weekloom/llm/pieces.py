@@ -41,6 +41,8 @@ from .carry import measured, opened, quoted
 BLANK, UNKNOWN_TEXT = "▁", " ⁇ "
 #: Chunks that a worker remembers, and their greatest length in characters.
 REMEMBER, SHORT = 1 << 18, 48
+#: Chunks that are merged at once; their arrays stay within a core's cache.
+AT_ONCE = 1 << 13
 #: Cost of a pair that is no piece.
 NEVER = 1 << 30
 
@@ -62,6 +64,9 @@ class PieceCoder:
         self.control = frozenset(i for i in range(n) if lib.is_control(i))
         self.blank_first = frozenset(i for p, i in self.ids.items() if p.startswith(BLANK))
         self.surface = [self._surface(i, p) for i, p in enumerate(names)]
+        self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.surface_size = np.array([len(x) for x in self.surface])
+        self.surface_start = np.cumsum(self.surface_size) - self.surface_size
         self.dummy = lib.normalize("a") != "a"
         self._lay_out(n, np.array([-lib.get_score(i) for i in range(n)]))
         self._find_cuts()
@@ -235,7 +240,7 @@ class PieceCoder:
         new = [k for k, x in enumerate(found) if x is None and len(kinds[k]) <= SHORT]
         if new:
             names = [kinds[k] for k in new]
-            ids = self.short(names)
+            ids = [x for k in range(0, len(names), AT_ONCE) for x in self.short(names[k : k + AT_ONCE])]
             if len(self.known) + len(new) > REMEMBER:
                 self.known = {c: x for c, x in zip(kinds, found, strict=True) if x is not None}
             self.known.update(zip(names, ids, strict=True))
@@ -271,6 +276,28 @@ class PieceCoder:
         except UnicodeDecodeError:
             return self._decode_bytes(ids)
 
+    def decode_all(self, texts: list[np.ndarray]) -> list[str]:
+        """As ``decode``, for all texts of a slice: their pieces are put together in one pass."""
+        flat = np.concatenate([*texts, np.zeros(0, np.int32)])
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(self.surface)):
+            raise IndexError("piece id is out of range")
+        size = self.surface_size[flat]
+        end = np.cumsum(size)
+        place = np.repeat(self.surface_start[flat] - (end - size), size)
+        place += np.arange(len(place))
+        raw = self.surface_bytes[place].tobytes()
+        count = np.fromiter(map(len, texts), np.int64, len(texts))
+        cut = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])].tolist()
+        out = []
+        for ids, a, b in zip(texts, cut, cut[1:], strict=False):
+            if self.dummy and len(ids) and int(ids[0]) in self.blank_first:
+                a += 1
+            try:
+                out.append(raw[a:b].decode())
+            except UnicodeDecodeError:
+                out.append(self._decode_bytes(ids.tolist()))
+        return out
+
     def _decode_bytes(self, ids: list[int]) -> str:
         """As ``decode``, for ids with control pieces, or with bytes that are not all valid: run by run."""
         out, run = [], bytearray()
@@ -338,8 +365,8 @@ def _coded(docs: DataFrame, model: str, text_col: str, decode: bool, check: bool
         for a, b, _, _ in steps(column):
             texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
             own = coder.encode_all(texts)
-            lists = [x.tolist() for x in own] if decode or check else []
-            texts_back = [coder.decode(x) for x in lists] if decode else []
+            lists = [x.tolist() for x in own] if check else []
+            texts_back = coder.decode_all(own) if decode else []
             if check:
                 theirs = coder.library.encode(texts, num_threads=1)
                 agree = [x == y for x, y in zip(lists, theirs, strict=True)]
